@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bar_queries", "metric_queries")
+MODULES = ("bar_queries", "metric_queries", "book_queries")
 
 
 def load() -> None:

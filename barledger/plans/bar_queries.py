@@ -8,6 +8,7 @@ from barledger.operators import fills, signals, trades
 from barledger.plans import tables as t
 from barledger.plans.oracle_base import summary_sql
 from barledger.plans.registry import query
+from barledger.session import settle
 from barledger.sources import bars as src
 
 COST_BPS = 5.0
@@ -160,7 +161,7 @@ def variants(spark, sf):
         )
         one = trades.trade_stats(bt, lane)
         both = one if both is None else both.unionByName(one)
-    return both
+    return settle(both)
 
 
 VARIANT_TRADES = "(SELECT 'w10' AS variant, * FROM w10_stats UNION ALL SELECT 'w30' AS variant, * FROM w30_stats)"
@@ -227,4 +228,4 @@ def trade_paths(spark, sf):
 @query("path_envelope", "symbol", "bar_no n_open", "mean median std",
        sql=f"SELECT symbol, bar_no, count(*) AS n_open, avg(cum_net) AS mean, quantile_cont(cum_net, 0.5::DOUBLE) AS median, stddev_pop(cum_net) AS std FROM ({PATHS_SQL}) GROUP BY 1, 2")
 def path_envelope(spark, sf):
-    return trades.path_envelope(trades.trade_paths(*backtest(spark, sf)))
+    return trades.path_envelope(settle(trades.trade_paths(*backtest(spark, sf))))

@@ -77,9 +77,9 @@ def holding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weights(values).select(F.lit("current").alias("book_id"), "name", "ticker", "weight", "value")
 
 
-def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+def portfolio(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
     """One portfolio per region; the ordinal is its alphabetical rank (region keys follow it)."""
-    totals = holding(spark, sf_dir).groupBy("book_id", "name").agg(F.sum("value").alias("total_value"))
+    totals = (held if held is not None else holding(spark, sf_dir)).groupBy("book_id", "name").agg(F.sum("value").alias("total_value"))
     region = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("ord"))
     extra = (
         F.when(F.col("name") == "EUROPE", "managed_benchmark").when(F.col("name") == "ASIA", "protected").otherwise("custom")

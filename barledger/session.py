@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,13 +25,28 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "barledger")
     )
 
 
+def work_folder(spark: SparkSession) -> str | None:
+    """Shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark.sparkContext.master.startswith("local"):
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", named)
+        return named
+    return None
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the cluster's shared checkpoint folder and cut its lineage.
+    """Write ``df`` once as a table in the shared folder and go on from there.
 
-    Used where a frame feeds several branches of one plan. Without a configured folder the frame
-    is returned as it is: results are the same, upstream work is repeated.
+    Used where one frame feeds several branches. The table outlives lost executors, gives the
+    planner true sizes and still prunes columns. Without a shared folder ``df`` is returned as it
+    is: results are the same, upstream work is repeated.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    folder = work_folder(df.sparkSession)
+    if folder is None:
         return df
-    return df.checkpoint(eager=True)
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
