@@ -184,23 +184,23 @@ def tail_extremes(nav: DataFrame, timeframe: str = "1d") -> DataFrame:
     steps = laid.withColumn("_r", F.try_divide(F.col("nav"), F.lag("nav").over(lane.window())))
     rolled = steps.withColumns({f"_w{n}": rolling_product(F.col("_r"), lane, n) - 1 for n in TAIL_WINDOWS.values()})
     points = F.inline(F.array(*[
-        F.struct(F.lit(label).alias("window"), F.col(f"_w{n}").alias("v")) for label, n in TAIL_WINDOWS.items()
+        F.struct(F.lit(label).alias("horizon"), F.col(f"_w{n}").alias("v")) for label, n in TAIL_WINDOWS.items()
     ]))
     long = drop_borrowed(rolled, lane).select("book_id", "ts", points)
     day = F.date_diff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date"))
     known = F.col("v").isNotNull()
     best = F.max(F.when(known, F.struct("v", (-day).alias("d"), "ts")))
     worst = F.min(F.when(known, F.struct("v", day.alias("d"), "ts")))
-    ends = long.groupBy("book_id", "window").agg(best.alias("_b"), worst.alias("_w"))
+    ends = long.groupBy("book_id", "horizon").agg(best.alias("_b"), worst.alias("_w"))
     return ends.select(
-        "book_id", "window",
+        "book_id", "horizon",
         F.col("_b.v").alias("best"), F.col("_b.ts").cast("date").alias("best_date"),
         F.col("_w.v").alias("worst"), F.col("_w.ts").cast("date").alias("worst_date"),
     )
 
 
 def tail_deltas(nav: DataFrame, baseline: str, timeframe: str = "1d") -> DataFrame:
-    both = _against(tail_extremes(nav, timeframe), baseline, ["window"], ("best", "best_date", "worst", "worst_date"))
+    both = _against(tail_extremes(nav, timeframe), baseline, ["horizon"], ("best", "best_date", "worst", "worst_date"))
     return both.withColumns({"delta_best": _minus("best"), "delta_worst": _minus("worst")})
 
 

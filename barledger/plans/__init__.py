@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bar_queries", "metric_queries", "book_queries", "value_queries", "scenario_queries")
+MODULES = ("bar_queries", "metric_queries", "book_queries", "value_queries", "scenario_queries", "rebalance_queries", "source_queries", "anchor_queries")
 
 
 def load() -> None:

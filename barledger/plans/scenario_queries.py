@@ -83,7 +83,7 @@ def scenario_performance(spark, sf):
 
 
 @query("scenario_portfolio_deltas", "book_id name", nums="sharpe_delta vol_delta max_dd_delta",
-       sql=f"""WITH m AS ({metrics_sql("SELECT book_id || '|' || name AS k, ts, ret FROM sc_panel", 'k')}), x AS (SELECT string_split(k, '|')[1] AS book_id, string_split(k, '|')[2] AS name, * FROM m)
+       sql=f"""WITH m AS ({metrics_sql("SELECT book_id || '|' || name AS series, ts, ret FROM sc_panel", 'series')}), x AS (SELECT string_split(series, '|')[1] AS book_id, string_split(series, '|')[2] AS name, * FROM m)
 SELECT p.book_id, p.name, p.sharpe - c.sharpe AS sharpe_delta, p.ann_vol - c.ann_vol AS vol_delta, p.max_drawdown - c.max_drawdown AS max_dd_delta
 FROM x p JOIN x c ON p.name = c.name AND c.book_id = 'current' WHERE p.book_id <> 'current'""")
 def scenario_portfolio_deltas(spark, sf):
@@ -112,15 +112,15 @@ def scenario_periods(spark, sf):
     return sc.period_deltas(settle(performance.book_periods(rt.book_returns(panel, values))), BASE)
 
 
-@query("scenario_tails", "book_id window cur_best_date cur_worst_date prop_best_date prop_worst_date",
+@query("scenario_tails", "book_id horizon cur_best_date cur_worst_date prop_best_date prop_worst_date",
        nums="cur_best cur_worst prop_best prop_worst delta_best delta_worst",
        sql="""WITH s AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY ts) AS n FROM sc_ret),
  r AS (SELECT book_id, lab, ts, CASE WHEN count(ret) OVER w = any_value(lim) OVER w THEN 1 END AS ok, ret, lim, n FROM s, (VALUES ('1M', 21), ('3M', 63), ('6M', 126), ('1Y', 252)) v(lab, lim) WHERE n > 1 WINDOW w AS (PARTITION BY book_id, lab ORDER BY ts)),
  c AS (SELECT a.book_id, a.lab, a.ts, a.n, product(1 + b.ret) - 1 AS v FROM r a JOIN s b ON a.book_id = b.book_id AND b.n BETWEEN a.n - a.lim + 1 AND a.n WHERE a.n > a.lim GROUP BY ALL),
- e AS (SELECT book_id, lab AS window, max(v) AS best, (SELECT min(ts)::DATE FROM c x WHERE x.book_id = c.book_id AND x.lab = c.lab AND x.v = max(c.v)) AS best_date, min(v) AS worst,
+ e AS (SELECT book_id, lab AS horizon, max(v) AS best, (SELECT min(ts)::DATE FROM c x WHERE x.book_id = c.book_id AND x.lab = c.lab AND x.v = max(c.v)) AS best_date, min(v) AS worst,
    (SELECT min(ts)::DATE FROM c x WHERE x.book_id = c.book_id AND x.lab = c.lab AND x.v = min(c.v)) AS worst_date FROM c GROUP BY book_id, lab)
-SELECT p.book_id, "window", c.best AS cur_best, c.best_date AS cur_best_date, c.worst AS cur_worst, c.worst_date AS cur_worst_date, p.best AS prop_best, p.best_date AS prop_best_date, p.worst AS prop_worst, p.worst_date AS prop_worst_date,
- p.best - c.best AS delta_best, p.worst - c.worst AS delta_worst FROM e p JOIN e c USING ("window") WHERE p.book_id <> 'current' AND c.book_id = 'current'""".replace("lab AS window", 'lab AS "window"'))
+SELECT p.book_id, horizon, c.best AS cur_best, c.best_date AS cur_best_date, c.worst AS cur_worst, c.worst_date AS cur_worst_date, p.best AS prop_best, p.best_date AS prop_best_date, p.worst AS prop_worst, p.worst_date AS prop_worst_date,
+ p.best - c.best AS delta_best, p.worst - c.worst AS delta_worst FROM e p JOIN e c USING (horizon) WHERE p.book_id <> 'current' AND c.book_id = 'current'""")
 def scenario_tails(spark, sf):
     _, values, panel = diagnostics(spark, sf)
     return sc.tail_deltas(settle(performance.book_nav(rt.book_returns(panel, values), "1w")), BASE, "1w")

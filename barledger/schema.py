@@ -26,9 +26,9 @@ TIMEFRAME_SECONDS = {
 }
 
 FUNDAMENTAL_COLUMNS = (
-    "market_cap", "enterprise_value", "pe_ratio", "pb_ratio", "ps_ratio", "ev_ebitda",
-    "roe", "roa", "debt_to_equity", "current_ratio", "gross_margin", "operating_margin",
-    "net_margin", "revenue_growth", "earnings_growth", "dividend_yield", "beta",
+    "market_cap", "enterprise_value", "pe_ratio", "pb_ratio", "ps_ratio", "ev_ebitda", "roe", "roa",
+    "debt_to_equity", "current_ratio", "gross_margin", "operating_margin", "net_margin",
+    "revenue_growth_yoy", "earnings_growth_yoy",
 )
 
 ROLES = ("custom", "managed_benchmark", "protected", "holding")
