@@ -11,6 +11,8 @@ from barledger.operators.fills import FLAT
 from barledger.operators.trades import trade_bars
 from barledger.schema import FILL_METHODS
 
+SUM_NOISE = 1e-13
+
 
 def with_group_total(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach one total row per group; without group keys the total is a single row."""
@@ -102,10 +104,15 @@ def _rebalanced(backtest: DataFrame, lane: Lane, method: str, timeframe: str) ->
 
 
 def _with_change(curve: DataFrame, lane: Lane, timeframe: str) -> DataFrame:
-    """Simple change of the equity, 0 on the first bar."""
+    """Simple change of the equity, 0 on the first bar.
+
+    The sum over symbols has no fixed order, so an unchanged equity can differ in its last digit;
+    such a step is no return (it would count as a loss in the downside statistics).
+    """
     laid, book = _portfolio_lane(curve, lane, timeframe)
     before = F.lag("equity").over(book.window())
     change = F.coalesce(F.try_divide(F.col("equity"), before) - 1, F.lit(0.0))
+    change = F.when(F.abs(change) < SUM_NOISE, 0.0).otherwise(change)
     return drop_borrowed(laid.withColumn("ret", change), book).select(*lane.group_keys, lane.order, "ret", "equity")
 
 

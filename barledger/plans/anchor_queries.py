@@ -34,10 +34,9 @@ def model(spark, sf):
 
 # AFRICA has no first snapshot; its first deposit lies before the first one it has.
 @query("anchor_timeline", "name anchor_date is_hidden", nums="observed", digits=1,
-       sql=f"""SELECT name, anchor_date, is_hidden, observed FROM (
- SELECT name, d AS anchor_date, false AS is_hidden, base_value AS observed FROM portfolio, (VALUES (DATE '2000-06-30'), (DATE '2000-12-29'), (DATE '2001-06-29'), (DATE '{END}')) v(d) LEFT JOIN snap_values s USING (name) WHERE s.snap_date = d
+       sql=f"""SELECT name, snap_date AS anchor_date, false AS is_hidden, base_value AS observed FROM snap_values
  UNION ALL SELECT name, DATE '{END}', false, NULL FROM portfolio UNION ALL SELECT name, DATE '2001-05-30', true, NULL FROM portfolio
- UNION ALL SELECT name, min(date), false, arg_min(amount, date) FROM deposit WHERE name = 'AFRICA' GROUP BY name)""")
+ UNION ALL SELECT name, min(date), false, arg_min(amount, date) FROM deposit WHERE name = 'AFRICA' GROUP BY name""")
 def anchor_timeline(spark, sf):
     return timeline(spark, sf, hidden=True)[-1]
 

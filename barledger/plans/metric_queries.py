@@ -70,11 +70,12 @@ def equity_wide(spark, sf):
     return wide.withColumnsRenamed({"1-URGENT": "urgent", "5-LOW": "low"})
 
 
+# Steps below 1e-13 are summation order, not returns; both sides drop them.
 CURVES = {
     "rebalanced": """SELECT ts, ret, product(1 + ret) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM (
   SELECT ts, coalesce(sum(CASE WHEN cycle <> 'None' THEN r_net END), 0)/(SELECT count(DISTINCT symbol) FROM d20_bt) AS ret FROM d20_bt GROUP BY ts)""",
-    "buy_and_hold": """SELECT *, coalesce(equity/lag(equity) OVER (ORDER BY ts) - 1, 0) AS ret FROM (SELECT ts, avg(e_net) AS equity FROM d20_bt GROUP BY ts)""",
-    "fixed_stake": """SELECT *, coalesce(equity/lag(equity) OVER (ORDER BY ts) - 1, 0) AS ret FROM (
+    "buy_and_hold": """SELECT *, CASE WHEN abs(coalesce(equity/lag(equity) OVER (ORDER BY ts) - 1, 0)) < 1e-13 THEN 0 ELSE coalesce(equity/lag(equity) OVER (ORDER BY ts) - 1, 0) END AS ret FROM (SELECT ts, avg(e_net) AS equity FROM d20_bt GROUP BY ts)""",
+    "fixed_stake": """SELECT *, CASE WHEN abs(coalesce(equity/lag(equity) OVER (ORDER BY ts) - 1, 0)) < 1e-13 THEN 0 ELSE coalesce(equity/lag(equity) OVER (ORDER BY ts) - 1, 0) END AS ret FROM (
  SELECT ts, 1 + (o + coalesce(sum(c) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))/(1000.0::DOUBLE*(SELECT count(DISTINCT symbol) FROM d20_bt)) AS equity FROM (
   SELECT ts, sum(u) AS o, sum(CASE WHEN cycle = 'exit' THEN u ELSE 0 END) AS c FROM (
    SELECT b.ts, b.cycle, coalesce((g_net - 1)*1000, 0) AS u FROM d20_bt b LEFT JOIN d20_tr g USING (symbol, ts)) GROUP BY ts))""",

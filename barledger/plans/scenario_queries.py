@@ -117,8 +117,10 @@ def scenario_periods(spark, sf):
        sql="""WITH s AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY ts) AS n FROM sc_ret),
  r AS (SELECT book_id, lab, ts, CASE WHEN count(ret) OVER w = any_value(lim) OVER w THEN 1 END AS ok, ret, lim, n FROM s, (VALUES ('1M', 21), ('3M', 63), ('6M', 126), ('1Y', 252)) v(lab, lim) WHERE n > 1 WINDOW w AS (PARTITION BY book_id, lab ORDER BY ts)),
  c AS (SELECT a.book_id, a.lab, a.ts, a.n, product(1 + b.ret) - 1 AS v FROM r a JOIN s b ON a.book_id = b.book_id AND b.n BETWEEN a.n - a.lim + 1 AND a.n WHERE a.n > a.lim GROUP BY ALL),
- e AS (SELECT book_id, lab AS horizon, max(v) AS best, (SELECT min(ts)::DATE FROM c x WHERE x.book_id = c.book_id AND x.lab = c.lab AND x.v = max(c.v)) AS best_date, min(v) AS worst,
-   (SELECT min(ts)::DATE FROM c x WHERE x.book_id = c.book_id AND x.lab = c.lab AND x.v = min(c.v)) AS worst_date FROM c GROUP BY book_id, lab)
+ x AS (SELECT book_id, lab, max(v) AS best, min(v) AS worst FROM c GROUP BY book_id, lab),
+ e AS (SELECT i.book_id, i.lab AS horizon, best, (SELECT min(ts)::DATE FROM c WHERE c.book_id = x.book_id AND c.lab = x.lab AND c.v = x.best) AS best_date, worst,
+   (SELECT min(ts)::DATE FROM c WHERE c.book_id = x.book_id AND c.lab = x.lab AND c.v = x.worst) AS worst_date
+   FROM (SELECT DISTINCT book_id, lab FROM sc_ret, (VALUES ('1M'), ('3M'), ('6M'), ('1Y')) v(lab)) i LEFT JOIN x USING (book_id, lab))
 SELECT p.book_id, horizon, c.best AS cur_best, c.best_date AS cur_best_date, c.worst AS cur_worst, c.worst_date AS cur_worst_date, p.best AS prop_best, p.best_date AS prop_best_date, p.worst AS prop_worst, p.worst_date AS prop_worst_date,
  p.best - c.best AS delta_best, p.worst - c.worst AS delta_worst FROM e p JOIN e c USING (horizon) WHERE p.book_id <> 'current' AND c.book_id = 'current'""")
 def scenario_tails(spark, sf):

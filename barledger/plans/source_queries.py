@@ -51,7 +51,7 @@ def vendor_epoch_aggregates(spark, sf):
     return vendors.aggregate_bars(raw)
 
 
-@query("fundamentals", "symbol as_of", "n_extra", "market_cap pe_ratio", digits=2,
+@query("fundamentals", "symbol as_of", "n_extra", "market_cap pe_ratio", digits=4,
        sql="SELECT s_suppkey::VARCHAR AS symbol, DATE '2001-01-01' AS as_of, s_acctbal*100 AS market_cap, s_acctbal/10 AS pe_ratio, 1 AS n_extra FROM supplier")
 def fundamentals(spark, sf):
     raw = t.table(spark, sf, "supplier").select(
