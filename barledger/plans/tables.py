@@ -46,7 +46,12 @@ def bars_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sequence = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    # Order, line, part and cents as one decimal: unlike a struct it keeps the aggregate hash-based.
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    tie = F.col("l_partkey") * F.lit(10**9) + F.round(F.col("l_extendedprice") * 100).cast("long")
+    sequence = (
+        line.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + tie.cast("decimal(19,0)")
+    ).cast("decimal(38,0)")
     return resample(
         table(spark, sf_dir, "lineitem"), F.col("l_suppkey").cast("string"), F.col("l_shipdate"),
         F.lit(1000.0) + F.col("l_extendedprice") / 10000.0, sequence, "1d",

@@ -25,16 +25,20 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "barledger")
     )
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str | None:
     """Shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if spark.sparkContext.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-        return named
-    return None
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        return None
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -48,6 +48,8 @@ def test_exact_quantiles_on_a_skewed_group(spark):
 def test_pair_moments_over_several_tiles(spark, monkeypatch):
     from barledger.functions import gram
 
+    monkeypatch.setattr(gram, "TILE", 32)
+    monkeypatch.setattr(gram, "CHUNK_ROWS", 100)
     rng = random.Random(5)
     names = [f"s{i:03d}" for i in range(70)]
     rows = [("b", n, DAY0 + dt.timedelta(days=i * 9), rng.gauss(0, 1)) for n in names for i in range(60) if rng.random() < 0.8]
