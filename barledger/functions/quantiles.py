@@ -16,6 +16,21 @@ _FINE = 32
 _BUCKETS = _FINE * _FINE
 
 
+# Up to this many rows a group's distinct values fit one aggregation buffer.
+BUFFER_ROWS = 500_000
+
+
+def group_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], rows_bound: int
+) -> DataFrame:
+    """Quantiles of groups with a known row bound: built-in when it is small, else distributed."""
+    if rows_bound > BUFFER_ROWS:
+        return exact_quantiles(df, keys, value, probs)
+    at = F.array(*[F.lit(float(p)) for p in probs.values()])
+    found = df.groupBy(*keys).agg(F.percentile(value, at).alias("_q"))
+    return found.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:

@@ -105,9 +105,9 @@ def anchor_timeline(
     held = with_role(portfolio).select(*PORTFOLIO, "currency")
     days = observed.where(F.col("snap_date") <= end_day).select("snap_date").distinct()
     days = days.unionByName(observed.groupBy().agg(end_day.alias("snap_date"))).distinct()
-    grid = held.withColumn("_one", F.lit(1)).join(days.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    grid = held.crossJoin(F.broadcast(days))  # a handful of snapshot dates
     seen = observed.where(F.col("base_value") > 0).select("name", "snap_date", "base_value", "sgd_value")
-    grid = grid.join(seen, ["name", "snap_date"], "left").join(F.broadcast(last_rate(fx)), how="cross")
+    grid = grid.join(seen, ["name", "snap_date"], "left").crossJoin(F.broadcast(last_rate(fx)))
     usd = F.upper("currency") == "USD"
     grid = grid.select(
         *PORTFOLIO, "currency", F.col("snap_date").alias("anchor_date"), F.col("base_value").alias("observed"),
@@ -305,10 +305,10 @@ def sleeve_reconcile(
     """
     last = sleeves.groupBy(*PORTFOLIO, "currency").agg(F.max_by("model_bh", "anchor_date").alias("_native"))
     rate = F.broadcast(last_rate(fx))  # one row
-    valued = last.join(rate, how="cross").withColumn(
+    valued = last.crossJoin(rate).withColumn(
         "model", F.when(F.upper("currency") == "USD", F.col("_native") * F.col("last_fx")).otherwise(F.col("_native"))
     )
-    paid = as_of_single(deposits, fx, "date", "rate", "_rate").join(rate, how="cross")
+    paid = as_of_single(deposits, fx, "date", "rate", "_rate").crossJoin(rate)
     in_base = F.when(F.upper("currency") == "SGD", F.col("amount")).otherwise(F.col("amount") * F.coalesce("_rate", "last_fx"))
     paid = paid.groupBy("name").agg(F.sum(in_base).alias("deposits"))
     a = observed_start.select("name", F.col("sgd_value").alias("start_value"))

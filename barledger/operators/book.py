@@ -44,6 +44,11 @@ def unknown_assets(holding: DataFrame, universe: DataFrame) -> DataFrame:
     return holding.join(universe.select("ticker"), "ticker", "left_anti")
 
 
+def tickers_in_use(holding: DataFrame, targets: DataFrame) -> DataFrame:
+    """Every ticker that is held or targeted: what prices have to be read for."""
+    return holding.select("ticker").union(targets.select("ticker")).distinct()
+
+
 def normalise_weights(holding: DataFrame) -> DataFrame:
     """Weight = value over portfolio total; the rounding residue goes to the last holding."""
     total = holding.groupBy("book_id", "name").agg(F.sum("value").alias("_total"), F.max("ord").alias("_last"))

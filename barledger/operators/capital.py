@@ -127,9 +127,10 @@ def _fixed_stake(backtest: DataFrame, lane: Lane, method: str, amount: float, ti
     closing = F.when(F.col("cycle") == "exit", gain).otherwise(zero)
     at = [*lane.group_keys, lane.order]
     gains = trade_bars(backtest, lane, (method,)).select(*at, gain.alias("_open"), closing.alias("_closing"))
-    # Every timestamp of the data counts, also those on which no symbol is in a trade.
-    idle = backtest.where(F.col("cycle") == FLAT).select(*at, zero.alias("_open"), zero.alias("_closing"))
-    per_ts = gains.unionByName(idle).groupBy(*at).agg(
+    # Every timestamp of the data counts, also those on which no symbol is in a trade. The zeros read
+    # only keys, so Catalyst prunes the signal and backtest windows from their branch.
+    clock = backtest.select(*at, zero.alias("_open"), zero.alias("_closing"))
+    per_ts = gains.unionByName(clock).groupBy(*at).agg(
         F.sum("_open").alias("_open"), F.sum("_closing").alias("_closing")
     )
     per_ts, book = _portfolio_lane(per_ts, lane, timeframe)

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barledger.functions.ordered import Lane, drop_borrowed, lay_out, rolling_product, running
+from barledger.functions.ordered import Lane, drop_borrowed, lay_out, rolling_product, running, series_row_bound
+from barledger.functions.quantiles import group_quantiles
 from barledger.functions.stats import (
     INF,
     annual_vol,
@@ -78,9 +79,9 @@ def performance(
     """The full metric set, one row per series (``keys``, ``ts``, ``ret``)."""
     curve, lane = drawdown_series(returns, keys, timeframe, **layout)
     r = F.col("ret")
-    tails = returns.groupBy(*keys).agg(F.percentile("ret", F.array(F.lit(0.05), F.lit(0.95))).alias("_tail"))
+    tails = group_quantiles(returns, keys, "ret", {"_low": 0.05, "_high": 0.95}, series_row_bound(timeframe))
     with_tails = curve.join(tails, list(keys))
-    low, high = F.col("_tail")[0], F.col("_tail")[1]
+    low, high = F.col("_low"), F.col("_high")
     cols = core_columns(r, ppy, risk_free) | drawdown_columns(F.col("drawdown"))
     cols |= {
         "var_95": F.first(low),
@@ -240,11 +241,11 @@ def nav_summary(nav: DataFrame, keys: Sequence[str], trades: DataFrame | None =
     return out.join(counts, list(keys), "left").fillna(0, ["num_trades"])
 
 
-def describe(returns: DataFrame, keys: Sequence[str], col: str = "ret") -> DataFrame:
+def describe(returns: DataFrame, keys: Sequence[str], col: str = "ret", timeframe: str = "1d") -> DataFrame:
     """Count, moments and quartiles of a returns panel."""
-    quarters = F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = returns.groupBy(*keys).agg(
+    moments = returns.groupBy(*keys).agg(
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-        F.min(col).alias("min"), quarters.alias("_q"), F.max(col).alias("max"),
+        F.min(col).alias("min"), F.max(col).alias("max"),
     )
-    return out.select("*", *[F.col("_q")[i].alias(f"q{25 * (i + 1)}") for i in range(3)]).drop("_q")
+    quarters = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    return moments.join(group_quantiles(returns, keys, col, quarters, series_row_bound(timeframe)), list(keys))

@@ -120,9 +120,9 @@ def rebalance_events(
         prices = prices.withColumn("adv", F.lit(None).cast("double"))
     rows = prices.join(traded, "symbol").join(weights, [*keys, "ts", "symbol"], "left")
     # Every timestamp of the panel is valued, also when none of a book's symbols trades.
-    clock = bars.select("ts").distinct().withColumn("_one", F.lit(1)).join(
-        traded.select(*keys).distinct().withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
+    # The panel calendar has one row per bar slot, which bounds what is broadcast.
+    calendar = bars.select("ts").distinct()
+    clock = traded.select(*keys).distinct().crossJoin(F.broadcast(calendar))
     ticks = rows.unionByName(clock, allowMissingColumns=True)
     ordered = ticks.repartition(*keys).sortWithinPartitions(*keys, "ts", F.col("symbol").asc_nulls_first())
     key_schema = ", ".join(f"`{k}` {ticks.schema[k].dataType.simpleString()}" for k in keys)

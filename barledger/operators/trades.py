@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barledger.functions.ordered import Lane, running
-from barledger.functions.quantiles import exact_quantiles
+from barledger.functions.ordered import Lane, running, series_row_bound
+from barledger.functions.quantiles import BUFFER_ROWS, exact_quantiles
 from barledger.functions.stats import INF, compound, mean_where, ratio, sample_skewness, sum_where
 from barledger.operators.fills import FLAT
 from barledger.schema import FILL_METHODS
@@ -90,12 +90,20 @@ SUMMARY_COLUMNS = (
 )
 
 
-def trade_summary(stats: DataFrame, method: str = "net", keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Edge statistics per series. A series bounds its own trade count, so ``percentile`` is safe."""
+def trade_summary(
+    stats: DataFrame, method: str = "net", keys: Sequence[str] = ("symbol",), timeframe: str = "1d"
+) -> DataFrame:
+    """Edge statistics per series. A series of daily bars bounds its trades, so the median comes from
+    the same aggregation; for finer bars it is found in a distributed way (settle ``stats`` first)."""
     ret, dd = F.col(f"return_{method}"), F.col(f"max_intra_drawdown_{method}")
     cols = _summary_columns(ret, dd, F.lit(None).cast("double"))
-    cols["median_return"] = F.percentile(ret, 0.5)
-    return stats.groupBy(*keys).agg(*[c.alias(n) for n, c in cols.items()])
+    few = series_row_bound(timeframe) // 2 <= BUFFER_ROWS
+    if few:
+        cols["median_return"] = F.percentile(ret, 0.5)
+    out = stats.groupBy(*keys).agg(*[c.alias(n) for n, c in cols.items()])
+    if few:
+        return out
+    return out.join(exact_quantiles(stats, keys, f"return_{method}", {"median_return": 0.5}), list(keys))
 
 
 def pooled_table(stats: DataFrame, method: str = "net", keys: Sequence[str] = ("variant",)) -> DataFrame:
@@ -161,7 +169,8 @@ def flag_text() -> Column:
 
 
 def quality_table(
-    stats: DataFrame, methods: Sequence[str] = ("net", "conservative"), keys: Sequence[str] = ("symbol",)
+    stats: DataFrame, methods: Sequence[str] = ("net", "conservative"), keys: Sequence[str] = ("symbol",),
+    timeframe: str = "1d",
 ) -> DataFrame:
     """Summary, timing and flags per (series, method) from one pass over the trades."""
     per_method = [
@@ -176,9 +185,14 @@ def quality_table(
     ]
     long = stats.select(*keys, "duration", F.inline(F.array(*per_method)))
     cols = _summary_columns(F.col("return_m"), F.col("max_intra_drawdown_m"), F.lit(None).cast("double"))
-    cols["median_return"] = F.percentile("return_m", 0.5)
     cols |= _timing_columns("m")
+    few = series_row_bound(timeframe) // 2 <= BUFFER_ROWS
+    if few:
+        cols["median_return"] = F.percentile("return_m", 0.5)
     table = long.groupBy(*keys, "method").agg(*[c.alias(n) for n, c in cols.items()])
+    if not few:
+        medians = exact_quantiles(long, [*keys, "method"], "return_m", {"median_return": 0.5})
+        table = table.join(medians, [*keys, "method"])
     return with_quality_flags(table, keys)
 
 

@@ -76,6 +76,13 @@ def symbol_search(spark, sf):
     return src.search_symbols(t.bars_day(spark, sf), "ge")
 
 
+@query("index_members", "symbol", sql="SELECT n_name AS symbol FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+def index_members(spark, sf):
+    nation, region = t.table(spark, sf, "nation"), t.table(spark, sf, "region")
+    members = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    return src.index_members(members.select(F.col("r_name").alias("index_name"), F.col("n_name").alias("symbol")), "ASIA")
+
+
 SIGNAL_INTS = "signal_close signal_open trade_direction turnover enter exit_bar signal_age"
 
 

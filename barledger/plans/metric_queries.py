@@ -181,24 +181,26 @@ def period_metrics(spark, sf):
     return periods.return_periods(week_returns(spark, sf), ["symbol"])
 
 
-NAV_PERIODS_SQL = """WITH nav AS (SELECT symbol, ts, close AS nav, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn, max(year(ts)) OVER (PARTITION BY symbol) AS ly FROM bars_week),
+def nav_periods_sql(source: str, key: str) -> str:
+    """Period table of (key, ts, nav) rows."""
+    return f"""WITH nav AS (SELECT {key}, ts, nav, row_number() OVER (PARTITION BY {key} ORDER BY ts DESC) AS rn, max(year(ts)) OVER (PARTITION BY {key}) AS ly FROM ({source})),
  m AS (SELECT n.*, p.period, p.kind FROM nav n, LATERAL (
    SELECT period, 'w' AS kind FROM (VALUES ('1M', 30), ('3M', 90), ('6M', 180), ('1Y', 365), ('All', 1000000000)) v(period, lim) WHERE rn <= lim
    UNION ALL SELECT 'YTD', 's' WHERE year(n.ts) = ly UNION ALL SELECT 'Since stmt', 's' WHERE n.ts >= TIMESTAMP '2000-06-30'
    UNION ALL SELECT year(n.ts)::VARCHAR, 'y') p),
- r AS (SELECT *, nav/lag(nav) OVER (PARTITION BY symbol, period ORDER BY ts) - 1 AS ret FROM m),
- g AS (SELECT *, product(1 + ret) OVER (PARTITION BY symbol, period ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM r),
- k AS (SELECT *, max(CASE WHEN ret IS NOT NULL THEN g END) OVER (PARTITION BY symbol, period ORDER BY ts) AS k FROM g),
- a AS (SELECT symbol, period, any_value(kind) AS kind, count(*) AS n, arg_max(nav, ts)/arg_min(nav, ts) - 1 AS cum, pow(product(1 + ret), 252.0::DOUBLE/nullif(count(ret), 0)) - 1 AS ann, avg(ret) AS mu,
+ r AS (SELECT *, nav/lag(nav) OVER (PARTITION BY {key}, period ORDER BY ts) - 1 AS ret FROM m),
+ g AS (SELECT *, product(1 + ret) OVER (PARTITION BY {key}, period ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM r),
+ k AS (SELECT *, max(CASE WHEN ret IS NOT NULL THEN g END) OVER (PARTITION BY {key}, period ORDER BY ts) AS k FROM g),
+ a AS (SELECT {key}, period, any_value(kind) AS kind, count(*) AS n, arg_max(nav, ts)/arg_min(nav, ts) - 1 AS cum, pow(product(1 + ret), 252.0::DOUBLE/nullif(count(ret), 0)) - 1 AS ann, avg(ret) AS mu,
    stddev_samp(ret)*sqrt(252) AS vol, min(CASE WHEN ret IS NOT NULL THEN g/k - 1 END) AS mdd, min(ts) AS mn, max(ts) AS mx, any_value(ly) AS ly FROM k GROUP BY 1, 2)
-SELECT symbol, CASE WHEN kind = 'w' OR period = 'YTD' THEN period || ' (since ' || mn::DATE || ')' WHEN period = 'Since stmt' THEN 'Since stmt (2000-06-30)'
+SELECT {key}, CASE WHEN kind = 'w' OR period = 'YTD' THEN period || ' (since ' || mn::DATE || ')' WHEN period = 'Since stmt' THEN 'Since stmt (2000-06-30)'
    WHEN mn > make_date(period::BIGINT, 1, 8) OR (period::BIGINT = ly AND mx < make_date(period::BIGINT, 12, 24)) THEN period || ' (partial)' ELSE period END AS period,
   CASE WHEN n >= 2 THEN cum END AS cum_return, CASE WHEN n >= 2 THEN ann END AS ann_return, CASE WHEN n >= 2 THEN vol END AS ann_vol,
   CASE WHEN n >= 2 THEN CASE WHEN vol > 0 THEN mu*252/vol ELSE 0 END END AS sharpe, CASE WHEN n >= 2 THEN mdd END AS max_dd, n AS days
 FROM a WHERE n >= 2 OR kind <> 's'"""
 
 
-@query("nav_period_metrics", "symbol period", "days", "cum_return ann_return ann_vol sharpe max_dd", sql=NAV_PERIODS_SQL)
+@query("nav_period_metrics", "symbol period", "days", "cum_return ann_return ann_vol sharpe max_dd", sql=nav_periods_sql("SELECT symbol, ts, close AS nav FROM bars_week", "symbol"))
 def nav_period_metrics(spark, sf):
     nav = t.bars_week(spark, sf).select("symbol", "ts", F.col("close").alias("nav"), F.lit(t.STATEMENT_DATE).cast("date").alias("statement_date"))
     return periods.nav_periods(nav, ["symbol"])

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barledger.functions import calendars
-from barledger.operators import asof, performance, periods, projection, reconcile, returns as rt
+from barledger.operators import asof, book as bk, performance, periods, projection, reconcile, returns as rt
 from barledger.plans import tables as t
 from barledger.plans.book_queries import panel, values
-from barledger.plans.metric_queries import NAV_PERIODS_SQL
+from barledger.plans.metric_queries import nav_periods_sql
 from barledger.plans.oracle_base import define
 from barledger.plans.registry import query
 from barledger.session import settle
@@ -215,10 +215,7 @@ def book_nav_daily(spark, sf):
 
 
 @query("book_since_statement", "book_id period", "days", "cum_return ann_return ann_vol sharpe max_dd",
-       sql=NAV_PERIODS_SQL.replace("SELECT symbol, ts, close AS nav, row_number()", f"SELECT book_id AS symbol, ts, nav, row_number()").replace(
-           "PARTITION BY symbol ORDER BY ts DESC", "PARTITION BY book_id ORDER BY ts DESC").replace(
-           "OVER (PARTITION BY symbol) AS ly FROM bars_week", f"OVER (PARTITION BY book_id) AS ly FROM ({BOOK_NAV_DAYS})").replace(
-           "SELECT symbol, CASE WHEN kind", "SELECT symbol AS book_id, CASE WHEN kind"))
+       sql=nav_periods_sql(BOOK_NAV_DAYS, "book_id"))
 def book_since_statement(spark, sf):
     """Period table of the buy-and-hold NAV since the statement."""
     nav = settle(projection.book_nav_from_panel(*daily_nav(spark, sf)).withColumn("statement_date", start_date()))
@@ -234,3 +231,19 @@ def book_period_dollars(spark, sf):
     worth = values(spark, sf)
     table = performance.book_periods(rt.book_returns(panel(spark, sf), worth))
     return reconcile.cum_dollars(table.where(F.col("period").isin("1M", "1Y", "All")), worth.select("book_id", "aum").distinct())
+
+
+@query("book_windowed", "book_id period", "days", "cum_return ann_return ann_vol sharpe max_dd",
+       sql=f"""SELECT * FROM ({nav_periods_sql(BOOK_NAV_DAYS, 'book_id')}) WHERE period LIKE 'Since stmt%' UNION ALL
+SELECT * FROM ({nav_periods_sql('SELECT book_id, ts, product(1 + ret) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nav FROM book_ret', 'book_id')}) WHERE period NOT LIKE 'Since stmt%'""")
+def book_windowed(spark, sf):
+    held, book = daily_nav(spark, sf)
+    since = projection.book_nav_from_panel(held, book).withColumn("statement_date", start_date())
+    worth = values(spark, sf)
+    long_nav = settle(performance.book_nav(rt.book_returns(panel(spark, sf), worth), "1w"))
+    return performance.book_windowed(settle(since), long_nav, worth.select("book_id", "aum").distinct())
+
+
+@query("tickers_in_use", "ticker", sql="SELECT ticker FROM holding UNION SELECT ticker FROM month_targets")
+def tickers_in_use(spark, sf):
+    return bk.tickers_in_use(t.holding(spark, sf), month_targets(spark, sf))

@@ -148,3 +148,18 @@ def test_pooled_variants_that_are_equal_agree(spark):
     rows = trades.pooled_table(both).drop("variant").collect()
     assert rows[0] == rows[1]
     assert close_to(rows[0].median_return, stats.agg(F.percentile("return_net", 0.5)).first()[0])
+
+
+def test_medians_do_not_depend_on_how_they_are_found(spark):
+    bt, lane = fills.run_backtest(random_bars(spark, n=300), 15, 10.0, timeframe="1d")
+    stats = trades.trade_stats(bt, lane)
+    for make in (trades.trade_summary, trades.quality_table):
+        a, b = (
+            {(r.symbol, r.asDict().get("method")): r.median_return for r in make(stats, timeframe=width).collect()}
+            for width in ("1d", "1m")
+        )
+        assert a.keys() == b.keys() and all(close_to(a[k], b[k]) for k in a)
+    rets = metrics.simple_returns(random_bars(spark, n=120), Lane(("symbol",))).select("symbol", "ts", "ret")
+    p = metrics.describe(rets, ["symbol"]).orderBy("symbol").collect()
+    q = metrics.describe(rets, ["symbol"], timeframe="1m").orderBy("symbol").collect()
+    assert all(close_to(float(x[c]), float(y[c])) for x, y in zip(p, q) for c in ("q25", "q50", "q75", "mean"))
