@@ -19,17 +19,20 @@ def ticker_returns(spark, sf):
     return metrics.simple_returns(bars, Lane(("symbol",))).select(F.col("symbol").alias("ticker"), "ts", "ret")
 
 
+def panel_and_values(spark, sf):
+    """Returns panel and base-currency values of the current book; shared inputs are settled once."""
+    held = settle(t.holding(spark, sf))
+    book_table, rates = settle(t.portfolio(spark, sf, held)), settle(t.fx(spark, sf))
+    returns = settle(rt.returns_panel(book_table, held, ticker_returns(spark, sf), rates, "1w"))
+    return returns, settle(book.portfolio_values(book_table, book.book_fx(book_table, rates)))
+
+
 def panel(spark, sf):
     held = settle(t.holding(spark, sf))
     book_table = t.portfolio(spark, sf, held)
     return settle(rt.returns_panel(book_table, held, ticker_returns(spark, sf), t.fx(spark, sf), "1w"))
 
 
-def values(spark, sf):
-    p = settle(t.portfolio(spark, sf))
-    return settle(book.portfolio_values(p, book.book_fx(p, t.fx(spark, sf))))
-
-
 define("supp_ret", "SELECT symbol, ts, close/lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars_supplier")
 define("week_complete", "SELECT ts FROM week_ret WHERE ret IS NOT NULL GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars_week)")
 define("panel_raw", """SELECT name, ts, sum(weight*ret) - any_value(fee_annual)/252 AS ret, any_value(currency) AS currency
@@ -115,7 +118,7 @@ for _aligned in (True, False):
     query(f"book_returns_{'aligned' if _aligned else 'unaligned'}", "book_id ts", nums="ret", digits=8,
           sql="SELECT * FROM book_ret" if _aligned else
           "SELECT 'current' AS book_id, ts, sum(ret*value_base)/sum(value_base) AS ret FROM panel JOIN pvalues USING (name) GROUP BY ts")(
-        lambda spark, sf, a=_aligned: rt.book_returns(panel(spark, sf), values(spark, sf), a))
+        lambda spark, sf, a=_aligned: rt.book_returns(*panel_and_values(spark, sf), a))
 
 CORR_SQL = """SELECT 'current' AS book_id, a.name AS name_a, b.name AS name_b, count(*) AS n_obs,
   CASE WHEN count(*) >= 20 THEN corr(a.ret, b.ret) END AS rho FROM panel a JOIN panel b USING (ts) WHERE {} GROUP BY ALL"""
@@ -219,7 +222,7 @@ JOIN (SELECT name, value_base AS value FROM pvalues UNION ALL SELECT 'Combined b
 
 
 def comparison(spark, sf):
-    return settle(performance.benchmark_comparison(panel(spark, sf), values(spark, sf), True, "1w"))
+    return settle(performance.benchmark_comparison(*panel_and_values(spark, sf), True, "1w"))
 
 
 @query("benchmark_comparison", "book_id name", "n_days", "value total_return ann_return ytd_return sharpe max_dd annualised_vol", digits=4, sql=COMPARISON_SQL)
@@ -238,15 +241,15 @@ def benchmark_deltas(spark, sf):
        sql=f"""SELECT book_id, n AS n_days, (SELECT sum(value_base) FROM pvalues) AS aum, 1.3::DOUBLE AS fx_rate, ann_return, ann_vol, sharpe, max_drawdown AS max_dd
 FROM ({metrics_sql('SELECT * FROM book_ret', 'book_id')})""")
 def book_performance(spark, sf):
-    return performance.book_performance(panel(spark, sf), values(spark, sf), True, "1w")
+    return performance.book_performance(*panel_and_values(spark, sf), True, "1w")
 
 
 @query("book_nav", "book_id ts", nums="nav",
        sql="SELECT book_id, ts, product(1 + ret) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)*100 AS nav FROM book_ret")
 def book_nav(spark, sf):
-    return performance.book_nav(rt.book_returns(panel(spark, sf), values(spark, sf)), "1w")
+    return performance.book_nav(rt.book_returns(*panel_and_values(spark, sf)), "1w")
 
 
 @query("book_periods", "book_id period", "days", "cum_return ann_return ann_vol sharpe max_dd", sql=periods_sql("SELECT * FROM book_ret", "book_id"))
 def book_periods(spark, sf):
-    return performance.book_periods(rt.book_returns(panel(spark, sf), values(spark, sf)))
+    return performance.book_periods(rt.book_returns(*panel_and_values(spark, sf)))

@@ -8,7 +8,7 @@ from barledger.functions import listings
 from barledger.operators import explorer
 from barledger.plans import tables as t
 from barledger.plans.bar_queries import OHLCV
-from barledger.plans.book_queries import panel, ticker_returns, values
+from barledger.plans.book_queries import panel_and_values, ticker_returns
 from barledger.operators import returns as rt
 from barledger.plans.oracle_base import define
 from barledger.plans.registry import query
@@ -263,7 +263,7 @@ define("fb", "SELECT f.symbol, f.ts, f.ret, b.ret AS book_ret, row_number() OVER
  CASE WHEN count(*) FILTER (year(ts) = ly) >= 20 THEN corr(ret, book_ret) FILTER (year(ts) = ly) END AS "corr_book_YTD" FROM fb GROUP BY symbol) USING (ticker)""")
 def fund_explorer(spark, sf):
     rets = settle(ticker_returns(spark, sf))
-    book = rt.book_returns(panel(spark, sf), values(spark, sf)).withColumnRenamed("ret", "book_ret")
+    book = rt.book_returns(*panel_and_values(spark, sf)).withColumnRenamed("ret", "book_ret")
     known = t.universe(spark, sf).select("ticker", "asset_class")
     missing = known.limit(1).select(F.lit("NO DATA").alias("ticker"), F.lit("Bond").alias("asset_class"))
     return explorer.fund_explorer(known.unionByName(missing), rets, book)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barledger.functions import calendars
 from barledger.operators import asof, book as bk, performance, periods, projection, reconcile, returns as rt
 from barledger.plans import tables as t
-from barledger.plans.book_queries import panel, values
+from barledger.plans.book_queries import panel_and_values
 from barledger.plans.metric_queries import nav_periods_sql
 from barledger.plans.oracle_base import define
 from barledger.plans.registry import query
@@ -122,7 +122,7 @@ def monthly_book(spark, sf):
     return p, h, u, settle(month_targets(spark, sf)), q, fx
 
 
-@query("piecewise_values", "name", nums="today_native", digits=2, sql="SELECT * FROM piecewise")
+@query("piecewise_values", "name", nums="today_native", digits=1, sql="SELECT * FROM piecewise")
 def piecewise_values(spark, sf):
     p, h, u, targets, q, _ = monthly_book(spark, sf)
     return projection.piecewise_values(p, h, u, targets, q, end_date())
@@ -201,7 +201,7 @@ def daily_nav(spark, sf):
     return settle(projection.nav_panel(p, *rest, start_date(), end_date())), p
 
 
-@query("nav_panel", "name day", nums="nav", digits=2, sql="SELECT * FROM nav_days")
+@query("nav_panel", "name day", nums="nav", digits=0, sql="SELECT * FROM nav_days")
 def nav_panel(spark, sf):
     return daily_nav(spark, sf)[0]
 
@@ -209,7 +209,7 @@ def nav_panel(spark, sf):
 BOOK_NAV_DAYS = "SELECT 'current' AS book_id, day::TIMESTAMP AS ts, sum(nav) AS nav FROM nav_days GROUP BY day HAVING count(*) = (SELECT count(*) FROM portfolio)"
 
 
-@query("book_nav_daily", "book_id ts", nums="nav", digits=2, sql=BOOK_NAV_DAYS)
+@query("book_nav_daily", "book_id ts", nums="nav", digits=0, sql=BOOK_NAV_DAYS)
 def book_nav_daily(spark, sf):
     return projection.book_nav_from_panel(*daily_nav(spark, sf))
 
@@ -228,8 +228,8 @@ def book_since_statement(spark, sf):
  UNION ALL SELECT '1Y', product(1 + ret) - 1 FROM (SELECT ret FROM book_ret ORDER BY ts DESC LIMIT 252)
  UNION ALL SELECT 'All', product(1 + ret) - 1 FROM book_ret)""")
 def book_period_dollars(spark, sf):
-    worth = values(spark, sf)
-    table = performance.book_periods(rt.book_returns(panel(spark, sf), worth))
+    returns, worth = panel_and_values(spark, sf)
+    table = performance.book_periods(rt.book_returns(returns, worth))
     return reconcile.cum_dollars(table.where(F.col("period").isin("1M", "1Y", "All")), worth.select("book_id", "aum").distinct())
 
 
@@ -239,8 +239,8 @@ SELECT * FROM ({nav_periods_sql('SELECT book_id, ts, product(1 + ret) OVER (ORDE
 def book_windowed(spark, sf):
     held, book = daily_nav(spark, sf)
     since = projection.book_nav_from_panel(held, book).withColumn("statement_date", start_date())
-    worth = values(spark, sf)
-    long_nav = settle(performance.book_nav(rt.book_returns(panel(spark, sf), worth), "1w"))
+    returns, worth = panel_and_values(spark, sf)
+    long_nav = settle(performance.book_nav(rt.book_returns(returns, worth), "1w"))
     return performance.book_windowed(settle(since), long_nav, worth.select("book_id", "aum").distinct())
 
 
