@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barledger.llm import langid, media, mixing, packing, secrets, simhash, toxicity, urlglob
+from barledger.llm import langid, media, mixing, packing, rpforest, secrets, simhash, toxicity, urlglob
 from barledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@query("op7_embedding_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_source_mixing", sql=r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, length(text) AS n,
