@@ -200,7 +200,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     found = F.pandas_udf(label, "lang_pred string, score double")(F.coalesce(F.col("text").cast("string"), F.lit("")))
     names = [F.col(c) for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.select(*names, found.alias("found")).select(*names, "found.lang_pred", "found.score")
+    return docs.select(F.struct(*names).alias("row"), found.alias("found")).select("row.*", "found.*")
 
 
 def _label(column: pd.Series, model: Model | None) -> pd.DataFrame:

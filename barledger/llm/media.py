@@ -166,6 +166,6 @@ def features(stored: DataFrame) -> DataFrame:
     Every image is decoded with its checksums tested; a damaged one fails the job. Rows with equal
     texts have equal values.
     """
-    names = [F.col(c) for c in stored.columns if c != "media"]
+    names = [F.col(c) for c in stored.columns if c.lower() not in ("media", *(x.split()[0] for x in _BACK.split(", ")))]
     read = F.pandas_udf(_read, _BACK)
-    return stored.select(*names, read("media").alias("back")).select(*names, "back.*")
+    return stored.select(F.struct(*names).alias("row"), read("media").alias("back")).select("row.*", "back.*")

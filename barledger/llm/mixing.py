@@ -24,9 +24,10 @@ def quality(text: Column, size: Column) -> Column:
     return F.coalesce(0.1 + 0.9 * F.exp(-mean * mean / 16.0), F.lit(0.1))
 
 
-def uniform(doc_id: Column, seed: int = 0) -> Column:
-    """Number in (0, 1) from the id alone, the same in every run."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))
+def uniform(doc_id: Column, text: Column, seed: int = 0) -> Column:
+    """Number in (0, 1) from the id alone (without one, from the text), the same in every run."""
+    name = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    digest = F.md5(F.concat(name, F.lit(f":{seed}")))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -34,7 +35,7 @@ def measured(docs: DataFrame, seed: int = 0) -> DataFrame:
     """``doc_id, source, size, sample_key`` of every row; the smaller the key the sooner the row is taken."""
     sized = docs.select("doc_id", "source", "text").withColumn("size", words(F.col("text")))
     weight = quality(F.col("text"), F.col("size"))
-    return sized.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("sample_key"))
+    return sized.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / weight).alias("sample_key"))
 
 
 def source_targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -67,7 +68,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
     exponential keys until the rest of the target is filled; the row at the end gives the words that
     still fit. The prefix sum runs over slices of the key range, so a source of any share is spread
     over many tasks. Null text has size 0 and is never taken; null sources form one source; rows
-    with one id share a key and are told apart by size only. An empty table gives no rows.
+    with one id share a key, so that equal rows are interchangeable. An empty table gives no rows.
     """
     rows = settle(measured(docs, seed))
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
@@ -92,11 +93,17 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     Complete passes repeat the row. The one row of a source that gives a part gives its first words
     up to that count, and ``n_chars``, if there, follows the text. Rows not taken go.
     """
-    taken = mix(docs, weights, max_epochs, seed).select(F.col("doc_id").alias("id"), F.col("source").alias("origin"), F.col("size").alias("words"), "taken").distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("origin"), words(F.col("text")).alias("words"))
-    both = keyed.alias("k").join(taken.alias("t"), F.col("k.id").eqNullSafe(F.col("t.id")) & F.col("k.origin").eqNullSafe(F.col("t.origin")) & (F.col("k.words") == F.col("t.words")))
-    passes = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("k.words")).cast("int"))
-    times = both.where("taken > 0").select("row", F.col("k.words").alias("words"), "taken", F.explode(passes).alias("pass"))
+    taken = mix(docs, weights, max_epochs, seed)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", words(F.col("text").cast("string")).alias("size"))
+    same = F.xxhash64("doc_id", "source", "size").alias("same")
+    group = ["doc_id", "source", "size"]
+    nth = lambda *more: F.row_number().over(Window.partitionBy("same").orderBy(*group, *more))
+    left = rows.select("row", *group, same).select("row", "same", F.col("size").alias("words"), nth(F.xxhash64("row")).alias("nth"))
+    right = taken.select("taken", *group, same).where("size > 0").select("taken", F.col("same").alias("with"), nth(F.desc("taken")).alias("place"))
+    # rows of one group stand in the same order on both sides; the difference keeps the join on ``same`` alone
+    both = left.join(right, (F.col("same") == F.col("with")) & (F.col("nth") - F.col("place") == 0))
+    passes = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("words")).cast("int"))
+    times = both.where("taken > 0").select("row", "words", "taken", F.explode(passes).alias("pass"))
     part = F.least(F.col("words"), F.col("taken") - (F.col("pass") - 1) * F.col("words"))
     text = F.when(part < F.col("words"), F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD_CLASS), F.lit(0)), F.lit(1), part.cast("int")), " ")).otherwise(F.col("row.text"))
     out = times.withColumn("body", text)

@@ -101,3 +101,39 @@ def digest(found: DataFrame) -> DataFrame:
         "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
         F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
     )
+
+
+#: Stands in a text for a secret.
+MARK = "[secret]"
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with every found span of ``text`` replaced by ``MARK``; other columns stay, ``n_chars`` follows the text.
+
+    Overlapping spans are replaced as one. Rows meet their spans by id and text hash, so that repeated
+    rows and rows without an id find their own.
+    """
+    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("same"), key.alias("own"))
+    scanned = find(docs.select(F.struct(key.alias("own"), F.xxhash64("doc_id", "text").alias("same")).alias("doc_id"), "text"))
+    spans = scanned.where(F.size("spans") > 0).select(F.col("doc_id.same").alias("with"), F.col("doc_id.own").alias("owner"), "spans").distinct()
+    touched = rows.join(spans, (F.col("same") == F.col("with")) & F.col("own").eqNullSafe(F.col("owner")), "left")
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(_without(F.col("row.text"), F.col("spans")))
+    fresh = touched.select("row", text.alias("body"))
+    new = {"text": F.col("body")} | ({"n_chars": F.length("body").cast("long")} if "n_chars" in docs.columns else {})
+    return fresh.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """``text`` with the spans (ordered by start) marked: the stretches between them, joined by the mark."""
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(done: Column, span: Column) -> Column:
+        gap = F.substring(text, done["at"] + 1, F.greatest(span["start"] - done["at"], F.lit(0)))
+        new = span["start"] >= done["at"]
+        return F.struct(
+            F.greatest(done["at"], span["end"]).alias("at"),
+            F.concat(done["out"], gap, F.when(new, F.lit(MARK)).otherwise(F.lit(""))).alias("out"),
+        )
+
+    return F.aggregate(spans, state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))

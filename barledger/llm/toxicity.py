@@ -262,5 +262,5 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     rated = F.pandas_udf(rate, "score double, passages array<struct<start:int,end:int,value:double>>")
     names = [F.col(c) for c in docs.columns if c.lower() not in ("score", "passages")]
-    found = docs.select(*names, rated(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("rated"))
-    return found.select(*names, "rated.score", "rated.passages")
+    found = docs.select(F.struct(*names).alias("row"), rated(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("rated"))
+    return found.select("row.*", "rated.*")

@@ -129,6 +129,5 @@ def judge(pages: DataFrame, url_col: str = "url", host_rules=HOST_RULES, block_g
     names = [F.col(c) for c in pages.columns if c.lower() not in added]
     url = F.col(url_col).cast("string")
     found = F.pandas_udf(decide, "rule string, verdict string")(F.concat("host", "path"))
-    split = pages.select(*names, host(url).alias("host"), path(url).alias("path"))
-    kept = [c for c in pages.columns if c.lower() not in added]
-    return split.withColumn("judged", found).select(*kept, "host", "path", "judged.rule", "judged.verdict")
+    split = pages.select(F.struct(*names).alias("row"), host(url).alias("host"), path(url).alias("path"))
+    return split.withColumn("judged", found).select("row.*", "host", "path", "judged.*")
