@@ -25,13 +25,17 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img in
 ASIDE = frozenset("nav footer aside form button menu dialog head fieldset".split())
 MAIN = frozenset(("article", "main"))
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+_PLACE = "site|page|global|top|main|side|bottom|left|right"
+_ABOUT = (
+    "navigation|navbar|nav|menu|header|masthead|footer|sidebar|aside|breadcrumbs?|pagination|pager"
+    "|ads?|adverts?|advertisements?|advertising|sponsored|sponsor|promo|promotion|banner"
+    "|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login"
+    "|share|sharing|social|related|recommended|comments?|replies|reply|discussion|disqus|respond"
+)
+_PART = r"bar|box|container|wrapper|wrap|list|area|section|block|form|links|widget|slot|unit|thread|\d+"
 _ASIDE_NAMES = re.compile(
-    r"(?:site|page|global|top|main|side|bottom|left|right|user|reader|post|article)?[-_]?"
-    r"(?:navigation|navbar|nav|menu|header|masthead|footer|sidebar|aside|breadcrumbs?|pagination|pager"
-    r"|ads?|adverts?|advertisements?|advertising|sponsored|sponsor|promo|promotion|banner"
-    r"|cookies?|consent|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login"
-    r"|share|sharing|social|related|recommended|comments?|replies|reply|discussion|disqus|respond)"
-    r"[-_]?(?:bar|box|container|wrapper|wrap|list|area|section|block|banner|form|links|widget|slot|unit|thread|\d+)?",
+    rf"(?:(?:{_PLACE})[-_]?)?(?:{_ABOUT})(?:[-_]?(?:{_ABOUT}|{_PART}))*"
+    r"|(?:post|article|reader|user)[-_](?:comments?|replies|discussion|ads?|share|sharing|related|nav|navigation|footer)(?:[-_](?:list|section|area|\d+))*",
     re.I,
 )
 

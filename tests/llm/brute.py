@@ -16,3 +16,119 @@ def base_secrets(text: str | None) -> list[tuple[int, int, int]]:
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(t) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(t) if len(m[0]) >= 24]
     return sorted(out)
+
+
+def fingerprint(text: str, shingle: int = 4) -> int:
+    import xxhash
+
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def united(nodes, pairs) -> list[set]:
+    parent = {n: n for n in nodes}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[top(a)] = top(b)
+    out: dict = {}
+    for n in nodes:
+        out.setdefault(top(n), set()).add(n)
+    return list(out.values())
+
+
+def classes(items, linked) -> list[set]:
+    items = list(items)
+    return united(items, [(a, b) for i, a in enumerate(items) for b in items[i + 1:] if linked(a, b)])
+
+
+def targets(sizes: dict, weights: tuple, most: int) -> dict:
+    """Share by weight, hold at the limit, share the excess again, until none is above."""
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, free, left = {}, set(names), float(sum(sizes.values()))
+    while free:
+        whole = sum(weight[s] for s in free)
+        above = [s for s in free if left * weight[s] / whole > most * sizes[s]]
+        if not above:
+            return target | {s: left * weight[s] / whole for s in free}
+        for s in above:
+            target[s] = float(most * sizes[s])
+            left -= target[s]
+            free.remove(s)
+    return target
+
+
+def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
+    """Best segment first, then those of what lies left and right of it; ties go to the shortest, then the first."""
+
+    def within(lo: int, hi: int) -> list[tuple[int, int]]:
+        best = None
+        for i in range(lo, hi):
+            total = 0.0
+            for j in range(i, hi):
+                total += scores[j]
+                if total > 1e-12 and (best is None or total > best[0] + 1e-9):
+                    best = (total, i, j + 1)
+        if best is None:
+            return []
+        _, i, j = best
+        return [*within(lo, i), (i, j), *within(j, hi)]
+
+    return within(0, len(scores))
+
+
+def png_filtered(samples, kind: int, step: int):
+    import numpy as np
+
+    out = np.zeros_like(samples)
+    for y in range(samples.shape[0]):
+        for x in range(samples.shape[1]):
+            a = int(samples[y, x - step]) if x >= step else 0
+            b = int(samples[y - 1, x]) if y else 0
+            c = int(samples[y - 1, x - step]) if y and x >= step else 0
+            p = a + b - c
+            near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            out[y, x] = (int(samples[y, x]) - (0, a, b, (a + b) // 2, near)[kind]) % 256
+    return out
+
+
+def lcs_length(a, b) -> int:
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def glob_fits(glob: str, text: str) -> bool:
+    parts = re.findall(r"\*\*|.", glob)
+    pattern = "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in parts)
+    return re.fullmatch(pattern, text, re.S) is not None
+
+
+def vector_links(rows, least: float):
+    import numpy as np
+
+    pairs = []
+    for label in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == label]
+        m = np.array([r[1] for r in own], dtype=float)
+        norms = np.linalg.norm(m, axis=1)
+        x, y = np.nonzero(np.triu(m @ m.T / np.outer(norms, norms) >= least, 1))
+        pairs += [(own[i][0], own[j][0]) for i, j in zip(x, y)]
+    links = {r[0]: 0 for r in rows}
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    component = {i: min(c) for c in united(links, pairs) for i in c}
+    return links, component
