@@ -20,8 +20,11 @@ def volume_slippage(
     quantity: Column, price: Column, adv: Column | None = None,
     base_bps: float = VOLUME_BASE_BPS, impact: float = VOLUME_IMPACT,
 ) -> Column:
-    """Square-root impact of the traded share of average daily volume, in basis points."""
-    volume = F.lit(DEFAULT_ADV) if adv is None else F.coalesce(adv, F.lit(DEFAULT_ADV))
+    """Square-root impact of the traded share of average daily volume, in basis points.
+
+    An unknown or zero volume counts as ``DEFAULT_ADV``.
+    """
+    volume = F.lit(DEFAULT_ADV) if adv is None else F.coalesce(F.nullif(adv, F.lit(0.0)), F.lit(DEFAULT_ADV))
     return base_bps + impact * F.sqrt(F.abs(quantity * price) / volume) * 100
 
 

@@ -34,11 +34,12 @@ _SLICE = "_slice"
 
 @dataclass(frozen=True)
 class Lane:
-    """How a series is laid out: grouping keys, order column, and the block column if cut."""
+    """How a series is laid out: grouping keys, order column, the block column if cut, and the bar width."""
 
     keys: tuple[str, ...]
     order: str = "ts"
     blocked: bool = False
+    timeframe: str = "1m"
 
     @property
     def group_keys(self) -> tuple[str, ...]:
@@ -79,7 +80,7 @@ def lay_out(
 
     ``block_rows`` forces the blocked layout (tests use tiny blocks).
     """
-    lane = Lane(tuple(keys), order)
+    lane = Lane(tuple(keys), order, timeframe=timeframe)
     if block_rows is None:
         if series_row_bound(timeframe) <= ROWS_PER_TASK:
             return df, lane
@@ -235,11 +236,3 @@ def rolling_product(col: Column, lane: Lane, n: int) -> Column:
 
 def forward_fill(df: DataFrame, lane: Lane, *cols: str) -> DataFrame:
     return running(df, lane, {c: ("last", F.col(c)) for c in cols})
-
-
-def backward_fill(col: Column, keys: Sequence[str], order: str) -> Column:
-    frame = (
-        Window.partitionBy(*keys).orderBy(order)
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    )
-    return F.first(col, ignorenulls=True).over(frame)

@@ -22,6 +22,7 @@ from barledger.operators.book import CASH_PREFIX, with_role
 from barledger.operators.projection import PORTFOLIO
 from barledger.operators.reconcile import last_rate
 from barledger.session import settle
+from barledger.schema import DAILY
 
 DEPOSIT_SPREAD = 0.002
 # Gap status limits in percent (fixed values).
@@ -81,7 +82,7 @@ def new_sleeves(
     holding = scaled.join(kept.select("name", "amount"), "name").select(
         *PORTFOLIO, "ticker", "weight", (F.col("weight") * F.col("amount")).alias("value")
     )
-    rated = as_of_single(kept, fx, "date", "rate", "_rate")
+    rated = as_of_single(kept, fx, "date", "rate", "_rate", timeframe=DAILY)
     usd = F.upper("currency") == "USD"
     made = rated.select(
         F.lit(book_id).alias("book_id"), "name", F.lit(None).cast("int").alias("ord"),
@@ -127,7 +128,7 @@ def anchor_timeline(
         (F.col("d.date") >= F.col("_prev")) & (F.col("d.date") < F.col("_first")) & (F.col("d.amount") > 0)
     ).select(*PORTFOLIO, "currency", "last_fx", F.col("d.date").alias("date"), F.col("d.currency").alias("_ccy"),
              F.col("d.amount").alias("amount"), F.col("d.fx_to_base").alias("_stated"))
-    seeds = as_of_single(seeds, fx, "date", "rate", "_rate")
+    seeds = as_of_single(seeds, fx, "date", "rate", "_rate", timeframe=DAILY)
     rate = F.coalesce("_rate", "last_fx")
     native = deposit_value(F.col("amount"), F.col("_ccy"), F.col("currency"), F.col("_stated"), rate)
     base = (
@@ -146,7 +147,7 @@ def anchor_timeline(
     extra = span.withColumn("anchor_date", month_before(end_day)).where(
         (F.col("_a") < F.col("anchor_date")) & (F.col("anchor_date") < F.col("_b"))
     ).join(anchors.select(*PORTFOLIO, "anchor_date"), [*PORTFOLIO, "anchor_date"], "left_anti")
-    extra = as_of_single(extra, fx, "anchor_date", "rate", "_rate").select(
+    extra = as_of_single(extra, fx, "anchor_date", "rate", "_rate", timeframe=DAILY).select(
         *PORTFOLIO, "currency", "anchor_date", F.lit(None).cast("double").alias("observed"),
         F.lit(None).cast("double").alias("observed_base"),
         F.when(F.upper("currency") == "SGD", 1.0).otherwise(F.col("_rate")).alias("fx"), F.lit(True).alias("is_hidden"),
@@ -173,7 +174,7 @@ def boundaries(
     paid = span.join(deposits.withColumnRenamed("currency", "_ccy"), "name").where(
         (F.col("date") > F.col("_a")) & (F.col("date") <= F.col("_b"))
     )
-    paid = as_of_single(paid, fx, "date", "rate", "_rate")
+    paid = as_of_single(paid, fx, "date", "rate", "_rate", timeframe=DAILY)
     native = convert(F.col("amount"), F.col("_ccy"), F.col("currency"), F.coalesce("_rate", F.lit(1.0)))
     paid = paid.select(*PORTFOLIO, F.col("date").alias("day"), F.lit(0).alias("is_anchor"), F.lit(0).alias("is_change"), native.alias("deposit"))
     merged = marks.unionByName(changed).unionByName(paid).groupBy(*PORTFOLIO, "day").agg(
@@ -203,7 +204,7 @@ def _weights_at(points: DataFrame, at: str, holding: DataFrame, targets: DataFra
 
 
 def _price_at(rows: DataFrame, prices: DataFrame, at: str, out: str) -> DataFrame:
-    priced = as_of(rows, prices, ["ticker"], at, "close", out).drop(f"{out}_ts")
+    priced = as_of(rows, prices, ["ticker"], at, "close", out, timeframe=DAILY).drop(f"{out}_ts")
     return priced.withColumn(out, F.when(F.startswith("ticker", F.lit(CASH_PREFIX)), 1.0).otherwise(F.col(out)))
 
 
@@ -308,7 +309,7 @@ def sleeve_reconcile(
     valued = last.crossJoin(rate).withColumn(
         "model", F.when(F.upper("currency") == "USD", F.col("_native") * F.col("last_fx")).otherwise(F.col("_native"))
     )
-    paid = as_of_single(deposits, fx, "date", "rate", "_rate").crossJoin(rate)
+    paid = as_of_single(deposits, fx, "date", "rate", "_rate", timeframe=DAILY).crossJoin(rate)
     in_base = F.when(F.upper("currency") == "SGD", F.col("amount")).otherwise(F.col("amount") * F.coalesce("_rate", "last_fx"))
     paid = paid.groupBy("name").agg(F.sum(in_base).alias("deposits"))
     a = observed_start.select("name", F.col("sgd_value").alias("start_value"))

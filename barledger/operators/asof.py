@@ -17,7 +17,8 @@ def as_of(
     value: str,
     out: str,
     quote_time: str = "ts",
-    timeframe: str = "1d",
+    timeframe: str = "1m",
+    **layout,
 ) -> DataFrame:
     """Probes with ``out`` (last ``value`` at or before ``at``) and ``out_ts`` (when it was quoted).
 
@@ -37,7 +38,7 @@ def as_of(
         *keys, (F.col("_probe") + F.expr("interval 1 microsecond")).alias("_t"),
         F.lit(None).cast(quoted.schema["_quote"].dataType).alias("_quote"), "_probe",
     )
-    laid, lane = lay_out(quoted.unionByName(asked), keys, "_t", timeframe)
+    laid, lane = lay_out(quoted.unionByName(asked), keys, "_t", timeframe, **layout)
     filled = running(drop_borrowed(laid, lane), lane, {"_quote": ("last", F.col("_quote"))})
     found = filled.where(F.col("_probe").isNotNull()).select(
         *keys, F.col("_probe").alias("_moment"), F.col("_quote.v").alias(out), F.col("_quote.t").alias(f"{out}_ts")
@@ -68,13 +69,13 @@ def effective_targets(portfolio: DataFrame, targets: DataFrame, at: Column) -> D
 
 
 def fill_to_calendar(series: DataFrame, calendar: DataFrame, keys: Sequence[str], value: str,
-                     back_fill: bool = False, timeframe: str = "1d") -> DataFrame:
+                     back_fill: bool = False, timeframe: str = "1m", **layout) -> DataFrame:
     """``value`` on every calendar row, filled forward from calendar rows only (then backward).
 
     ``calendar`` holds ``keys`` and ``ts``.
     """
     joined = calendar.join(series.select(*keys, "ts", value), [*keys, "ts"], "left")
-    laid, lane = lay_out(joined, keys, "ts", timeframe)
+    laid, lane = lay_out(joined, keys, "ts", timeframe, **layout)
     filled = running(drop_borrowed(laid, lane), lane, {value: ("last", F.col(value))})
     filled = filled.select(*keys, "ts", value)
     if not back_fill:

@@ -11,7 +11,9 @@ from barledger.operators.fills import FLAT
 from barledger.operators.trades import trade_bars
 from barledger.schema import FILL_METHODS
 
-SUM_NOISE = 1e-13
+#: Sums over symbols are exact decimals: they do not depend on the order in which rows arrive, so a
+#: portfolio without a position has the same equity on every bar.
+EXACT = "decimal(38,18)"
 
 
 def with_group_total(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -62,11 +64,11 @@ def allocation_summary(backtest: DataFrame, lane: Lane) -> DataFrame:
     return peaked.groupBy(*lane.keys).agg(*[c.alias(n) for n, c in cols.items()])
 
 
-def _portfolio_lane(df: DataFrame, lane: Lane, timeframe: str) -> tuple[DataFrame, Lane]:
-    """Layout of the combined curve: one row per timestamp and group."""
+def _portfolio_lane(df: DataFrame, lane: Lane, layout: dict) -> tuple[DataFrame, Lane]:
+    """Layout of the combined curve: one row per timestamp and group, bars as wide as those of ``lane``."""
     if not lane.group_keys:
         df = df.withColumn("book", F.lit("all"))
-    return lay_out(df, lane.group_keys or ("book",), lane.order, timeframe, 1, 1)
+    return lay_out(df, lane.group_keys or ("book",), lane.order, lane.timeframe, 1, 1, **layout)
 
 
 def portfolio_curve(
@@ -75,7 +77,7 @@ def portfolio_curve(
     method: str = "mtc",
     mode: str = "rebalanced",
     amount_per_entry: float = 1000.0,
-    timeframe: str = "1d",
+    **layout,
 ) -> DataFrame:
     """Returns and equity of the equal-weight portfolio, one row per timestamp.
 
@@ -84,46 +86,42 @@ def portfolio_curve(
     Symbols are summed by timestamp first (partial aggregation), so windows see one row per bar.
     """
     if mode == "rebalanced":
-        return _rebalanced(backtest, lane, method, timeframe)
+        return _rebalanced(backtest, lane, method, layout)
     if mode == "buy_and_hold":
-        return _buy_and_hold(backtest, lane, method, timeframe)
+        return _buy_and_hold(backtest, lane, method, layout)
     if mode == "fixed_stake":
-        return _fixed_stake(backtest, lane, method, amount_per_entry, timeframe)
+        return _fixed_stake(backtest, lane, method, amount_per_entry, layout)
     raise ValueError(f"unknown capital mode {mode!r}")
 
 
-def _rebalanced(backtest: DataFrame, lane: Lane, method: str, timeframe: str) -> DataFrame:
+def _rebalanced(backtest: DataFrame, lane: Lane, method: str, layout: dict) -> DataFrame:
     held = F.when(F.col("cycle") != FLAT, F.col(FILL_METHODS[method][0]))
     per_ts = backtest.groupBy(*lane.group_keys, lane.order).agg(
         F.coalesce(F.sum(held), F.lit(0.0)).alias("_sum")
     )
     per_ts = with_group_total(per_ts, universe_size(backtest, lane), lane.group_keys)
-    per_ts, book = _portfolio_lane(per_ts.withColumn("ret", F.col("_sum") / F.col("_universe")), lane, timeframe)
+    per_ts, book = _portfolio_lane(per_ts.withColumn("ret", F.col("_sum") / F.col("_universe")), lane, layout)
     out = running(drop_borrowed(per_ts, book), book, {"equity": ("product", 1 + F.col("ret"))})
     return out.select(*lane.group_keys, lane.order, "ret", "equity")
 
 
-def _with_change(curve: DataFrame, lane: Lane, timeframe: str) -> DataFrame:
-    """Simple change of the equity, 0 on the first bar.
-
-    The sum over symbols has no fixed order, so an unchanged equity can differ in its last digit;
-    such a step is no return (it would count as a loss in the downside statistics).
-    """
-    laid, book = _portfolio_lane(curve, lane, timeframe)
+def _with_change(curve: DataFrame, lane: Lane, layout: dict) -> DataFrame:
+    """Simple change of the equity, 0 on the first bar."""
+    laid, book = _portfolio_lane(curve, lane, layout)
     before = F.lag("equity").over(book.window())
     change = F.coalesce(F.try_divide(F.col("equity"), before) - 1, F.lit(0.0))
-    change = F.when(F.abs(change) < SUM_NOISE, 0.0).otherwise(change)
     return drop_borrowed(laid.withColumn("ret", change), book).select(*lane.group_keys, lane.order, "ret", "equity")
 
 
-def _buy_and_hold(backtest: DataFrame, lane: Lane, method: str, timeframe: str) -> DataFrame:
-    curve = backtest.groupBy(*lane.group_keys, lane.order).agg(F.avg(FILL_METHODS[method][1]).alias("equity"))
-    return _with_change(curve, lane, timeframe)
+def _buy_and_hold(backtest: DataFrame, lane: Lane, method: str, layout: dict) -> DataFrame:
+    own = F.col(FILL_METHODS[method][1])
+    mean = F.sum(own.cast(EXACT)).cast("double") / F.count(own)
+    return _with_change(backtest.groupBy(*lane.group_keys, lane.order).agg(mean.alias("equity")), lane, layout)
 
 
-def _fixed_stake(backtest: DataFrame, lane: Lane, method: str, amount: float, timeframe: str) -> DataFrame:
-    gain = (F.col(f"_growth_{method}") - 1) * amount
-    zero = F.lit(0.0)
+def _fixed_stake(backtest: DataFrame, lane: Lane, method: str, amount: float, layout: dict) -> DataFrame:
+    gain = ((F.col(f"_growth_{method}") - 1) * amount).cast(EXACT)
+    zero = F.lit(0).cast(EXACT)
     closing = F.when(F.col("cycle") == "exit", gain).otherwise(zero)
     at = [*lane.group_keys, lane.order]
     gains = trade_bars(backtest, lane, (method,)).select(*at, gain.alias("_open"), closing.alias("_closing"))
@@ -133,11 +131,11 @@ def _fixed_stake(backtest: DataFrame, lane: Lane, method: str, amount: float, ti
     per_ts = gains.unionByName(clock).groupBy(*at).agg(
         F.sum("_open").alias("_open"), F.sum("_closing").alias("_closing")
     )
-    per_ts, book = _portfolio_lane(per_ts, lane, timeframe)
+    per_ts, book = _portfolio_lane(per_ts, lane, layout)
     booked = running(drop_borrowed(per_ts, book), book, {"_booked": ("sum", F.col("_closing"))})
     booked = with_group_total(booked, universe_size(backtest, lane), lane.group_keys)
     stake = F.lit(amount) * F.col("_universe")
-    nav = stake + F.col("_open") + F.col("_booked") - F.col("_closing")
+    nav = stake + (F.col("_open") + F.col("_booked") - F.col("_closing")).cast("double")
     curve = booked.select(*lane.group_keys, lane.order, (nav / stake).alias("equity"))
-    return _with_change(curve, lane, timeframe)
+    return _with_change(curve, lane, layout)
 

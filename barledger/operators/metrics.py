@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barledger.functions.ordered import Lane, drop_borrowed, lay_out, rolling_product, running, series_row_bound
+from barledger.functions.ordered import Lane, drop_borrowed, lay_out, rolling_product, running, series_row_bound, unblock
 from barledger.functions.quantiles import group_quantiles
 from barledger.functions.stats import (
     INF,
@@ -37,7 +37,7 @@ def drawdowns(returns: DataFrame, lane: Lane, ret: str = "ret") -> DataFrame:
     return peaked.withColumn("drawdown", F.try_divide(F.col("growth") - F.col("peak"), F.col("peak")))
 
 
-def drawdown_series(returns: DataFrame, keys: Sequence[str], timeframe: str = "1d", **layout) -> tuple[DataFrame, Lane]:
+def drawdown_series(returns: DataFrame, keys: Sequence[str], timeframe: str = "1m", **layout) -> tuple[DataFrame, Lane]:
     laid, lane = lay_out(returns.where(F.col("ret").isNotNull()), keys, "ts", timeframe, **layout)
     return drawdowns(drop_borrowed(laid, lane), lane), lane
 
@@ -73,7 +73,7 @@ def performance(
     keys: Sequence[str],
     ppy: int = PERIODS_PER_YEAR,
     risk_free: float = 0.0,
-    timeframe: str = "1d",
+    timeframe: str = "1m",
     **layout,
 ) -> DataFrame:
     """The full metric set, one row per series (``keys``, ``ts``, ``ret``)."""
@@ -135,7 +135,7 @@ def versus_benchmark(
     )
 
 
-def longest_underwater(returns: DataFrame, keys: Sequence[str], timeframe: str = "1d", **layout) -> DataFrame:
+def longest_underwater(returns: DataFrame, keys: Sequence[str], timeframe: str = "1m", **layout) -> DataFrame:
     """Longest time from a fall to its recovery, in days; a fall still open does not count."""
     curve, lane = drawdown_series(returns, keys, timeframe, **layout)
     under = F.col("drawdown") < 0
@@ -152,7 +152,7 @@ def longest_underwater(returns: DataFrame, keys: Sequence[str], timeframe: str =
 
 def rolling_sharpe(
     returns: DataFrame, keys: Sequence[str], n: int = PERIODS_PER_YEAR, ppy: int = PERIODS_PER_YEAR,
-    risk_free: float = 0.0, timeframe: str = "1d", **layout,
+    risk_free: float = 0.0, timeframe: str = "1m", **layout,
 ) -> DataFrame:
     """Sharpe ratio of the last ``n`` bars; NULL until full or without variance."""
     laid, lane = lay_out(returns, keys, "ts", timeframe, n, 0, **layout)
@@ -165,7 +165,7 @@ def rolling_sharpe(
 
 
 def rolling_return(
-    returns: DataFrame, keys: Sequence[str], n: int, timeframe: str = "1d", **layout
+    returns: DataFrame, keys: Sequence[str], n: int, timeframe: str = "1m", **layout
 ) -> DataFrame:
     """Compounded return of the last ``n`` bars."""
     laid, lane = lay_out(returns, keys, "ts", timeframe, n, 0, **layout)
@@ -197,7 +197,8 @@ def simple_returns(prices: DataFrame, lane: Lane, price: str = "close", log: boo
     return prices.withColumn("ret", F.ln(step) if log else step - 1)
 
 
-def panel_returns(prices: DataFrame, keys: Sequence[str] = ("symbol",), price: str = "close", log: bool = False) -> DataFrame:
+def panel_returns(prices: DataFrame, keys: Sequence[str] = ("symbol",), price: str = "close", log: bool = False,
+                  timeframe: str = "1m", **layout) -> DataFrame:
     """Returns on the panel calendar: the step is taken against the previous timestamp of the whole
     panel, so a symbol without a price there has no return.
 
@@ -205,13 +206,15 @@ def panel_returns(prices: DataFrame, keys: Sequence[str] = ("symbol",), price: s
     """
     group = [k for k in keys if k != "symbol"]
     days = prices.select(*group, "ts").distinct()
-    numbered, lane = lay_out(days if group else days.withColumn("_all", F.lit(0)), group or ["_all"], "ts", "1d")
-    calendar = numbered.withColumn("_prev_ts", F.lag("ts").over(lane.window())).select(*group, "ts", "_prev_ts")
-    laid, series = lay_out(prices.join(calendar, [*group, "ts"]), keys, "ts", "1d")
+    numbered, lane = lay_out(days if group else days.withColumn("_all", F.lit(0)), group or ["_all"], "ts", timeframe, 1, 0, **layout)
+    before = numbered.withColumn("_prev_ts", F.lag("ts").over(lane.window()))
+    calendar = drop_borrowed(before, lane).select(*group, "ts", "_prev_ts")
+    laid, series = lay_out(prices.join(calendar, [*group, "ts"]), keys, "ts", timeframe, 1, 0, **layout)
     w = series.window()
     adjacent = F.lag("ts").over(w) == F.col("_prev_ts")
     step = F.when(adjacent, F.try_divide(F.col(price), F.lag(price).over(w)))
-    return laid.withColumn("ret", F.ln(step) if log else step - 1).drop("_prev_ts")
+    stepped = laid.withColumn("ret", F.ln(step) if log else step - 1).drop("_prev_ts")
+    return unblock(drop_borrowed(stepped, series), series)
 
 
 def normalise_to(series: DataFrame, keys: Sequence[str], value: str, base: float) -> DataFrame:
@@ -221,10 +224,10 @@ def normalise_to(series: DataFrame, keys: Sequence[str], value: str, base: float
 
 
 def nav_summary(nav: DataFrame, keys: Sequence[str], trades: DataFrame | None = None,
-                risk_free: float = 0.0, ppy: int = PERIODS_PER_YEAR) -> DataFrame:
+                risk_free: float = 0.0, ppy: int = PERIODS_PER_YEAR, timeframe: str = "1m", **layout) -> DataFrame:
     """Result-level summary of a NAV curve (``keys``, ``ts``, ``nav``)."""
-    laid, lane = lay_out(nav, keys, "ts", "1d")
-    steps = running(simple_returns(laid, lane, "nav"), lane, {"peak": ("max", F.col("nav"))})
+    laid, lane = lay_out(nav, keys, "ts", timeframe, 1, 0, **layout)
+    steps = running(drop_borrowed(simple_returns(laid, lane, "nav"), lane), lane, {"peak": ("max", F.col("nav"))})
     r, fall = F.col("ret"), F.col("nav") / F.col("peak") - 1
     total = F.max_by("nav", "ts") / F.min_by("nav", "ts") - 1
     out = steps.groupBy(*keys).agg(
@@ -241,7 +244,7 @@ def nav_summary(nav: DataFrame, keys: Sequence[str], trades: DataFrame | None =
     return out.join(counts, list(keys), "left").fillna(0, ["num_trades"])
 
 
-def describe(returns: DataFrame, keys: Sequence[str], col: str = "ret", timeframe: str = "1d") -> DataFrame:
+def describe(returns: DataFrame, keys: Sequence[str], col: str = "ret", timeframe: str = "1m") -> DataFrame:
     """Count, moments and quartiles of a returns panel."""
     moments = returns.groupBy(*keys).agg(
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),

@@ -16,7 +16,7 @@ COMBINED = "Combined book"
 BASE = ("sharpe", "max_dd", "annualised_vol")
 
 
-def series_metrics(returns: DataFrame, timeframe: str = "1d", risk_free: float = 0.0) -> DataFrame:
+def series_metrics(returns: DataFrame, timeframe: str = "1m", risk_free: float = 0.0) -> DataFrame:
     """Totals, year to date and risk figures per (book, series)."""
     base = performance(returns, SERIES, risk_free=risk_free, timeframe=timeframe)
     last = returns.where(F.col("ret").isNotNull()).groupBy(*SERIES).agg(F.max(F.year("ts")).alias("_year"))
@@ -30,7 +30,7 @@ def series_metrics(returns: DataFrame, timeframe: str = "1d", risk_free: float =
 
 
 def benchmark_comparison(
-    panel: DataFrame, values: DataFrame, aligned: bool = True, timeframe: str = "1d", risk_free: float = 0.0
+    panel: DataFrame, values: DataFrame, aligned: bool = True, timeframe: str = "1m", risk_free: float = 0.0
 ) -> DataFrame:
     """One row per portfolio plus the combined book. Aligned rows share one window."""
     book = book_returns(panel, values, aligned).withColumn("name", F.lit(COMBINED))
@@ -57,7 +57,7 @@ def benchmark_deltas(comparison: DataFrame, portfolio: DataFrame) -> DataFrame:
 
 
 def book_performance(
-    panel: DataFrame, values: DataFrame, aligned: bool = True, timeframe: str = "1d", risk_free: float = 0.0
+    panel: DataFrame, values: DataFrame, aligned: bool = True, timeframe: str = "1m", risk_free: float = 0.0
 ) -> DataFrame:
     """Assets under management and long-history metrics per book."""
     rets = book_returns(panel, values, aligned)
@@ -70,7 +70,7 @@ def book_performance(
     )
 
 
-def book_nav(book: DataFrame, timeframe: str = "1d", base: float = 100.0) -> DataFrame:
+def book_nav(book: DataFrame, timeframe: str = "1m", base: float = 100.0) -> DataFrame:
     """Book NAV starting from ``base`` before the first return."""
     laid, lane = lay_out(book, ["book_id"], "ts", timeframe)
     return running(laid, lane, {"nav": ("product", 1 + F.col("ret"))}).select(

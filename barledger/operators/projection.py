@@ -8,6 +8,7 @@ from barledger.functions.calendars import calendar_days
 from barledger.operators.asof import as_of, fill_to_calendar, target_intervals
 from barledger.operators.book import CASH_PREFIX, is_cash_like, with_role
 from barledger.session import settle
+from barledger.schema import DAILY
 
 SEGMENT_TOLERANCE = 0.05
 PORTFOLIO = ["book_id", "name"]
@@ -76,8 +77,8 @@ def piecewise_values(
     ``prices`` holds ``ticker, ts, close``. A missing price leaves that holding unchanged.
     """
     rows = settle(segment_weights(segments(portfolio, targets, end), holding, targets, universe))
-    rows = as_of(rows, prices, ["ticker"], "seg_start", "close", "p0")
-    rows = as_of(rows, prices, ["ticker"], "seg_end", "close", "p1")
+    rows = as_of(rows, prices, ["ticker"], "seg_start", "close", "p0", timeframe=DAILY)
+    rows = as_of(rows, prices, ["ticker"], "seg_end", "close", "p1", timeframe=DAILY)
     usable = F.col("priced") & (F.col("p0") > 0) & F.col("p1").isNotNull()
     d0, d1 = F.col("p0_ts").cast("date"), F.col("p1_ts").cast("date")
     stale = F.col("cash_like") & (d1 < F.col("seg_end"))
@@ -103,7 +104,7 @@ def nav_panel(
     """
     rows = settle(segment_weights(segments(portfolio, targets, end), holding, targets, universe))
     prices = prices.where(F.col("close").isNotNull() & (F.col("ts") <= end.cast("timestamp_ntz")))
-    rows = as_of(rows, prices, ["ticker"], "seg_start", "close", "p0")
+    rows = as_of(rows, prices, ["ticker"], "seg_start", "close", "p0", timeframe=DAILY)
     visible = prices.where(F.col("ts") >= start.cast("timestamp_ntz"))
     ends = visible.groupBy("ticker").agg(
         F.min_by("close", "ts").alias("first_close"), F.min("ts").cast("date").alias("first_day"),
@@ -157,7 +158,7 @@ def _spine(keys: DataFrame, start: Column, end: Column) -> DataFrame:
 def _daily_prices(rows: DataFrame, visible: DataFrame, start: Column, end: Column) -> DataFrame:
     """Closing prices of every calendar day, filled forward: one series per ticker, shared by all books."""
     spine = _spine(rows.select("ticker").distinct(), start, end)
-    filled = fill_to_calendar(visible.select("ticker", "ts", "close"), spine.select("ticker", "ts"), ["ticker"], "close")
+    filled = fill_to_calendar(visible.select("ticker", "ts", "close"), spine.select("ticker", "ts"), ["ticker"], "close", timeframe=DAILY)
     return filled.select("ticker", F.col("ts").cast("date").alias("day"), "close")
 
 
@@ -165,7 +166,7 @@ def daily_rates(fx: DataFrame, start: Column, end: Column) -> DataFrame:
     """Currency rate of every calendar day, filled forward, then backward before the first."""
     one = fx.agg(F.lit(0).alias("_k"), F.count("*"))
     spine = _spine(one.select("_k"), start, end)
-    filled = fill_to_calendar(fx.select(F.lit(0).alias("_k"), "ts", "rate"), spine.select("_k", "ts"), ["_k"], "rate", back_fill=True)
+    filled = fill_to_calendar(fx.select(F.lit(0).alias("_k"), "ts", "rate"), spine.select("_k", "ts"), ["_k"], "rate", back_fill=True, timeframe=DAILY)
     return filled.select(F.col("ts").cast("date").alias("day"), "rate")
 
 

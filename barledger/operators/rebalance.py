@@ -1,79 +1,24 @@
-"""Rebalanced NAV of many books: a fold over time whose state is cash and positions.
+"""Target weights from signals, and the value of books that hold them from bar to bar.
 
-Trade sizes depend on the NAV after earlier costs, so one book is a true recursion over its bars.
-Spark spreads the books; inside a task the sorted rows stream through in batches and only the
-positions of the current book stay in memory.
+A book that returns to given weights on every bar has a closed form: its return is the weighted
+return of the bar, its cost a share of the turnover, its value a running product. Books and bars are
+joins and aggregations; no account is stepped through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
-from typing import Any
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from barledger.functions import execution as ex
+from barledger.functions.execution import FIXED_BPS
+from barledger.functions.ordered import Lane, drop_borrowed, lay_out, running
 from barledger.operators.asof import as_of_single
 from barledger.operators.capital import universe_size, with_group_total
-from barledger.functions.ordered import Lane
-from barledger.session import settle
-
-MIN_TRADE = 1e-6
-FLAT_POSITION = 1e-9
-
-EVENTS = (
-    "kind string, ts timestamp_ntz, symbol string, quantity double, price double, notional double, "
-    "commission double, nav double, cash double"
-)
-
-
-@dataclass(frozen=True)
-class Costs:
-    """Cost model of the fold: ``fixed`` or ``volume`` slippage; ``zero``, ``per_share`` or ``percent`` commission."""
-
-    slippage: str = "fixed"
-    bps: float = ex.FIXED_BPS
-    impact: float = ex.VOLUME_IMPACT
-    commission: str = "zero"
-    rate: float | None = None
-    minimum: float = ex.PER_SHARE_MIN
-
-    def fill(self, base: float, quantity: float, adv: float | None) -> float:
-        bps = self.bps
-        if self.slippage == "volume":
-            bps += self.impact * (abs(quantity * base) / (adv or ex.DEFAULT_ADV)) ** 0.5 * 100
-        return base * (1 + (bps if quantity > 0 else -bps) / 10_000)
-
-    def charge(self, quantity: float, price: float) -> float:
-        if self.commission == "per_share":
-            return max(abs(quantity) * (ex.PER_SHARE if self.rate is None else self.rate), self.minimum)
-        if self.commission == "percent":
-            return abs(quantity * price) * (ex.PERCENT if self.rate is None else self.rate)
-        return 0.0
-
-
-@dataclass
-class Account:
-    """Cash and positions (quantity, average cost) of one book."""
-
-    cash: float
-    positions: dict[str, tuple[float, float]] = field(default_factory=dict)
-
-    def value(self, closes: dict[str, float]) -> float:
-        """A position without a price today counts at its average cost."""
-        return self.cash + sum(q * closes.get(s, cost) for s, (q, cost) in self.positions.items())
-
-    def trade(self, symbol: str, quantity: float, price: float, commission: float) -> None:
-        held, cost = self.positions.get(symbol, (0.0, 0.0))
-        after = held + quantity
-        if held == 0 or (held > 0) == (quantity > 0):
-            cost = (held * cost + quantity * price) / after if after else 0.0
-        self.cash -= quantity * price + commission
-        if abs(after) < FLAT_POSITION:
-            self.positions.pop(symbol, None)
-        else:
-            self.positions[symbol] = (after, cost)
+from barledger.operators.metrics import panel_returns
+
+#: Changes of weight below this are the rounding of the drift, not trades.
+LEAST_TRADE = 1e-9
 
 
 def signal_weights(signal: DataFrame, lane: Lane, timestamps: DataFrame | None = None) -> DataFrame:
@@ -89,131 +34,47 @@ def signal_weights(signal: DataFrame, lane: Lane, timestamps: DataFrame | None =
         return weights
     panel = signal.select(F.col(lane.order).alias("_panel")).distinct()
     quotes = panel.select(F.col("_panel").alias("ts"), F.col("_panel").alias("v"))
-    asked = as_of_single(timestamps.select("ts").distinct(), quotes, "ts", "v", "_at").select("ts", "_at")
+    asked = as_of_single(timestamps.select("ts").distinct(), quotes, "ts", "v", "_at", timeframe=lane.timeframe).select("ts", "_at")
     return weights.withColumnRenamed(lane.order, "_at").join(asked, "_at").select(*lane.keys, "ts", "weight")
 
 
-def rebalance_events(
-    bars: DataFrame,
-    weights: DataFrame,
-    keys: Sequence[str] = ("variant",),
-    capital: float = 1_000_000.0,
-    costs: Costs = Costs(),
-    fill_mode: str = "mtc",
-    adv: DataFrame | None = None,
-    strategy: Callable[[Any, dict, "Account"], dict[str, float]] | None = None,
-) -> DataFrame:
-    """NAV and trade events of each book (``keys``) rebalanced to its weights on every bar.
-
-    ``weights`` holds ``keys, ts, symbol, weight``; a timestamp without weights liquidates. A
-    ``strategy(ts, closes, account)`` may return the weights instead when they depend on the account.
-    Rows with ``kind = 'nav'`` carry the closing NAV, rows with ``kind = 'trade'`` the trade log.
+def weight_changes(bars: DataFrame, weights: DataFrame, keys: Sequence[str] = ("variant",), timeframe: str = "1m", **layout) -> DataFrame:
+    """Per book, bar and symbol: ``held`` (weight after the bar's drift), ``target``, ``change``, and the book's ``gross`` return.
+
+    ``weights`` holds ``keys, ts, symbol, weight``; a symbol without a weight on a bar is sold there,
+    what is not in symbols is cash. Weights of a bar earn the return of the next bar of the panel; a
+    symbol without a price on either has no return there.
+    """
+    calendar, lane = lay_out(bars.select("ts").distinct().withColumn("_all", F.lit(0)), ["_all"], "ts", timeframe, 0, 1, **layout)
+    following = drop_borrowed(calendar.withColumn("_next", F.lead("ts").over(lane.window())), lane).select("ts", "_next")
+    steps = panel_returns(bars, ("symbol",), timeframe=timeframe, **layout).select("symbol", "ts", "ret")
+    held = weights.join(following, "ts").where("_next is not null").select(*keys, F.col("_next").alias("ts"), "symbol", F.col("weight").alias("before"))
+    held = held.join(steps, ["symbol", "ts"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    gross = held.groupBy(*keys, "ts").agg(F.sum(F.col("before") * F.col("ret")).alias("gross"))
+    at = [*keys, "ts", "symbol"]
+    both = held.select(*at, (F.col("before") * (1 + F.col("ret"))).alias("grown")).join(weights.select(*at, F.col("weight").alias("target")), at, "full")
+    drift = F.coalesce(F.col("grown") / (1 + F.col("gross")), F.lit(0.0))
+    rows = both.join(gross, [*keys, "ts"], "left").withColumn("gross", F.coalesce("gross", F.lit(0.0)))
+    rows = rows.withColumns({"held": drift, "target": F.coalesce("target", F.lit(0.0))})
+    return rows.select(*at, "held", "target", (F.col("target") - F.col("held")).alias("change"), "gross")
+
+
+def held_nav(bars: DataFrame, weights: DataFrame, keys: Sequence[str] = ("variant",), capital: float = 1_000_000.0,
+             cost_bps: float = FIXED_BPS, timeframe: str = "1m", **layout) -> DataFrame:
+    """``keys, ts, gross, turnover, nav`` of each book; a bar on which it neither holds nor trades has no row.
+
+    The value grows by the return of the weights held and pays ``cost_bps`` on the traded share.
     """
-    if fill_mode not in ("mtc", "conservative"):
-        raise ValueError(f"unknown fill mode {fill_mode!r}")
-    keys = list(keys)
-    traded = weights.select(*keys, "symbol").distinct()
-    prices = bars.select("symbol", "ts", "open", "high", "low", "close")
-    if adv is not None:
-        prices = prices.join(adv.select("symbol", "adv"), "symbol", "left")
-    else:
-        prices = prices.withColumn("adv", F.lit(None).cast("double"))
-    rows = prices.join(traded, "symbol").join(weights, [*keys, "ts", "symbol"], "left")
-    # Every timestamp of the panel is valued, also when none of a book's symbols trades.
-    # The panel calendar has one row per bar slot, which bounds what is broadcast.
-    calendar = bars.select("ts").distinct()
-    clock = traded.select(*keys).distinct().crossJoin(F.broadcast(calendar))
-    ticks = rows.unionByName(clock, allowMissingColumns=True)
-    ordered = ticks.repartition(*keys).sortWithinPartitions(*keys, "ts", F.col("symbol").asc_nulls_first())
-    key_schema = ", ".join(f"`{k}` {ticks.schema[k].dataType.simpleString()}" for k in keys)
-    fold = _Fold(keys, capital, costs, fill_mode == "conservative", strategy)
-    return ordered.mapInPandas(fold, f"{key_schema}, {EVENTS}")
-
-
-@dataclass(frozen=True)
-class _Fold:
-    keys: list[str]
-    capital: float
-    costs: Costs
-    conservative: bool
-    strategy: Callable | None
-
-    def __call__(self, batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        book, account, bar_ts, bar, out = None, None, None, [], []
-        names = [*self.keys, "kind", "ts", "symbol", "quantity", "price", "notional", "commission", "nav", "cash"]
-        for batch in batches:
-            columns = [batch[c].tolist() for c in (*self.keys, "ts", "symbol", "open", "high", "low", "close", "weight", "adv")]
-            n = len(self.keys)
-            for row in zip(*columns):
-                key, ts = row[:n], row[n]
-                if key != book or ts != bar_ts:
-                    if bar_ts is not None:
-                        self._bar(book, account, bar_ts, bar, out)
-                    if key != book:
-                        book, account = key, Account(self.capital)
-                    bar_ts, bar = ts, []
-                if row[n + 1] is not None:
-                    bar.append(row[n + 1:])
-            if out:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        if bar_ts is not None:
-            self._bar(book, account, bar_ts, bar, out)
-            yield pd.DataFrame(out, columns=names)
-
-    def _bar(self, book, account: Account, ts, bar: list, out: list) -> None:
-        """Trade one bar: size on the closing NAV, fill at the bar's prices, value at the close."""
-        closes = {r[0]: r[4] for r in bar if r[4] == r[4]}
-        quotes = {r[0]: r for r in bar}
-        if self.strategy is not None:
-            targets = self.strategy(ts, closes, account)
-        else:
-            targets = {r[0]: r[5] for r in bar if r[5] == r[5]}
-        nav = account.value(closes)
-        for symbol, weight in targets.items():
-            close = closes.get(symbol)
-            if close is None or close <= 0:
-                continue
-            held = account.positions.get(symbol, (0.0, 0.0))[0]
-            quantity = (weight * nav - held * close) / close
-            if abs(quantity) < MIN_TRADE:
-                continue
-            base = self._base(quotes[symbol], quantity)
-            adv = quotes[symbol][6]
-            price = self.costs.fill(base, quantity, adv if adv == adv else None)
-            self._record(book, account, ts, symbol, quantity, price, self.costs.charge(quantity, price), out)
-        for symbol in [s for s in account.positions if s not in targets]:
-            if closes.get(symbol, 0) > 0:
-                quantity = -account.positions[symbol][0]
-                self._record(book, account, ts, symbol, quantity, self._base(quotes[symbol], quantity, True), 0.0, out)
-        out.append((*book, "nav", ts, None, None, None, None, None, account.value(closes), account.cash))
-
-    def _base(self, quote, quantity: float, closing: bool = False) -> float:
-        _, open_, high, low, close = quote[:5]
-        if self.conservative:
-            picked = low if closing or quantity < 0 else high
-        else:
-            picked = open_
-        return picked if picked == picked else close
-
-    @staticmethod
-    def _record(book, account, ts, symbol, quantity, price, commission, out) -> None:
-        account.trade(symbol, quantity, price, commission)
-        out.append((*book, "trade", ts, symbol, quantity, price, quantity * price, commission, None, None))
-
-
-@dataclass(frozen=True)
-class RebalanceResult:
-    nav: DataFrame
-    trades: DataFrame
-    weights: DataFrame
-
-
-def rebalance(bars: DataFrame, weights: DataFrame, keys: Sequence[str] = ("variant",), **options) -> RebalanceResult:
-    """Run the fold once and split its events into NAV, trade log and the weights used."""
-    events = settle(rebalance_events(bars, weights, keys, **options))
-    nav = events.where("kind = 'nav'").select(*keys, "ts", "nav", "cash")
-    log = events.where("kind = 'trade'").select(*keys, "ts", "symbol", "quantity", "price", "notional", "commission")
-    return RebalanceResult(nav, log, weights)
+    changes = weight_changes(bars, weights, keys, timeframe, **layout)
+    per_bar = changes.groupBy(*keys, "ts").agg(F.first("gross").alias("gross"), F.sum(F.abs("change")).alias("turnover"))
+    laid, lane = lay_out(per_bar, keys, "ts", timeframe, **layout)
+    step = (1 + F.col("gross")) * (1 - F.col("turnover") * (cost_bps / 10_000))
+    grown = running(drop_borrowed(laid, lane), lane, {"growth": ("product", step)})
+    return grown.select(*keys, "ts", "gross", "turnover", (capital * F.col("growth")).alias("nav"))
+
+
+def held_trades(bars: DataFrame, weights: DataFrame, nav: DataFrame, keys: Sequence[str] = ("variant",), timeframe: str = "1m", **layout) -> DataFrame:
+    """``keys, ts, symbol, change, notional``: the trades behind ``nav``, valued at the book's value after the bar."""
+    changes = weight_changes(bars, weights, keys, timeframe, **layout).where(F.abs("change") > LEAST_TRADE)
+    rows = changes.join(nav.select(*keys, "ts", "nav"), [*keys, "ts"])
+    return rows.select(*keys, "ts", "symbol", "change", (F.col("change") * F.col("nav")).alias("notional"))

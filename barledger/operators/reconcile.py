@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barledger.operators.asof import as_of, effective_targets
 from barledger.operators.book import CASH_PREFIX, is_cash_like, with_role
 from barledger.operators.projection import PORTFOLIO, accrual, days_between, piecewise_values
+from barledger.schema import DAILY
 
 TOTAL_COLUMNS = ("stmt_base", "today_base", "delta_base")
 
@@ -68,8 +69,8 @@ def holdings_reconciliation(
     facts = with_role(portfolio).drop("weight", "value", "ord", "roles").withColumn("_end", end.cast("date"))
     rows = holding.select(*PORTFOLIO, "ticker", "weight").join(facts, PORTFOLIO).join(wanted, [*PORTFOLIO, "ticker"], "left")
     rows = rows.join(universe.withColumn("_cash_like", is_cash_like()), "ticker", "left")
-    rows = as_of(rows, prices, ["ticker"], "statement_date", "close", "stmt_price")
-    rows = as_of(rows, prices, ["ticker"], "_end", "close", "today_price")
+    rows = as_of(rows, prices, ["ticker"], "statement_date", "close", "stmt_price", timeframe=DAILY)
+    rows = as_of(rows, prices, ["ticker"], "_end", "close", "today_price", timeframe=DAILY)
     placeholder = F.startswith("ticker", F.lit(CASH_PREFIX))
     p0, p1 = F.col("stmt_price"), F.col("today_price")
     d0, d1 = F.col("stmt_price_ts").cast("date"), F.col("today_price_ts").cast("date")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barledger.functions.calendars import calendar_days
-from barledger.functions.ordered import lay_out, running
+from barledger.functions.ordered import drop_borrowed, lay_out, running, unblock
 from barledger.operators.book import CASH_PREFIX, with_role
 from barledger.schema import PERIODS_PER_YEAR
 
@@ -15,8 +15,10 @@ SERIES = ["book_id", "name"]
 def cash_returns(returns: DataFrame, holding: DataFrame) -> DataFrame:
     """Ticker returns plus zero returns for every cash ticker held, on the same timestamps.
 
-    The distinct cash tickers are currency codes; they travel as one array row.
+    Rows that ``returns`` itself has for cash tickers give way. The distinct cash tickers are
+    currency codes; they travel as one array row.
     """
+    returns = returns.where(~F.startswith("ticker", F.lit(CASH_PREFIX)))
     cash = holding.where(F.startswith("ticker", F.lit(CASH_PREFIX))).agg(F.collect_set("ticker").alias("_cash"))
     spine = returns.select("ts").distinct().crossJoin(F.broadcast(cash))
     zeros = spine.select("ts", F.explode("_cash").alias("ticker"), F.lit(0.0).alias("ret"))
@@ -46,21 +48,35 @@ def portfolio_returns(
     holding: DataFrame,
     returns: DataFrame,
     fx: DataFrame | None = None,
-    timeframe: str = "1d",
+    timeframe: str = "1m",
     strict: bool = False,
+    on_reject: str = "raise",
+    **layout,
 ) -> DataFrame:
     """Weighted return per portfolio on the timestamps where all of its tickers have one.
 
     Less the daily fee; USD portfolios are compounded with the currency change if ``fx`` is given.
-    All portfolios of all books are one aggregation. ``strict`` fails on any gap.
+    Cash tickers have a return of zero on every timestamp. All portfolios of all books are one
+    aggregation. ``strict`` fails on any gap. A ticker without any return, or weights that sum to
+    zero, fail the job when its rows are read; with ``on_reject="drop"`` such portfolios have no rows
+    (``portfolio_rejects`` names them).
     """
-    known = returns.where(F.col("ret").isNotNull())
+    if on_reject not in ("raise", "drop"):
+        raise ValueError(f"unknown choice {on_reject!r}")
+    known = cash_returns(returns.where(F.col("ret").isNotNull()), holding)
     weights = ticker_weights(holding)
-    rows = known.join(weights, "ticker").groupBy(*SERIES, "ts").agg(
+    rejects = portfolio_rejects(holding, known)
+    if on_reject == "drop":
+        weights = weights.join(rejects, SERIES, "left_anti")
+    else:
+        why = F.concat(F.lit("portfolio "), F.col("name"), F.lit(": "), F.col("reason"))
+        sound = F.when(F.col("reason").isNull(), F.col("weight")).otherwise(F.raise_error(why).cast("double"))
+        weights = weights.join(rejects, SERIES, "left").withColumn("weight", sound).drop("reason")
+    rows = known.join(weights, "ticker", "right").groupBy(*SERIES, "ts").agg(
         F.sum(F.col("weight") * F.col("ret")).alias("ret"),
         F.count(F.lit(1)).alias("_have"),
         F.first("n_tickers").alias("_need"),
-    )
+    ).where(F.col("ts").isNotNull())
     complete = F.col("_have") == F.col("_need")
     if strict:
         gap = F.concat(F.lit("tickers with gaps in "), F.col("name"))
@@ -71,29 +87,50 @@ def portfolio_returns(
         "ret", F.col("ret") - F.coalesce("fee_annual", F.lit(0.0)) / PERIODS_PER_YEAR
     )
     if fx is not None:
-        rows = _with_currency(rows, fx, timeframe)
+        rows = _with_currency(rows, fx, timeframe, layout)
     return rows.select(*SERIES, "ord", "ts", "ret")
 
 
-def _with_currency(rows: DataFrame, fx: DataFrame, timeframe: str) -> DataFrame:
-    """Currency rates on the return timestamps, filled forward, then backward before the first."""
+def portfolio_rejects(holding: DataFrame, returns: DataFrame) -> DataFrame:
+    """``book_id, name, reason`` of portfolios that cannot have returns: tickers without any, or weights that sum to zero."""
+    tickers = returns.where(F.col("ret").isNotNull()).select("ticker").distinct()
+    cash = F.startswith("ticker", F.lit(CASH_PREFIX))
+    missing = holding.where(~cash).join(tickers, "ticker", "left_anti").groupBy(*SERIES).agg(
+        F.concat(F.lit("no returns for "), F.array_join(F.array_sort(F.collect_set("ticker")), ", ")).alias("missing"))
+    sums = holding.groupBy(*SERIES).agg((F.sum("weight") == 0).alias("zero"))
+    reason = F.coalesce("missing", F.when(F.col("zero"), F.lit("weights sum to zero")))
+    return sums.join(missing, SERIES, "left").select(*SERIES, reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def _with_currency(rows: DataFrame, fx: DataFrame, timeframe: str, layout: dict) -> DataFrame:
+    """Currency rates on the return timestamps, filled forward, then backward before the first.
+
+    The change of the rate looks one row back, also across a block border, so the filled series is
+    laid out once more with that reach.
+    """
     usd = F.upper("currency") == "USD"
     rated = rows.join(fx.select("ts", "rate"), "ts", "left")
-    laid, lane = lay_out(rated, SERIES, "ts", timeframe)
-    laid = running(laid, lane, {"_filled": ("last", F.col("rate"))})
+    laid, lane = lay_out(rated, SERIES, "ts", timeframe, **layout)
+    laid = unblock(running(drop_borrowed(laid, lane), lane, {"_filled": ("last", F.col("rate"))}), lane)
     first = rated.groupBy(*SERIES).agg(F.min_by("rate", F.when(F.col("rate").isNotNull(), F.col("ts"))).alias("_first"))
     filled = laid.join(first, SERIES).withColumn("_filled", F.coalesce("_filled", "_first"))
+    filled, lane = lay_out(filled, SERIES, "ts", timeframe, 1, 0, **layout)
     before = F.lag("_filled").over(lane.window())
     change = F.coalesce(F.try_divide(F.col("_filled"), before) - 1, F.lit(0.0))
-    return filled.withColumn("_change", change).withColumn(
+    return drop_borrowed(filled.withColumn("_change", change), lane).withColumn(
         "ret", F.when(usd, fx_adjusted(F.col("ret"), F.col("_change"))).otherwise(F.col("ret"))
     )
 
 
-def returns_panel(portfolio, holding, returns, fx=None, timeframe: str = "1d", role: str = "holding") -> DataFrame:
-    """Long panel of all portfolios with ``role``; one without a complete timestamp has no rows."""
+def returns_panel(portfolio, holding, returns, fx=None, timeframe: str = "1m", role: str = "holding",
+                  strict: bool = False, **layout) -> DataFrame:
+    """Long panel of all portfolios with ``role``; one without a complete timestamp has no rows.
+
+    ``strict`` fails where a portfolio would be dropped for its tickers or weights.
+    """
     held = with_role(portfolio, role)
-    return portfolio_returns(held, holding.join(held.select(*SERIES), SERIES, "left_semi"), returns, fx, timeframe)
+    own = holding.join(held.select(*SERIES), SERIES, "left_semi")
+    return portfolio_returns(held, own, returns, fx, timeframe, on_reject="raise" if strict else "drop", **layout)
 
 
 def dropped_portfolios(portfolio: DataFrame, holding: DataFrame, returns: DataFrame, panel: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def period_deltas(periods: DataFrame, baseline: str) -> DataFrame:
     return both.withColumns({f"delta_{m}": _minus(m) for m in PERIOD_METRICS})
 
 
-def tail_extremes(nav: DataFrame, timeframe: str = "1d") -> DataFrame:
+def tail_extremes(nav: DataFrame, timeframe: str = "1m") -> DataFrame:
     """Best and worst compounded return of each window length per book, with the end date.
 
     Of equal extremes the earliest date counts. A series shorter than a window gives NULLs.
@@ -199,7 +199,7 @@ def tail_extremes(nav: DataFrame, timeframe: str = "1d") -> DataFrame:
     )
 
 
-def tail_deltas(nav: DataFrame, baseline: str, timeframe: str = "1d") -> DataFrame:
+def tail_deltas(nav: DataFrame, baseline: str, timeframe: str = "1m") -> DataFrame:
     both = _against(tail_extremes(nav, timeframe), baseline, ["horizon"], ("best", "best_date", "worst", "worst_date"))
     return both.withColumns({"delta_best": _minus("best"), "delta_worst": _minus("worst")})
 

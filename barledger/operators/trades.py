@@ -91,7 +91,7 @@ SUMMARY_COLUMNS = (
 
 
 def trade_summary(
-    stats: DataFrame, method: str = "net", keys: Sequence[str] = ("symbol",), timeframe: str = "1d"
+    stats: DataFrame, method: str = "net", keys: Sequence[str] = ("symbol",), timeframe: str = "1m"
 ) -> DataFrame:
     """Edge statistics per series. A series of daily bars bounds its trades, so the median comes from
     the same aggregation; for finer bars it is found in a distributed way (settle ``stats`` first)."""
@@ -115,8 +115,8 @@ def pooled_table(stats: DataFrame, method: str = "net", keys: Sequence[str] = ("
     return pooled.join(medians, list(keys))
 
 
-def symbol_table(stats: DataFrame, method: str = "net") -> DataFrame:
-    return trade_summary(stats, method, ("variant", "symbol"))
+def symbol_table(stats: DataFrame, method: str = "net", timeframe: str = "1m") -> DataFrame:
+    return trade_summary(stats, method, ("variant", "symbol"), timeframe)
 
 
 def _timing_columns(method: str) -> dict[str, Column]:
@@ -170,7 +170,7 @@ def flag_text() -> Column:
 
 def quality_table(
     stats: DataFrame, methods: Sequence[str] = ("net", "conservative"), keys: Sequence[str] = ("symbol",),
-    timeframe: str = "1d",
+    timeframe: str = "1m",
 ) -> DataFrame:
     """Summary, timing and flags per (series, method) from one pass over the trades."""
     per_method = [

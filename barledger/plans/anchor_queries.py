@@ -91,19 +91,19 @@ def observed_performance(spark, sf):
     return an.sleeve_performance(reconciled(spark, sf)).where("name IS NOT NULL")
 
 
-@query("deposit_valuation", "name date", nums="native", digits=2,
+@query("deposit_valuation", "name date", nums="native", digits=5,
        sql="SELECT d.name, d.date, CASE WHEN p.currency = 'USD' THEN amount/rate*(1 - 0.002::DOUBLE) ELSE amount END AS native FROM deposit d JOIN portfolio p USING (name) ASOF JOIN fx ON d.date::TIMESTAMP >= fx.ts")
 def deposit_valuation(spark, sf):
     from barledger.operators.asof import as_of_single
 
     p = t.portfolio(spark, sf).select("name", F.col("currency").alias("own"))
-    rows = as_of_single(t.deposit(spark, sf).join(p, "name"), t.fx(spark, sf), "date", "rate", "rate")
+    rows = as_of_single(t.deposit(spark, sf).join(p, "name"), t.fx(spark, sf), "date", "rate", "rate", timeframe="1d")
     return rows.select("name", "date", an.deposit_value(F.col("amount"), F.col("currency"), F.col("own"), F.col("fx_to_base"), F.col("rate")).alias("native"))
 
 
-@query("new_sleeves", "name ticker statement_date currency", nums="weight value", digits=2,
+@query("new_sleeves", "name ticker statement_date currency", nums="weight value", digits=5,
        sql="""SELECT d.name, m.ticker, d.date AS statement_date, 'SGD' AS currency, weight, weight*amount AS value FROM (SELECT name, min(date) AS date, arg_min(amount, date) AS amount FROM deposit GROUP BY name) d
- JOIN month_targets m ON m.name = d.name AND m.eff_date = DATE '2000-10-01' WHERE d.name IN ('ASIA', 'EUROPE')""")
+ JOIN month_targets m ON m.name = d.name AND m.eff_date = date_trunc('month', d.date) WHERE d.name IN ('ASIA', 'EUROPE')""")
 def new_sleeves(spark, sf):
     """Two portfolios are taken out of the book and come back through their first deposit."""
     p, _, u, _, _, fx = book_tables(spark, sf)
@@ -112,7 +112,7 @@ def new_sleeves(spark, sf):
     return held.join(made.select("name", "statement_date", "currency"), "name")
 
 
-@query("residual_deposits", "name date", nums="amount", digits=2,
+@query("residual_deposits", "name date", nums="amount", digits=5,
        sql="SELECT name, date, amount FROM deposit d WHERE name NOT IN ('ASIA', 'EUROPE') OR date > (SELECT min(date) FROM deposit x WHERE x.name = d.name)")
 def residual_deposits(spark, sf):
     p, _, u, _, _, fx = book_tables(spark, sf)
@@ -146,7 +146,7 @@ def book_health(spark, sf):
     )
 
 
-@query("top_deposits", "name", nums="amount", digits=2, sql="SELECT name, sum(amount) AS amount FROM deposit GROUP BY 1 ORDER BY abs(sum(amount)) DESC, name LIMIT 3")
+@query("top_deposits", "name", nums="amount", digits=5, sql="SELECT name, sum(amount) AS amount FROM deposit GROUP BY 1 ORDER BY abs(sum(amount)) DESC, name LIMIT 3")
 def top_deposits(spark, sf):
     return health.top_deposits(t.deposit(spark, sf), 3)
 

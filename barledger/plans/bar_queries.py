@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barledger.operators import fills, signals, trades
 from barledger.plans import tables as t
 from barledger.plans.oracle_base import summary_sql
 from barledger.plans.registry import query
-from barledger.session import settle
+from barledger.session import settle, work_folder
 from barledger.sources import bars as src
 
 COST_BPS = 5.0
+#: Bar width by the first letter of a shared backtest.
+WIDTHS = {"d": "1d", "w": "1w", "h": "1h", "s": "1d"}
 OHLCV = "open high low close volume"
 STAT_COLUMNS = " ".join(
     f"return_{m} max_intra_drawdown_{m} d5_{m} d5_to_exit_{m}" for m in ("net", "mtc", "conservative")
@@ -42,6 +46,33 @@ for _name, _make in (("day", t.bars_day), ("week", t.bars_week), ("hour", t.bars
     )
 
 
+for _name, _frame in (("5m", "5m"), ("15m", "15m"), ("30m", "30m"), ("4h", "4h"), ("month", "1mo")):
+    query(f"resample_{_name}", "symbol ts", nums=OHLCV, sql=f"SELECT * FROM bars_{_name}")(
+        lambda spark, sf, frame=_frame: t.bars_from_events(spark, sf, frame)
+    )
+
+
+# How the bar files of a symbol are written, in turn: kind, and the header in file order.
+FILE_LAYOUTS = (
+    ("parquet", "Date open high low close volume"), ("csv", "timestamp volume close low high open"),
+    ("parquet", "timestamp close high low open volume"), ("csv", "DATE Open High Low Close Volume"),
+)
+
+
+@query("bars_from_files", "symbol ts", nums=OHLCV, sql="SELECT * FROM bars_day")
+def bars_from_files(spark, sf):
+    """One bar file per order priority, in four layouts, read back by symbol."""
+    bars = settle(t.bars_day(spark, sf))
+    folder = f"{work_folder(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
+    symbols = sorted(r["symbol"] for r in bars.select("symbol").distinct().collect())  # order priorities: a fixed handful
+    for n, symbol in enumerate(symbols):
+        kind, header = FILE_LAYOUTS[n % len(FILE_LAYOUTS)]
+        own = bars.where(F.col("symbol") == symbol)
+        cols = [F.col("ts" if c.lower() in src.TIME_COLUMN_NAMES else c.lower()).alias(c) for c in header.split()]
+        own.select(*cols).write.format(kind).option("header", True).save(f"{folder}/{symbol}.{kind}")
+    return src.read_bars(spark, folder, symbols)
+
+
 @query("bars_date_range", "symbol ts", nums=OHLCV,
        sql="SELECT * FROM bars_day WHERE ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-12-31'")
 def bars_date_range(spark, sf):
@@ -154,7 +185,7 @@ for _name, _prefix in (("day", "d20"), ("trimmed", "d20t"), ("supplier", "s20"))
 for _name, _prefix, _method in (("net", "d20", "net"), ("conservative", "d20", "conservative"), ("supplier", "s20", "net")):
     query(f"trade_summary_{_name}", "symbol", "n_trades", SUMMARY,
           sql=summary_sql(f"{_prefix}_stats", "symbol", f"return_{_method}", f"max_intra_drawdown_{_method}"))(
-        lambda spark, sf, p=_prefix, m=_method: trades.trade_summary(stats(spark, sf, p), m)
+        lambda spark, sf, p=_prefix, m=_method: trades.trade_summary(stats(spark, sf, p), m, timeframe=WIDTHS[p[0]])
     )
 
 
@@ -183,7 +214,7 @@ def variant_pooled(spark, sf):
 @query("variant_symbol", "variant symbol", "n_trades", SUMMARY,
        sql=summary_sql(VARIANT_TRADES, "variant, symbol", "return_net", "max_intra_drawdown_net"))
 def variant_symbol(spark, sf):
-    return trades.symbol_table(variants(spark, sf))
+    return trades.symbol_table(variants(spark, sf), timeframe="1w")
 
 
 TIMING_SQL = """SELECT {keys}, count(*) FILTER (duration >= 5 AND d5 > 0)/nullif(count(*) FILTER (duration >= 5), 0)::DOUBLE AS wr_d5,
@@ -218,7 +249,7 @@ _LONG = "(" + " UNION ALL ".join(
  JOIN ({TIMING_SQL.format(keys='symbol, method', src=_LONG)}) m USING (symbol, method)
  JOIN ({summary_sql('d20_stats', 'symbol', 'return_net', 'max_intra_drawdown_net')}) n ON n.symbol = s.symbol))""")
 def quality_table(spark, sf):
-    table = trades.quality_table(stats(spark, sf))
+    table = trades.quality_table(stats(spark, sf), timeframe="1d")
     return table.withColumn("flag_text", trades.flag_text())
 
 

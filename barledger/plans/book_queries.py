@@ -83,6 +83,41 @@ def portfolio_returns(spark, sf):
     return panel(spark, sf)
 
 
+@query("portfolio_returns_blocked", "book_id name ts", nums="ret", digits=8, sql="SELECT 'current' AS book_id, * FROM panel")
+def portfolio_returns_blocked(spark, sf):
+    held = settle(t.holding(spark, sf))
+    returns = settle(ticker_returns(spark, sf))
+    return rt.returns_panel(t.portfolio(spark, sf, held), held, returns, t.fx(spark, sf), "1w", block_rows=40, slice_rows=8)
+
+
+def book_with_cash(spark, sf):
+    """The current book with a tenth of each portfolio in cash, one portfolio all in cash and one without value."""
+    held = settle(t.holding(spark, sf))
+    p = t.portfolio(spark, sf, held)
+    cash = p.select("book_id", "name", F.concat(F.lit("CASH_"), "currency").alias("ticker"), F.lit(0.1).alias("weight"))
+    invested = F.when(F.col("name") == "AFRICA", 0.0).otherwise(F.col("weight") * 0.9)
+    rows = held.select("book_id", "name", "ticker", invested.alias("weight")).where("name <> 'AFRICA'").unionByName(cash)
+    return p, rows
+
+
+@query("portfolio_returns_with_cash", "book_id name ts", nums="ret", digits=8,
+       sql="""SELECT 'current' AS book_id, name, ts, CASE WHEN name = 'AFRICA' THEN 0 ELSE sum(0.9::DOUBLE*weight*ret) END - any_value(fee_annual)/252 AS ret
+FROM holding JOIN portfolio USING (name) JOIN week_ret ON symbol = ticker JOIN week_complete USING (ts) WHERE name <> 'AFRICA' GROUP BY name, ts
+UNION ALL SELECT 'current', 'AFRICA', ts, 0 - fee_annual/252 FROM portfolio, (SELECT DISTINCT ts FROM week_ret WHERE ret IS NOT NULL) WHERE name = 'AFRICA'""")
+def portfolio_returns_with_cash(spark, sf):
+    p, rows = book_with_cash(spark, sf)
+    return rt.portfolio_returns(p, rows, settle(ticker_returns(spark, sf)), timeframe="1w")
+
+
+@query("portfolio_rejects", "book_id name reason",
+       sql="""SELECT DISTINCT 'current' AS book_id, name, 'no returns for ' || string_agg(DISTINCT ticker, ', ' ORDER BY ticker) AS reason
+FROM holding WHERE ticker IN (SELECT ticker FROM universe WHERE region = 'US') GROUP BY name""")
+def portfolio_rejects(spark, sf):
+    """Returns of tickers outside one region only: every portfolio that holds the others is named."""
+    known = t.universe(spark, sf).where("region <> 'US'").select("ticker")
+    return rt.portfolio_rejects(t.holding(spark, sf), ticker_returns(spark, sf).join(known, "ticker", "left_semi"))
+
+
 @query("cash_returns", "ticker", "n", "total",
        sql="""SELECT ticker, count(*) AS n, sum(ret) AS total FROM (SELECT symbol AS ticker, ret FROM week_ret UNION ALL
  SELECT 'CASH_' || c, 0 FROM (SELECT DISTINCT ts FROM week_ret), (SELECT DISTINCT currency AS c FROM portfolio)) GROUP BY 1""")
@@ -126,7 +161,7 @@ CORR_SQL = """SELECT 'current' AS book_id, a.name AS name_a, b.name AS name_b, c
 
 @query("correlation_matrix", "book_id name_a name_b", "n_obs", "rho", sql=CORR_SQL.format("true"))
 def correlation_matrix(spark, sf):
-    return risk.correlation_matrix(panel(spark, sf))
+    return risk.correlation_matrix(panel(spark, sf), timeframe="1w")
 
 
 def ticker_panel(spark, sf):
@@ -145,7 +180,7 @@ def supplier_panel(spark, sf):
 FROM supp_ret a JOIN supp_ret b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL""")
 def correlation_suppliers(spark, sf):
     """Partly overlapping daily series of all suppliers, in several tiles."""
-    return risk.correlations(settle(supplier_panel(spark, sf)))
+    return risk.correlations(settle(supplier_panel(spark, sf)), timeframe="1d")
 
 
 
@@ -153,7 +188,7 @@ def correlation_suppliers(spark, sf):
        sql=f"""SELECT book_id, name_a, name_b, rho, CASE WHEN name_b = 'ASIA' THEN name_a ELSE name_b END AS candidate
 FROM ({CORR_SQL.format('a.name < b.name')}) WHERE rho >= 0.85""")
 def redundancy_pairs(spark, sf):
-    return risk.redundancy_pairs(risk.correlations(panel(spark, sf)), t.portfolio(spark, sf))
+    return risk.redundancy_pairs(risk.correlations(panel(spark, sf), timeframe="1w"), t.portfolio(spark, sf))
 
 
 COV_SQL = """SELECT a.symbol AS name_a, b.symbol AS name_b, covar_samp(a.ret, b.ret)*252 AS cov FROM week_ret a JOIN week_ret b USING (ts) JOIN week_complete USING (ts) GROUP BY ALL"""
@@ -161,7 +196,7 @@ COV_SQL = """SELECT a.symbol AS name_a, b.symbol AS name_b, covar_samp(a.ret, b.
 
 @query("covariance", "name_a name_b", nums="cov", digits=8, sql=f"SELECT * FROM ({COV_SQL}) WHERE name_a <= name_b")
 def covariance(spark, sf):
-    return risk.covariance(settle(ticker_panel(spark, sf)))
+    return risk.covariance(settle(ticker_panel(spark, sf)), timeframe="1w")
 
 
 define("cov", COV_SQL)

@@ -62,30 +62,38 @@ FROM (SELECT *, max(e_mtc) OVER w AS km, max(e_con) OVER w AS kc FROM {_p}_bt WI
         lambda spark, sf, p=_p: capital.allocation_summary(*backtest(spark, sf, p)))
 
 
-@query("equity_wide", "ts", nums="urgent low", sql="""SELECT ts, any_value(e_net) FILTER (symbol = '1-URGENT') AS urgent, any_value(e_net) FILTER (symbol = '5-LOW') AS low
+@query("equity_wide", "ts", nums="urgent high medium other low", sql="""SELECT ts, any_value(e_net) FILTER (symbol = '1-URGENT') AS urgent, any_value(e_net) FILTER (symbol = '2-HIGH') AS high,
+ any_value(e_net) FILTER (symbol = '3-MEDIUM') AS medium, any_value(e_net) FILTER (symbol = '4-NOT SPECIFIED') AS other, any_value(e_net) FILTER (symbol = '5-LOW') AS low
 FROM d20_bt GROUP BY ts""")
 def equity_wide(spark, sf):
     bt, lane = backtest(spark, sf)
-    wide = capital.equity_wide(bt, lane, ["1-URGENT", "5-LOW"], "net")
-    return wide.withColumnsRenamed({"1-URGENT": "urgent", "5-LOW": "low"})
+    names = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "other", "5-LOW": "low"}
+    return capital.equity_wide(bt, lane, list(names), "net").withColumnsRenamed(names)
 
 
-# Steps below 1e-13 are summation order, not returns; both sides drop them.
+# Sums over symbols are exact decimals on both sides, so that they do not depend on the order of rows.
 CURVES = {
     "rebalanced": """SELECT ts, ret, product(1 + ret) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM (
   SELECT ts, coalesce(sum(CASE WHEN cycle <> 'None' THEN r_net END), 0)/(SELECT count(DISTINCT symbol) FROM d20_bt) AS ret FROM d20_bt GROUP BY ts)""",
-    "buy_and_hold": """SELECT *, CASE WHEN abs(coalesce(equity/lag(equity) OVER (ORDER BY ts) - 1, 0)) < 1e-13 THEN 0 ELSE coalesce(equity/lag(equity) OVER (ORDER BY ts) - 1, 0) END AS ret FROM (SELECT ts, avg(e_net) AS equity FROM d20_bt GROUP BY ts)""",
-    "fixed_stake": """SELECT *, CASE WHEN abs(coalesce(equity/lag(equity) OVER (ORDER BY ts) - 1, 0)) < 1e-13 THEN 0 ELSE coalesce(equity/lag(equity) OVER (ORDER BY ts) - 1, 0) END AS ret FROM (
- SELECT ts, 1 + (o + coalesce(sum(c) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))/(1000.0::DOUBLE*(SELECT count(DISTINCT symbol) FROM d20_bt)) AS equity FROM (
+    "buy_and_hold": """SELECT *, coalesce(equity/lag(equity) OVER (ORDER BY ts) - 1, 0) AS ret FROM (
+ SELECT ts, CAST(sum(CAST(e_net AS DECIMAL(38,18))) AS DOUBLE)/count(e_net) AS equity FROM d20_bt GROUP BY ts)""",
+    "fixed_stake": """SELECT *, coalesce(equity/lag(equity) OVER (ORDER BY ts) - 1, 0) AS ret FROM (
+ SELECT ts, (stake + CAST(o + coalesce(sum(c) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))/stake AS equity FROM (SELECT *, 1000.0::DOUBLE*(SELECT count(DISTINCT symbol) FROM d20_bt) AS stake FROM (
   SELECT ts, sum(u) AS o, sum(CASE WHEN cycle = 'exit' THEN u ELSE 0 END) AS c FROM (
-   SELECT b.ts, b.cycle, coalesce((g_net - 1)*1000, 0) AS u FROM d20_bt b LEFT JOIN d20_tr g USING (symbol, ts)) GROUP BY ts))""",
+   SELECT b.ts, b.cycle, CAST(coalesce((g_net - 1)*1000, 0) AS DECIMAL(38,18)) AS u FROM d20_bt b LEFT JOIN d20_tr g USING (symbol, ts)) GROUP BY ts)))""",
 }
 for _mode, _sql in CURVES.items():
+    query(f"portfolio_curve_{_mode}_blocked", "ts", nums="ret equity", sql=_sql)(
+        lambda spark, sf, m=_mode: capital.portfolio_curve(*backtest(spark, sf), "net", m, block_rows=200, slice_rows=48))
     query(f"portfolio_curve_{_mode}", "ts", nums="ret equity", sql=_sql)(
         lambda spark, sf, m=_mode: capital.portfolio_curve(*backtest(spark, sf), "net", m))
     query(f"portfolio_metrics_{_mode}", "book", "n", METRICS, sql=metrics_sql(f"SELECT 'all' AS book, ts, ret FROM ({_sql})", "book"))(
         lambda spark, sf, m=_mode: metrics.performance(
-            capital.portfolio_curve(*backtest(spark, sf), "net", m).withColumn("book", F.lit("all")), ["book"]))
+            capital.portfolio_curve(*backtest(spark, sf), "net", m).withColumn("book", F.lit("all")), ["book"], timeframe="1d"))
+
+
+query("performance_blocked", "symbol", "n", METRICS, sql=metrics_sql("SELECT * FROM week_ret WHERE ret IS NOT NULL", "symbol"))(
+    lambda spark, sf: metrics.performance(week_returns(spark, sf), ["symbol"], timeframe="1w", block_rows=40, slice_rows=8))
 
 
 @query("versus_benchmark", "symbol", nums="beta alpha information_ratio up_capture down_capture",
@@ -147,7 +155,7 @@ for _kind, _expr in (("simple", "c/p - 1"), ("log", "ln(c/p)")):
     query(f"panel_returns_{_kind}", "symbol ts", nums="ret",
           sql=f"""WITH cal AS (SELECT ts, lag(ts) OVER (ORDER BY ts) AS pts FROM (SELECT DISTINCT ts FROM bars_day))
 SELECT a.symbol, a.ts, {_expr.replace('c/p', 'a.close/b.close')} AS ret FROM bars_day a JOIN cal USING (ts) LEFT JOIN bars_day b ON b.symbol = a.symbol AND b.ts = cal.pts""")(
-        lambda spark, sf, k=_kind: metrics.panel_returns(t.bars_day(spark, sf), log=k == "log"))
+        lambda spark, sf, k=_kind: metrics.panel_returns(t.bars_day(spark, sf), log=k == "log", timeframe="1d"))
 
 
 @query("nav_normalised", "symbol ts", nums="close",
@@ -160,7 +168,7 @@ def nav_normalised(spark, sf):
        sql="""SELECT symbol, count(ret) AS count, avg(ret) AS mean, stddev_samp(ret) AS std, min(ret) AS min, quantile_cont(ret, 0.25::DOUBLE) AS q25,
  quantile_cont(ret, 0.5::DOUBLE) AS q50, quantile_cont(ret, 0.75::DOUBLE) AS q75, max(ret) AS max FROM week_ret GROUP BY symbol""")
 def returns_describe(spark, sf):
-    return metrics.describe(week_returns(spark, sf), ["symbol"])
+    return metrics.describe(week_returns(spark, sf), ["symbol"], timeframe="1w")
 
 
 def periods_sql(source: str, key: str, min_n: int = 5) -> str:

@@ -45,6 +45,9 @@ define("bars_day", _bars("orders", "o_orderpriority", "date_trunc('day', o_order
 define("bars_week", _bars("orders", "o_orderpriority", "date_trunc('week', o_orderdate)::TIMESTAMP", _ORDER_PRICE, "o_orderkey"))
 define("bars_hour", _bars("events", "event_type", "date_trunc('hour', ts)::TIMESTAMP",
                           "100.0::DOUBLE + value/100.0::DOUBLE", "{'a': events.ts, 'b': event_id}"))
+for _name, _slot in (("5m", "time_bucket(INTERVAL '5 minutes', ts)"), ("15m", "time_bucket(INTERVAL '15 minutes', ts)"),
+                     ("30m", "time_bucket(INTERVAL '30 minutes', ts)"), ("4h", "time_bucket(INTERVAL '4 hours', ts)"), ("month", "date_trunc('month', ts)")):
+    define(f"bars_{_name}", _bars("events", "event_type", f"{_slot}::TIMESTAMP", "100.0::DOUBLE + value/100.0::DOUBLE", "{'a': events.ts, 'b': event_id}"))
 define("bars_supplier", _bars("lineitem", "l_suppkey::VARCHAR", "date_trunc('day', l_shipdate)::TIMESTAMP",
                               "1000.0::DOUBLE + l_extendedprice/10000.0::DOUBLE",
                               "{'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_extendedprice}"))
@@ -69,7 +72,7 @@ FROM region_orders WHERE o_orderdate >= TIMESTAMP '2000-07-01' AND o_orderdate <
 define("fx", """SELECT l_shipdate AS ts, 1.30::DOUBLE + (avg(l_discount) - 0.05::DOUBLE) / 10 AS rate
 FROM lineitem GROUP BY 1""")
 define("deposit", """SELECT r_name AS name, o_orderdate::DATE AS date, sum(o_totalprice) / 100 AS amount, 'SGD' AS currency
-FROM region_orders WHERE o_orderdate BETWEEN TIMESTAMP '2000-10-01' AND TIMESTAMP '2000-10-10' GROUP BY ALL""")
+FROM region_orders WHERE o_orderdate BETWEEN TIMESTAMP '2000-07-01' AND TIMESTAMP '2001-06-30' GROUP BY ALL""")
 
 
 def define_signal(prefix: str, bars: str, window: int, cost_bps: float = 5.0, trim: str | None = None) -> None:

@@ -8,6 +8,7 @@ from barledger.functions import execution as ex
 from barledger.operators import asof, metrics, rebalance as rb
 from barledger.operators.signals import run_trend_signal
 from barledger.plans import tables as t
+from barledger.plans.oracle_base import define
 from barledger.plans.registry import query
 from barledger.session import settle
 
@@ -20,11 +21,11 @@ COST_COLUMNS = ("fixed_fill", "volume_bps", "volume_fill", "per_share", "percent
  greatest(abs(q)*0.005::DOUBLE, 1) AS per_share, abs(q*p)*0.001::DOUBLE AS percent, CASE WHEN q > 0 THEN p*1.01::DOUBLE WHEN q < 0 THEN p*0.99::DOUBLE ELSE p END AS worst_base FROM (
  SELECT *, 2 + 0.1::DOUBLE*sqrt(abs(q*p)/coalesce(adv, 1000000))*100 AS bps, CASE WHEN q > 0 THEN 1 ELSE -1 END AS s FROM (
   SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, l_extendedprice/l_quantity AS p, adv
-  FROM lineitem LEFT JOIN (SELECT l_suppkey AS sk, avg(v) AS adv FROM (SELECT l_suppkey, l_shipdate, sum(l_extendedprice) AS v FROM lineitem WHERE l_suppkey <= 50 GROUP BY 1, 2) GROUP BY 1) ON sk = l_suppkey))) GROUP BY l_suppkey""")
+  FROM lineitem LEFT JOIN (SELECT l_suppkey AS sk, avg(v) AS adv FROM (SELECT l_suppkey, l_shipdate, sum(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) GROUP BY 1) ON sk = l_suppkey))) GROUP BY l_suppkey""")
 def execution_costs(spark, sf):
-    """Every line item as a trade; volumes are known for part of the suppliers only."""
+    """Every line item as a trade; the volume of a supplier is that of its returns, unknown if it has none."""
     items = t.table(spark, sf, "lineitem")
-    daily = items.where("l_suppkey <= 50").groupBy("l_suppkey", "l_shipdate").agg(F.sum("l_extendedprice").alias("v"))
+    daily = items.where("l_returnflag = 'R'").groupBy("l_suppkey", "l_shipdate").agg(F.sum("l_extendedprice").alias("v"))
     adv = daily.groupBy("l_suppkey").agg(F.avg("v").alias("adv"))
     rows = items.join(adv, "l_suppkey", "left").withColumns({
         "q": F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")),
@@ -60,32 +61,51 @@ def signal_weights_asof(spark, sf):
     return rb.signal_weights(settle(signal), lane, t.bars_day(spark, sf).select("ts"))
 
 
-def _sweep(spark, sf, **options):
-    """Two signal variants as two books of one job."""
+def _books(spark, sf):
+    """Two signal variants as two books of one job, and their bars."""
     bars = settle(t.bars_week(spark, sf))
     every = None
     for name, window in (("w10", 10), ("w30", 30)):
         signal, lane = run_trend_signal(bars.withColumn("variant", F.lit(name)), window, keys=("variant", "symbol"), timeframe="1w")
         one = rb.signal_weights(signal, lane)
         every = one if every is None else every.unionByName(one)
-    return rb.rebalance(bars, settle(every), **options), bars
+    return bars, settle(every)
 
 
-@query("rebalance_nav", "variant ts", nums="nav cash", digits=2)
-def rebalance_nav(spark, sf):
-    return _sweep(spark, sf)[0].nav
+define("nav_weights", """SELECT 'w10' AS variant, symbol, ts, 1.0::DOUBLE/(SELECT count(DISTINCT symbol) FROM w10_sig) AS weight FROM w10_sig WHERE signal_open = 1
+UNION ALL SELECT 'w30', symbol, ts, 1.0::DOUBLE/(SELECT count(DISTINCT symbol) FROM w30_sig) FROM w30_sig WHERE signal_open = 1""")
+define("nav_calendar", "SELECT ts, lag(ts) OVER (ORDER BY ts) AS pts, lead(ts) OVER (ORDER BY ts) AS nts FROM (SELECT DISTINCT ts FROM bars_week)")
+define("nav_steps", """SELECT symbol, ts, CASE WHEN own = pts THEN close/before - 1 END AS ret FROM (
+ SELECT symbol, ts, close, lag(close) OVER w AS before, lag(ts) OVER w AS own FROM bars_week WINDOW w AS (PARTITION BY symbol ORDER BY ts)) JOIN nav_calendar USING (ts)""")
+define("nav_held", """SELECT variant, nts AS ts, symbol, weight AS before, coalesce(ret, 0) AS ret FROM nav_weights JOIN nav_calendar USING (ts)
+LEFT JOIN nav_steps s ON s.symbol = nav_weights.symbol AND s.ts = nts WHERE nts IS NOT NULL""".replace("symbol, weight AS", "nav_weights.symbol, weight AS"))
+define("nav_gross", "SELECT variant, ts, sum(before*ret) AS gross FROM nav_held GROUP BY ALL")
+define("nav_changes", """SELECT variant, ts, symbol, gross, coalesce(weight, 0) - coalesce(before*(1 + ret)/(1 + gross), 0) AS change FROM (
+ SELECT * FROM nav_held FULL JOIN nav_weights USING (variant, ts, symbol)) LEFT JOIN (SELECT variant, ts, gross FROM nav_gross) USING (variant, ts)""")
+define("nav_books", """SELECT variant, ts, gross, turnover, 1000000.0::DOUBLE*product((1 + gross)*(1 - turnover*0.0005::DOUBLE)) OVER (PARTITION BY variant ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nav
+FROM (SELECT variant, ts, coalesce(any_value(gross), 0) AS gross, sum(abs(change)) AS turnover FROM nav_changes GROUP BY ALL)""")
 
+for _suffix, _layout in (("", {}), ("_blocked", {"block_rows": 60, "slice_rows": 8})):
+    query(f"rebalance_nav{_suffix}", "variant ts", nums="gross turnover nav", digits=5, sql="SELECT * FROM nav_books")(
+        lambda spark, sf, layout=_layout: rb.held_nav(*_books(spark, sf), timeframe="1w", **layout))
 
-@query("rebalance_trades", "variant ts symbol", nums="quantity price notional commission", digits=4)
+
+@query("rebalance_trades", "variant ts symbol", nums="change notional", digits=4,
+       sql="SELECT c.variant, c.ts, symbol, change, change*nav AS notional FROM nav_changes c JOIN nav_books USING (variant, ts) WHERE abs(change) > 1e-9::DOUBLE")
 def rebalance_trades(spark, sf):
-    costs = rb.Costs(slippage="volume", bps=ex.VOLUME_BASE_BPS, commission="percent")
-    return _sweep(spark, sf, costs=costs, fill_mode="conservative")[0].trades
+    bars, weights = _books(spark, sf)
+    return rb.held_trades(bars, weights, rb.held_nav(bars, weights, timeframe="1w"), timeframe="1w")
 
 
-@query("rebalance_summary", "variant", "num_trades", "total_return ann_return ann_vol sharpe max_drawdown calmar")
+@query("rebalance_summary", "variant", "num_trades", "total_return ann_return ann_vol sharpe max_drawdown calmar",
+       sql="""SELECT variant, num_trades, total_return, ann_return, ann_vol, CASE WHEN ann_vol > 0 THEN mu*252/ann_vol ELSE 0 END AS sharpe, max_drawdown, CASE WHEN max_drawdown < 0 THEN ann_return/abs(max_drawdown) END AS calmar FROM (
+ SELECT variant, arg_max(nav, ts)/arg_min(nav, ts) - 1 AS total_return, pow(arg_max(nav, ts)/arg_min(nav, ts), 252.0::DOUBLE/count(*)) - 1 AS ann_return, stddev_samp(r)*sqrt(252) AS ann_vol, avg(r) AS mu, min(nav/k - 1) AS max_drawdown
+ FROM (SELECT *, nav/lag(nav) OVER w - 1 AS r, max(nav) OVER w AS k FROM nav_books WINDOW w AS (PARTITION BY variant ORDER BY ts)) GROUP BY variant)
+JOIN (SELECT variant, count(*) AS num_trades FROM nav_changes WHERE abs(change) > 1e-9::DOUBLE GROUP BY variant) USING (variant)""")
 def rebalance_summary(spark, sf):
-    result, _ = _sweep(spark, sf)
-    return metrics.nav_summary(result.nav, ["variant"], result.trades)
+    bars, weights = _books(spark, sf)
+    nav = settle(rb.held_nav(bars, weights, timeframe="1w"))
+    return metrics.nav_summary(nav, ["variant"], rb.held_trades(bars, weights, nav, timeframe="1w"), timeframe="1w")
 
 
 @query("benchmark_nav", "symbol ts", nums="nav", digits=4,
@@ -93,7 +113,7 @@ def rebalance_summary(spark, sf):
 def benchmark_nav(spark, sf):
     """A daily benchmark on the weekly calendar, scaled to the initial capital."""
     weeks = t.bars_week(spark, sf).select("symbol", "ts")
-    found = asof.as_of(weeks, t.bars_day(spark, sf), ["symbol"], "ts", "close", "nav").where(F.col("nav").isNotNull())
+    found = asof.as_of(weeks, t.bars_day(spark, sf), ["symbol"], "ts", "close", "nav", timeframe="1d").where(F.col("nav").isNotNull())
     return metrics.normalise_to(settle(found.select("symbol", "ts", "nav")), ["symbol"], "nav", 1_000_000.0)
 
 
@@ -102,4 +122,4 @@ def benchmark_nav(spark, sf):
  SELECT symbol, arg_max(close, ts)/arg_min(close, ts) - 1 AS total_return, pow(arg_max(close, ts)/arg_min(close, ts), 252.0::DOUBLE/count(*)) - 1 AS ann_return, stddev_samp(r)*sqrt(252) AS ann_vol, avg(r) AS mu, min(close/k - 1) AS max_drawdown
  FROM (SELECT *, close/lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r, max(close) OVER (PARTITION BY symbol ORDER BY ts) AS k FROM bars_week) GROUP BY symbol)""")
 def nav_summary(spark, sf):
-    return metrics.nav_summary(t.bars_week(spark, sf).withColumnRenamed("close", "nav"), ["symbol"])
+    return metrics.nav_summary(t.bars_week(spark, sf).withColumnRenamed("close", "nav"), ["symbol"], timeframe="1w")

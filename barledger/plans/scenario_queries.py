@@ -137,7 +137,7 @@ FROM c FULL JOIN (SELECT * FROM k WHERE book_id <> 'current') q USING (book_id,
 
 
 def redundancy(books, panel):
-    pairs = settle(risk.redundancy_pairs(risk.correlations(panel), books.portfolio))
+    pairs = settle(risk.redundancy_pairs(risk.correlations(panel, timeframe="1w"), books.portfolio))
     return sc.redundancy_deltas(pairs, books.portfolio, BASE)
 
 

@@ -8,6 +8,7 @@ from barledger.sources.bars import resample
 
 STATEMENT_DATE = "2000-06-30"
 TARGET_FROM, TARGET_TO = "2000-07-01", "2001-01-01"
+VALUATION_DATE = "2001-06-30"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +35,18 @@ def bars_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks of one hour are ordered by time, then id; both fit one decimal sort key."""
+    return bars_from_events(spark, sf_dir, "1h")
+
+
+def bars_from_events(spark: SparkSession, sf_dir: str, timeframe: str) -> DataFrame:
+    """Ticks of one bar are ordered by time, then id; both fit one decimal sort key."""
     sequence = (
         F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(20,0)")
         * F.lit(10**12).cast("decimal(13,0)") + F.col("event_id")
     ).cast("decimal(38,0)")
     return resample(
         table(spark, sf_dir, "events"), F.col("event_type"), F.col("ts"),
-        F.lit(100.0) + F.col("value") / 100.0, sequence, "1h",
+        F.lit(100.0) + F.col("value") / 100.0, sequence, timeframe,
     )
 
 
@@ -142,9 +147,10 @@ def fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deposit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything paid in between the statement and the valuation."""
     at = orders_by_region(spark, sf_dir).where(
-        (F.col("o_orderdate") >= F.lit("2000-10-01").cast("timestamp_ntz"))
-        & (F.col("o_orderdate") <= F.lit("2000-10-10").cast("timestamp_ntz"))
+        (F.col("o_orderdate") >= F.lit(TARGET_FROM).cast("timestamp_ntz"))
+        & (F.col("o_orderdate") <= F.lit(VALUATION_DATE).cast("timestamp_ntz"))
     )
     return at.groupBy(F.col("r_name").alias("name"), F.col("o_orderdate").cast("date").alias("date")).agg(
         (F.sum("o_totalprice") / 100).alias("amount")

@@ -39,7 +39,7 @@ def book_tables(spark, sf):
 
 define("month_targets", """SELECT name, eff_date, ticker, v/sum(v) OVER (PARTITION BY name, eff_date) AS weight FROM (
  SELECT r_name AS name, date_trunc('month', o_orderdate)::DATE AS eff_date, o_orderpriority AS ticker, sum(o_totalprice) AS v
- FROM region_orders WHERE o_orderdate >= TIMESTAMP '2000-10-01' AND o_orderdate < TIMESTAMP '2001-04-01' GROUP BY ALL)""")
+ FROM region_orders WHERE o_orderdate >= TIMESTAMP '2000-07-01' AND o_orderdate <= TIMESTAMP '2001-06-30' GROUP BY ALL)""")
 define("quotes", "SELECT symbol AS ticker, ts, close FROM bars_week")
 
 
@@ -49,14 +49,31 @@ define("quotes", "SELECT symbol AS ticker, ts, close FROM bars_week")
 def asof_prices(spark, sf):
     orders = t.table(spark, sf, "orders")
     probes = orders.select(F.col("o_orderpriority").alias("ticker"), F.col("o_orderdate").cast("date").alias("day")).distinct()
-    return asof.as_of(probes, prices(spark, sf), ["ticker"], "day", "close", "close").withColumnRenamed("close_ts", "quoted")
+    return asof.as_of(probes, prices(spark, sf), ["ticker"], "day", "close", "close", timeframe="1d").withColumnRenamed("close_ts", "quoted")
+
+
+@query("asof_prices_blocked", "ticker day quoted", nums="close",
+       sql="""SELECT d.ticker, d.day, q.ts AS quoted, q.close FROM (SELECT DISTINCT o_orderpriority AS ticker, o_orderdate::DATE AS day FROM orders) d
+ ASOF LEFT JOIN quotes q ON d.ticker = q.ticker AND d.day::TIMESTAMP >= q.ts""")
+def asof_prices_blocked(spark, sf):
+    orders = t.table(spark, sf, "orders")
+    probes = orders.select(F.col("o_orderpriority").alias("ticker"), F.col("o_orderdate").cast("date").alias("day")).distinct()
+    found = asof.as_of(probes, prices(spark, sf), ["ticker"], "day", "close", "close", timeframe="1d", block_rows=300, slice_rows=40)
+    return found.withColumnRenamed("close_ts", "quoted")
+
+
+@query("asof_rates_blocked", "o_orderkey", nums="rate",
+       sql="SELECT o_orderkey, f.rate FROM orders o ASOF LEFT JOIN fx f ON o.o_orderdate >= f.ts")
+def asof_rates_blocked(spark, sf):
+    orders = t.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return asof.as_of_single(orders, t.fx(spark, sf), "o_orderdate", "rate", "rate", timeframe="1d", block_rows=300, slice_rows=40)
 
 
 @query("asof_rates", "o_orderkey", nums="rate",
        sql="SELECT o_orderkey, f.rate FROM orders o ASOF LEFT JOIN fx f ON o.o_orderdate >= f.ts")
 def asof_rates(spark, sf):
     orders = t.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    return asof.as_of_single(orders, t.fx(spark, sf), "o_orderdate", "rate", "rate")
+    return asof.as_of_single(orders, t.fx(spark, sf), "o_orderdate", "rate", "rate", timeframe="1d")
 
 
 @query("target_intervals", "name eff_date eff_to", nums="weight_sum",
@@ -66,10 +83,10 @@ def target_intervals(spark, sf):
 
 
 def month_targets(spark, sf):
-    """One target snapshot per month, from the orders of that month."""
+    """One target snapshot per month between the statement and the valuation, from all orders of that month."""
     month = F.trunc(F.col("o_orderdate").cast("date"), "month")
     rows = t.orders_by_region(spark, sf).where(
-        (F.col("o_orderdate") >= F.lit("2000-10-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("2001-04-01").cast("timestamp_ntz"))
+        (F.col("o_orderdate") >= F.lit(t.TARGET_FROM).cast("timestamp_ntz")) & (F.col("o_orderdate") <= F.lit(END).cast("timestamp_ntz"))
     ).groupBy(F.col("r_name").alias("name"), month.alias("eff_date"), F.col("o_orderpriority").alias("ticker")).agg(F.sum("o_totalprice").alias("v"))
     total = rows.groupBy("name", "eff_date").agg(F.sum("v").alias("_t"))
     return rows.join(total, ["name", "eff_date"]).select("name", "eff_date", "ticker", (F.col("v") / F.col("_t")).alias("weight"))
@@ -89,7 +106,7 @@ def calendar_fill(spark, sf):
     bars = t.bars_day(spark, sf)
     spans = bars.select("symbol").distinct().withColumns({"a": F.lit("1998-01-01").cast("date"), "b": F.lit("1998-12-31").cast("date")})
     cal = calendars.calendar_days(spans, "a", "b").select("symbol", F.col("day").cast("timestamp_ntz").alias("ts"))
-    return asof.fill_to_calendar(bars, cal, ["symbol"], "close", back_fill=True)
+    return asof.fill_to_calendar(bars, cal, ["symbol"], "close", back_fill=True, timeframe="1d")
 
 
 @query("date_arithmetic", "day business_day month_before",

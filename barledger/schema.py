@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 PRICE_COLUMNS = ("open", "high", "low", "close", "volume")
-OPTIONAL_BAR_COLUMNS = ("vwap", "trades")
 
 BARS = T.StructType(
     [T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampNTZType())]
@@ -25,6 +24,9 @@ TIMEFRAME_SECONDS = {
     "1mo": 28 * 86400,
 }
 
+#: Width of prices and rates that are looked up by calendar date.
+DAILY = "1d"
+
 FUNDAMENTAL_COLUMNS = (
     "market_cap", "enterprise_value", "pe_ratio", "pb_ratio", "ps_ratio", "ev_ebitda", "roe", "roa",
     "debt_to_equity", "current_ratio", "gross_margin", "operating_margin", "net_margin",

@@ -8,7 +8,6 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barledger.schema import (
-    OPTIONAL_BAR_COLUMNS,
     PRICE_COLUMNS,
     nan_to_null,
     require_columns,
@@ -21,13 +20,14 @@ _FILE_NAME = r"([^/]+)\.(parquet|csv)(?:/[^/]*)?$"
 
 
 def normalise_headers(df: DataFrame) -> DataFrame:
-    """Trim and lower-case headers, find the time column, keep the five price columns."""
+    """Trim and lower-case headers, find the time column, keep the five price columns; a bar without a time fails."""
     df = df.toDF(*[c.strip().lower() for c in df.columns])
     time_name = next((c for c in TIME_COLUMN_NAMES if c in df.columns), None)
     if time_name is None:
         raise ValueError(f"no time column among {df.columns}")
     require_columns(df, *PRICE_COLUMNS)
-    kept = [F.col(time_name).cast("timestamp_ntz").alias("ts")]
+    no_time = F.raise_error(F.lit(f"a bar without a time in column {time_name}")).cast("timestamp_ntz")
+    kept = [F.coalesce(F.col(time_name).cast("timestamp_ntz"), no_time).alias("ts")]
     if "symbol" in df.columns:
         kept.insert(0, F.col("symbol"))
     kept += [F.col(c).cast("double").alias(c) for c in PRICE_COLUMNS]
@@ -37,23 +37,31 @@ def normalise_headers(df: DataFrame) -> DataFrame:
 def read_bars(
     spark: SparkSession, folder: str, symbols: Sequence[str], start=None, end=None
 ) -> DataFrame:
-    """One file per symbol under ``folder``; ``SYM.parquet`` wins over ``SYM.csv``."""
+    """One file per symbol under ``folder``; ``SYM.parquet`` wins over ``SYM.csv``.
+
+    Files may differ in names, order and number of columns: only their headers are read first, then
+    every layout is scanned and normalised by itself.
+    """
     found = _files_for(spark, folder, symbols)
     parquet = [s for s in symbols if f"{s}.parquet" in found]
     csv = [s for s in symbols if s not in parquet and f"{s}.csv" in found]
     missing = sorted(set(symbols) - set(parquet) - set(csv))
     if missing:
         raise FileNotFoundError(f"no bar file for {missing} in {folder}")
-    parts = []
-    if parquet:
-        parts.append(spark.read.parquet(*[f"{folder}/{s}.parquet" for s in parquet]))
-    if csv:
-        parts.append(spark.read.option("header", True).csv([f"{folder}/{s}.csv" for s in csv]))
+    readers = {
+        "parquet": lambda paths: spark.read.parquet(*paths),
+        "csv": lambda paths: spark.read.option("header", True).csv(paths),
+    }
     name = F.regexp_extract(F.input_file_name(), _FILE_NAME, 1)
     out = None
-    for part in parts:
-        bars = normalise_headers(part.withColumn("symbol", F.url_decode(name)))
-        out = bars if out is None else out.unionByName(bars)
+    for kind, wanted in (("parquet", parquet), ("csv", csv)):
+        layouts: dict[tuple, list[str]] = {}
+        for symbol in wanted:
+            path = f"{folder}/{symbol}.{kind}"
+            layouts.setdefault(tuple(readers[kind]([path]).dtypes), []).append(path)
+        for paths in layouts.values():
+            bars = normalise_headers(readers[kind](paths).withColumn("symbol", F.url_decode(name)))
+            out = bars if out is None else out.unionByName(bars)
     return between(out, start, end)
 
 
@@ -100,7 +108,7 @@ def bar_slot(ts: Column, timeframe: str) -> Column:
     if unit:
         return F.date_trunc(unit, ts).cast("timestamp_ntz")
     minutes = {"5m": 5, "15m": 15, "30m": 30, "4h": 240}[timeframe]
-    return F.window_time(F.window(ts, f"{minutes} minutes")).cast("timestamp_ntz")
+    return F.window(ts, f"{minutes} minutes")["start"].cast("timestamp_ntz")
 
 
 def resample(
@@ -145,10 +153,6 @@ def prefer_sources(frames: Sequence[tuple[int, DataFrame]], key: str = "symbol")
     return tagged.join(best, [key, "priority"])
 
 
-def optional_columns(bars: DataFrame) -> list[str]:
-    return [c for c in OPTIONAL_BAR_COLUMNS if c in bars.columns]
-
-
 def search_symbols(bars: DataFrame, text: str) -> DataFrame:
     return bars.select("symbol").distinct().where(
         F.contains(F.upper("symbol"), F.upper(F.lit(text)))

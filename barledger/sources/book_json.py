@@ -36,15 +36,16 @@ def parse_book(raw: DataFrame, legacy_key: str = "legacy_id", id_map: Mapping[st
     weights = F.transform(F.col("p.holdings"), lambda h: h["weight"])
     total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
     bad = F.raise_error(F.concat(F.lit("weights do not sum to one in "), F.col("p.name"))).cast("double")
-    checked = F.when(F.abs(total - 1) <= WEIGHT_TOLERANCE, F.col("p.total_value")).otherwise(bad)
+    sums = F.abs(total - 1) <= WEIGHT_TOLERANCE
     portfolio = entries.select(
         F.lit(book_id).alias("book_id"), needed(F.col("p.name"), "name").alias("name"), "statement_date", "currency",
-        checked.alias("total_value"),
+        F.when(sums, F.col("p.total_value")).otherwise(bad).alias("total_value"),
     )
-    rows = entries.select(F.col("p.name").alias("name"), F.explode("p.holdings").alias("h"))
+    rows = entries.select(F.col("p.name").alias("name"), sums.alias("sums"), F.col("p.name").alias("of"), F.explode("p.holdings").alias("h"))
+    unequal = F.raise_error(F.concat(F.lit("weights do not sum to one in "), F.col("of"))).cast("double")
     ticker = alias(F.coalesce(F.col("h.ticker"), F.col(f"h.{legacy_key}")), id_map)
     holding = rows.select(
-        F.lit(book_id).alias("book_id"), "name", needed(ticker, "ticker").alias("ticker"), F.col("h.weight").alias("weight"),
+        F.lit(book_id).alias("book_id"), "name", needed(ticker, "ticker").alias("ticker"), F.when(F.col("sums"), F.col("h.weight")).otherwise(unequal).alias("weight"),
         F.coalesce(F.col("h.value"), F.lit(0.0)).alias("value"),
     )
     return portfolio, holding

@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from barledger.functions.quantiles import exact_quantiles
+from barledger.functions import execution
 from barledger.functions.gram import pair_moments
 from barledger.operators import book, returns as rt, risk, scenario as sc
 from barledger.sources import bars as src, book_json, sinks
@@ -183,3 +184,67 @@ def test_partitioned_sink(spark, tmp_path):
     bars = random_bars(spark, n=20)
     sinks.write_frame(bars, str(tmp_path / "out"), ["symbol"])
     assert spark.read.parquet(str(tmp_path / "out")).count() == bars.count()
+
+
+def test_bar_files_with_their_own_layouts(spark, tmp_path):
+    bar = {"open": 1.0, "high": 2.0, "low": 0.5, "close": 1.5, "volume": 9.0}
+    for symbol, kind, header in (("A", "csv", "date open high low close volume"), ("B", "csv", "volume close low high open Timestamp"),
+                                 ("C", "parquet", "Date open high low close volume"), ("D", "parquet", "timestamp close low high open volume")):
+        value = lambda c: str(DAY0) if c.lower() in ("date", "timestamp") else bar[c]
+        row = spark.createDataFrame([tuple(value(c) for c in header.split())], header.split())
+        row.coalesce(1).write.format(kind).option("header", True).save(f"{tmp_path}/{symbol}.{kind}")
+    rows = src.read_bars(spark, str(tmp_path), list("ABCD")).collect()
+    assert sorted(r.symbol for r in rows) == list("ABCD")
+    assert all(r.ts == DAY0 and {c: r[c] for c in bar} == bar for r in rows)
+
+
+def test_bar_without_a_time_fails(spark):
+    bad = spark.createDataFrame([(None, 1.0, 1.0, 1.0, 1.0, 1.0)], "date timestamp_ntz, open double, high double, low double, close double, volume double")
+    with pytest.raises(PySparkException):
+        src.normalise_headers(bad).collect()
+
+
+def test_bars_are_labelled_by_their_start(spark):
+    tick = spark.createDataFrame([(DAY0.replace(hour=10, minute=7),)], "ts timestamp_ntz")
+    for frame, want in (("5m", (10, 5)), ("15m", (10, 0)), ("30m", (10, 0)), ("4h", (8, 0)), ("1h", (10, 0))):
+        slot = tick.select(src.bar_slot(F.col("ts"), frame)).first()[0]
+        assert (slot.hour, slot.minute, slot.second, slot.microsecond) == (*want, 0, 0)
+
+
+def test_zero_volume_counts_as_unknown(spark):
+    q, p = F.lit(10.0), F.lit(5.0)
+    row = spark.range(1).select(execution.volume_slippage(q, p, F.lit(0.0)).alias("a"), execution.volume_slippage(q, p).alias("b")).first()
+    assert row.a == row.b
+
+
+def test_weights_are_checked_on_holdings_alone(spark):
+    raw = spark.createDataFrame([("2020-01-01", "USD", [("p", 10.0, [("X", None, 0.4, 4.0)])])], book_json.BOOK_SCHEMA)
+    with pytest.raises(PySparkException):
+        book_json.parse_book(raw)[1].select("weight").collect()
+
+
+def test_unknown_ticker_and_zero_weights(spark, small_book, ticker_returns):
+    some = ticker_returns.where("ticker <> 'Y'")
+    with pytest.raises(PySparkException, match="no returns for Y"):
+        rt.portfolio_returns(small_book.portfolio, small_book.holding, some).collect()
+    with pytest.raises(PySparkException):
+        rt.returns_panel(small_book.portfolio, small_book.holding, some, strict=True).collect()
+    assert rt.returns_panel(small_book.portfolio, small_book.holding, some).count() == 0
+    flat = small_book.holding.withColumn("weight", F.when(F.col("name") == "a", 0.0).otherwise(F.col("weight")))
+    with pytest.raises(PySparkException, match="sum to zero"):
+        rt.portfolio_returns(small_book.portfolio, flat, ticker_returns).collect()
+    assert {r.name for r in rt.portfolio_rejects(flat, ticker_returns).collect()} == {"a"}
+
+
+def test_currency_returns_over_block_borders(spark, small_book, ticker_returns):
+    usd = small_book.portfolio.withColumn("currency", F.lit("USD"))
+    fx = ticker_returns.select("ts").distinct().withColumn("rate", 1.3 + F.dayofyear("ts") / 1000.0)
+    whole = rt.portfolio_returns(usd, small_book.holding, ticker_returns, fx, "1d").orderBy("name", "ts").collect()
+    cut = rt.portfolio_returns(usd, small_book.holding, ticker_returns, fx, "1d", block_rows=10, slice_rows=2).orderBy("name", "ts").collect()
+    assert [(r.name, r.ts) for r in whole] == [(r.name, r.ts) for r in cut]
+    assert all(close_to(a.ret, b.ret) for a, b in zip(whole, cut))
+
+
+def test_portfolio_without_the_role_is_left_out(spark, small_book, ticker_returns):
+    some = small_book.portfolio.withColumn("roles", F.when(F.col("name") == "c", F.array(F.lit("custom"))).otherwise(F.col("roles")))
+    assert {r.name for r in rt.returns_panel(some, small_book.holding, ticker_returns).select("name").distinct().collect()} == {"a", "b"}

@@ -9,76 +9,38 @@ from barledger.operators import anchors as an, rebalance as rb
 from helpers import DAY0, close_to, random_bars
 
 
-def plain_nav(bars, weights, capital, conservative):
-    """Loop over bars with dictionaries; fixed 5 bps slippage, no commission."""
-    cash, qty, cost, out, n_trades = capital, {}, {}, [], 0
-    by_ts = {}
-    for r in bars:
-        by_ts.setdefault(r.ts, {})[r.symbol] = r
-    for ts in sorted(by_ts):
-        row = by_ts[ts]
-        nav = cash + sum(q * (row[s].close if s in row else cost[s]) for s, q in qty.items())
+def plain_nav(bars, weights, capital, bps):
+    """Loop over bars with dictionaries: drift, return to the weights, pay for what is traded."""
+    close = {(r.ts, r.symbol): r.close for r in bars}
+    days = sorted({t for t, _ in close})
+    nav, held, out = capital, {}, {}
+    for before, ts in zip([None, *days], days):
+        ret = {s: close[ts, s] / close[before, s] - 1 if (ts, s) in close and (before, s) in close else 0.0 for s in held}
+        gross = sum(w * ret[s] for s, w in held.items())
+        drift = {s: w * (1 + ret[s]) / (1 + gross) for s, w in held.items()}
         want = {s: w for (t, s), w in weights.items() if t == ts}
-        orders = []
-        for s, w in want.items():
-            if s in row:
-                orders.append((s, (w * nav - qty.get(s, 0) * row[s].close) / row[s].close, False))
-        orders += [(s, -q, True) for s, q in qty.items() if s not in want and s in row]
-        for s, dq, closing in orders:
-            if abs(dq) < 1e-6:
-                continue
-            base = row[s].open
-            if conservative:
-                base = row[s].low if closing or dq < 0 else row[s].high
-            price = base if closing else base * (1 + (5 if dq > 0 else -5) / 1e4)
-            held = qty.get(s, 0)
-            if held == 0 or (held > 0) == (dq > 0):
-                cost[s] = (held * cost.get(s, 0) + dq * price) / (held + dq)
-            qty[s] = held + dq
-            cash -= dq * price
-            n_trades += 1
-            if abs(qty[s]) < 1e-9:
-                del qty[s]
-        out.append((ts, cash + sum(q * (row[s].close if s in row else cost[s]) for s, q in qty.items())))
-    return out, n_trades
+        turnover = sum(abs(want.get(s, 0.0) - drift.get(s, 0.0)) for s in want.keys() | drift.keys())
+        nav *= (1 + gross) * (1 - turnover * bps / 1e4)
+        if held or want:
+            out[ts] = nav
+        held = want
+    return out
 
 
-@pytest.mark.parametrize("mode", ["mtc", "conservative"])
-def test_rebalanced_nav(spark, mode):
+@pytest.mark.parametrize("layout", [{}, {"block_rows": 20, "slice_rows": 4}])
+def test_held_nav(spark, layout):
     bars = random_bars(spark, n=80)
     rows = bars.collect()
     rng = random.Random(2)
     weights = {v: {(r.ts, r.symbol): rng.choice([0.2, 0.5, 0.1]) for r in rows if rng.random() < 0.6} for v in ("u", "v")}
     wdf = spark.createDataFrame([(v, t, s, w) for v, m in weights.items() for (t, s), w in m.items()], "variant string, ts timestamp_ntz, symbol string, weight double")
-    result = rb.rebalance(bars, wdf, capital=1000.0, fill_mode=mode)
+    nav = rb.held_nav(bars, wdf, capital=1000.0, timeframe="1d", **layout)
     for v in ("u", "v"):
-        expected, n = plain_nav(rows, weights[v], 1000.0, mode == "conservative")
-        got = [(r.ts, r.nav) for r in result.nav.where(f"variant = '{v}'").orderBy("ts").collect()]
-        assert [t for t, _ in got] == [t for t, _ in expected]
-        assert all(close_to(a, b, 1e-8) for (_, a), (_, b) in zip(got, expected))
-        assert result.trades.where(f"variant = '{v}'").count() == n
-
-
-def test_small_batches_do_not_change_the_fold(spark):
-    bars = random_bars(spark, n=60)
-    wdf = bars.selectExpr("'v' AS variant", "ts", "symbol", "0.3D AS weight")
-    a = rb.rebalance(bars, wdf).nav.orderBy("ts").collect()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        b = rb.rebalance(bars, wdf).nav.orderBy("ts").collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert a == b
-
-
-def test_strategy_that_looks_at_the_account(spark):
-    bars = random_bars(spark, ("AAA",), 40)
-    wdf = bars.selectExpr("'v' AS variant", "ts", "symbol", "1.0D AS weight")
-    once = rb.rebalance(bars, wdf, strategy=lambda ts, closes, account: {"AAA": 1.0} if not account.positions else {s: q * closes.get(s, 0) / account.value(closes) for s, (q, _) in account.positions.items()})
-    assert once.trades.count() == 1
-
-
-D = dt.date
+        expected = plain_nav(rows, weights[v], 1000.0, 5)
+        got = {r.ts: r.nav for r in nav.where(f"variant = '{v}'").collect()}
+        assert got.keys() == expected.keys()
+        assert all(close_to(got[t], expected[t], 1e-8) for t in got)
+    assert rb.held_trades(bars, wdf, nav, timeframe="1d").where("abs(change) <= 1e-9").count() == 0
 
 
 def plain_anchor_model(opening, own, targets, deposits, anchors, prices, fee):
