@@ -13,11 +13,14 @@ TARGET_SUM_TOLERANCE = 0.001
 VALUE_TOLERANCE = 0.01
 STALE_DAYS = 3
 SHOWN = 5
+LISTED = 100
 
 
 def _finding(rule: str, level: str, rows: DataFrame, item: Column) -> DataFrame:
-    """Collapse offending rows into one finding; no row, no finding."""
-    listed = rows.select(item.alias("_i")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("_i")).alias("_items"))
+    """Collapse offending rows into one finding that counts all and names the first ``LISTED``; no row, no finding."""
+    items = rows.select(item.alias("_i"))
+    first = items.distinct().orderBy("_i").limit(LISTED).agg(F.array_sort(F.collect_list("_i")).alias("_items"))
+    listed = items.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(first))  # two single rows
     return listed.where("n > 0").select(
         F.lit(rule).alias("rule"), F.lit(level).alias("level"), "n", F.array_join("_items", ", ").alias("items")
     )
@@ -35,7 +38,7 @@ def book_health(
 ) -> DataFrame:
     """Findings (``rule, level, n, items``); a single ``ok`` row if there are none.
 
-    Offenders are portfolios, tickers or snapshots of one book, so their list is short.
+    Offenders are counted in full; the report names the first ones in order.
     """
     end_day = end.cast("date")
     held = with_role(portfolio)

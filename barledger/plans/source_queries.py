@@ -265,7 +265,7 @@ def fund_explorer(spark, sf):
     rets = settle(ticker_returns(spark, sf))
     book = rt.book_returns(*panel_and_values(spark, sf)).withColumnRenamed("ret", "book_ret")
     known = t.universe(spark, sf).select("ticker", "asset_class")
-    missing = known.limit(1).select(F.lit("NO DATA").alias("ticker"), F.lit("Bond").alias("asset_class"))
+    missing = spark.createDataFrame([("NO DATA", "Bond")], "ticker string, asset_class string")
     return explorer.fund_explorer(known.unionByName(missing), rets, book)
 
 
