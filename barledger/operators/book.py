@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 WEIGHT_TOLERANCE = 1e-4
 CASH_PREFIX = "CASH_"
@@ -64,6 +66,12 @@ def holdings_with_meta(portfolio: DataFrame, holding: DataFrame, universe: DataF
     return holding.drop("value").join(book, ["book_id", "name"]).join(universe, "ticker")
 
 
+def ranked(rows: DataFrame, keys: Sequence[str], by: str, tie: Sequence[str]) -> DataFrame:
+    """``rows`` with ``rank``: 1 for the largest ``by`` within ``keys``. Reports are read in this order."""
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(by), *tie)
+    return rows.withColumn("rank", F.row_number().over(order))
+
+
 def exposure(portfolio: DataFrame, holding: DataFrame, universe: DataFrame) -> DataFrame:
     """Value and weight by asset class, region and sector over the holding portfolios.
 

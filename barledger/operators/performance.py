@@ -11,6 +11,7 @@ from barledger.operators.metrics import performance
 from barledger.operators.periods import nav_periods, return_periods
 from barledger.operators.returns import SERIES, aligned_panel, book_returns
 from barledger.session import settle
+from barledger.sources.bars import between
 
 COMBINED = "Combined book"
 BASE = ("sharpe", "max_dd", "annualised_vol")
@@ -30,9 +31,11 @@ def series_metrics(returns: DataFrame, timeframe: str = "1m", risk_free: float =
 
 
 def benchmark_comparison(
-    panel: DataFrame, values: DataFrame, aligned: bool = True, timeframe: str = "1m", risk_free: float = 0.0
+    panel: DataFrame, values: DataFrame, aligned: bool = True, timeframe: str = "1m", risk_free: float = 0.0,
+    start=None, end=None,
 ) -> DataFrame:
-    """One row per portfolio plus the combined book. Aligned rows share one window."""
+    """One row per portfolio plus the combined book, from ``start`` to ``end`` inclusive. Aligned rows share one window."""
+    panel = between(panel, start, end)
     book = book_returns(panel, values, aligned).withColumn("name", F.lit(COMBINED))
     series = (aligned_panel(panel) if aligned else panel).select(*SERIES, "ts", "ret")
     every = settle(series.unionByName(book.select(*SERIES, "ts", "ret")))

@@ -33,6 +33,8 @@ def panel(spark, sf):
     return settle(rt.returns_panel(book_table, held, ticker_returns(spark, sf), t.fx(spark, sf), "1w"))
 
 
+CORR_SQL = """SELECT 'current' AS book_id, a.name AS name_a, b.name AS name_b, count(*) AS n_obs,
+  CASE WHEN count(*) >= 20 THEN corr(a.ret, b.ret) END AS rho FROM panel a JOIN panel b USING (ts) WHERE {} GROUP BY ALL"""
 define("supp_ret", "SELECT symbol, ts, close/lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars_supplier")
 define("week_complete", "SELECT ts FROM week_ret WHERE ret IS NOT NULL GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars_week)")
 define("panel_raw", """SELECT name, ts, sum(weight*ret) - any_value(fee_annual)/252 AS ret, any_value(currency) AS currency
@@ -78,6 +80,25 @@ def exposure(spark, sf):
     return book.exposure(t.portfolio(spark, sf), t.holding(spark, sf), t.universe(spark, sf))
 
 
+@query("exposure_ranked", "book_id dimension bucket", "rank", "value", digits=4,
+       sql="""SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY value DESC, bucket) AS rank FROM (
+ SELECT 'current' AS book_id, dimension, bucket, sum(weight*total_value) AS value FROM holding JOIN portfolio USING (name) JOIN universe USING (ticker),
+ LATERAL (VALUES ('asset_class', asset_class), ('region', region), ('sector', coalesce(sector, 'Unspecified'))) d(dimension, bucket) GROUP BY ALL)""")
+def exposure_ranked(spark, sf):
+    rows = book.exposure(t.portfolio(spark, sf), t.holding(spark, sf), t.universe(spark, sf))
+    return book.ranked(rows, ["book_id", "dimension"], "value", ["bucket"])
+
+
+@query("exposure_by_role", "book_id dimension bucket", nums="value weight", digits=4,
+       sql="""SELECT 'current' AS book_id, dimension, bucket, value, value/sum(value) OVER (PARTITION BY dimension) AS weight FROM (
+ SELECT dimension, bucket, sum(weight*total_value) AS value FROM holding JOIN portfolio USING (name) JOIN universe USING (ticker),
+ LATERAL (VALUES ('asset_class', asset_class), ('region', region), ('sector', coalesce(sector, 'Unspecified'))) d(dimension, bucket) WHERE currency <> 'USD' GROUP BY 1, 2)""")
+def exposure_by_role(spark, sf):
+    """Portfolios in dollars are benchmarks only here: without the holding role they do not count."""
+    roles = F.when(F.col("currency") == "USD", F.array(F.lit("managed_benchmark"))).otherwise(F.col("roles"))
+    return book.exposure(t.portfolio(spark, sf).withColumn("roles", roles), t.holding(spark, sf), t.universe(spark, sf))
+
+
 @query("portfolio_returns", "book_id name ts", nums="ret", digits=8, sql="SELECT 'current' AS book_id, * FROM panel")
 def portfolio_returns(spark, sf):
     return panel(spark, sf)
@@ -155,10 +176,6 @@ for _aligned in (True, False):
           "SELECT 'current' AS book_id, ts, sum(ret*value_base)/sum(value_base) AS ret FROM panel JOIN pvalues USING (name) GROUP BY ts")(
         lambda spark, sf, a=_aligned: rt.book_returns(*panel_and_values(spark, sf), a))
 
-CORR_SQL = """SELECT 'current' AS book_id, a.name AS name_a, b.name AS name_b, count(*) AS n_obs,
-  CASE WHEN count(*) >= 20 THEN corr(a.ret, b.ret) END AS rho FROM panel a JOIN panel b USING (ts) WHERE {} GROUP BY ALL"""
-
-
 @query("correlation_matrix", "book_id name_a name_b", "n_obs", "rho", sql=CORR_SQL.format("true"))
 def correlation_matrix(spark, sf):
     return risk.correlation_matrix(panel(spark, sf), timeframe="1w")
@@ -184,6 +201,20 @@ def correlation_suppliers(spark, sf):
 
 
 
+@query("redundancy_suppliers", "name_a name_b", "n_obs", "rho",
+       sql="""SELECT * FROM (SELECT a.symbol AS name_a, b.symbol AS name_b, count(*) AS n_obs, CASE WHEN count(*) >= 20 THEN corr(a.ret, b.ret) END AS rho
+FROM supp_ret a JOIN supp_ret b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL) WHERE rho >= 0.3::DOUBLE""")
+def redundancy_suppliers(spark, sf):
+    """Suppliers that move together; only the hits leave the aggregation."""
+    return risk.close_pairs(settle(supplier_panel(spark, sf)), 0.3, timeframe="1d")
+
+
+@query("correlation_window", "book_id name_a name_b", "n_obs", "rho",
+       sql=CORR_SQL.format("a.name < b.name AND a.ts BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-12-31'"))
+def correlation_window(spark, sf):
+    return risk.correlations(panel(spark, sf), timeframe="1w", start="1997-01-01", end="1998-12-31")
+
+
 @query("redundancy_pairs", "book_id name_a name_b candidate", nums="rho",
        sql=f"""SELECT book_id, name_a, name_b, rho, CASE WHEN name_b = 'ASIA' THEN name_a ELSE name_b END AS candidate
 FROM ({CORR_SQL.format('a.name < b.name')}) WHERE rho >= 0.85""")
@@ -231,6 +262,11 @@ def risk_by_ticker(spark, sf):
     return risk_model(spark, sf).by_ticker()
 
 
+@query("risk_ranked", "book_id ticker", "rank", "contribution", sql="SELECT 'current' AS book_id, ticker, contribution, row_number() OVER (ORDER BY contribution DESC, ticker) AS rank FROM rt")
+def risk_ranked(spark, sf):
+    return book.ranked(risk_model(spark, sf).by_ticker(), ["book_id"], "contribution", ["ticker"])
+
+
 @query("risk_by_holding", "name ticker holding", nums=RISK_NUMS, sql=f"""SELECT hw.name, hw.ticker, hw.name || ' · ' || hw.ticker AS holding, hw.weight, contribution*hw.weight/rt.weight AS contribution,
  contribution*hw.weight/rt.weight/sigma AS pct_total, sigma - s AS delta_vol FROM hw JOIN rt USING (ticker) JOIN ({_left_out("name || '|' || ticker")}) ON k = hw.name || '|' || hw.ticker, sig""")
 def risk_by_holding(spark, sf):
@@ -265,6 +301,14 @@ def benchmark_comparison(spark, sf):
     return comparison(spark, sf)
 
 
+@query("benchmark_window", "book_id name", "n_days", "total_return max_dd annualised_vol", digits=4,
+       sql=f"""SELECT 'current' AS book_id, name, total_return, max_drawdown AS max_dd, ann_vol AS annualised_vol, n AS n_days
+FROM ({metrics_sql("SELECT * FROM series_all WHERE ts BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-12-31'", 'name')})""")
+def benchmark_window(spark, sf):
+    returns, worth = panel_and_values(spark, sf)
+    return performance.benchmark_comparison(returns, worth, True, "1w", start="1997-01-01", end="1998-12-31")
+
+
 @query("benchmark_deltas", "book_id name benchmark", nums="sharpe_delta max_dd_delta vol_delta",
        sql=f"""WITH c AS ({COMPARISON_SQL}) SELECT 'current' AS book_id, c.name, b.name AS benchmark, c.sharpe - b.sharpe AS sharpe_delta,
  c.max_dd - b.max_dd AS max_dd_delta, c.annualised_vol - b.annualised_vol AS vol_delta FROM c, c b WHERE b.name = 'EUROPE'""")
