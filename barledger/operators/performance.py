@@ -81,19 +81,19 @@ def book_nav(book: DataFrame, timeframe: str = "1m", base: float = 100.0) -> Dat
     )
 
 
-def book_periods(book: DataFrame, risk_free: float = 0.0) -> DataFrame:
-    return return_periods(book, ["book_id"], risk_free)
+def book_periods(book: DataFrame, risk_free: float = 0.0, timeframe: str = "1m") -> DataFrame:
+    return return_periods(book, ["book_id"], risk_free, timeframe=timeframe)
 
 
-def book_windowed(since_nav: DataFrame, long_nav: DataFrame, aum: DataFrame, risk_free: float = 0.0) -> DataFrame:
+def book_windowed(since_nav: DataFrame, long_nav: DataFrame, aum: DataFrame, risk_free: float = 0.0, timeframe: str = "1m") -> DataFrame:
     """Period table with prices: the row since the statement from the buy-and-hold NAV, all others
     from the long history scaled to the assets under management.
 
     ``since_nav`` carries ``statement_date``; ``aum`` holds ``book_id, aum``.
     """
-    first = nav_periods(since_nav, ["book_id"], risk_free).where(F.startswith("period", F.lit("Since stmt")))
+    first = nav_periods(since_nav, ["book_id"], risk_free, timeframe=timeframe).where(F.startswith("period", F.lit("Since stmt")))
     start = long_nav.groupBy("book_id").agg(F.min_by("nav", "ts").alias("_start"))
     scaled = long_nav.join(start, "book_id").join(aum, "book_id").select(
         "book_id", "ts", (F.col("nav") / F.col("_start") * F.col("aum")).alias("nav")
     )
-    return first.unionByName(nav_periods(scaled, ["book_id"], risk_free))
+    return first.unionByName(nav_periods(scaled, ["book_id"], risk_free, timeframe=timeframe))

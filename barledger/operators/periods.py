@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from barledger.functions.ordered import Lane, drop_borrowed, lay_out, running, unblock
 from barledger.functions.stats import annual_vol, annualised, compound, sharpe
 from barledger.schema import PERIODS_PER_YEAR
 
@@ -21,21 +22,24 @@ def _period(label: Column, order: Column, kind: str) -> Column:
     return F.struct(label.alias("period"), order.cast("int").alias("period_ord"), F.lit(kind).alias("kind"))
 
 
-def _memberships(series: DataFrame, keys: Sequence[str], windows: dict, extra: list[Column]) -> DataFrame:
-    """One row per (row, period it belongs to). Only rows near the end join the short windows."""
-    newest = Window.partitionBy(*keys).orderBy(F.col("ts").desc())
-    whole = Window.partitionBy(*keys)
+def _memberships(series: DataFrame, keys: Sequence[str], windows: dict, extra: list[Column], timeframe: str, layout: dict) -> DataFrame:
+    """One row per (row, period it belongs to). Only rows near the end join the short windows.
+
+    The place from the end is the row count less the running count, so a long series is counted in
+    blocks; the last year comes from the same aggregate as the count.
+    """
+    laid, lane = lay_out(series, keys, "ts", timeframe, **layout)
+    counted = unblock(running(drop_borrowed(laid, lane), lane, {"_pos": ("sum", F.lit(1))}), lane)
+    ends = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.max(F.year("ts")).alias("_last_year"))
+    numbered = counted.join(ends, list(keys)).withColumn("_nth", F.col("_rows") - F.col("_pos") + 1)
     year = F.year("ts")
-    numbered = series.withColumns({
-        "_nth": F.row_number().over(newest),
-        "_last_year": F.max(year).over(whole),
-    })
     periods = list(extra)
     for i, (label, rows) in enumerate(windows.items()):
         member = _period(F.lit(label), F.lit(10 + i), "window")
         periods.append(member if rows is None else F.when(F.col("_nth") <= rows, member))
     periods.append(_period(year.cast("string"), year, "year"))
-    return numbered.withColumn("_p", F.explode(F.array_compact(F.array(*periods)))).select("*", "_p.*").drop("_p", "_nth")
+    exploded = numbered.withColumn("_p", F.explode(F.array_compact(F.array(*periods))))
+    return exploded.select("*", "_p.*").drop("_p", "_nth", "_pos", "_rows")
 
 
 def _year_label() -> Column:
@@ -47,18 +51,21 @@ def _year_label() -> Column:
     return F.when(partial, F.concat("period", F.lit(" (partial)"))).otherwise(F.col("period"))
 
 
-def _with_fall(members: DataFrame, keys: Sequence[str]) -> DataFrame:
-    upto = Window.partitionBy(*keys, "period").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    growth = members.withColumn("_growth", F.product(1 + F.col("ret")).over(upto))
-    return growth.withColumn("_fall", F.col("_growth") / F.max("_growth").over(upto) - 1)
+def _with_fall(members: DataFrame, lane: Lane) -> DataFrame:
+    """Growth within a period and its fall from the highest growth so far; ``lane`` has the period as last key."""
+    grown = running(members, lane, {"_growth": ("product", 1 + F.col("ret"))})
+    peaked = running(grown, lane, {"_peak": ("max", F.col("_growth"))})
+    return peaked.withColumn("_fall", F.col("_growth") / F.col("_peak") - 1)
 
 
 def return_periods(
-    returns: DataFrame, keys: Sequence[str], risk_free: float = 0.0, ppy: int = PERIODS_PER_YEAR
+    returns: DataFrame, keys: Sequence[str], risk_free: float = 0.0, ppy: int = PERIODS_PER_YEAR, timeframe: str = "1m", **layout
 ) -> DataFrame:
     """Compound return and annualised statistics per period; fewer than five rows give NULLs."""
     present = returns.where(F.col("ret").isNotNull()).select(*keys, "ts", "ret")
-    members = _with_fall(_memberships(present, keys, RETURN_WINDOWS, []), keys)
+    members = _memberships(present, keys, RETURN_WINDOWS, [], timeframe, layout)
+    laid, lane = lay_out(members, [*keys, "period"], "ts", timeframe, **layout)
+    members = _with_fall(drop_borrowed(laid, lane), lane)
     r, n = F.col("ret"), F.count("ret")
     total = compound(r)
     agg = members.groupBy(*keys, "period", "period_ord", "kind").agg(
@@ -81,7 +88,7 @@ def return_periods(
 
 
 def nav_periods(
-    nav: DataFrame, keys: Sequence[str], risk_free: float = 0.0, ppy: int = PERIODS_PER_YEAR
+    nav: DataFrame, keys: Sequence[str], risk_free: float = 0.0, ppy: int = PERIODS_PER_YEAR, timeframe: str = "1m", **layout
 ) -> DataFrame:
     """Start-to-end return of a NAV curve per period, and statistics of its changes inside it.
 
@@ -93,10 +100,10 @@ def nav_periods(
     if has_statement:
         since = F.col("ts") >= F.col("statement_date").cast("timestamp_ntz")
         extra.insert(0, F.when(since, _period(F.lit("Since stmt"), F.lit(0), "statement")))
-    members = _memberships(nav.where(F.col("nav").isNotNull()), keys, NAV_WINDOWS, extra)
-    along = Window.partitionBy(*keys, "period").orderBy("ts")
-    steps = members.withColumn("ret", F.try_divide(F.col("nav"), F.lag("nav").over(along)) - 1)
-    steps = _with_fall(steps, keys)
+    members = _memberships(nav.where(F.col("nav").isNotNull()), keys, NAV_WINDOWS, extra, timeframe, layout)
+    laid, lane = lay_out(members, [*keys, "period"], "ts", timeframe, 1, 0, **layout)
+    steps = laid.withColumn("ret", F.try_divide(F.col("nav"), F.lag("nav").over(lane.window())) - 1)
+    steps = _with_fall(drop_borrowed(steps, lane), lane)
     r = F.col("ret")
     agg = steps.groupBy(*keys, "period", "period_ord", "kind").agg(
         F.count("nav").alias("days"),

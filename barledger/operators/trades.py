@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barledger.functions.ordered import Lane, running, series_row_bound
 from barledger.functions.quantiles import BUFFER_ROWS, exact_quantiles
-from barledger.functions.stats import INF, compound, mean_where, ratio, sample_skewness, sum_where
+from barledger.functions.stats import INF, compound, mean_where, sample_skewness, sum_where
 from barledger.operators.fills import FLAT
 from barledger.schema import FILL_METHODS
 

@@ -8,7 +8,6 @@ from barledger.operators import anchors as an, distributions, health, rebalance
 from barledger.plans import tables as t
 from barledger.plans.bar_queries import stats
 from barledger.plans.metric_queries import week_returns
-from barledger.plans.oracle_base import define
 from barledger.plans.registry import query
 from barledger.plans.rebalance_queries import weekly_signal
 from barledger.plans.source_queries import snapshots

@@ -331,4 +331,4 @@ def book_nav(spark, sf):
 
 @query("book_periods", "book_id period", "days", "cum_return ann_return ann_vol sharpe max_dd", sql=periods_sql("SELECT * FROM book_ret", "book_id"))
 def book_periods(spark, sf):
-    return performance.book_periods(rt.book_returns(*panel_and_values(spark, sf)))
+    return performance.book_periods(rt.book_returns(*panel_and_values(spark, sf)), timeframe="1w")

@@ -183,10 +183,10 @@ FROM (SELECT {key}, CASE WHEN period ~ '^[0-9]+$' AND (mn > make_date(period::BI
   GROUP BY {key}, period))"""
 
 
-@query("period_metrics", "symbol period", "days", "cum_return ann_return ann_vol sharpe max_dd",
-       sql=periods_sql("SELECT * FROM week_ret WHERE ret IS NOT NULL", "symbol"))
-def period_metrics(spark, sf):
-    return periods.return_periods(week_returns(spark, sf), ["symbol"])
+for _suffix, _layout in (("", {}), ("_blocked", {"block_rows": 60, "slice_rows": 8})):
+    query(f"period_metrics{_suffix}", "symbol period", "days", "cum_return ann_return ann_vol sharpe max_dd",
+          sql=periods_sql("SELECT * FROM week_ret WHERE ret IS NOT NULL", "symbol"))(
+        lambda spark, sf, layout=_layout: periods.return_periods(week_returns(spark, sf), ["symbol"], timeframe="1w", **layout))
 
 
 def nav_periods_sql(source: str, key: str) -> str:
@@ -208,7 +208,11 @@ SELECT {key}, CASE WHEN kind = 'w' OR period = 'YTD' THEN period || ' (since ' |
 FROM a WHERE n >= 2 OR kind <> 's'"""
 
 
-@query("nav_period_metrics", "symbol period", "days", "cum_return ann_return ann_vol sharpe max_dd", sql=nav_periods_sql("SELECT symbol, ts, close AS nav FROM bars_week", "symbol"))
-def nav_period_metrics(spark, sf):
-    nav = t.bars_week(spark, sf).select("symbol", "ts", F.col("close").alias("nav"), F.lit(t.STATEMENT_DATE).cast("date").alias("statement_date"))
-    return periods.nav_periods(nav, ["symbol"])
+def _week_navs(spark, sf):
+    return t.bars_week(spark, sf).select("symbol", "ts", F.col("close").alias("nav"), F.lit(t.STATEMENT_DATE).cast("date").alias("statement_date"))
+
+
+for _suffix, _layout in (("", {}), ("_blocked", {"block_rows": 60, "slice_rows": 8})):
+    query(f"nav_period_metrics{_suffix}", "symbol period", "days", "cum_return ann_return ann_vol sharpe max_dd",
+          sql=nav_periods_sql("SELECT symbol, ts, close AS nav FROM bars_week", "symbol"))(
+        lambda spark, sf, layout=_layout: periods.nav_periods(_week_navs(spark, sf), ["symbol"], timeframe="1w", **layout))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from barledger.operators import book as bk, performance, returns as rt, risk, scenario as sc
 from barledger.plans import tables as t
 from barledger.plans.book_queries import ticker_returns
@@ -109,7 +107,7 @@ _PM = ("sharpe", "ann_return", "ann_vol", "max_dd")
 SELECT book_id, period, {', '.join(f'c.{m} AS cur_{m}, q.{m} AS prop_{m}, q.{m} - c.{m} AS delta_{m}' for m in _PM)} FROM c FULL JOIN (SELECT * FROM p WHERE book_id <> 'current') q USING (book_id, period)""")
 def scenario_periods(spark, sf):
     _, values, panel = diagnostics(spark, sf)
-    return sc.period_deltas(settle(performance.book_periods(rt.book_returns(panel, values))), BASE)
+    return sc.period_deltas(settle(performance.book_periods(rt.book_returns(panel, values), timeframe="1w")), BASE)
 
 
 @query("scenario_tails", "book_id horizon cur_best_date cur_worst_date prop_best_date prop_worst_date",

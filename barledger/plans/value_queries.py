@@ -223,7 +223,7 @@ def nav_panel(spark, sf):
     return daily_nav(spark, sf)[0]
 
 
-BOOK_NAV_DAYS = "SELECT 'current' AS book_id, day::TIMESTAMP AS ts, sum(nav) AS nav FROM nav_days GROUP BY day HAVING count(*) = (SELECT count(*) FROM portfolio)"
+BOOK_NAV_DAYS = "SELECT 'current' AS book_id, day::TIMESTAMP AS ts, sum(nav) AS nav FROM nav_days GROUP BY day HAVING count(nav) = (SELECT count(*) FROM portfolio)"
 
 
 @query("book_nav_daily", "book_id ts", nums="nav", digits=0, sql=BOOK_NAV_DAYS)
@@ -236,7 +236,7 @@ def book_nav_daily(spark, sf):
 def book_since_statement(spark, sf):
     """Period table of the buy-and-hold NAV since the statement."""
     nav = settle(projection.book_nav_from_panel(*daily_nav(spark, sf)).withColumn("statement_date", start_date()))
-    return periods.nav_periods(nav, ["book_id"])
+    return periods.nav_periods(nav, ["book_id"], timeframe="1d")
 
 
 @query("book_period_dollars", "book_id period", nums="cum_dollar", digits=2,
@@ -246,7 +246,7 @@ def book_since_statement(spark, sf):
  UNION ALL SELECT 'All', product(1 + ret) - 1 FROM book_ret)""")
 def book_period_dollars(spark, sf):
     returns, worth = panel_and_values(spark, sf)
-    table = performance.book_periods(rt.book_returns(returns, worth))
+    table = performance.book_periods(rt.book_returns(returns, worth), timeframe="1w")
     return reconcile.cum_dollars(table.where(F.col("period").isin("1M", "1Y", "All")), worth.select("book_id", "aum").distinct())
 
 
@@ -258,7 +258,7 @@ def book_windowed(spark, sf):
     since = projection.book_nav_from_panel(held, book).withColumn("statement_date", start_date())
     returns, worth = panel_and_values(spark, sf)
     long_nav = settle(performance.book_nav(rt.book_returns(returns, worth), "1w"))
-    return performance.book_windowed(settle(since), long_nav, worth.select("book_id", "aum").distinct())
+    return performance.book_windowed(settle(since), long_nav, worth.select("book_id", "aum").distinct(), timeframe="1d")
 
 
 @query("tickers_in_use", "ticker", sql="SELECT ticker FROM holding UNION SELECT ticker FROM month_targets")

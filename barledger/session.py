@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,14 +29,14 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "barledger")
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
-def work_folder(spark: SparkSession) -> str | None:
-    """Shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one in local mode."""
+def work_folder(spark: SparkSession) -> str:
+    """Shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        return None
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.applicationId not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _LOCAL_FOLDERS[context.applicationId]
@@ -45,12 +46,8 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and go on from there.
 
     Used where one frame feeds several branches. The table outlives lost executors, gives the
-    planner true sizes and still prunes columns. Without a shared folder ``df`` is returned as it
-    is: results are the same, upstream work is repeated.
+    planner true sizes and still prunes columns. A cluster that names no shared folder fails here.
     """
-    folder = work_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = f"{work_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,6 +16,8 @@ SAMPLE = {
     "portfolio_curve_fixed_stake", "performance_metrics", "period_metrics", "exposure", "asof_prices", "sheet_target_weights",
     "vendor_wide_bars", "fund_listing", "signal_weights", "compact_numbers",
 }
+#: Queries without SQL; their own tests compare them with plain counterparts.
+UNCHECKED = {n for n in entry.queries() if n.startswith(("op", "multi_anchor", "anchor_", "sleeve_")) or n == "pipeline"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
 
 
@@ -31,11 +33,12 @@ def names():
 @pytest.mark.parametrize("name", names())
 def test_query(spark, con, name):
     verdict, _ = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF_DIR)
-    assert verdict.startswith(("ok", "rows-only")), verdict
+    assert verdict.startswith("ok" if name not in UNCHECKED else ("ok", "rows-only")), verdict
 
 
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.queries()) - set(entry.oracle_sql()) <= UNCHECKED
 
 
 def test_flagship(spark):
