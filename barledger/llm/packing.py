@@ -20,6 +20,8 @@ END_ID = 2
 BLOCKS = 256
 #: Steps of the search after its first descent.
 SEARCH_STEPS = 4000
+#: Fillings looked for per bin: pieces tried in a place, and steps in all.
+WIDTH, FILLING_STEPS = 16, 160
 #: The rank file splits such texts as the vocabulary file does; other characters go to the latter.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*\Z")
 _SPECIAL = "<|"
@@ -112,18 +114,22 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int]) -> Iterator[
             found.setdefault(left, []).append(chosen)
             return
         tries = 0
-        while nxt and tries < 24 and steps < 400 and 0 not in found:
+        while nxt and tries < WIDTH and steps < FILLING_STEPS and 0 not in found:
             if chosen.count(nxt) < counts[nxt]:
                 grow((*chosen, nxt), left - nxt, nxt)
                 tries += 1
             nxt = int(longest[nxt - 1])
+        if not tries:
+            found.setdefault(left, []).append(chosen)
 
     grow((), room, room)
+    least = min(found)
+    leading = max(found[least])  # never left out, whatever the test says
     for waste in sorted(found):
         for pieces in sorted(set(found[waste]), reverse=True):
             pairs = [x + y for i, x in enumerate(pieces) for y in pieces[i + 1:]]
             if any(longest[min(room, x + waste)] > x for x in pieces) or any(longest[min(room, p + waste)] >= p for p in pairs):
-                if (waste, pieces) != (min(found), max(found[min(found)])):
+                if waste != least or pieces != leading:
                     continue
             yield tuple((x, pieces.count(x)) for x in sorted(set(pieces), reverse=True))
 
