@@ -3,6 +3,7 @@
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,6 +71,7 @@ def parse(source: str) -> Page:
     its element does nothing.
     """
     stack: list[tuple[str, bool, bool]] = []  # element, is aside, is main
+    opened: Counter[str] = Counter()  # elements on the stack
     asides = mains = 0
     lines: list[str] = []
     inside: list[tuple[bool, bool]] = []  # within an aside, within main
@@ -100,12 +102,13 @@ def parse(source: str) -> Page:
         elif name == "img":
             continue
         if found[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                for _, aside, main in stack[depth:]:
-                    asides -= aside
-                    mains -= main
-                del stack[depth:]
+            while opened[name]:
+                last, aside, main = stack.pop()
+                opened[last] -= 1
+                asides -= aside
+                mains -= main
+                if last == name:
+                    break
             continue
         if name in RAW:
             closing = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
@@ -119,13 +122,15 @@ def parse(source: str) -> Page:
         main = name in MAIN and not asides and not aside
         if name == "p" or name == "li":  # these end their like before them
             while stack and stack[-1][0] in (name, *INLINE):
-                _, was_aside, was_main = stack.pop()
+                last, was_aside, was_main = stack.pop()
+                opened[last] -= 1
                 asides -= was_aside
                 mains -= was_main
         marked |= main
         asides += aside
         mains += main
         stack.append((name, aside, main))
+        opened[name] += 1
     end_line()
     kept = [not aside and (main or not marked) for aside, main in inside]
     return Page(lines, kept, marked)

@@ -40,6 +40,10 @@ def test_structure(source, want):
     assert main_text(source) == want
 
 
+def test_closing_tags_without_their_element_are_cheap():
+    assert main_text("<div>" * 20000 + "text" + "</span></em>" * 20000) == "text"
+
+
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_common_lines_are_a_longest_subsequence(a, b):
