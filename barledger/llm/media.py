@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 #: Bytes of a pixel row: 64 pixels of three 8-bit samples.
 ROW = 192
 CHANNELS = 3
+#: Rows filtered at a time.
+_ROWS = 8192
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed by the format
 _GRID, _LOW = 32, 8
 _BACK = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -28,18 +30,26 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 def encode_png(samples: bytes, width: int = ROW // CHANNELS, level: int = 3) -> bytes:
     """PNG of RGB rows. Each row takes the filter (none, left, up) with the least sum of absolute differences."""
     rows = np.frombuffer(samples, dtype=np.uint8).reshape(-1, width * CHANNELS)
+    packer = zlib.compressobj(level)
+    body = []
+    for at in range(0, len(rows), _ROWS):
+        above = rows[at - 1:at] if at else np.zeros((1, rows.shape[1]), dtype=np.uint8)
+        body.append(packer.compress(_filtered(rows[at:at + _ROWS], above).tobytes()))
+    body.append(packer.flush())
+    head = struct.pack(">IIBBBBB", width, len(rows), 8, 2, 0, 0, 0)
+    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", b"".join(body)) + _chunk(b"IEND", b"")
+
+
+def _filtered(rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Filter byte and filtered samples of each row."""
     left = rows.copy()
     left[:, CHANNELS:] -= rows[:, :-CHANNELS]
-    up = rows.copy()
-    up[1:] -= rows[:-1]
-    options = np.stack([rows, left, up])
-    cost = np.abs(options.view(np.int8).astype(np.int16)).sum(axis=2, dtype=np.int64)
-    best = cost.argmin(axis=0)
-    lines = np.empty((len(rows), width * CHANNELS + 1), dtype=np.uint8)
+    options = np.stack([rows, left, rows - np.concatenate([above, rows[:-1]])])
+    best = np.abs(options.view(np.int8).astype(np.int16)).sum(axis=2, dtype=np.int64).argmin(axis=0)
+    lines = np.empty((len(rows), rows.shape[1] + 1), dtype=np.uint8)
     lines[:, 0] = best
     lines[:, 1:] = options[best, np.arange(len(rows))]
-    head = struct.pack(">IIBBBBB", width, len(rows), 8, 2, 0, 0, 0)
-    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
+    return lines
 
 
 def decode_png(media: bytes) -> np.ndarray:

@@ -296,6 +296,11 @@ def test_png_round_trip(data):
     assert media.decode_png(media.encode_png(filled)).tobytes() == filled
 
 
+def test_png_of_many_rows():
+    filled = media.payload(b"some words that repeat " * 100_000)
+    assert len(filled) > media._ROWS * media.ROW and media.decode_png(media.encode_png(filled)).tobytes() == filled
+
+
 @pytest.mark.parametrize("kind", range(5))
 def test_every_row_filter(kind):
     rng = np.random.default_rng(kind)
