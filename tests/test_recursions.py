@@ -43,6 +43,9 @@ def test_held_nav(spark, layout):
     assert rb.held_trades(bars, wdf, nav, timeframe="1d").where("abs(change) <= 1e-9").count() == 0
 
 
+D = dt.date
+
+
 def plain_anchor_model(opening, own, targets, deposits, anchors, prices, fee):
     """Loop over all dates with per-asset shares; the rebalanced value beside it."""
     def price(t, d):
