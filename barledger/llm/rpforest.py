@@ -93,7 +93,7 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def leaf_rows(classes: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """``cid, label, size, place``: a row per tree and leaf that a class belongs to."""
+    """``cid, label, size, place, earlier``: a row per tree and leaf of a class; ``earlier`` are its leaves before, in the order of trees and nodes."""
     largest = classes.groupBy("label", "size").count().agg(F.max("count"), F.max("size")).first()
     most, dimensions = int(largest[0] or 0), int(largest[1] or 1)
     depth = max(0, int(np.ceil(np.log2(max(most, 1) / leaf))))
@@ -103,51 +103,98 @@ def leaf_rows(classes: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataF
 
     def assign(rows: pa.RecordBatch) -> pa.RecordBatch:
         row, tree, node = leaves(_matrix(rows.column(3), dimensions), shared.value)
+        order = np.lexsort((node, tree, row))
+        row, tree, node = row[order], tree[order], node[order]
+        place = (tree << 48) + node
+        first_of_row = np.searchsorted(row, row, side="left")
+        lengths = np.arange(len(row)) - first_of_row
+        ends = np.append(0, np.cumsum(lengths))
+        at = np.arange(ends[-1]) - np.repeat(ends[:-1] - first_of_row, lengths)
+        earlier = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[at], pa.int64()))
         own = pa.array(row)
-        return pa.RecordBatch.from_arrays([*[rows.column(i).take(own) for i in range(3)], pa.array((tree << 48) + node)], ["cid", "label", "size", "place"])
+        return pa.RecordBatch.from_arrays([*[rows.column(i).take(own) for i in range(3)], pa.array(place), earlier], ["cid", "label", "size", "place", "earlier"])
 
-    return classes.select("cid", "label", "size", "vector").mapInArrow(row_mapper(assign), "cid long, label long, size int, place long")
+    return classes.select("cid", "label", "size", "vector").mapInArrow(row_mapper(assign), "cid long, label long, size int, place long, earlier array<long>")
 
 
-def links(classes: DataFrame, min_cosine: float = MIN_COSINE, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """``a, b``: pairs of classes in a common leaf with a cosine of at least ``min_cosine``, each once.
+def leaf_links(classes: DataFrame, min_cosine: float = MIN_COSINE, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+    """What the leaves hold: rows ``a, n`` (``b`` null) add ``n`` linked vectors to class ``a``; rows ``a, b`` join two classes.
 
-    Leaves over ``TILE`` rows are cut into parts, and every pair of parts is compared by a task of
-    its own, so that no leaf is dropped, capped or read whole by one task.
+    A pair counts in the first leaf that both are in, so that sums over leaves are exact
+    without listing pairs; the joins of a leaf are a spanning forest of its pairs. Both grow with the
+    rows of a leaf, not with their square. Leaves over ``TILE`` rows are cut into parts, and every
+    pair of parts is compared by a task of its own, so that no leaf is dropped, capped or read whole
+    by one task.
     """
     placed = settle(leaf_rows(classes, trees, leaf))
     key = ["label", "size", "place"]
-    counts = placed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / TILE).cast("long")
+    counts = placed.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1")
+    parts = F.ceil(F.col("rows") / TILE).cast("long")
     own = F.pmod(F.xxhash64("cid"), F.col("parts"))
     counted = placed.join(counts, key).withColumn("parts", parts).withColumn("part", own)
     tiled = counted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     tile = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
-    vectors = classes.select("cid", F.col("vector").cast(ArrayType(DoubleType())).alias("vector"))
-    rows = tiled.withColumn("tile", tile).select("cid", *key, "tile", "part").join(vectors, "cid")
+    vectors = classes.select("cid", "copies", F.col("vector").cast(ArrayType(DoubleType())).alias("vector"))
+    rows = tiled.withColumn("tile", tile).select("cid", *key, "tile", "part", "earlier").join(vectors, "cid")
 
     def compare(cols: dict[str, np.ndarray], borders: np.ndarray) -> pa.RecordBatch:
-        found = [np.zeros((0, 2), dtype=np.int64)]
+        a, b, n = [], [], []
         for lo, hi in zip(borders[:-1], borders[1:]):
-            part = cols["part"][lo:hi]
-            first = np.flatnonzero(part == part.min())
-            second = np.flatnonzero(part != part.min())
-            matrix = np.stack(cols["vector"][lo:hi]).astype(np.float64)
-            norms = np.linalg.norm(matrix, axis=1)
-            ids = cols["cid"][lo:hi]
-            for at in range(0, len(first), 512):
-                rows_of = first[at:at + 512]
-                against = second if len(second) else first
-                cosine = matrix[rows_of] @ matrix[against].T / (norms[rows_of][:, None] * norms[against][None, :])
-                x, y = np.nonzero(cosine >= min_cosine)
-                pairs = np.column_stack([ids[rows_of[x]], ids[against[y]]])
-                found.append(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            part, ids, copies = cols["part"][lo:hi], cols["cid"][lo:hi], cols["copies"][lo:hi]
+            first, second = np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min())
+            linked = _linked(np.stack(cols["vector"][lo:hi]), ids, cols["earlier"][lo:hi], first, second, min_cosine)
+            near = np.flatnonzero(linked.any(axis=1))
+            if not len(near):
+                continue
+            a += ids[near].tolist()
+            b += [None] * len(near)
+            n += (linked[near] @ copies).tolist()
+            for x, y in _forest(linked[np.ix_(near, near)]):
+                a.append(ids[near[x]])
+                b.append(ids[near[y]])
+                n.append(0)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
     order = [*key, "tile"]
     dealt = rows.repartition(*order).sortWithinPartitions(*order, "cid")
-    return dealt.mapInArrow(sorted_groups(order, compare), "a long, b long").distinct()
+    return dealt.mapInArrow(sorted_groups(order, compare), "a long, b long, n long")
+
+
+def _linked(vectors: np.ndarray, ids: np.ndarray, earlier: np.ndarray, first: np.ndarray, second: np.ndarray, min_cosine: float) -> np.ndarray:
+    """Rows x rows: pairs of the tile (``first`` with ``second``, or within ``first`` alone) that link and share no earlier leaf."""
+    found = np.zeros((len(ids), len(ids)), dtype=bool)
+    against = second if len(second) else first
+    norms = np.linalg.norm(vectors, axis=1)
+    close = vectors[first] @ vectors[against].T / (norms[first][:, None] * norms[against][None, :]) >= min_cosine
+    close &= ids[first][:, None] != ids[against][None, :]
+    if close.any():
+        x, y = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+        rows, columns = first[x], against[y]
+        _, leaf = np.unique(np.concatenate([np.asarray(e) for e in earlier[[*rows, *columns]]] or [np.zeros(0)]), return_inverse=True)
+        sizes = np.array([len(e) for e in earlier[[*rows, *columns]]])
+        member = np.zeros((len(sizes), int(leaf.max()) + 1 if len(leaf) else 1), dtype=np.float32)
+        member[np.repeat(np.arange(len(sizes)), sizes), leaf] = 1
+        met = member[:len(rows)] @ member[len(rows):].T > 0
+        found[np.ix_(rows, columns)] = close[np.ix_(x, y)] & ~met
+        found |= found.T
+    return found
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest of a symmetric relation."""
+    edges, rest = [], np.ones(len(linked), dtype=bool)
+    for root in range(len(linked)):
+        if not rest[root]:
+            continue
+        rest[root] = False
+        queue = [root]
+        while queue:
+            q = queue.pop()
+            reached = np.flatnonzero(linked[q] & rest)
+            rest[reached] = False
+            edges += [(q, r) for r in reached]
+            queue += reached.tolist()
+    return edges
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -168,16 +215,14 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         F.xxhash64(vector).alias("h1"), F.xxhash64(F.lit(1), vector).alias("h2"),
     )
     classes = classes_of(rows)
-    pairs = settle(links(classes, min_cosine, trees))
-    copies = classes.select(F.col("cid").alias("b"), "copies")
-    both = pairs.union(pairs.select("b", "a"))
-    reached = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "cid")
-    roots = components(pairs).withColumnRenamed("node", "cid")
+    found = settle(leaf_links(classes, min_cosine, trees))
+    reached = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
+    roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
     joined = settle(classes.select("cid", "label", "h1", "h2", "copies", "first_id").join(reached, "cid", "left").join(roots, "cid", "left")
                     .withColumn("root", F.coalesce("root", "cid")))
     smallest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = joined.join(smallest, "root").select("label", "h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     keys = rows.select("vec_id", F.when(F.col("usable"), F.col("label")).alias("label"), "h1", "h2", "usable")
-    found = keys.join(known, ["label", "h1", "h2"], "left")
+    rows_found = keys.join(known, ["label", "h1", "h2"], "left")
     component = F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id"))
-    return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return rows_found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
