@@ -7,14 +7,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from barledger.llm.common import row_mapper, texts
 
 #: Hashed n-gram buckets; orders of the n-grams.
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Labelled rows per language that the classifier is fitted on, chosen by the hash of their id.
+#: Labelled rows per language that the classifier is fitted on (expected number), chosen by hash.
 ROWS_PER_LANGUAGE = 1000
 #: Languages a model may have; with the rows per language this bounds the sample.
 MAX_LANGUAGES = 400
@@ -89,11 +89,17 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(train: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """``text, lang`` of up to ``rows`` rows per language, by the hash of their id. Only ids are ordered, with a limit per task."""
-    ids = train.select("doc_id", "lang")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= rows).select("doc_id").distinct()
-    return train.join(F.broadcast(chosen.limit(rows * MAX_LANGUAGES)), "doc_id", "left_semi").select("doc_id", "text", "lang")
+    """``doc_id, text, lang`` of about ``rows`` rows per language (all if it has fewer).
+
+    A row is in if the hash of its id and text falls below the share that its language may give; the
+    counts of the ``MAX_LANGUAGES`` most frequent languages are all that the driver sees.
+    """
+    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return train.limit(0).select("doc_id", "text", "lang")
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(rows / r["count"]))])
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    return train.where(place < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("doc_id", "text", "lang")
 
 
 def sparse_features(docs: DataFrame) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
