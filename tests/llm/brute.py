@@ -77,11 +77,11 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
             total = 0.0
             for j in range(i, hi):
                 total += scores[j]
-                if total > 1e-12 and (best is None or total > best[0] + 1e-9):
-                    best = (total, i, j + 1)
+                if total > 0 and (best is None or (total, i - j - 1) > best[:2]):
+                    best = (total, i - j - 1, i, j + 1)
         if best is None:
             return []
-        _, i, j = best
+        _, _, i, j = best
         return [*within(lo, i), (i, j), *within(j, hi)]
 
     return within(0, len(scores))
