@@ -16,13 +16,16 @@ from barledger.llm.common import row_mapper, settle, texts
 from barledger.llm.urlglob import host, path
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*)(?:>|\Z|(?=<))", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|["'].*|[^\s"'>][^\s>]*))?""", re.S)
 _SPACE = re.compile(r"\s+")
 
 #: Elements by what they do (fixed values of the format, grouped by use here).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object select textarea title canvas audio video math".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template svg iframe object select textarea title canvas audio video annotation annotation-xml".split())
+#: Their content is foreign: a closing slash ends them.
+FOREIGN = frozenset(("svg", "annotation", "annotation-xml"))
+_MATH = "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose mfenced merror maction semantics annotation annotation-xml"
+INLINE = frozenset((_MATH + " a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr").split())
 ASIDE = frozenset("nav footer aside form button menu dialog head fieldset".split())
 MAIN = frozenset(("article", "main"))
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -110,7 +113,7 @@ def parse(source: str) -> Page:
                 if last == name:
                     break
             continue
-        if name in RAW:
+        if name in RAW and not (name in FOREIGN and (found[3] or "").endswith("/")):
             closing = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             at = closing.end() if closing else size
             continue

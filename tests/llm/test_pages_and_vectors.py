@@ -35,6 +35,10 @@ def main_text(source):
     ("<p title='a > b'>x</p><p hidden>secret</p></div></section><p>y</p><scr", "x\ny"),
     ("<article><div class='has-ads-free'>fine</div><div class='ad'>buy</div></article>", "fine"),
     ("<table><tr><td>a</td><td>b</td></tr></table>", "a\nb"),
+    ("<article style='overflow:hidden' data-hidden=false data-id='comments' title='id=menu hidden'>text</article>", "text"),
+    ("<p HIDDEN>a</p><p aria-hidden = true>b</p><p data-x=1 id=comments>c</p><p title='x>d</p><p>e</p>", "d\ne"),
+    ("<article>one <svg viewBox='0 0 1 1'/> two<svg><text>no</text></svg></article>", "one\ntwo"),
+    ("<article>if <math><mi>x</mi><mo>=</mo><mn>1</mn><mspace/><annotation>x=1</annotation></math> then</article>", "if x=1 then"),
 ])
 def test_structure(source, want):
     assert main_text(source) == want
