@@ -179,64 +179,85 @@ def common_lines(own: np.ndarray, other: np.ndarray) -> list[int]:
     return [*range(head), *reversed(middle), *range(n - tail, n)]
 
 
-#: Two pages that share more of their lines than this are copies, not pages of one template.
-COPY_SHARE = 0.8
+#: Two pages that share more of their kept lines than this may be versions of one text as well as pages of one template.
+CLOSE_SHARE = 0.8
 
 
-def template_lines(own: np.ndarray, others: list[np.ndarray | None]) -> list[int]:
-    """Places of lines shared with any neighbour, copies of the page left aside."""
-    shared: set[int] = set()
+def template_lines(own: np.ndarray, others: list[np.ndarray]) -> list[int]:
+    """Places of lines shared with a neighbour that is not close, or with every neighbour."""
+    some: set[int] = set()
+    every: set[int] | None = None
     for other in others:
-        if other is None or not len(other) or not len(own):
-            continue
         places = common_lines(own, other)
-        if len(places) <= COPY_SHARE * min(len(own), len(other)):
-            shared.update(places)
-    return sorted(shared)
+        every = set(places) if every is None else every & set(places)
+        if len(places) <= CLOSE_SHARE * min(len(own), len(other)):
+            some.update(places)
+    return sorted(some | (every or set()))
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """A row per page: ``row, page_id, url, host, path, marked, text, lines, kept, hashes``; lines only where no element marks the main text."""
+    """A row per page: ``row, page_id, url, host, path, marked, text, lines, digest, hashes``; lines only where no element marks the main text.
+
+    Lines, hashes and the digest are those of the text that structure keeps.
+    """
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         found = [parse(t) for t in texts(rows.column(1))]
-        open_lines = [[] if p.marked else p.lines for p in found]
+        kept = [[x for x, k in zip(p.lines, p.kept) if k] for p in found]
+        hashes = [line_hashes(x) for x in kept]
         return pa.RecordBatch.from_arrays([
             rows.column(0), pa.array([p.marked for p in found]),
-            pa.array(["\n".join(x for x, k in zip(p.lines, p.kept) if k) if p.marked else "" for p in found], pa.string()),
-            pa.array(open_lines, pa.list_(pa.string())), pa.array([[] if p.marked else p.kept for p in found], pa.list_(pa.bool_())),
-            pa.array([line_hashes(p.lines) for p in found], pa.list_(pa.int64())),
-        ], ["head", "marked", "text", "lines", "kept", "hashes"])
+            pa.array(["\n".join(x) if p.marked else "" for p, x in zip(found, kept)], pa.string()),
+            pa.array([[] if p.marked else x for p, x in zip(found, kept)], pa.list_(pa.string())),
+            pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], pa.binary()), pa.array(hashes, pa.list_(pa.int64())),
+        ], ["head", "marked", "text", "lines", "digest", "hashes"])
 
     head = F.struct(F.monotonically_increasing_id().alias("row"), "page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rows = pages.select(head.alias("head"), F.col("html").cast("string").alias("html"))
-    schema = f"head {rows.schema['head'].dataType.simpleString()}, marked boolean, text string, lines array<string>, kept array<boolean>, hashes array<long>"
-    return rows.mapInArrow(row_mapper(batch), schema).select("head.*", "marked", "text", "lines", "kept", "hashes")
+    schema = f"head {rows.schema['head'].dataType.simpleString()}, marked boolean, text string, lines array<string>, digest binary, hashes array<long>"
+    return rows.mapInArrow(row_mapper(batch), schema).select("head.*", "marked", "text", "lines", "digest", "hashes")
 
 
 def neighbours(parsed: DataFrame) -> DataFrame:
-    """``row, hashes, before, after``: line hashes of the pages next to each in the order of paths within its host.
+    """``host, digest, hashes, others``: line hashes of every different text of a host, and of the texts next to it in the order of paths.
 
-    Pages are dealt by ranges of (host, path), so a host of any size is spread out; each range
-    borrows the page before and the page after it from the ranges beside it.
+    Pages of equal text count once, at their first path, so each meets the nearest different texts:
+    one on either side, or two on one side at the ends of a host. Texts are dealt by ranges of
+    (host, path), so a host of any size is spread out; each range borrows two texts from either side.
     """
     order = ["host", "path", "page_id", "row"]
-    dealt = parsed.select(*order, "hashes").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    key = F.struct("path", "page_id", "row")
+    classes = parsed.where("host <> '' and size(hashes) > 0").groupBy("host", "digest").agg(F.min(key).alias("key"), F.min_by("hashes", key).alias("hashes"))
+    dealt = classes.select("host", "key.*", "digest", "hashes").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     dealt = settle(dealt)
-    key, page = F.struct(*order), F.struct(*order, "hashes")
-    ends = dealt.groupBy("part").agg(F.min_by(page, key).alias("first"), F.max_by(page, key).alias("last"))
+    page = F.struct(*order, "hashes")
+    inner = Window.partitionBy("part")
+    numbered = dealt.withColumn("nth", F.row_number().over(inner.orderBy(*order))).withColumn("rows", F.count(F.lit(1)).over(inner))
+    ends = numbered.where("nth <= 2 or nth > rows - 2").groupBy("part").agg(
+        F.array_sort(F.collect_list(F.when(F.col("nth") <= 2, page))).alias("first"), F.array_sort(F.collect_list(F.when(F.col("nth") > F.col("rows") - 2, page))).alias("last"))
     parts = Window.orderBy("part")  # a row per range
-    beside = ends.select("part", F.lag("last").over(parts).alias("earlier"), F.lead("first").over(parts).alias("later"))
-    borrowed = beside.select("part", F.explode(F.array("earlier", "later")).alias("page")).where("page is not null").select("part", "page.*")
-    every = dealt.select("part", *order, "hashes", F.lit(False).alias("lent")).union(borrowed.select("part", *order, "hashes", F.lit(True)))
-    within = Window.partitionBy("part").orderBy(*order)
-    near = {n: F.when(f(F.col("host")) == F.col("host"), f(F.col("hashes"))) for n, f in
-            (("before", lambda c: F.lag(c).over(within)), ("after", lambda c: F.lead(c).over(within)))}
-    return every.withColumns(near).where("not lent and host <> ''").select("row", "hashes", "before", "after")
+    none = F.array().cast(ends.schema["first"].dataType)
+
+    def joined(*several: Column) -> Column:
+        return F.concat(*[F.coalesce(x, none) for x in several])
+
+    earlier = joined(F.lag("last", 2).over(parts), F.lag("last").over(parts))  # a range may hold one text
+    later = joined(F.lead("first").over(parts), F.lead("first", 2).over(parts))
+    beside = ends.select("part", F.concat(F.slice(F.reverse(earlier), 1, 2), F.slice(later, 1, 2)).alias("pages"))
+    borrowed = beside.select("part", F.explode("pages").alias("page")).select("part", "page.*")
+    every = dealt.select("part", *order, "digest", "hashes", F.lit(False).alias("lent")).union(borrowed.select("part", *order, F.lit(None), "hashes", F.lit(True)))
+    within = inner.orderBy(*order)
 
+    def near(move, n: int) -> Column:
+        return F.when(move(F.col("host"), n).over(within) == F.col("host"), move(F.col("hashes"), n).over(within))
 
-def _shared(own: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([template_lines(o, [b, a]) for o, b, a in zip(own, before, after)], dtype="object")
+    sides = {"b1": near(F.lag, 1), "b2": near(F.lag, 2), "a1": near(F.lead, 1), "a2": near(F.lead, 2)}
+    two = F.when(F.col("b1").isNull(), F.array("a1", "a2")).when(F.col("a1").isNull(), F.array("b1", "b2")).otherwise(F.array("b1", "a1"))
+    return every.withColumns(sides).where("not lent").select("host", "digest", "hashes", F.array_compact(two).alias("others"))
+
+
+def _shared(own: pd.Series, others: pd.Series) -> pd.Series:
+    return pd.Series([template_lines(o, list(x)) for o, x in zip(own, others)], dtype="object")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -245,19 +266,16 @@ def extract(pages: DataFrame) -> DataFrame:
     Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles go by
     their elements, roles, classes and ids. Where an article or main element marks the text, that is
     the result, whole: a line that it shares with other pages stays. Elsewhere every line aligned with
-    the page before or after it in the host's order of paths goes too, unless the two pages are
-    copies. A null or empty html gives an empty text, a null URL has no neighbours, repeated rows are
-    rows like any other, an empty table gives no rows.
+    both neighbouring texts of the host's order of paths goes too, or with one of them if the two do
+    not share most of their lines. Pages of equal text are one neighbour and get equal results. A null
+    or empty html gives an empty text, a null URL has no neighbours, repeated rows are rows like any
+    other, an empty table gives no rows.
     """
     parsed = settle(parsed_pages(pages))
     marked = parsed.where("marked").select("page_id", "url", "text")
     shared = F.pandas_udf(_shared, "array<int>")
-    near = neighbours(parsed).select("row", shared("hashes", "before", "after").alias("shared")).where(F.size("shared") > 0)
-    rest = parsed.where("not marked").join(near, "row", "left")
+    near = neighbours(parsed).where(F.size("others") > 0).select("host", "digest", shared("hashes", "others").alias("shared")).where(F.size("shared") > 0)
+    rest = parsed.where("not marked").join(near, ["host", "digest"], "left")
     gone = F.coalesce("shared", F.array().cast("array<int>"))
-    staying = F.filter("lines", _stays(gone))
+    staying = F.filter("lines", lambda line, i: ~F.array_contains(gone, i))
     return marked.union(rest.select("page_id", "url", F.array_join(staying, "\n").alias("text")))
-
-
-def _stays(gone: Column):
-    return lambda line, i: F.get(F.col("kept"), i) & ~F.array_contains(gone, i)

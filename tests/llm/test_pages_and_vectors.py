@@ -67,6 +67,23 @@ def test_shared_lines_go_only_without_marked_text(spark):
     assert found[100] == "same line\nown" and found[200] == found[201] == "copy one\ncopy two"
 
 
+def test_copies_and_templates_of_unmarked_pages(spark):
+    def body(*lines):
+        return "".join(f"<div>{x}</div>" for x in lines)
+
+    frame = [f"frame {k}" for k in range(40)]
+    menu = "<nav>" + body(*(f"menu {k}" for k in range(40))) + "</nav>"
+    rows = [(i, f"http://a.example/{i}", body(*frame[:20], *(f"own {i} {k}" for k in range(3)), *frame[20:])) for i in range(6)]
+    rows += [(100 + i, f"http://b.example/{100 + i}", body("site name", f"text {max(0, min(i - 2, 4))}", "imprint")) for i in range(9)]  # 0 0 0 1 2 3 4 4 4
+    rows += [(200 + i, f"http://c.example/{i}", menu + body("site name", f"text {i}")) for i in range(2)]
+    rows += [(300 + i, f"http://d.example/{i}", body(*frame[:9], f"version {i}") if i < 2 else body("other", str(i))) for i in range(4)]
+    found = {r.page_id: r.text for r in html_diff.extract(pages(spark, rows)).collect()}
+    assert all(found[i] == f"own {i} 0\nown {i} 1\nown {i} 2" for i in range(6))
+    assert [found[100 + i] for i in range(9)] == [f"text {max(0, min(i - 2, 4))}" for i in range(9)]
+    assert found[200] == "text 0" and found[201] == "text 1"
+    assert found[300].startswith("frame 0\n") and found[301].endswith("frame 8\nversion 1") and found[302] == "2"
+
+
 def test_page_hard_rows(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://a.example", "<p>x</p>"), (3, "http://a.example", "<p>x</p>"), (None, "no scheme", "<p>y</p>"),
             (4, "http://a.example/long", "<article>" + "<p>word word</p>" * 20000), (5, "http://a.example/deep", "<div>" * 3000 + "deep")]
