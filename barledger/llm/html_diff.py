@@ -5,6 +5,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from barledger.llm.urlglob import host, path
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*)(?:>|\Z|(?=<))", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|["'].*|[^\s"'>][^\s>]*))?""", re.S)
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"\w")
 
 #: Elements by what they do (fixed values of the format, grouped by use here).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,6 +28,8 @@ RAW = frozenset("script style noscript template svg iframe object select textare
 FOREIGN = frozenset(("svg", "annotation", "annotation-xml"))
 _MATH = "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose mfenced merror maction semantics annotation annotation-xml"
 INLINE = frozenset((_MATH + " a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr").split())
+#: Blocks of prose: a line in one belongs to the element around it.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre figcaption".split())
 ASIDE = frozenset("nav footer aside form button menu dialog head fieldset".split())
 MAIN = frozenset(("article", "main"))
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -49,6 +53,7 @@ class Page:
     lines: list[str]
     kept: list[bool]  # lines that structure leaves in the main text
     marked: bool  # there is an article or main element
+    units: list[tuple[int, int]]  # for each line of the main text: the lines of it that go together with this one (first, end)
 
 
 def _is_aside(name: str, attributes: str, within_main: bool) -> bool:
@@ -73,29 +78,54 @@ def parse(source: str) -> Page:
     Unclosed elements end with the element around them, a cut page ends all. A closing tag without
     its element does nothing.
     """
-    stack: list[tuple[str, bool, bool]] = []  # element, is aside, is main
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, is aside, is main, holds lines
     opened: Counter[str] = Counter()  # elements on the stack
     asides = mains = 0
     lines: list[str] = []
     inside: list[tuple[bool, bool]] = []  # within an aside, within main
+    holders: list[list[int]] = [[0, 0]]  # first line and end of elements that hold lines, the page first
+    holding = [0]  # those that are open
+    around: list[int] = []  # the innermost of each line, -1 for a line of links
     parts: list[str] = []
+    linked = plain = False  # the parts have words within, and outside of, links
     marked = False
 
     def end_line() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+        nonlocal linked, plain
         parts.clear()
         if text:
             lines.append(text)
             inside.append((asides > 0, mains > 0))
+            around.append(-1 if linked and not plain else holding[-1])
+        linked = plain = False
+
+    def add(text: str) -> None:
+        nonlocal linked, plain
+        parts.append(text)
+        if opened["a"]:
+            linked = linked or bool(_WORD.search(text))
+        else:
+            plain = plain or bool(_WORD.search(text))
+
+    def pop() -> str:
+        nonlocal asides, mains
+        last, aside, main, holds = stack.pop()
+        opened[last] -= 1
+        asides -= aside
+        mains -= main
+        if holds:
+            holders[holding.pop()][1] = len(lines)
+        return last
 
     at, size = 0, len(source)
     while at < size:
         found = _TOKEN.search(source, at)
         if found is None:
-            parts.append(source[at:])
+            add(source[at:])
             break
         if found.start() > at:
-            parts.append(source[at:found.start()])
+            add(source[at:found.start()])
         at = found.end()
         name = (found[2] or "").lower()
         if not name:
@@ -106,11 +136,7 @@ def parse(source: str) -> Page:
             continue
         if found[1]:
             while opened[name]:
-                last, aside, main = stack.pop()
-                opened[last] -= 1
-                asides -= aside
-                mains -= main
-                if last == name:
+                if pop() == name:
                     break
             continue
         if name in RAW and not (name in FOREIGN and (found[3] or "").endswith("/")):
@@ -125,18 +151,24 @@ def parse(source: str) -> Page:
         main = name in MAIN and not asides and not aside
         if name == "p" or name == "li":  # these end their like before them
             while stack and stack[-1][0] in (name, *INLINE):
-                last, was_aside, was_main = stack.pop()
-                opened[last] -= 1
-                asides -= was_aside
-                mains -= was_main
+                pop()
         marked |= main
         asides += aside
         mains += main
-        stack.append((name, aside, main))
+        holds = name not in INLINE and name not in PROSE
+        if holds:
+            holding.append(len(holders))
+            holders.append([len(lines), 0])
+        stack.append((name, aside, main, holds))
         opened[name] += 1
     end_line()
+    for k in holding:
+        holders[k][1] = len(lines)
     kept = [not aside and (main or not marked) for aside, main in inside]
-    return Page(lines, kept, marked)
+    place = list(accumulate(kept, initial=0))  # kept lines before each line
+    alone = [(place[i], place[i] + 1) for i in range(len(lines))]
+    units = [alone[i] if k < 0 or not marked else (place[holders[k][0]], place[holders[k][1]]) for i, k in enumerate(around) if kept[i]]
+    return Page(lines, kept, marked, units)
 
 
 def line_hashes(lines: list[str]) -> np.ndarray:
@@ -195,10 +227,33 @@ def template_lines(own: np.ndarray, others: list[np.ndarray]) -> list[int]:
     return sorted(some | (every or set()))
 
 
+def repeated_units(own: np.ndarray, units: np.ndarray, others: list[np.ndarray]) -> list[int]:
+    """Places of the lines of a marked main text that every neighbour shares with their whole units.
+
+    A line beside own prose, in the same element, stays: articles share licence lines that are not
+    template. So does everything if the only neighbour shares most lines.
+    """
+    first, end = units[::2], units[1::2]
+    if not len(others) or not np.any((first > 0) | (end < len(own))):
+        return []
+    every = np.ones(len(own), dtype=bool)
+    for other in others:
+        places = common_lines(own, other)
+        if len(others) == 1 and len(places) > CLOSE_SHARE * min(len(own), len(other)):
+            return []
+        shared = np.zeros(len(own), dtype=bool)
+        shared[places] = True
+        every &= shared
+    before = np.concatenate(([0], np.cumsum(every)))
+    gone = (before[end] - before[first] == end - first) & ((first > 0) | (end < len(own)))
+    return np.flatnonzero(gone).tolist()
+
+
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """A row per page: ``row, page_id, url, host, path, marked, text, lines, digest, hashes``; lines only where no element marks the main text.
+    """A row per page: ``row, page_id, url, host, path, lines, digest, hashes, units``.
 
-    Lines, hashes and the digest are those of the text that structure keeps.
+    All are those of the text that structure keeps; units (first and end of each line's) only where an
+    element marks the main text.
     """
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -206,20 +261,19 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
         kept = [[x for x, k in zip(p.lines, p.kept) if k] for p in found]
         hashes = [line_hashes(x) for x in kept]
         return pa.RecordBatch.from_arrays([
-            rows.column(0), pa.array([p.marked for p in found]),
-            pa.array(["\n".join(x) if p.marked else "" for p, x in zip(found, kept)], pa.string()),
-            pa.array([[] if p.marked else x for p, x in zip(found, kept)], pa.list_(pa.string())),
+            rows.column(0), pa.array(kept, pa.list_(pa.string())),
             pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], pa.binary()), pa.array(hashes, pa.list_(pa.int64())),
-        ], ["head", "marked", "text", "lines", "digest", "hashes"])
+            pa.array([[x for u in p.units for x in u] if p.marked else [] for p in found], pa.list_(pa.int32())),
+        ], ["head", "lines", "digest", "hashes", "units"])
 
     head = F.struct(F.monotonically_increasing_id().alias("row"), "page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rows = pages.select(head.alias("head"), F.col("html").cast("string").alias("html"))
-    schema = f"head {rows.schema['head'].dataType.simpleString()}, marked boolean, text string, lines array<string>, digest binary, hashes array<long>"
-    return rows.mapInArrow(row_mapper(batch), schema).select("head.*", "marked", "text", "lines", "digest", "hashes")
+    schema = f"head {rows.schema['head'].dataType.simpleString()}, lines array<string>, digest binary, hashes array<long>, units array<int>"
+    return rows.mapInArrow(row_mapper(batch), schema).select("head.*", "lines", "digest", "hashes", "units")
 
 
 def neighbours(parsed: DataFrame) -> DataFrame:
-    """``host, digest, hashes, others``: line hashes of every different text of a host, and of the texts next to it in the order of paths.
+    """``host, digest, hashes, units, others``: line hashes of every different text of a host, and of the texts next to it in the order of paths.
 
     Pages of equal text count once, at their first path, so each meets the nearest different texts:
     one on either side, or two on one side at the ends of a host. Texts are dealt by ranges of
@@ -227,8 +281,8 @@ def neighbours(parsed: DataFrame) -> DataFrame:
     """
     order = ["host", "path", "page_id", "row"]
     key = F.struct("path", "page_id", "row")
-    classes = parsed.where("host <> '' and size(hashes) > 0").groupBy("host", "digest").agg(F.min(key).alias("key"), F.min_by("hashes", key).alias("hashes"))
-    dealt = classes.select("host", "key.*", "digest", "hashes").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    classes = parsed.where("host <> '' and size(hashes) > 0").groupBy("host", "digest").agg(F.min(key).alias("key"), F.min_by(F.struct("hashes", "units"), key).alias("page"))
+    dealt = classes.select("host", "key.*", "digest", "page.*").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     dealt = settle(dealt)
     page = F.struct(*order, "hashes")
     inner = Window.partitionBy("part")
@@ -245,7 +299,7 @@ def neighbours(parsed: DataFrame) -> DataFrame:
     later = joined(F.lead("first").over(parts), F.lead("first", 2).over(parts))
     beside = ends.select("part", F.concat(F.slice(F.reverse(earlier), 1, 2), F.slice(later, 1, 2)).alias("pages"))
     borrowed = beside.select("part", F.explode("pages").alias("page")).select("part", "page.*")
-    every = dealt.select("part", *order, "digest", "hashes", F.lit(False).alias("lent")).union(borrowed.select("part", *order, F.lit(None), "hashes", F.lit(True)))
+    every = dealt.select("part", *order, "digest", "hashes", "units", F.lit(False).alias("lent")).union(borrowed.select("part", *order, F.lit(None), "hashes", F.lit(None), F.lit(True)))
     within = inner.orderBy(*order)
 
     def near(move, n: int) -> Column:
@@ -253,29 +307,29 @@ def neighbours(parsed: DataFrame) -> DataFrame:
 
     sides = {"b1": near(F.lag, 1), "b2": near(F.lag, 2), "a1": near(F.lead, 1), "a2": near(F.lead, 2)}
     two = F.when(F.col("b1").isNull(), F.array("a1", "a2")).when(F.col("a1").isNull(), F.array("b1", "b2")).otherwise(F.array("b1", "a1"))
-    return every.withColumns(sides).where("not lent").select("host", "digest", "hashes", F.array_compact(two).alias("others"))
+    return every.withColumns(sides).where("not lent").select("host", "digest", "hashes", "units", F.array_compact(two).alias("others"))
 
 
-def _shared(own: pd.Series, others: pd.Series) -> pd.Series:
-    return pd.Series([template_lines(o, list(x)) for o, x in zip(own, others)], dtype="object")
+def _shared(own: pd.Series, units: pd.Series, others: pd.Series) -> pd.Series:
+    return pd.Series([repeated_units(o, u, list(x)) if len(u) else template_lines(o, list(x)) for o, u, x in zip(own, units, others)], dtype="object")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of every row of ``pages``: the main text of the whole html.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles go by
-    their elements, roles, classes and ids. Where an article or main element marks the text, that is
-    the result, whole: a line that it shares with other pages stays. Elsewhere every line aligned with
-    both neighbouring texts of the host's order of paths goes too, or with one of them if the two do
-    not share most of their lines. Pages of equal text are one neighbour and get equal results. A null
-    or empty html gives an empty text, a null URL has no neighbours, repeated rows are rows like any
-    other, an empty table gives no rows.
+    their elements, roles, classes and ids, and by an article or main element that marks the text.
+    Then lines aligned with the neighbouring texts of the host's order of paths go. Without a marked
+    text these are lines of both neighbours, or of one if the two do not share most of their lines.
+    In a marked text they are lines of both neighbours that consist of links, or whose element holds
+    such lines only; a shared line beside own prose stays. Pages of equal text are one neighbour and
+    get equal results. A null or empty html gives an empty text, a null URL has no neighbours,
+    repeated rows are rows like any other, an empty table gives no rows.
     """
     parsed = settle(parsed_pages(pages))
-    marked = parsed.where("marked").select("page_id", "url", "text")
     shared = F.pandas_udf(_shared, "array<int>")
-    near = neighbours(parsed).where(F.size("others") > 0).select("host", "digest", shared("hashes", "others").alias("shared")).where(F.size("shared") > 0)
-    rest = parsed.where("not marked").join(near, ["host", "digest"], "left")
-    gone = F.coalesce("shared", F.array().cast("array<int>"))
-    staying = F.filter("lines", lambda line, i: ~F.array_contains(gone, i))
-    return marked.union(rest.select("page_id", "url", F.array_join(staying, "\n").alias("text")))
+    near = neighbours(parsed).where(F.size("others") > 0).select("host", "digest", shared("hashes", "units", "others").alias("shared"))
+    near = settle(near.where(F.size("shared") > 0))
+    gone = settle(parsed.select("row", "host", "digest").join(near, ["host", "digest"]).select("row", "shared"))  # lines do not move by their text's key
+    staying = F.filter("lines", lambda line, i: ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i))
+    return parsed.join(gone, "row", "left").select("page_id", "url", F.array_join(staying, "\n").alias("text"))

@@ -84,6 +84,19 @@ def test_copies_and_templates_of_unmarked_pages(spark):
     assert found[300].startswith("frame 0\n") and found[301].endswith("frame 8\nversion 1") and found[302] == "2"
 
 
+def test_template_within_marked_text(spark):
+    notice = "<div class='x1'><p>We bake pies</p><p>Read on</p></div>"
+    links = "<ul><li><a href=/a>Start</a></li><li><a href=/b>News</a> | <a href=/c>More</a></li></ul>"
+    frame = "<main>{}<div class='body'><p>licence</p><p>text {}</p><ul><li>point</li><li>item {}</li></ul></div><p><a href=/t>To top</a></p>{}</main>"
+    rows = [(i, f"http://a.example/{i}", frame.format(notice, min(i, 6), min(i, 6), links)) for i in range(9)]  # three copies at the end
+    rows += [(100 + i, f"http://b.example/{100 + i}", f"<article><div>part one</div><div>part two</div><div>part three</div><div>part four</div><div>part five</div><div>v{i}</div></article>") for i in range(2)]
+    rows += [(200 + i, f"http://c.example/{200 + i}", "<article><div>whole</div></article>" if i == 1 else f"<article><div>whole</div><p>more {i}</p></article>") for i in range(3)]
+    found = {r.page_id: r.text for r in html_diff.extract(pages(spark, rows)).collect()}
+    assert all(found[i] == f"licence\ntext {min(i, 6)}\npoint\nitem {min(i, 6)}" for i in range(9))
+    assert found[100].startswith("part one\n") and found[100].endswith("\nv0")
+    assert found[201] == "whole"
+
+
 def test_page_hard_rows(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://a.example", "<p>x</p>"), (3, "http://a.example", "<p>x</p>"), (None, "no scheme", "<p>y</p>"),
             (4, "http://a.example/long", "<article>" + "<p>word word</p>" * 20000), (5, "http://a.example/deep", "<div>" * 3000 + "deep")]
