@@ -228,7 +228,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def accepted(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` whose language is determined with at least ``min_score``; the columns stay."""
+def accepted(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose text has a letter; the columns stay.
+
+    A low score is no reason to go: short texts, and texts of languages that share the probability,
+    have one. Without a usable label no language can be ruled out, and the same rows stay.
+    """
     marked = predict(docs.select(F.struct(*docs.columns).alias("row"), F.col("text")), train(docs.where(~held_out(F.col("doc_id")))))
-    return marked.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")
+    return marked.where((F.col("lang_pred") != UNDETERMINED) | F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))).select("row.*")

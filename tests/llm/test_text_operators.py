@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from barledger.llm import langid, media, mixing, packing, secrets, simhash, toxicity
 
@@ -243,6 +244,12 @@ def test_language_hard_rows(spark, odd_documents, no_documents):
     assert langid.accepted(odd_documents).columns == odd_documents.columns and langid.accepted(no_documents).count() == 0
 
 
+def test_low_scores_and_missing_labels_stay(spark):
+    docs = language_rows(spark).union(spark.createDataFrame([(1000, "zqx", "en"), (1001, "123", "en"), (1002, None, "en")], "doc_id long, text string, lang string"))
+    assert {r.doc_id for r in langid.accepted(docs).collect()} == {*range(80), 1000}
+    assert {r.doc_id for r in langid.accepted(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {*range(80), 1000}
+
+
 # -- toxicity ----------------------------------------------------------------------------------------
 
 
