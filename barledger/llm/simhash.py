@@ -40,15 +40,15 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
     """``doc_id, fp`` of every row. Null texts and texts without a word have fingerprint 0."""
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.fromiter((fingerprint(t) for t in text_bytes(rows.column(1))), np.uint64, rows.num_rows)
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(row_mapper(batch), "doc_id long, fp long")
+    plain = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return plain.mapInArrow(row_mapper(batch), f"doc_id {id_type}, fp long")
 
 
 def ring_masks(widths: tuple[int, ...] = WIDTHS) -> list[int]:
@@ -133,7 +133,7 @@ def key_links(rows: DataFrame, keys: list[tuple[int, int]]) -> DataFrame:
     return placed.mapInArrow(sorted_groups(["tag", "part"], groups), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs``, repeated rows and null ids included.
 
     Rows with one fingerprint collapse before the search, so copies cost one row per key. The search
@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meets in a key, and linked fingerprints end in one component. ``component_id`` is the smallest
     non-null id of the component (null if it has none). An empty table gives no rows.
     """
-    marked = settle(fingerprints(docs, id_col, text_col))
+    marked = settle(fingerprints(docs, id_col, text_col, id_type))
     classes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     same, one_off = chain_keys()
     first = components(key_links(classes.select("fp", F.col("fp").alias("label")), same))
@@ -164,12 +164,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, one per component: that of the smallest ``doc_id``, with all its columns.
 
     A row without id stands behind all rows with one (its text's hash takes the place of the id). Of
-    repeated rows with one id the first by the hash of its columns stays.
+    rows with one id in a component the first by the hash of its columns stays; rows with one id and
+    different texts may be in different components, each of which keeps a row.
     """
     stand_in = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("key"))
-    marked = near_duplicates(keyed.select("key", F.col("row.text").alias("text")), "key")
+    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("id"), F.xxhash64(F.struct(*docs.columns)).alias("hash"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), place.alias("key"))
+    marked = near_duplicates(keyed.select("key", F.col("row.text").alias("text")), "key", "text", "struct<id:long,hash:long>")
     first = marked.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
-    copies = Window.partitionBy("key").orderBy(F.xxhash64("row"))
+    copies = Window.partitionBy("key").orderBy("key")  # equal rows
     kept = keyed.join(first, "key", "left_semi").withColumn("nth", F.row_number().over(copies)).where("nth = 1")
     return kept.select("row.*")

@@ -76,6 +76,13 @@ def test_simhash_hard_rows(spark, odd_documents, no_documents):
     assert simhash.near_duplicates(no_documents).count() == 0 and simhash.keep_one(no_documents).count() == 0
 
 
+def test_every_component_keeps_a_row_though_ids_repeat(spark):
+    one, two = "a first text about rivers and boats that go down to the sea", "quite another text on bread and salt in an old kitchen"
+    rows = [(1, one), (1, two), (1, two), (2, one), (3, two), (None, "third text with no id at all and no copy")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, one), (1, two), (0, rows[-1][1])])
+
+
 # -- secrets -----------------------------------------------------------------------------------------
 
 PIECES = ["token", "password", "api_key", "API-KEY", "=", ": ", '"', "'", " ", "\n", "AKIA", "ABCDEFGH23456789", "deadbeef", "0123456789abcdef", "x", "abc", "\U0001f600", "é", "==", "secret"]
