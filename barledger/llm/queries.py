@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barledger.llm import html_diff, langid, media, mixing, packing, rpforest, secrets, simhash, toxicity, urlglob
+from barledger.llm import filter_audit, html_diff, langid, media, mixing, packing, periodic, rpforest, secrets, sharding, simhash, toxicity, urlglob
 from barledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +143,124 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return media.features(media.media_column(docs).drop("text"))
+
+
+def planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of every tenth document, by the checksum of its id, with a periodic tail; other documents as they are."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [*words[:a], *(words[a + i % p] for i in range(n - a))]
+
+
+# CRC-32 of the UTF-8 bytes of {0}: the table of all bytes by eight steps each, then one look a byte
+CRC_TABLE = """t AS (
+  SELECT list(list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc FROM range(256) r(n)
+)"""
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda c, x: xor(c >> 8, crc[xor(c, x) % 256 + 1])))"""
+
+
+@query("op11_periodic_runs", sql=r"""
+WITH """ + CRC_TABLE + r""", h AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, """ + CRC.format("CAST(doc_id AS VARCHAR)") + r""" AS h FROM documents, t
+), g AS (
+  SELECT doc_id, w, len(w) AS n, h // 10 AS g, coalesce(h % 10 = 0, false) AND len(w) > 0 AS planted FROM h
+), a AS (
+  SELECT *, CASE WHEN planted THEN g % n END AS a, CASE WHEN planted THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM g
+), u AS (
+  SELECT doc_id, n, unnest(range(n)) AS i, unnest(CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END) AS word FROM a
+), e AS (
+  SELECT x.doc_id, y.i - x.i AS period, x.i FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), s AS (
+  SELECT doc_id, period, min(i) AS start, count(*) + period AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS k FROM e)
+  GROUP BY doc_id, period, k HAVING count(*) + period >= greatest(24, 3 * period)
+), r AS (
+  SELECT doc_id, start, length, min(period) AS period FROM s GROUP BY doc_id, start, length
+), o AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+    first({'start': start, 'length': length, 'period': period} ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS best
+  FROM r GROUP BY doc_id
+), c AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM u
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = u.doc_id AND u.i >= r.start + r.period AND u.i < r.start + r.length) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+  CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN o USING (doc_id) LEFT JOIN c USING (doc_id)
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), planted_run)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    ahead = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]
+    order = lambda x, y: F.coalesce(*[F.nullif(F.signum(d), F.lit(0.0)) for d in (-ahead(x, y), x["start"] - y["start"], x["period"] - y["period"])], F.lit(0.0)).cast("int")
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    top = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period"))
+    return top.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query("op12_sharding", sql=r"""
+WITH """ + CRC_TABLE + r""", k AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 8 AS BIGINT) AS size, """ + CRC.format("coalesce(text, '')") + r""" AS text_crc32,
+    substr(md5(coalesce(text, '')), 1, 16) || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS key
+  FROM documents, t
+), total AS (
+  SELECT CAST(sum(size) AS HUGEINT) AS total FROM k
+), p AS (
+  SELECT depth, substr(key, 1, depth) AS prefix, CAST(sum(size) AS HUGEINT) AS size FROM k, (SELECT unnest(list_append(range(3, 32, 2), 32)) AS depth) GROUP BY ALL
+), b AS (
+  SELECT depth, sum(size) OVER (PARTITION BY depth ORDER BY prefix) AS upper, sum(size) OVER (PARTITION BY depth ORDER BY prefix) - size AS lower FROM p
+), near AS (
+  SELECT i, depth, CASE WHEN i * total - 24 * lower <= 24 * upper - i * total THEN lower ELSE upper END AS below,
+    least(i * total - 24 * lower, 24 * upper - i * total) * 200 <= total AS fits
+  FROM b, total, range(1, 24) r(i) WHERE 24 * lower < i * total AND i * total <= 24 * upper
+), marks AS (
+  SELECT i, first(below ORDER BY CASE WHEN fits THEN depth ELSE 99 END, -depth) AS below FROM near GROUP BY i
+), places AS (
+  SELECT *, sum(size) OVER (ORDER BY key) - size AS start FROM k
+), shards AS (
+  SELECT *, CAST((SELECT count(*) FROM marks WHERE below <= start) AS INTEGER) AS shard FROM places
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM shards
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op13_filter_audit", sql=r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t),
+      regexp_matches(t, '[#$%&*|]'), copy][i]) AS fails
+  FROM (SELECT *, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS copy FROM d) LEFT JOIN l USING (doc_id)
+), n AS (
+  SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL
+), x AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), hits AS (
+  SELECT part, o, step, o[step] AS letter, n, good, toxic, list_contains(fails, o[step]) AS hit, len(list_intersect(fails, o[1:step - 1])) > 0 AS gone, len(fails) = 1 AS single
+  FROM n, orders, range(1, 6) s(step)
+), sums AS (
+  SELECT part, array_to_string(o, '') AS filter_order, step, letter, sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND hit THEN n ELSE 0 END) AS redundant, sum(CASE WHEN hit AND single THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND hit THEN n * good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND hit THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM hits GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM sums
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
