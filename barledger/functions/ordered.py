@@ -160,9 +160,15 @@ def _merge(op: str, carry: Column, local: Column) -> Column:
 def running(df: DataFrame, lane: Lane, specs: dict[str, tuple[str, Column]]) -> DataFrame:
     """Add running columns from series start to the current row.
 
-    Operations: ``sum``, ``product``, ``max``, ``min``, ``last`` (last non-null) and ``since``
-    (rows since the condition last held, 0 on such a row; the row position if it never held).
+    Operations: ``sum``, ``product``, ``max``, ``min``, ``last`` (last non-null), ``since``
+    (rows since the condition last held, 0 on such a row; the row position if it never held) and
+    ``affine``, whose value is a pair of columns (see ``_affine``).
     """
+    maps = {n: pair for n, (op, pair) in specs.items() if op == "affine"}
+    if maps:
+        plain = {n: spec for n, spec in specs.items() if n not in maps}
+        out = _affine(df, lane, maps)
+        return running(out, lane, plain) if plain else out
     since = [n for n, (op, _) in specs.items() if op == "since"]
     upto = lane.upto()
     if lane.blocked:
@@ -196,6 +202,43 @@ def running(df: DataFrame, lane: Lane, specs: dict[str, tuple[str, Column]]) ->
     return out.withColumns(merged).drop("_at", *helpers)
 
 
+def _affine(df: DataFrame, lane: Lane, maps: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Running composition of ``v -> factor * v + term``, applied to 0 before the first row.
+
+    A row with factor 0 starts anew from its term, so the first row of a series gives its opening as
+    a term. Between such rows the value is ``P * sum(term / P)`` with the running product ``P`` of the
+    factors, two window functions instead of a fold. A block composes to one pair (product of its
+    factors, value from 0); the pairs of earlier blocks compose the same way to the value carried in.
+    Products must stay within the range of a double inside a block.
+    """
+    if not lane.blocked:
+        for n, (factor, term) in maps.items():
+            df = _affine_in(df, list(lane.keys), lane.order, factor, term, n)
+        return df
+    df = settle(df)
+    for n, (factor, term) in maps.items():
+        df = df.withColumn(f"_mul_{n}", F.product(factor).over(lane.upto()))
+        df = _affine_in(df, [*lane.keys, _BLK], lane.order, factor, term, f"_loc_{n}")
+    ends = [F.max_by(f"{part}_{n}", lane.order).alias(f"{part}_{n}") for n in maps for part in ("_mul", "_loc")]
+    carried = df.groupBy(*lane.keys, _BLK).agg(*ends)
+    before = Window.partitionBy(*lane.keys).orderBy(_BLK)
+    for n in maps:
+        carried = _affine_in(carried, list(lane.keys), _BLK, F.col(f"_mul_{n}"), F.col(f"_loc_{n}"), f"_end_{n}")
+        carried = carried.withColumn(f"_car_{n}", F.coalesce(F.lag(f"_end_{n}").over(before), F.lit(0.0)))
+    out = df.join(carried.select(*lane.keys, _BLK, *[f"_car_{n}" for n in maps]), [*lane.keys, _BLK])
+    merged = {n: F.col(f"_loc_{n}") + F.col(f"_mul_{n}") * F.col(f"_car_{n}") for n in maps}
+    return out.withColumns(merged).drop(*[f"{part}_{n}" for n in maps for part in ("_mul", "_loc", "_car")])
+
+
+def _affine_in(df: DataFrame, parts: list[str], order: str, factor: Column, term: Column, name: str) -> DataFrame:
+    start, scale = f"_start_{name}", f"_scale_{name}"
+    upto = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since = Window.partitionBy(*parts, start).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn(start, F.sum(F.when(factor == 0, 1).otherwise(0)).over(upto))
+    df = df.withColumn(scale, F.product(F.when(factor == 0, 1.0).otherwise(factor)).over(since))
+    return df.withColumn(name, F.col(scale) * F.sum(term / F.col(scale)).over(since)).drop(start, scale)
+
+
 def _carries(
     df: DataFrame, lane: Lane, specs: dict[str, tuple[str, Column]], values: dict[str, Column]
 ) -> DataFrame:

@@ -8,15 +8,16 @@ models run along it:
   amount of the next rebalance depends on the lots before it: ``next = amount * A + B``.
 * **rebalanced** - the value earns the weighted return of every bar: ``next = value * f + deposit``.
 
-Both recursions have one step per target change or timeline date of one portfolio, so they are
-folded over a short sorted array; everything that grows with prices is joins and aggregations.
+Both recursions are running compositions of affine steps, one per target change or timeline date
+(``functions.ordered``); everything that grows with prices is joins and aggregations.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barledger.functions.calendars import month_before
+from barledger.functions.calendars import calendar_days, month_before
+from barledger.functions.ordered import Lane, drop_borrowed, lay_out, running, unblock
 from barledger.operators.asof import as_of, as_of_single, effective_targets, target_intervals
 from barledger.operators.book import CASH_PREFIX, with_role
 from barledger.operators.projection import PORTFOLIO
@@ -104,11 +105,11 @@ def anchor_timeline(
     """
     end_day = end.cast("date")
     held = with_role(portfolio).select(*PORTFOLIO, "currency")
-    days = observed.where(F.col("snap_date") <= end_day).select("snap_date").distinct()
-    days = days.unionByName(observed.groupBy().agg(end_day.alias("snap_date"))).distinct()
-    grid = held.crossJoin(F.broadcast(days))  # a handful of snapshot dates
+    # one array of the snapshot dates, a sheet's columns; every portfolio has a row on each of them
+    days = observed.where(F.col("snap_date") <= end_day).agg(F.collect_set("snap_date")).scalar()
+    grid = held.withColumn("snap_date", F.explode(F.array_distinct(F.array_append(days, end_day))))
     seen = observed.where(F.col("base_value") > 0).select("name", "snap_date", "base_value", "sgd_value")
-    grid = grid.join(seen, ["name", "snap_date"], "left").crossJoin(F.broadcast(last_rate(fx)))
+    grid = grid.join(seen, ["name", "snap_date"], "left").withColumn("last_fx", last_rate(fx).scalar())
     usd = F.upper("currency") == "USD"
     grid = grid.select(
         *PORTFOLIO, "currency", F.col("snap_date").alias("anchor_date"), F.col("base_value").alias("observed"),
@@ -218,83 +219,99 @@ def multi_anchor(
     """
     marks = settle(boundaries(portfolio, anchors, targets, deposits, fx, rebalance_on_anchor))
     start = anchors.groupBy(*PORTFOLIO).agg(F.min_by("observed", "anchor_date").alias("opening"), F.min("anchor_date").alias("_a"))
-    lots = marks.join(start, PORTFOLIO).select(
-        *PORTFOLIO, F.col("day").alias("lot_day"), "epoch", F.col("fee_chain").alias("_paid"),
-        F.when((F.col("day") == F.col("_a")) | (F.col("is_change") == 1), "base").when(F.col("deposit") != 0, "deposit").alias("lot"),
-        F.when((F.col("day") != F.col("_a")) & (F.col("is_change") == 0), F.col("deposit")).alias("paid_in"),
-    ).where(F.col("lot").isNotNull())
-    weighted = _price_at(_weights_at(lots, "lot_day", holding, targets).where("weight > 0"), prices, "lot_day", "p_lot").where("p_lot > 0")
-
-    # A boundary values the lots of the epoch that ends there (change) or is running (anchor).
-    seen = marks.where("is_anchor = 1 OR is_change = 1").select(
-        *PORTFOLIO, "day", "is_anchor", "is_change", (F.col("epoch") - F.col("is_change")).alias("epoch"), "fee_chain"
-    )
-    pairs = weighted.join(seen, [*PORTFOLIO, "epoch"]).where(F.col("day") >= F.col("lot_day"))
-    pairs = _price_at(pairs, prices, "day", "p_now")
-    unit = F.col("weight") * F.coalesce("p_now", F.lit(0.0)) / F.col("p_lot") * F.col("fee_chain") / F.col("_paid")
-    units = settle(pairs.groupBy(*PORTFOLIO, "epoch", "day", "is_anchor", "is_change", "lot", "ticker").agg(
-        F.sum(F.when(F.col("lot") == "base", unit).otherwise(unit * F.col("paid_in"))).alias("unit")
-    ))
-    amounts = settle(_rebalance_amounts(marks, units, start))
-    shown = units.where("is_anchor = 1").join(amounts, [*PORTFOLIO, "epoch"])
-    value = F.when(F.col("lot") == "base", F.col("unit") * F.col("amount")).otherwise(F.col("unit"))
-    by_asset = shown.groupBy(*PORTFOLIO, F.col("day").alias("anchor_date"), "ticker").agg(F.sum(value).alias("value"))
-    by_asset = settle(by_asset)
-    held = by_asset.groupBy(*PORTFOLIO, "anchor_date").agg(F.sum("value").alias("model_bh"))
+    held = settle(_units_held(marks, start, holding, targets, prices))
+    amounts = _rebalance_amounts(marks, held, start)
+    shown = held.where("is_anchor = 1").join(amounts, [*PORTFOLIO, "epoch"])
+    value = F.col("base") * F.col("amount") + F.col("paid")
+    by_asset = settle(shown.select(*PORTFOLIO, F.col("day").alias("anchor_date"), "ticker", value.alias("value")))
+    lots = by_asset.groupBy(*PORTFOLIO, "anchor_date").agg(F.sum("value").alias("model_bh"))
     rebalanced = _rebalanced_values(marks, start, holding, targets, prices)
     cum = marks.where("is_anchor = 1").select(*PORTFOLIO, F.col("day").alias("anchor_date"), "deposits_cum")
     on = [*PORTFOLIO, "anchor_date"]
-    sleeves = anchors.join(cum, on).join(held, on, "left").join(rebalanced, on, "left").fillna(0.0, ["model_bh"])
+    sleeves = anchors.join(cum, on).join(lots, on, "left").join(rebalanced, on, "left").fillna(0.0, ["model_bh"])
     holdings = _price_at(by_asset, prices, "anchor_date", "price")
     return sleeves, holdings
 
 
-def _rebalance_amounts(marks: DataFrame, units: DataFrame, start: DataFrame) -> DataFrame:
-    """Amount each epoch starts with: the opening observation folded through the target changes."""
-    ends = units.where("is_change = 1").groupBy(*PORTFOLIO, "epoch").agg(
-        F.sum(F.when(F.col("lot") == "base", F.col("unit"))).alias("a"),
-        F.sum(F.when(F.col("lot") == "deposit", F.col("unit"))).alias("b"),
-    )
-    changes = marks.where("is_change = 1").select(*PORTFOLIO, (F.col("epoch") - 1).alias("epoch"), F.col("deposit").alias("_paid"))
-    steps = changes.join(ends, [*PORTFOLIO, "epoch"], "left").groupBy(*PORTFOLIO).agg(
-        F.array_sort(F.collect_list(F.struct(
-            "epoch", F.coalesce("a", F.lit(0.0)).alias("a"), (F.coalesce("b", F.lit(0.0)) + F.col("_paid")).alias("b")
-        ))).alias("_steps")
-    )
-    folded = F.aggregate(
-        F.coalesce("_steps", F.array().cast("array<struct<epoch:bigint,a:double,b:double>>")),
-        F.array(F.col("opening")),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) * x["a"] + x["b"])),
+def _units_held(marks: DataFrame, start: DataFrame, holding: DataFrame, targets: DataFrame, prices: DataFrame) -> DataFrame:
+    """Value per asset and boundary of the lots running there, as ``base`` per unit of the epoch's amount plus ``paid``.
+
+    A lot is worth ``weight / (price * fees)`` units of its asset when bought; the units of an epoch add
+    up over its lots, and a boundary reads the running sum at its own price and fees. An anchor looks
+    at the epoch it lies in, a target change at the one it ends.
+    """
+    lots = marks.join(start, PORTFOLIO).select(
+        *PORTFOLIO, F.col("day").alias("lot_day"), "epoch", "fee_chain",
+        F.when((F.col("day") == F.col("_a")) | (F.col("is_change") == 1), "base").when(F.col("deposit") != 0, "deposit").alias("lot"),
+        F.when((F.col("day") != F.col("_a")) & (F.col("is_change") == 0), F.col("deposit")).alias("paid_in"),
+    ).where(F.col("lot").isNotNull())
+    bought = _price_at(_weights_at(lots, "lot_day", holding, targets).where("weight > 0"), prices, "lot_day", "p_lot").where("p_lot > 0")
+    unit = F.col("weight") / (F.col("p_lot") * F.col("fee_chain"))
+    none = F.lit(0.0)
+    series = [*PORTFOLIO, "epoch", "ticker"]
+    units = settle(bought.groupBy(*series, F.col("lot_day").alias("day")).agg(
+        F.sum(F.when(F.col("lot") == "base", unit).otherwise(none)).alias("base"),
+        F.sum(F.when(F.col("lot") == "deposit", unit * F.col("paid_in")).otherwise(none)).alias("paid"),
+    ))
+    look = [*PORTFOLIO, "day", "is_anchor", "is_change", "epoch", "fee_chain"]
+    anchors = marks.where("is_anchor = 1").withColumn("is_change", F.lit(0)).select(*look)
+    changes = marks.where("is_change = 1").withColumns({"is_anchor": F.lit(0), "epoch": F.col("epoch") - 1}).select(*look)
+    first = units.groupBy(*series).agg(F.min("day").alias("_first"))
+    asked = anchors.unionByName(changes).join(first, [*PORTFOLIO, "epoch"]).where(F.col("day") >= F.col("_first")).drop("_first")
+    rows = units.unionByName(asked, allowMissingColumns=True).groupBy(*series, "day").agg(
+        *[F.coalesce(F.sum(c), none).alias(c) for c in ("base", "paid")],
+        *[F.max(c).alias(c) for c in ("is_anchor", "is_change", "fee_chain")],
     )
-    return start.join(steps, PORTFOLIO, "left").select(*PORTFOLIO, F.posexplode(folded).alias("epoch", "amount")).withColumn(
-        "epoch", F.col("epoch").cast("long")
+    laid, lane = lay_out(rows, series, "day", DAILY)
+    summed = running(laid, lane, {"base": ("sum", F.col("base")), "paid": ("sum", F.col("paid"))})
+    summed = _price_at(unblock(summed, lane).where(F.col("is_anchor").isNotNull()), prices, "day", "p_now")
+    worth = F.coalesce("p_now", none) * F.col("fee_chain")
+    return summed.withColumns({"base": F.col("base") * worth, "paid": F.col("paid") * worth}).drop("p_now", "fee_chain")
+
+
+def _rebalance_amounts(marks: DataFrame, held: DataFrame, start: DataFrame) -> DataFrame:
+    """Amount each epoch starts with: the opening observation carried through the target changes."""
+    ends = held.where("is_change = 1").groupBy(*PORTFOLIO, (F.col("epoch") + 1).alias("epoch")).agg(
+        F.sum("base").alias("factor"), F.sum("paid").alias("term")
     )
+    changes = marks.where("is_change = 1").select(*PORTFOLIO, "epoch", "deposit").join(ends, [*PORTFOLIO, "epoch"], "left")
+    term = F.coalesce("term", F.lit(0.0)) + F.col("deposit")
+    steps = changes.select(*PORTFOLIO, "epoch", F.coalesce("factor", F.lit(0.0)).alias("factor"), term.alias("term"))
+    opening = start.select(*PORTFOLIO, F.lit(0).cast("long").alias("epoch"), F.lit(0.0).alias("factor"), F.col("opening").alias("term"))
+    # at most one target change a day, so a portfolio's steps are bounded like a daily series
+    lane = Lane(tuple(PORTFOLIO), "epoch", timeframe=DAILY)
+    carried = running(opening.unionByName(steps), lane, {"amount": ("affine", (F.col("factor"), F.col("term")))})
+    return carried.select(*PORTFOLIO, "epoch", "amount")
 
 
-def _rebalanced_values(marks: DataFrame, start: DataFrame, holding: DataFrame, targets: DataFrame, prices: DataFrame) -> DataFrame:
-    """Daily-rebalanced value at each anchor."""
-    stretches = marks.where(F.col("prev_day").isNotNull()).select(*PORTFOLIO, "prev_day", "day")
-    weighted = _weights_at(stretches, "prev_day", holding, targets).where("weight > 0")
-    weighted = weighted.groupBy(*PORTFOLIO, "prev_day", "day", "ticker").agg(F.sum("weight").alias("weight"))
-    along = Window.partitionBy("ticker").orderBy("ts")
-    steps = prices.where("close IS NOT NULL").withColumn("ret", F.col("close") / F.lag("close").over(along) - 1).where("ret IS NOT NULL")
-    inside = (F.col("ts").cast("date") > F.col("prev_day")) & (F.col("ts").cast("date") <= F.col("day"))
-    bars = weighted.join(steps.select("ticker", "ts", "ret"), "ticker").where(inside)
+def stretch_growth(stretches: DataFrame, weights: DataFrame, prices: DataFrame, **layout) -> DataFrame:
+    """Growth of one unit kept at ``weights`` over the bars of each stretch ``(prev_day, day]``.
+
+    A weighted asset is spread over the days of its stretch and meets the bar returns by (ticker, day),
+    so a bar is matched once per portfolio that holds it, however many stretches a portfolio has.
+    """
+    laid, lane = lay_out(prices.where("close IS NOT NULL"), ["ticker"], "ts", DAILY, reach_back=1, **layout)
+    returns = laid.withColumn("ret", F.col("close") / F.lag("close").over(lane.window()) - 1)
+    returns = unblock(drop_borrowed(returns, lane), lane).where("ret IS NOT NULL")
+    returns = returns.select("ticker", "ts", F.col("ts").cast("date").alias("bar_day"), "ret")
+    held = weights.groupBy(*PORTFOLIO, "prev_day", "day", "ticker").agg(F.sum("weight").alias("weight"))
+    days = calendar_days(held.withColumn("_from", F.date_add("prev_day", 1)), "_from", "day", "bar_day")
+    bars = days.join(returns, ["ticker", "bar_day"])
     daily = bars.groupBy(*PORTFOLIO, "day", "ts").agg(F.sum(F.col("weight") * F.col("ret")).alias("_r"))
-    growth = daily.groupBy(*PORTFOLIO, "day").agg(F.product(1 + F.col("_r")).alias("_growth"))
-    path = marks.where(F.col("prev_day").isNotNull()).join(growth, [*PORTFOLIO, "day"], "left").groupBy(*PORTFOLIO).agg(
-        F.array_sort(F.collect_list(F.struct(
-            "day", (F.coalesce("_growth", F.lit(1.0)) * F.col("kept")).alias("f"), F.col("deposit").alias("paid"), "is_anchor"
-        ))).alias("_path")
-    )
-    opened = start.join(path, PORTFOLIO, "left")
-    none = F.array().cast("array<struct<day:date,f:double,paid:double,is_anchor:int>>")
-    first = F.array(F.struct(F.col("_a").alias("day"), F.col("opening").alias("v"), F.lit(1).alias("is_anchor")))
-    folded = F.aggregate(F.coalesce("_path", none), first, lambda acc, x: F.concat(acc, F.array(F.struct(
-        x["day"].alias("day"), (F.element_at(acc, -1)["v"] * x["f"] + x["paid"]).alias("v"), x["is_anchor"].alias("is_anchor")
-    ))))
-    points = opened.select(*PORTFOLIO, F.inline(folded))
-    return points.where("is_anchor = 1").select(*PORTFOLIO, F.col("day").alias("anchor_date"), F.col("v").alias("model_dr"))
+    growth = daily.groupBy(*PORTFOLIO, "day").agg(F.product(1 + F.col("_r")).alias("growth"))
+    return stretches.join(growth, [*PORTFOLIO, "day"], "left").fillna(1.0, ["growth"])
+
+
+def _rebalanced_values(marks: DataFrame, start: DataFrame, holding: DataFrame, targets: DataFrame, prices: DataFrame) -> DataFrame:
+    """Daily-rebalanced value at each anchor: ``value * growth * fees + deposit`` from boundary to boundary."""
+    stretches = marks.where(F.col("prev_day").isNotNull())
+    weights = _weights_at(stretches.select(*PORTFOLIO, "prev_day", "day"), "prev_day", holding, targets).where("weight > 0")
+    grown = stretch_growth(stretches, weights, prices)
+    steps = grown.select(*PORTFOLIO, "day", "is_anchor", (F.col("growth") * F.col("kept")).alias("factor"), F.col("deposit").alias("term"))
+    opening = start.select(*PORTFOLIO, F.col("_a").alias("day"), F.lit(1).alias("is_anchor"), F.lit(0.0).alias("factor"), F.col("opening").alias("term"))
+    laid, lane = lay_out(opening.unionByName(steps), PORTFOLIO, "day", DAILY)
+    carried = running(laid, lane, {"model_dr": ("affine", (F.col("factor"), F.col("term")))})
+    return carried.where("is_anchor = 1").select(*PORTFOLIO, F.col("day").alias("anchor_date"), "model_dr")
 
 
 def sleeve_reconcile(
@@ -305,11 +322,11 @@ def sleeve_reconcile(
     ``observed_start`` and ``observed_end`` carry ``name, sgd_value``.
     """
     last = sleeves.groupBy(*PORTFOLIO, "currency").agg(F.max_by("model_bh", "anchor_date").alias("_native"))
-    rate = F.broadcast(last_rate(fx))  # one row
-    valued = last.crossJoin(rate).withColumn(
+    latest = last_rate(fx).scalar()
+    valued = last.withColumn("last_fx", latest).withColumn(
         "model", F.when(F.upper("currency") == "USD", F.col("_native") * F.col("last_fx")).otherwise(F.col("_native"))
     )
-    paid = as_of_single(deposits, fx, "date", "rate", "_rate", timeframe=DAILY).crossJoin(rate)
+    paid = as_of_single(deposits, fx, "date", "rate", "_rate", timeframe=DAILY).withColumn("last_fx", latest)
     in_base = F.when(F.upper("currency") == "SGD", F.col("amount")).otherwise(F.col("amount") * F.coalesce("_rate", "last_fx"))
     paid = paid.groupBy("name").agg(F.sum(in_base).alias("deposits"))
     a = observed_start.select("name", F.col("sgd_value").alias("start_value"))

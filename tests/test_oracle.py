@@ -17,7 +17,7 @@ SAMPLE = {
     "vendor_wide_bars", "fund_listing", "signal_weights", "compact_numbers",
 }
 #: Queries without SQL; their own tests compare them with plain counterparts.
-UNCHECKED = {n for n in entry.queries() if n.startswith(("op", "multi_anchor", "anchor_", "sleeve_")) or n == "pipeline"}
+UNCHECKED = {n for n in entry.queries() if n.startswith("op") or n == "pipeline"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
 
 
