@@ -26,6 +26,7 @@ ROWS_PER_TASK = 4_000_000
 HISTORY_SECONDS = 150 * 366 * 86400
 BLOCK_ROWS = 1_000_000
 SLICE_ROWS = 65_536
+TAIL_SLICE_ROWS = 1_024
 
 _BLK = "_blk"
 _HALO = "_halo"
@@ -136,6 +137,23 @@ def unblock(df: DataFrame, lane: Lane) -> DataFrame:
     return df.drop(_BLK, _HALO) if lane.blocked else df
 
 
+def newest_rows(df: DataFrame, keys: Sequence[str], n: int, timeframe: str = "1m", order: str = "ts", slice_rows: int = TAIL_SLICE_ROWS) -> DataFrame:
+    """The newest ``n`` rows of every series, with their place ``_nth`` from the end (1 is the last row).
+
+    Rows are counted per slice of time in a partially aggregated pass; only slices that hold some of
+    the newest ``n`` rows are read on, so a window task orders at most ``n`` rows and a slice of one
+    series, however long the series is. ``df`` holds at most one row per series and bar slot.
+    """
+    span = TIMEFRAME_SECONDS[timeframe] * slice_rows
+    sliced = df.withColumn(_SLICE, F.floor(F.unix_seconds(F.col(order).cast("timestamp")) / F.lit(span)))
+    newer = Window.partitionBy(*keys).orderBy(F.col(_SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = sliced.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    needed = counts.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).where(F.col("_newer") < n)
+    tail = sliced.join(needed.select(*keys, _SLICE), [*keys, _SLICE], "left_semi").drop(_SLICE)
+    from_end = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    return tail.withColumn("_nth", F.row_number().over(from_end)).where(F.col("_nth") <= n)
+
+
 _LOCAL = {
     "sum": lambda c: F.sum(c),
     "product": lambda c: F.product(c),

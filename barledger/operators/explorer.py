@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barledger.functions.listings import listing_ticker, wrapper_label
+from barledger.functions.ordered import TAIL_SLICE_ROWS, newest_rows
 from barledger.functions.stats import annual_vol, annualised, compound, sharpe
 from barledger.schema import PERIODS_PER_YEAR
 
@@ -26,12 +27,16 @@ def fund_universe(sheet: DataFrame, overrides: Mapping[str, str] | None = None)
     return rows.withColumn("ticker", F.coalesce(fixed, "ticker"))
 
 
-def fund_metrics(returns: DataFrame, risk_free: float = 0.0, ppy: int = PERIODS_PER_YEAR) -> DataFrame:
-    """One row per ticker: short cumulative returns, year to date, and figures per metric window."""
-    newest = Window.partitionBy("ticker").orderBy(F.col("ts").desc())
-    rows = returns.where(F.col("ret").isNotNull()).withColumns({
-        "_nth": F.row_number().over(newest), "_year": F.max(F.year("ts")).over(Window.partitionBy("ticker")),
-    })
+def fund_metrics(
+    returns: DataFrame, risk_free: float = 0.0, ppy: int = PERIODS_PER_YEAR, timeframe: str = "1m", slice_rows: int = TAIL_SLICE_ROWS
+) -> DataFrame:
+    """One row per ticker: short cumulative returns, year to date, and figures per metric window.
+
+    Figures over all rows are partially aggregated per ticker and year; the others look at the newest rows of
+    a ticker only (``functions.ordered.newest_rows``), so no task holds a whole ticker.
+    """
+    present = returns.where(F.col("ret").isNotNull()).select("ticker", "ts", "ret")
+    rows = newest_rows(present, ["ticker"], max(METRIC_WINDOWS.values()), timeframe, slice_rows=slice_rows)
     r = F.col("ret")
     # Growth is read back from the newest row, so each window needs only its own running product.
     for label, n in METRIC_WINDOWS.items():
@@ -39,16 +44,14 @@ def fund_metrics(returns: DataFrame, risk_free: float = 0.0, ppy: int = PERIODS_
         upto = Window.partitionBy("ticker").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn(f"_g{label}", F.when(F.col("_nth") <= n, F.product(inside).over(upto)))
         rows = rows.withColumn(f"_d{label}", F.col(f"_g{label}") / F.max(f"_g{label}").over(upto) - 1)
-    n_all = F.count(r)
+    n_all = F.count(r)  # a ticker with fewer rows than a window has them all in the tail
 
     def tail(n: int):
         return F.when(F.col("_nth") <= n, r)
 
     cols = [
-        n_all.alias("n_days"),
         F.when(n_all >= 5, compound(tail(21))).alias("cum_return_1M"),
         F.when(n_all >= 20, compound(tail(63))).alias("cum_return_3M"),
-        compound(F.when(F.year("ts") == F.col("_year"), r)).alias("ytd_return"),
     ]
     for label, n in METRIC_WINDOWS.items():
         x = tail(n)
@@ -60,27 +63,33 @@ def fund_metrics(returns: DataFrame, risk_free: float = 0.0, ppy: int = PERIODS_
             F.when(enough, F.min(f"_d{label}")).alias(f"max_dd_{label}"),
             F.when(enough, vol).alias(f"vol_{label}"),
         ]
-    return rows.groupBy("ticker").agg(*cols)
+    years = present.groupBy("ticker", F.year("ts").alias("_year")).agg(F.count(r).alias("_n"), compound(r).alias("_growth"))
+    whole = years.groupBy("ticker").agg(F.sum("_n").alias("n_days"), F.max_by("_growth", "_year").alias("ytd_return"))
+    return whole.join(rows.groupBy("ticker").agg(*cols), "ticker")
 
 
-def book_correlations(returns: DataFrame, book: DataFrame) -> DataFrame:
+def book_correlations(returns: DataFrame, book: DataFrame, timeframe: str = "1m", slice_rows: int = TAIL_SLICE_ROWS) -> DataFrame:
     """Correlation of every ticker with the book return (``ts, book_ret``) over several windows."""
-    newest = Window.partitionBy("ticker").orderBy(F.col("ts").desc())
     both = returns.join(book.select("ts", "book_ret"), "ts").where("ret IS NOT NULL AND book_ret IS NOT NULL")
-    both = both.withColumns({
-        "_nth": F.row_number().over(newest), "_year": F.max(F.year("ts")).over(Window.partitionBy("ticker")),
-    })
-    cols = [F.count(F.lit(1)).alias("corr_n")]
+    both = both.select("ticker", "ts", "ret", "book_ret")
+    tail = newest_rows(both, ["ticker"], max(n for n, _ in CORR_WINDOWS.values() if n), timeframe, slice_rows=slice_rows)
+    cols = []
     for label, (n, least) in CORR_WINDOWS.items():
-        inside = (F.year("ts") == F.col("_year")) if n is None else (F.col("_nth") <= n)
-        a, b = F.when(inside, F.col("ret")), F.when(inside, F.col("book_ret"))
-        cols.append(F.when(F.count(a) >= least, F.corr(a, b)).alias(f"corr_book_{label}"))
-    return both.groupBy("ticker").agg(*cols)
-
-
-def fund_explorer(universe: DataFrame, returns: DataFrame, book: DataFrame) -> DataFrame:
+        if n is not None:
+            a, b = F.when(F.col("_nth") <= n, F.col("ret")), F.when(F.col("_nth") <= n, F.col("book_ret"))
+            cols.append(F.when(F.count(a) >= least, F.corr(a, b)).alias(f"corr_book_{label}"))
+    least = CORR_WINDOWS["YTD"][1]
+    years = both.groupBy("ticker", F.year("ts").alias("_year")).agg(
+        F.count(F.lit(1)).alias("_n"), F.when(F.count(F.lit(1)) >= least, F.corr("ret", "book_ret")).alias("_corr"))
+    newest = F.max_by(F.struct("_corr"), "_year")["_corr"]
+    whole = years.groupBy("ticker").agg(F.sum("_n").alias("corr_n"), newest.alias("corr_book_YTD"))
+    return whole.join(tail.groupBy("ticker").agg(*cols), "ticker")
+
+
+def fund_explorer(universe: DataFrame, returns: DataFrame, book: DataFrame, timeframe: str = "1m") -> DataFrame:
     """Explorer table; a fund without data keeps its row."""
-    out = universe.join(fund_metrics(returns), "ticker", "left").join(book_correlations(returns, book), "ticker", "left")
+    figures, with_book = fund_metrics(returns, timeframe=timeframe), book_correlations(returns, book, timeframe)
+    out = universe.join(figures, "ticker", "left").join(with_book, "ticker", "left")
     return out.withColumn("has_data", F.col("n_days").isNotNull()).fillna(0, ["n_days", "corr_n"])
 
 

@@ -246,11 +246,34 @@ _WINDOW_SQL = " ".join(
 define("fr", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS nth, max(year(ts)) OVER (PARTITION BY symbol) AS ly FROM week_ret WHERE ret IS NOT NULL")
 
 
-@query("fund_metrics", "ticker", "n_days", _FUND_NUMS,
-       sql=f"""SELECT symbol AS ticker, * FROM (SELECT symbol, count(*) AS n_days, product(CASE WHEN nth <= 21 THEN 1 + ret END) - 1 AS "cum_return_1M", product(CASE WHEN nth <= 63 THEN 1 + ret END) - 1 AS "cum_return_3M",
- product(CASE WHEN year(ts) = ly THEN 1 + ret END) - 1 AS ytd_return FROM fr GROUP BY symbol) {_WINDOW_SQL}""")
+_FUND_SQL = f"""SELECT symbol AS ticker, * FROM (SELECT symbol, count(*) AS n_days, product(CASE WHEN nth <= 21 THEN 1 + ret END) - 1 AS "cum_return_1M", product(CASE WHEN nth <= 63 THEN 1 + ret END) - 1 AS "cum_return_3M",
+ product(CASE WHEN year(ts) = ly THEN 1 + ret END) - 1 AS ytd_return FROM fr GROUP BY symbol) {_WINDOW_SQL}"""
+
+
+@query("fund_metrics", "ticker", "n_days", _FUND_NUMS, sql=_FUND_SQL)
 def fund_metrics(spark, sf):
-    return explorer.fund_metrics(ticker_returns(spark, sf))
+    return explorer.fund_metrics(ticker_returns(spark, sf), timeframe="1w")
+
+
+@query("fund_metrics_blocked", "ticker", "n_days", _FUND_NUMS, sql=_FUND_SQL)
+def fund_metrics_blocked(spark, sf):
+    """Slices of seven weeks, so that many of them are passed over."""
+    return explorer.fund_metrics(ticker_returns(spark, sf), timeframe="1w", slice_rows=7)
+
+
+_SUPPLIER_SQL = _FUND_SQL
+for _table, _other in (("week_ret", "supp_ret"), ("fr", "supplier_fr")):
+    _SUPPLIER_SQL = _SUPPLIER_SQL.replace(f"FROM {_table} ", f"FROM {_other} ")
+define("supplier_fr", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS nth, max(year(ts)) OVER (PARTITION BY symbol) AS ly FROM supp_ret WHERE ret IS NOT NULL")
+
+
+@query("fund_metrics_suppliers", "ticker", "n_days", _FUND_NUMS, sql=_SUPPLIER_SQL)
+def fund_metrics_suppliers(spark, sf):
+    """Many tickers with daily bars; their number grows with the tables."""
+    from barledger.plans.book_queries import supplier_panel
+
+    daily = settle(supplier_panel(spark, sf).select(F.col("name").alias("ticker"), "ts", "ret"))
+    return explorer.fund_metrics(daily, timeframe="1d")
 
 
 define("fb", "SELECT f.symbol, f.ts, f.ret, b.ret AS book_ret, row_number() OVER (PARTITION BY symbol ORDER BY f.ts DESC) AS nth, max(year(f.ts)) OVER (PARTITION BY symbol) AS ly FROM week_ret f JOIN book_ret b USING (ts) WHERE f.ret IS NOT NULL")
@@ -266,7 +289,7 @@ def fund_explorer(spark, sf):
     book = rt.book_returns(*panel_and_values(spark, sf)).withColumnRenamed("ret", "book_ret")
     known = t.universe(spark, sf).select("ticker", "asset_class")
     missing = spark.createDataFrame([("NO DATA", "Bond")], "ticker string, asset_class string")
-    return explorer.fund_explorer(known.unionByName(missing), rets, book)
+    return explorer.fund_explorer(known.unionByName(missing), rets, book, timeframe="1w")
 
 
 @query("universe_audit", "name ticker status",
