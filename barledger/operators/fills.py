@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barledger.functions.ordered import Lane, drop_borrowed, lay_out, running
-from barledger.operators.signals import signal_age, trend_signal
+from barledger.operators.signals import average_sweep, signal_from_average, trend_signal
 
 FLAT = "None"
 
@@ -115,11 +117,32 @@ def run_backtest(
     laid, lane = lay_out(
         bars, keys, "ts", timeframe, ma_window + entry_offset + 4, entry_offset + 3, **layout
     )
-    signal = trend_signal(laid, lane, ma_window, trim_start)
+    return _from_signal(trend_signal(laid, lane, ma_window, trim_start), lane, cost_bps, entry_offset, with_age), lane
+
+
+def run_sweep(
+    bars: DataFrame,
+    windows: Mapping[str, int],
+    cost_bps: float = 0.0,
+    entry_offset: int = 0,
+    trim_start=None,
+    keys=("symbol",),
+    timeframe: str = "1m",
+    with_age: bool = False,
+    **layout,
+) -> tuple[DataFrame, Lane]:
+    """Backtest frames of many averaging lengths, named by ``variant``, from one scan of the bars."""
+    reach = max(windows.values()) + entry_offset + 4
+    laid, lane = lay_out(bars, keys, "ts", timeframe, reach, entry_offset + 3, **layout)
+    averaged, lane = average_sweep(laid, lane, windows)
+    return _from_signal(signal_from_average(averaged, lane, trim_start), lane, cost_bps, entry_offset, with_age), lane
+
+
+def _from_signal(signal: DataFrame, lane: Lane, cost_bps: float, entry_offset: int, with_age: bool) -> DataFrame:
     if with_age:
         signal = signal.withColumn("_flat", (F.col("signal_open") == 0) & (F.col("exit") == 0))
     signal = delay_entries(signal, lane, entry_offset)
     returns = drop_borrowed(bar_returns(signal, lane, cost_bps), lane)
     if with_age:
         returns = running(returns, lane, {"signal_age": ("since", F.col("_flat"))}).drop("_flat")
-    return accumulate(returns, lane), lane
+    return accumulate(returns, lane)

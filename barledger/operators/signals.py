@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from barledger.functions.ordered import Lane, drop_borrowed, lay_out, rolling_mean, running
@@ -17,9 +20,13 @@ def trend_signal(bars: DataFrame, lane: Lane, ma_window: int = 200, trim_start=N
     ``signal_age`` (see :func:`signal_age`) needs them gone.
     """
     require_columns(bars, *lane.keys, lane.order, "close")
+    return signal_from_average(bars.withColumn("ma", rolling_mean(F.col("close"), lane, ma_window)), lane, trim_start)
+
+
+def signal_from_average(averaged: DataFrame, lane: Lane, trim_start=None) -> DataFrame:
+    """Signal, edges and cycle of bars that carry their average ``ma`` (see :func:`trend_signal`)."""
     w = lane.window()
-    out = bars.withColumn("ma", rolling_mean(F.col("close"), lane, ma_window))
-    out = out.withColumn(
+    out = averaged.withColumn(
         "signal_close", F.coalesce(F.col("close") > F.col("ma"), F.lit(False)).cast("int")
     )
     out = out.withColumn("signal_open", F.lag("signal_close", 1, 0).over(w))
@@ -36,6 +43,26 @@ def trend_signal(bars: DataFrame, lane: Lane, ma_window: int = 200, trim_start=N
     })
 
 
+def average_sweep(bars: DataFrame, lane: Lane, windows: Mapping[str, int]) -> tuple[DataFrame, Lane]:
+    """Every bar once per variant, with the variant's moving average ``ma`` of the close.
+
+    All averages of a series come from one running sum and one running count, read ``n`` rows apart, in
+    one window step: the bars are scanned, shuffled and sorted once for any number of variants. Sums
+    run within the lane's window (a block in the split layout), which keeps them short. The rows are
+    then dealt by (variant, series), so a sweep over few symbols still fills the cluster.
+    """
+    require_columns(bars, *lane.keys, lane.order, "close")
+    upto, w = lane.upto(), lane.window()
+    summed = bars.withColumns({"_sum": F.sum("close").over(upto), "_seen": F.count("close").over(upto)})
+    lags = {n: (F.coalesce(F.lag("_sum", n).over(w), F.lit(0.0)), F.coalesce(F.lag("_seen", n).over(w), F.lit(0))) for n in set(windows.values())}
+    summed = summed.withColumns({f"_{kind}{n}": c for n, pair in lags.items() for kind, c in zip(("sum", "seen"), pair)})
+    mean = {n: F.when(F.col("_seen") - F.col(f"_seen{n}") == n, (F.col("_sum") - F.col(f"_sum{n}")) / n) for n in lags}
+    each = F.array(*[F.struct(F.lit(v).alias("variant"), mean[n].alias("ma")) for v, n in windows.items()])
+    rows = summed.select(*bars.columns, F.inline(each))
+    swept = replace(lane, keys=("variant", *lane.keys))
+    return rows.repartition(*swept.keys), swept
+
+
 def signal_age(signal: DataFrame, lane: Lane, name: str = "signal_age") -> DataFrame:
     """Bars in the active streak, exit bar included; 0 when flat.
 

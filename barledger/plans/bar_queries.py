@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barledger.operators import fills, signals, trades
 from barledger.plans import tables as t
-from barledger.plans.oracle_base import summary_sql
+from barledger.plans.oracle_base import define, summary_sql
 from barledger.plans.registry import query
 from barledger.session import settle, work_folder
 from barledger.sources import bars as src
@@ -153,6 +153,9 @@ def bar_backtest_day(spark, sf):
     return backtest(spark, sf)[0]
 
 
+define("ranked", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM bars_hour")
+
+
 @query("bar_backtest_hour_blocked", "symbol ts cycle", "position_start position_end trade_cycle_id", BACKTEST_NUMS,
        sql=BACKTEST_SQL.format("h24"))
 def bar_backtest_hour_blocked(spark, sf):
@@ -190,16 +193,9 @@ for _name, _prefix, _method in (("net", "d20", "net"), ("conservative", "d20", "
 
 
 def variants(spark, sf):
-    """Two moving-average windows as variants of one job: the key travels through every operator."""
-    both = None
-    for name, window in (("w10", 10), ("w30", 30)):
-        bt, lane = fills.run_backtest(
-            t.bars_week(spark, sf).withColumn("variant", F.lit(name)), window, COST_BPS,
-            keys=("variant", "symbol"), timeframe="1w",
-        )
-        one = trades.trade_stats(bt, lane)
-        both = one if both is None else both.unionByName(one)
-    return settle(both)
+    """Two moving-average windows as variants of one job over one scan: the key travels through every operator."""
+    bt, lane = fills.run_sweep(t.bars_week(spark, sf), {"w10": 10, "w30": 30}, COST_BPS, timeframe="1w")
+    return settle(trades.trade_stats(bt, lane))
 
 
 VARIANT_TRADES = "(SELECT 'w10' AS variant, * FROM w10_stats UNION ALL SELECT 'w30' AS variant, * FROM w30_stats)"
@@ -217,6 +213,24 @@ def variant_symbol(spark, sf):
     return trades.symbol_table(variants(spark, sf), timeframe="1w")
 
 
+SWEEP = (5, 8, 10, 13, 20, 30, 45, 60, 90, 150)
+
+
+@query("variant_sweep_blocked", "variant", "n_bars n_long n_entries", "last_equity",
+       sql=f"""SELECT 'ma' || n AS variant, count(*) AS n_bars, sum(on_) AS n_long, sum(CASE WHEN on_ = 1 AND p = 0 THEN 1 ELSE 0 END) AS n_entries, arg_max(e, (ts, symbol)) AS last_equity FROM (
+ SELECT *, product(1 + CASE WHEN on_ = 1 AND p = 0 THEN close/open - 1 WHEN on_ = 0 AND p = 1 THEN open/pc - 1 WHEN on_ = 1 THEN close/pc - 1 ELSE 0 END
+   - CASE WHEN on_ <> p THEN {COST_BPS}::DOUBLE/10000 ELSE 0 END) OVER (PARTITION BY n, symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS e FROM (
+  SELECT *, lag(on_, 1, 0) OVER (PARTITION BY n, symbol ORDER BY ts) AS p, lag(close) OVER (PARTITION BY n, symbol ORDER BY ts) AS pc FROM (
+   SELECT *, lag(CASE WHEN close > ma THEN 1 ELSE 0 END, 1, 0) OVER (PARTITION BY n, symbol ORDER BY ts) AS on_ FROM (
+    SELECT b.*, n, CASE WHEN b.k >= n THEN (SELECT avg(x.close) FROM ranked x WHERE x.symbol = b.symbol AND x.k > b.k - n AND x.k <= b.k) END AS ma FROM ranked b, (SELECT unnest([{', '.join(map(str, SWEEP))}]) AS n))))) GROUP BY n""")
+def variant_sweep_blocked(spark, sf):
+    """Ten averaging lengths over hourly bars in blocks."""
+    bt, lane = fills.run_sweep(t.bars_hour(spark, sf), {f"ma{n}": n for n in SWEEP}, COST_BPS, timeframe="1h", block_rows=400, slice_rows=48)
+    return bt.groupBy("variant").agg(
+        F.count("*").alias("n_bars"), F.sum("signal_open").alias("n_long"), F.sum("enter").alias("n_entries"),
+        F.max_by("strategy_equity_net", F.struct("ts", "symbol")).alias("last_equity"))
+
+
 TIMING_SQL = """SELECT {keys}, count(*) FILTER (duration >= 5 AND d5 > 0)/nullif(count(*) FILTER (duration >= 5), 0)::DOUBLE AS wr_d5,
  count(*) FILTER (duration >= 5) AS wr_d5_n, count(*) FILTER (duration >= 5 AND d5 > 0) AS wr_d5_nwin,
  count(*) FILTER (duration > 5 AND tail > 0)/nullif(count(*) FILTER (duration > 5), 0)::DOUBLE AS wr_tail,
