@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -10,6 +11,8 @@ from barledger.llm.common import WORD_CLASS, settle
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
+#: Least quality weight; the most is 1.
+LEAST_WEIGHT = 0.1
 #: Slices of the key range per source; a slice is what one window task orders.
 SLICES = 4096
 
@@ -18,10 +21,25 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 
 
-def quality(text: Column, size: Column) -> Column:
-    """Weight in (0.1, 1]: near 1 for prose with words of about five letters, low for symbol runs and fragments."""
-    mean = F.length(text) / F.greatest(size, F.lit(1)) - 6.0
-    return F.coalesce(0.1 + 0.9 * F.exp(-mean * mean / 16.0), F.lit(0.1))
+def quality(text: Column) -> Column:
+    """Weight in [0.1, 1]: the share of letters, of any script, among the characters that are not white space."""
+    shown = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    return F.coalesce(LEAST_WEIGHT + (1 - LEAST_WEIGHT) * letters / F.greatest(shown, F.lit(1)), F.lit(LEAST_WEIGHT))
+
+
+def key_slice(key: Column, slices: int = SLICES) -> Column:
+    """Slice of a key, rising with it: each holds at most 1.85 of ``slices`` parts of a source, whatever the weights.
+
+    A key of weight ``w`` has the density ``w exp(-w key)``. The largest of these over all ``w`` from ``LEAST_WEIGHT`` to 1 is
+    that of 1 up to the key 1, of ``1 / key`` up to ``1 / LEAST_WEIGHT``, then of the least weight; slices
+    have equal areas under this envelope.
+    """
+    e, far = math.exp(-1), 1 / LEAST_WEIGHT
+    whole = 1 - e + e * math.log(far) + e
+    area = (F.when(key < 1, 1 - F.exp(-key)).when(key < far, 1 - e + e * F.log(key))
+            .otherwise(whole - F.exp(-LEAST_WEIGHT * key)))
+    return F.least(F.floor(area / whole * slices), F.lit(slices - 1)).cast("int")
 
 
 def uniform(doc_id: Column, text: Column, seed: int = 0) -> Column:
@@ -34,7 +52,7 @@ def uniform(doc_id: Column, text: Column, seed: int = 0) -> Column:
 def measured(docs: DataFrame, seed: int = 0) -> DataFrame:
     """``doc_id, source, size, sample_key`` of every row; the smaller the key the sooner the row is taken."""
     sized = docs.select("doc_id", "source", "text").withColumn("size", words(F.col("text")))
-    weight = quality(F.col("text"), F.col("size"))
+    weight = quality(F.col("text"))
     return sized.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / weight).alias("sample_key"))
 
 
@@ -66,14 +84,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
 
     ``taken`` counts words: complete epochs of the source first, then rows in the order of their
     exponential keys until the rest of the target is filled; the row at the end gives the words that
-    still fit. The prefix sum runs over slices of the key range, so a source of any share is spread
-    over many tasks. Null text has size 0 and is never taken; null sources form one source; rows
+    still fit. The prefix sum runs over slices of the key range (``key_slice``), so a source of any share is
+    spread over many tasks. Null text has size 0 and is never taken; null sources form one source; rows
     with one id share a key, so that equal rows are interchangeable. An empty table gives no rows.
     """
     rows = settle(measured(docs, seed))
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    piece = F.floor((1.0 - F.exp(-F.col("sample_key"))) * SLICES).cast("int")
-    sliced = rows.withColumns({"name": name, "slice": piece})
+    sliced = rows.withColumns({"name": name, "slice": key_slice(F.col("sample_key"))})
     sums = sliced.groupBy("name", "slice").agg(F.sum("size").alias("slice_size"), F.first("source").alias("source"))
     targets = source_targets(rows, weights, max_epochs).withColumn("name", name).drop("source")
     earlier = Window.partitionBy("name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

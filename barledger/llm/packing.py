@@ -16,11 +16,11 @@ from barledger.llm.common import row_mapper, settle, texts
 
 CAPACITY = 1024
 END_ID = 2
-#: Blocks that number the pieces of one length; a hot length is spread over them.
-BLOCKS = 256
+#: Pieces that one task numbers at most, about; a length with more is spread over blocks.
+BLOCK_ROWS = 1 << 18
 #: Steps of the search after its first descent.
 SEARCH_STEPS = 4000
-#: Fillings looked for per bin: pieces tried in a place, and steps in all.
+#: Branching per bin: choices tried in a place, and steps after which each place takes its first choice.
 WIDTH, FILLING_STEPS = 16, 160
 #: The rank file splits such texts as the vocabulary file does; other characters go to the latter.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*\Z")
@@ -88,10 +88,12 @@ Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
 
 
 def fillings(room: int, lengths: list[int], counts: dict[int, int]) -> Iterator[Filling]:
-    """Undominated fillings of ``room`` from the lengths still there, least waste first.
+    """Undominated fillings of ``room`` from the lengths still there, least waste first, of any number of pieces.
 
     A filling is dominated if one of its pieces, or two together, could give way to a longer single
-    piece that is there and still fits. An exact single piece dominates everything.
+    piece that is there and still fits. An exact single piece dominates everything. The enumeration
+    goes depth first from the longest pieces; after ``FILLING_STEPS`` steps it finishes what it has begun greedily
+    and stops, and an exact filling stops it too.
     """
     fitting = [x for x in lengths if x <= room]  # longest first
     if not fitting:
@@ -103,35 +105,42 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int]) -> Iterator[
     there = np.zeros(room + 1, dtype=bool)
     there[fitting] = True
     longest = np.maximum.accumulate(np.where(there, np.arange(room + 1), 0))  # longest piece up to a size
-    found: dict[int, list[tuple[int, ...]]] = {}
+    found: dict[int, list[Filling]] = {}
     steps = 0
 
-    def grow(chosen: tuple[int, ...], left: int, cap: int) -> None:
+    def grow(chosen: Filling, left: int, cap: int) -> None:
+        """Go on with the longest piece up to ``cap`` that fits, as often as it fits, then less often, then with shorter ones."""
         nonlocal steps
         steps += 1
-        nxt = int(longest[min(left, cap)])
-        if not nxt or len(chosen) == 6:
-            found.setdefault(left, []).append(chosen)
-            return
-        tries = 0
-        while nxt and tries < WIDTH and steps < FILLING_STEPS and 0 not in found:
-            if chosen.count(nxt) < counts[nxt]:
-                grow((*chosen, nxt), left - nxt, nxt)
+        nxt, tries = int(longest[min(left, cap)]), 0
+        while nxt and 0 not in found:
+            for times in range(min(left // nxt, counts[nxt]), 0, -1):
+                grow((*chosen, (nxt, times)), left - times * nxt, nxt - 1)
                 tries += 1
+                if tries >= WIDTH or steps >= FILLING_STEPS or 0 in found:
+                    return  # what lies beyond the budget is left out; every filling found is complete
             nxt = int(longest[nxt - 1])
-        if not tries:
+        if not tries and not spare(dict(chosen), left):
             found.setdefault(left, []).append(chosen)
 
+    def spare(used: dict[int, int], left: int) -> bool:
+        """Whether a piece that is not used up would still fit."""
+        x = int(longest[left])
+        while x and used.get(x, 0) == counts[x]:
+            x = int(longest[x - 1])
+        return x > 0
+
     grow((), room, room)
     least = min(found)
     leading = max(found[least])  # never left out, whatever the test says
     for waste in sorted(found):
         for pieces in sorted(set(found[waste]), reverse=True):
-            pairs = [x + y for i, x in enumerate(pieces) for y in pieces[i + 1:]]
-            if any(longest[min(room, x + waste)] > x for x in pieces) or any(longest[min(room, p + waste)] >= p for p in pairs):
+            own = [x for x, _ in pieces]
+            pairs = [x + y for i, x in enumerate(own) for y in own[i + 1:]] + [2 * x for x, times in pieces if times > 1]
+            if any(longest[min(room, x + waste)] > x for x in own) or any(longest[min(room, p + waste)] >= p for p in pairs):
                 if waste != least or pieces != leading:
                     continue
-            yield tuple((x, pieces.count(x)) for x in sorted(set(pieces), reverse=True))
+            yield pieces
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -258,7 +267,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str | None
     empty table gives no rows.
     """
     pieces = settle(token_pieces(docs, capacity, paths))
-    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BLOCKS)).cast("int")
+    blocks = -(-max(pieces.count(), 1) // BLOCK_ROWS)
+    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int")
     blocked = pieces.withColumn("block", block)
     sizes = blocked.groupBy("length", "block").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -103,11 +103,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_source_mixing", sql=r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, length(text) AS n,
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    0.1::DOUBLE + 0.9::DOUBLE * length(regexp_replace(text, '\P{L}+', '', 'g')) / greatest(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')), 1) AS weight,
     (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || ':0'), 1, 13)) AS UBIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM documents
 ), k AS (
-  SELECT doc_id, source, size, -ln(u) / coalesce(0.1::DOUBLE + 0.9::DOUBLE * exp(-pow(CAST(n AS DOUBLE) / greatest(size, 1) - 6.0::DOUBLE, 2) / 16.0::DOUBLE), 0.1::DOUBLE) AS sample_key
+  SELECT doc_id, source, size, -ln(u) / coalesce(weight, 0.1::DOUBLE) AS sample_key
   FROM d
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * CAST(sum(size) AS BIGINT) AS cap,

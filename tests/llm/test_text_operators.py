@@ -159,6 +159,70 @@ def test_mix_hard_rows(odd_documents, no_documents):
 # -- packing -----------------------------------------------------------------------------------------
 
 
+def fewest_bins(items, capacity):
+    """Exact optimum by trying every place of every item."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= items[i]:
+                rest = list(rooms)
+                rest.remove(room)
+                go(i + 1, [*rest, room - items[i]])
+        go(i + 1, [*rooms, capacity - items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+@given(st.sampled_from([7, 10, 23]).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), max_size=9))))
+@settings(max_examples=150, deadline=None)
+def test_small_packings_are_optimal(case):
+    capacity, items = case
+    plan = packing.bin_completion({x: items.count(x) for x in items}, capacity)
+    assert sum(n for _, n in plan) == (fewest_bins(items, capacity) if items else 0)
+
+
+def test_short_pieces_fill_bins_with_any_number_of_pieces():
+    rng = np.random.default_rng(0)
+    for lo, hi, most in ((60, 146, 10), (20, 100, 1), (1, 3, 0)):
+        sizes = rng.integers(lo, hi + 1, 20_000).tolist()
+        counts = {x: sizes.count(x) for x in set(sizes)}
+        bins = sum(n for _, n in packing.bin_completion(counts, 1024))
+        assert bins - packing.lower_bound(counts, 1024) <= most <= sum(n for _, n in packing.best_fit(counts, 1024)) - packing.lower_bound(counts, 1024)
+    every = {1: 5000, 7: 3}
+    assert sum(n for _, n in packing.bin_completion(every, 1024)) == packing.lower_bound(every, 1024)
+
+
+def test_fillings_are_undominated_and_complete():
+    def plain(room, counts):
+        lengths, out = sorted(counts, reverse=True), []
+
+        def go(i, left, chosen):
+            if i == len(lengths):
+                out.append((left, tuple(chosen)))
+                return
+            for k in range(min(left // lengths[i], counts[lengths[i]]), -1, -1):
+                go(i + 1, left - k * lengths[i], [*chosen, (lengths[i], k)] if k else chosen)
+
+        go(0, room, [])
+        full = [(left, f) for left, f in out if all(x > left or dict(f).get(x, 0) == n for x, n in counts.items())]
+        return min(full)[0], {f for _, f in full}
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        counts = {int(x): int(rng.integers(1, 4)) for x in rng.integers(2, 30, 5)}
+        room = int(rng.integers(5, 60))
+        least, full = plain(room, counts)
+        found = list(packing.fillings(room, sorted(counts, reverse=True), counts))
+        assert set(found) <= full and room - sum(x * k for x, k in found[0]) == least
+
+
 def test_bin_completion_is_a_packing():
     rng = np.random.default_rng(5)
     for capacity, n in ((1024, 300), (100, 60), (50, 25), (1024, 4000)):
@@ -214,6 +278,25 @@ def test_pack_hard_rows(odd_documents, no_documents):
     assert packing.pack(no_documents).count() == 0
 
 
+# -- mixing keys of all weights --------------------------------------------------------------------
+
+
+def test_slices_are_small_for_every_weight(spark):
+    n = 20_000
+    u = (np.arange(n) + 0.5) / n
+    for weight in (mixing.LEAST_WEIGHT, 0.2, 0.5, 1.0):
+        keys = spark.createDataFrame([(float(-math.log(x) / weight),) for x in u], "key double")
+        rows = keys.select("key", mixing.key_slice(F.col("key"), 200).alias("slice")).orderBy("key").collect()
+        slices = [r.slice for r in rows]
+        assert slices == sorted(slices) and max(slices) < 200 and np.bincount(slices).max() <= n * 1.9 / 200
+
+
+def test_weight_does_not_need_spaces(spark):
+    texts = ["the cat sat on the mat", "\u732b\u5750\u5728\u57ab\u5b50\u4e0a" * 20, "#### ---- 1234", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.quality(F.col("text")).alias("w")).collect()
+    assert [round(r.w, 6) for r in rows] == [1.0, 1.0, 0.1, 0.1, 0.1]
+
+
 # -- language ----------------------------------------------------------------------------------------
 
 
