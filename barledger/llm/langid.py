@@ -1,7 +1,7 @@
 """Language identification: multinomial logistic regression on TF-IDF character n-grams, trained by FTRL with elastic-net penalties."""
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,15 +9,22 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barledger.llm.common import row_mapper, texts
+from barledger.llm.common import row_mapper, settle, texts
 
 #: Hashed n-gram buckets; orders of the n-grams.
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Labelled rows per language that the classifier is fitted on (expected number), chosen by hash.
-ROWS_PER_LANGUAGE = 1000
-#: Languages a model may have; with the rows per language this bounds the sample.
-MAX_LANGUAGES = 400
+#: Labelled rows that the classifier is fitted on: at most about so many per language, and so many in all
+#: (both expected numbers), chosen by hash. Many languages share the second number evenly.
+ROWS_PER_LANGUAGE, SAMPLE_ROWS = 1000, 40_000
+#: Bytes of sample features kept in memory between the passes; larger samples are read again for each pass.
+KEEP_BYTES = 64 << 20
+#: A class takes part in a step if its probability is above this, or if it is the row's own.
+ACTIVE = 1e-4
+#: Share of held-back labelled rows whose score may lie below the least score of an accepted text; and that score at most.
+REJECTED_SHARE, HIGHEST_LIMIT = 0.001, 0.5
+#: How much rarer than all but that share of held-back rows the n-grams of an accepted text may be.
+RARITY_MARGIN = 1.2
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _PRIMES = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
@@ -31,6 +38,9 @@ class Model:
     idf: np.ndarray
     bias: np.ndarray
     temperature: float
+    # calibrated: texts with a lower score or a higher rarity belong to none of the languages
+    least_score: float = 0.0
+    most_rarity: float = np.inf
 
 
 def ngram_parts(text: str) -> Iterator[np.ndarray]:
@@ -88,59 +98,77 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return found[:-1], int(found[-1])
 
 
-def sample(train: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """``doc_id, text, lang`` of about ``rows`` rows per language (all if it has fewer).
+def sample(train: DataFrame, rows: int = ROWS_PER_LANGUAGE, in_all: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, text, lang`` of about ``rows`` rows per language (all if it has fewer), ``in_all`` in all.
 
-    A row is in if the hash of its id and text falls below the share that its language may give; the
-    counts of the ``MAX_LANGUAGES`` most frequent languages are all that the driver sees.
+    A row is in if the hash of its id and text falls below the share that its language may give. No
+    language is left out for being rare; the counts per language stay a table.
     """
-    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return train.limit(0).select("doc_id", "text", "lang")
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(rows / r["count"]))])
+    counts = train.groupBy("lang").agg(F.count("*").alias("n"))
+    share = counts.select("lang", (F.lit(float(min(rows, in_all / max(counts.count(), 1)))) / F.col("n")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    return train.where(place < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("doc_id", "text", "lang")
+    return train.join(share, "lang").where(place < F.col("share")).select("doc_id", "text", "lang")
 
 
-def sparse_features(docs: DataFrame) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
-    """(hash of the id, language, buckets, counts) of the rows of a bounded sample."""
-
-    def count(rows: pa.RecordBatch) -> pa.RecordBatch:
-        at, times = [], []
-        for text in texts(rows.column(1)):
-            own, count = bucket_counts(text)
-            at.append(own.astype("<u4").tobytes())
-            times.append(count.astype("<u4").tobytes())
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(at, pa.binary()), pa.array(times, pa.binary())], ["place", "lang", "at", "times"])
-
-    rows = docs.select(F.xxhash64("doc_id").alias("place"), "text", "lang").mapInArrow(row_mapper(count), "place long, lang string, at binary, times binary")
-    found = [(r["place"], r["lang"], np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["times"], "<u4").astype(float)) for r in rows.collect()]
-    return sorted(found, key=lambda x: (x[0], x[1]))
+class Features:
+    """Sparse features of a bounded sample, in a fixed order: (label, buckets, TF-IDF values), as often as asked for.
 
+    Tasks count the n-grams and write them; the rows come back one partition at a time and stay as
+    compact bytes if all of them fit ``keep_bytes``, else every pass reads them again.
+    """
 
-def fit_ftrl(features: list[tuple[np.ndarray, np.ndarray, int]], classes: int, size: int, epochs: int = 3,
+    def __init__(self, chosen: DataFrame, keep_bytes: int = KEEP_BYTES):
+        def count(rows: pa.RecordBatch) -> pa.RecordBatch:
+            at, times = [], []
+            for text in texts(rows.column(1)):
+                own, count = bucket_counts(text)
+                at.append(own.astype("<u4").tobytes())
+                times.append(count.astype("<u4").tobytes())
+            return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(at, pa.binary()), pa.array(times, pa.binary())], ["place", "lang", "at", "times"])
+
+        # ids may repeat, so the text breaks ties; equal rows are interchangeable
+        rows = chosen.select(F.xxhash64("doc_id", "text").alias("place"), "text", "lang").mapInArrow(row_mapper(count), "place long, lang string, at binary, times binary")
+        self._rows = settle(rows).orderBy("place", "lang", F.xxhash64("at", "times"))
+        size = self._rows.agg(F.sum(F.octet_length("at") + F.octet_length("times"))).first()[0] or 0
+        self.languages = [r[0] for r in self._rows.select("lang").distinct().orderBy("lang").collect()]
+        self._kept = list(self._read()) if size <= keep_bytes else None
+
+    def _read(self) -> Iterator[tuple[int, bytes, bytes]]:
+        place = {name: i for i, name in enumerate(self.languages)}
+        for r in self._rows.toLocalIterator():
+            yield place[r["lang"]], bytes(r["at"]), bytes(r["times"])
+
+    def rows(self, idf: np.ndarray, held_back: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(buckets, values, label): every fifth row if ``held_back``, else the others."""
+        for i, (label, at, times) in enumerate(self._read() if self._kept is None else self._kept):
+            if (i % 5 == 4) == held_back:
+                where = np.frombuffer(at, "<u4").astype(np.int64)
+                yield where, scale(np.frombuffer(times, "<u4").astype(float), idf[where]), label
+
+
+def fit_ftrl(passes: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, int]]], classes: int, size: int, epochs: int = 3,
              alpha: float = 0.1, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """Weights (size x classes) and bias by follow-the-regularised-leader with per-coordinate rates.
 
-    ``l1`` keeps a weight at exactly zero until its summed gradient exceeds it, ``l2`` shrinks the rest.
+    ``passes`` gives the rows once per epoch. ``l1`` keeps a weight at exactly zero until its summed
+    gradient exceeds it, ``l2`` shrinks the rest. A step changes only the classes that its row is
+    unsure of (``ACTIVE``) and leads them anew; so its cost hardly grows with the number of classes, and
+    the state is three numbers of four bytes per bucket and class.
     """
-    z, n = np.zeros((size + 1, classes)), np.zeros((size + 1, classes))
-
-    def leader(at: np.ndarray) -> np.ndarray:
-        zs, ns = z[at], n[at]
-        return np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(ns)) / alpha + l2))
-
+    z, n, w = (np.zeros((size + 1, classes), dtype=np.float32) for _ in range(3))
     for _ in range(epochs):
-        for at, values, label in features:
+        for at, values, label in passes():
             at, values = np.append(at, size), np.append(values, 1.0)
-            w = leader(at)
-            p = softmax(values @ w)
+            p = softmax(values @ w[at])
             p[label] -= 1.0
-            g = values[:, None] * p
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
-            z[at] += g - sigma * w
-            n[at] += g * g
-    w = leader(np.arange(size + 1))
+            active = np.flatnonzero(np.abs(p) > ACTIVE)
+            cells = (at[:, None], active[None, :])
+            g = values[:, None] * p[active]
+            old = n[cells].astype(float)
+            seen = old + g * g
+            zs = z[cells] + g - (np.sqrt(seen) - np.sqrt(old)) / alpha * w[cells]
+            z[cells], n[cells] = zs, seen
+            w[cells] = np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(seen)) / alpha + l2))
     return w[:-1], w[-1]
 
 
@@ -170,69 +198,94 @@ def scale(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.log1p(counts) / np.sqrt(max(counts.sum(), 1.0)) * idf
 
 
+def rarity(values: np.ndarray, idf: np.ndarray) -> float:
+    """Mean inverse document frequency of a text's n-grams, each weighed by its logarithmic count."""
+    return float(values.sum() / max((values / idf).sum(), 1e-12))
+
+
 def train(rows: DataFrame) -> "Model | None":
-    """Model from the columns ``doc_id, text, lang``; None if no row has both a text with letters and a language.
+    """Model from the columns ``doc_id, text, lang``; None if no row has both a text and a language.
 
     Document frequencies cover all rows. The weights are fitted on a sample bounded by
-    ``ROWS_PER_LANGUAGE``, four fifths for the weights, the rest for the temperature.
+    ``ROWS_PER_LANGUAGE`` and ``SAMPLE_ROWS``, four fifths for the weights, the rest for the temperature and the
+    limits of an accepted text. The model knows every label of the sample; its weights take
+    ``BUCKETS`` numbers a label.
     """
     labelled = rows.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    chosen = sparse_features(sample(labelled))
-    languages = sorted({x[1] for x in chosen})
+    chosen = Features(sample(labelled))
+    languages = chosen.languages
     if not languages:
         return None
     frequency, total = document_frequencies(labelled)
     idf = np.log((1.0 + total) / (1.0 + frequency)) + 1.0
-    place = {name: i for i, name in enumerate(languages)}
-    data = [(at, scale(times, idf[at]), place[lang]) for _, lang, at, times in chosen]
-    held = [x for i, x in enumerate(data) if i % 5 == 4]
-    kept = [x for i, x in enumerate(data) if i % 5 != 4]
-    weights, bias = fit_ftrl(kept, len(languages), BUCKETS)
-    logits = np.array([values @ weights[at] + bias for at, values, _ in held]).reshape(-1, len(languages))
-    temperature = fit_temperature(logits, np.array([y for _, _, y in held], dtype=np.int64))
-    return Model(languages, weights.astype(np.float32), idf, bias, temperature)
+    weights, bias = fit_ftrl(lambda: chosen.rows(idf, False), len(languages), BUCKETS)
+    logits, labels, rare = [], [], []
+    for at, values, label in chosen.rows(idf, True):
+        logits.append(values @ weights[at] + bias)
+        labels.append(label)
+        rare.append(rarity(values, idf[at]))
+    logits, labels = np.array(logits).reshape(-1, len(languages)), np.array(labels, dtype=np.int64)
+    temperature = fit_temperature(logits, labels)
+    model = Model(languages, weights, idf, bias, temperature)
+    if len(labels):
+        best = softmax(logits / temperature).max(axis=1)
+        model.least_score = min(HIGHEST_LIMIT, float(np.quantile(best, REJECTED_SHARE)))
+        model.most_rarity = RARITY_MARGIN * float(np.quantile(rare, 1 - REJECTED_SHARE))
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` of each row's whole text.
+    """``docs`` with ``lang_pred``, ``score`` and ``rarity`` of each row's whole text.
 
-    Null texts and texts without a letter, or a missing model, give ``und`` and 0. Other columns stay
-    as they are; columns of these two names are replaced.
+    Null texts and texts without a letter, or a missing model, give ``und``, 0 and null. Other columns stay
+    as they are; columns of these three names are replaced. Each row is handled by itself: repeated
+    rows get equal results, of equally likely languages the first by name is given, and an empty
+    table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(column: pd.Series) -> pd.DataFrame:
         return _label(column, shared.value)
 
-    found = F.pandas_udf(label, "lang_pred string, score double")(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    names = [F.col(c) for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    found = F.pandas_udf(label, "lang_pred string, score double, rarity double")(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    names = [F.col(c) for c in docs.columns if c.lower() not in ("lang_pred", "score", "rarity")]
     return docs.select(F.struct(*names).alias("row"), found.alias("found")).select("row.*", "found.*")
 
 
 def _label(column: pd.Series, model: Model | None) -> pd.DataFrame:
-    names, scores = [], []
+    found = []
     for text in column:
         if model is None or not _LETTER.search(text):
-            names.append(UNDETERMINED)
-            scores.append(0.0)
+            found.append((UNDETERMINED, 0.0, None))
             continue
         at, counts = bucket_counts(text)
-        p = softmax((scale(counts, model.idf[at]) @ model.weights[at] + model.bias) / model.temperature)
+        values = scale(counts, model.idf[at])
+        p = softmax((values @ model.weights[at] + model.bias) / model.temperature)
         best = int(p.argmax())
-        names.append(model.languages[best])
-        scores.append(float(p[best]))
-    return pd.DataFrame({"lang_pred": pd.Series(names, dtype="object"), "score": pd.Series(scores, dtype="float64")})
+        found.append((model.languages[best], float(p[best]), rarity(values, model.idf[at])))
+    names, scores, rare = zip(*found) if found else ((), (), ())
+    return pd.DataFrame({"lang_pred": pd.Series(names, dtype="object"), "score": pd.Series(scores, dtype="float64"), "rarity": pd.Series(rare, dtype="float64")})
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose text has a letter; the columns stay.
+def accepted(docs: DataFrame, languages: Sequence[str] | None = None) -> DataFrame:
+    """Rows of ``docs`` in one of ``languages`` (by default all that the labels name), by the fitted model; the columns stay.
 
-    A low score is no reason to go: short texts, and texts of languages that share the probability,
-    have one. Without a usable label no language can be ruled out, and the same rows stay.
+    A text goes if it has no letter, if its predicted language is not wanted, or if it is unlike the
+    labelled texts by limits that only a share of ``REJECTED_SHARE`` of held-back rows misses: its calibrated score is
+    below ``Model.least_score`` (``HIGHEST_LIMIT`` at most), or its n-grams are rarer than ``Model.most_rarity``
+    (the limit times ``RARITY_MARGIN``). Without a usable label no language
+    can be ruled out, and all texts with a letter stay. Repeated rows share one fate; an empty table
+    stays empty.
     """
-    marked = predict(docs.select(F.struct(*docs.columns).alias("row"), F.col("text")), train(docs.where(~held_out(F.col("doc_id")))))
-    return marked.where((F.col("lang_pred") != UNDETERMINED) | F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))).select("row.*")
+    model = train(docs.where(~held_out(F.col("doc_id"))))
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    marked = predict(docs.select(F.struct(*docs.columns).alias("row"), F.col("text")), model)
+    wanted = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= model.least_score) & (F.col("rarity") <= model.most_rarity)
+    if languages is not None:
+        wanted &= F.col("lang_pred").isin(list(languages))
+    return marked.where(wanted).select("row.*")

@@ -132,3 +132,52 @@ def vector_links(rows, least: float):
         links[b] += 1
     component = {i: min(c) for c in united(links, pairs) for i in c}
     return links, component
+
+
+def language_regression(rows, order, counted):
+    """id -> (label, score): TF-IDF rows by dictionaries, follow-the-regularised-leader over all classes, best of many temperatures."""
+    import math
+
+    text_of, label_of = {i: t for i, t, _ in rows}, {i: lang for i, _, lang in rows}
+    names = sorted(set(label_of.values()))
+    frequency: dict[int, int] = {}
+    for i in text_of:
+        for b in counted[i][0].tolist():
+            frequency[b] = frequency.get(b, 0) + 1
+    idf = {b: math.log((1 + len(rows)) / (1 + n)) + 1 for b, n in frequency.items()}
+    value = {}
+    for i in text_of:
+        at, times = (x.tolist() for x in counted[i])
+        value[i] = {b: math.log1p(n) / math.sqrt(sum(times)) * idf[b] for b, n in zip(at, times)} | {"bias": 1.0}
+    z, n = {}, {}
+
+    def weight(key):
+        zk, nk = z.get(key, 0.0), n.get(key, 0.0)
+        return 0.0 if abs(zk) <= 0.02 else -(zk - math.copysign(0.02, zk)) / ((1 + math.sqrt(nk)) / 0.1 + 0.01)
+
+    def logits(i):
+        return [sum(v * weight((b, c)) for b, v in value[i].items()) for c in names]
+
+    def soft(x, t=1.0):
+        e = [math.exp((v - max(x)) / t) for v in x]
+        return [v / sum(e) for v in e]
+
+    for _ in range(3):
+        for k, i in enumerate(order):
+            if k % 5 == 4:
+                continue
+            p = soft(logits(i))
+            for c, pc in zip(names, p):
+                slope = pc - (c == label_of[i])
+                for b, v in value[i].items():
+                    g, w, old = v * slope, weight((b, c)), n.get((b, c), 0.0)
+                    z[b, c] = z.get((b, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / 0.1 * w
+                    n[b, c] = old + g * g
+    held = [(logits(i), names.index(label_of[i])) for k, i in enumerate(order) if k % 5 == 4]
+    loss = lambda t: -sum(math.log(max(soft(x, t)[y], 1e-12)) for x, y in held) / len(held) + 1e-4 * math.log(t) ** 2
+    heat = min((math.exp(math.log(0.05) + k * math.log(400) / 800) for k in range(801)), key=loss)
+    out = {}
+    for i in text_of:
+        p = soft(logits(i), heat)
+        out[i] = (names[p.index(max(p))], max(p))
+    return out

@@ -318,14 +318,15 @@ def test_elastic_net_is_sparse_and_counts_are_whole():
     at, n = langid.bucket_counts("ab" * 5000)
     long_at, long_n = langid.bucket_counts("ab" * 1_000_000)
     assert n.sum() == 3 * 10002 - 3 and long_n.sum() == 3 * 2_000_002 - 3 and set(at) == set(long_at)
-    weights, _ = langid.fit_ftrl([(np.array([0, 1]), np.array([1.0, 0.001]), 0), (np.array([2]), np.array([1.0]), 1)] * 20, 2, 10, l1=0.5)
+    rows = [(np.array([0, 1]), np.array([1.0, 0.001]), 0), (np.array([2]), np.array([1.0]), 1)] * 20
+    weights, _ = langid.fit_ftrl(lambda: rows, 2, 10, l1=0.5)
     assert weights[0, 0] > 0 and not weights[1].any() and not weights[5].any()
 
 
 def test_language_hard_rows(spark, odd_documents, no_documents):
     model = langid.train(odd_documents)
     rows = langid.predict(odd_documents, model)
-    assert rows.columns == [*(c for c in odd_documents.columns if c != "score"), "lang_pred", "score"]
+    assert rows.columns == [*(c for c in odd_documents.columns if c != "score"), "lang_pred", "score", "rarity"]
     found = rows.collect()
     assert all((r.lang_pred, r.score) == ("und", 0.0) for r in found if r.doc_id in (3, 4, 5, 8))
     assert all(r.lang_pred in ("en", "de", "fr") and 0 <= r.score <= 1 for r in found if r.doc_id in (1, 6, 7))
@@ -334,10 +335,49 @@ def test_language_hard_rows(spark, odd_documents, no_documents):
     assert langid.accepted(odd_documents).columns == odd_documents.columns and langid.accepted(no_documents).count() == 0
 
 
-def test_low_scores_and_missing_labels_stay(spark):
-    docs = language_rows(spark).union(spark.createDataFrame([(1000, "zqx", "en"), (1001, "123", "en"), (1002, None, "en")], "doc_id long, text string, lang string"))
-    assert {r.doc_id for r in langid.accepted(docs).collect()} == {*range(80), 1000}
-    assert {r.doc_id for r in langid.accepted(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {*range(80), 1000}
+def test_model_decides_which_documents_stay(spark):
+    odd = [(1000, "zqx zqx xqz", "en"), (1001, "123", "en"), (1002, None, "en"), (1003, "der die und das ist nicht von mit sich auf", None)]
+    docs = language_rows(spark).union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    marked = {r.doc_id: (r.lang_pred, r.score, r.rarity) for r in langid.predict(docs, model).collect()}
+    kept = {r.doc_id for r in langid.accepted(docs).collect()}
+    assert 0 < model.least_score <= langid.HIGHEST_LIMIT and marked[1000][2] > model.most_rarity
+    fit = {i for i, (lang, score, rare) in marked.items() if lang != "und" and score >= model.least_score and rare <= model.most_rarity}
+    assert kept == fit == {*range(80), 1003}
+    german = {r.doc_id for r in langid.accepted(docs, ["de"]).collect()}
+    assert german == {i for i, (lang, *_) in marked.items() if lang == "de" and i in kept} and 1003 in german and len(german) < 40
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in langid.accepted(unlabelled).collect()} == {*range(80), 1000, 1003}
+
+
+def test_many_labels_are_all_learned(spark):
+    """Every label has a word of its own; the sample is shared evenly and no label is left out."""
+    rng = np.random.default_rng(3)
+    names = [f"l{i:03d}" for i in range(120)]
+    word = {n: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 7)) for n in names}
+    rows = [(i, f"{word[n]} {word[n]} {word[n]}{i % 7}", n) for i, n in enumerate(names * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == names
+    assert all(r.lang == r.lang_pred for r in langid.predict(docs, model).collect())
+    assert 100 < langid.sample(docs, 1000, 240).count() < 400
+
+
+def test_features_are_the_same_read_again(spark):
+    chosen = language_rows(spark)
+    idf = np.ones(langid.BUCKETS)
+    one, two = (list(langid.Features(chosen.repartition(n), keep).rows(idf, False)) for n, keep in ((1, 1 << 30), (5, 0)))
+    assert len(one) == 64 and all(a[2] == b[2] and (a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(one, two))
+
+
+def test_prediction_matches_a_plain_regression(spark):
+    """The whole prediction by dictionaries: n-grams, document frequencies, all classes in every step, temperature by trial."""
+    docs = language_rows(spark, 60)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    order = [r.doc_id for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("place")).orderBy("place").collect()]
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.train(docs)).collect()}
+    want = brute.language_regression(rows, order, {i: langid.bucket_counts(t) for i, t, _ in rows})
+    assert all(found[i][0] == want[i][0] and abs(found[i][1] - want[i][1]) < 0.02 for i in found)
 
 
 # -- toxicity ----------------------------------------------------------------------------------------
