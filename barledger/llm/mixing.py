@@ -49,11 +49,16 @@ def uniform(doc_id: Column, text: Column, seed: int = 0) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def measured_columns(seed: int = 0) -> dict[str, Column]:
+    """``size`` and ``sample_key`` over ``doc_id`` and ``text``."""
+    key = -F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / quality(F.col("text"))
+    return {"size": words(F.col("text")), "sample_key": key}
+
+
 def measured(docs: DataFrame, seed: int = 0) -> DataFrame:
     """``doc_id, source, size, sample_key`` of every row; the smaller the key the sooner the row is taken."""
-    sized = docs.select("doc_id", "source", "text").withColumn("size", words(F.col("text")))
-    weight = quality(F.col("text"))
-    return sized.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / weight).alias("sample_key"))
+    own = measured_columns(seed)
+    return docs.select("doc_id", "source", own["size"].alias("size"), own["sample_key"].alias("sample_key"))
 
 
 def source_targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -88,11 +93,20 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
     spread over many tasks. Null text has size 0 and is never taken; null sources form one source; rows
     with one id share a key, so that equal rows are interchangeable. An empty table gives no rows.
     """
+    placed = _placed(docs, weights, max_epochs, seed)
+    return placed.select("doc_id", "source", "size", "source_size", "target", _taken().alias("taken"))
+
+
+def _taken() -> Column:
+    return (F.col("epochs") * F.col("size") + F.col("extra")).cast("long")
+
+
+def _placed(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: int) -> DataFrame:
+    """Measured rows with ``name`` of their source, complete ``epochs`` and ``extra`` words of the pass that is cut short."""
     rows = settle(measured(docs, seed))
-    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    sliced = rows.withColumns({"name": name, "slice": key_slice(F.col("sample_key"))})
+    sliced = rows.withColumns({"name": source_name(), "slice": key_slice(F.col("sample_key"))})
     sums = sliced.groupBy("name", "slice").agg(F.sum("size").alias("slice_size"), F.first("source").alias("source"))
-    targets = source_targets(rows, weights, max_epochs).withColumn("name", name).drop("source")
+    targets = source_targets(rows, weights, max_epochs).withColumn("name", source_name()).drop("source")
     earlier = Window.partitionBy("name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("slice_start", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0))).join(targets, "name")
     begun = starts.select("name", "slice", "slice_start", "source_size", "target")
@@ -101,28 +115,58 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target")).cast("long") - epochs * F.col("source_size")
     extra = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + extra).cast("long").alias("taken"))
+    return placed.withColumns({"epochs": epochs, "extra": extra})
+
+
+def source_name() -> Column:
+    """The source as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
     """Rows of ``docs`` as often as the mixture takes them, with all their columns.
 
     Complete passes repeat the row. The one row of a source that gives a part gives its first words
-    up to that count, and ``n_chars``, if there, follows the text. Rows not taken go.
+    up to that count, white space between them included, and ``n_chars``, if there, follows the text. Rows not taken go.
+
+    The pass that is cut short takes all rows of a source below one key, so a row knows its part from its
+    own key and that of its source's cut: texts are not shuffled. Only rows that have the key of the
+    cut, copies of one id as a rule, are numbered to share what is left.
     """
-    taken = mix(docs, weights, max_epochs, seed)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", words(F.col("text").cast("string")).alias("size"))
-    same = F.xxhash64("doc_id", "source", "size").alias("same")
+    placed = settle(_placed(docs, weights, max_epochs, seed))
+    cuts = placed.groupBy("name").agg(F.first("epochs").alias("epochs"), F.max(F.when(F.col("extra") > 0, F.col("sample_key"))).alias("cut"))
+    measure = measured_columns(seed)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.col("text").cast("string").alias("text"))
+    keyed = rows.withColumns({"size": measure["size"], "name": source_name()}).withColumn("sample_key", measure["sample_key"])
+    here = keyed.join(cuts, "name").where((F.col("size") > 0) & ~F.col("sample_key").eqNullSafe(F.col("cut")))
+    whole = F.col("epochs") + F.when(F.col("sample_key") < F.col("cut"), 1).otherwise(0)
+    sure = here.select("row", "size", (whole * F.col("size")).alias("taken"))
+    at_cut = placed.join(cuts.select("name", "cut"), "name").where(F.col("sample_key") == F.col("cut"))
+    both = sure.unionByName(_shared(rows, at_cut.select("doc_id", "source", "size", _taken().alias("taken"))))
+    passes = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
+    times = both.where("taken > 0").select("row", "size", "taken", F.explode(passes).alias("pass"))
+    part = F.least(F.col("size"), F.col("taken") - (F.col("pass") - 1) * F.col("size"))
+    out = times.withColumn("body", F.when(part < F.col("size"), first_words(F.col("row.text"), part)).otherwise(F.col("row.text")))
+    fresh = {"text": F.col("body")} | ({"n_chars": F.length("body").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*[fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its ``n``-th word."""
+    words = F.slice(F.regexp_extract_all(text, F.lit(WORD_CLASS), F.lit(0)), F.lit(1), n.cast("int"))
+    gaps = F.slice(F.split(text, WORD_CLASS), F.lit(1), n.cast("int"))
+    return F.array_join(F.zip_with(gaps, words, lambda gap, word: F.concat(gap, word)), "")
+
+
+def _shared(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """``row, size, taken`` of the rows with an id and source in ``taken``; rows of one id, source and size are numbered on both sides."""
+    near = F.xxhash64("doc_id", "source")
+    ids = taken.select(near.alias("near")).distinct()
+    found = rows.withColumn("near", near).join(ids, "near", "left_semi").withColumn("size", words(F.col("text")))
     group = ["doc_id", "source", "size"]
+    same = F.xxhash64(*group)
     nth = lambda *more: F.row_number().over(Window.partitionBy("same").orderBy(*group, *more))
-    left = rows.select("row", *group, same).select("row", "same", F.col("size").alias("words"), nth(F.xxhash64("row")).alias("nth"))
-    right = taken.select("taken", *group, same).where("size > 0").select("taken", F.col("same").alias("with"), nth(F.desc("taken")).alias("place"))
+    left = found.withColumn("same", same).select("row", "same", "size", nth(F.xxhash64("row")).alias("nth"))
+    right = taken.where("size > 0").withColumn("same", same).select("taken", F.col("same").alias("with"), nth(F.desc("taken")).alias("place"))
     # rows of one group stand in the same order on both sides; the difference keeps the join on ``same`` alone
-    both = left.join(right, (F.col("same") == F.col("with")) & (F.col("nth") - F.col("place") == 0))
-    passes = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("words")).cast("int"))
-    times = both.where("taken > 0").select("row", "words", "taken", F.explode(passes).alias("pass"))
-    part = F.least(F.col("words"), F.col("taken") - (F.col("pass") - 1) * F.col("words"))
-    text = F.when(part < F.col("words"), F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD_CLASS), F.lit(0)), F.lit(1), part.cast("int")), " ")).otherwise(F.col("row.text"))
-    out = times.withColumn("body", text)
-    fresh = {"text": F.col("body")} | ({"n_chars": F.length("body").cast("long")} if "n_chars" in docs.columns else {})
-    return out.select(*[fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return left.join(right, (F.col("same") == F.col("with")) & (F.col("nth") - F.col("place") == 0)).select("row", "size", "taken")

@@ -16,8 +16,9 @@ from barledger.llm.common import row_mapper, settle, texts
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces that one task numbers at most, about; a length with more is spread over blocks.
-BLOCK_ROWS = 1 << 18
+#: Blocks that number the pieces of one length: a hot length is spread over them. At least so many, and
+#: enough that a block has no more than about so many pieces even if all have one length.
+LEAST_BLOCKS, BLOCK_ROWS = 256, 1 << 18
 #: Steps of the search after its first descent.
 SEARCH_STEPS = 4000
 #: Branching per bin: choices tried in a place, and steps after which each place takes its first choice.
@@ -267,7 +268,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str | None
     empty table gives no rows.
     """
     pieces = settle(token_pieces(docs, capacity, paths))
-    blocks = -(-max(pieces.count(), 1) // BLOCK_ROWS)
+    blocks = max(LEAST_BLOCKS, -(-pieces.count() // BLOCK_ROWS))
     block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int")
     blocked = pieces.withColumn("block", block)
     sizes = blocked.groupBy("length", "block").agg(F.count("*").alias("n"))

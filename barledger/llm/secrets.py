@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barledger.llm.common import settle
@@ -52,19 +54,28 @@ def find(docs: DataFrame) -> DataFrame:
     start, then kind. Null and empty texts have no spans; repeated rows are scanned each; an empty
     table gives no rows.
     """
+    scanned = _scanned(docs, ["doc_id"])
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return scanned.select("doc_id", "row").join(_spans(scanned), "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+
+
+def _scanned(docs: DataFrame, carry: Sequence[str | Column]) -> DataFrame:
+    """Columns ``carry``, a row number and the hits of every row, written once: the one pass over the texts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     patterns = (ASSIGN, ACCESS, HEX, IDENTIFIER, VALUE, ENDPOINT)
     found = F.concat(*[hits(F.col("body"), p, k, group=2 if k == 0 else 0) for k, p in enumerate(patterns)])
-    rows = docs.select("doc_id", text.alias("body"), F.monotonically_increasing_id().alias("row"))
-    scanned = settle(rows.select("doc_id", "row", found.alias("hits")))
+    rows = docs.select(*carry, text.alias("body"), F.monotonically_increasing_id().alias("row"))
+    return settle(rows.withColumn("hits", found).drop("body"))
+
+
+def _spans(scanned: DataFrame) -> DataFrame:
+    """``row, spans`` of the rows that have some."""
     single = scanned.where(F.size("hits") > 0).select("row", F.inline("hits"))
     so_far = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(so_far)
     placed = single.withColumn("end", end.cast("int")).withColumn("start", F.col("end") - F.col("size")).where("sound")
     linked = _linked(placed.select("row", "kind", "start", "end"))
-    spans = linked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return scanned.select("doc_id", "row").join(spans, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+    return linked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
 
 
 def _linked(parts: DataFrame) -> DataFrame:
@@ -110,18 +121,17 @@ MARK = "[secret]"
 def masked(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` with every found span of ``text`` replaced by ``MARK``; other columns stay, ``n_chars`` follows the text.
 
-    Overlapping spans are replaced as one. Rows meet their spans by id and text hash, so that repeated
-    rows and rows without an id find their own.
+    Overlapping spans are replaced as one. The rows are numbered as they are scanned; those without a
+    hit are passed on as they are, only the others meet their spans. Repeated rows and rows without
+    an id are rows like others; an empty table stays empty.
     """
-    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("hash"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("same"), key.alias("own"))
-    scanned = find(docs.select(F.struct(key.alias("own"), F.xxhash64("doc_id", "text").alias("same")).alias("doc_id"), "text"))
-    spans = scanned.where(F.size("spans") > 0).select(F.col("doc_id.same").alias("with"), F.col("doc_id.own").alias("owner"), "spans").distinct()
-    touched = rows.join(spans, (F.col("same") == F.col("with")) & F.col("own").eqNullSafe(F.col("owner")), "left")
-    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(_without(F.col("row.text"), F.col("spans")))
-    fresh = touched.select("row", text.alias("body"))
+    scanned = _scanned(docs, [F.struct(*docs.columns).alias("whole")])
+    untouched = scanned.where(F.size("hits") == 0).select("whole.*")
+    touched = scanned.where(F.size("hits") > 0).join(_spans(scanned), "row", "left")
+    text = F.when(F.col("spans").isNull(), F.col("whole.text")).otherwise(_without(F.col("whole.text"), F.col("spans")))
+    fresh = touched.select("whole", text.alias("body"))
     new = {"text": F.col("body")} | ({"n_chars": F.length("body").cast("long")} if "n_chars" in docs.columns else {})
-    return fresh.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return untouched.unionByName(fresh.select(*[new.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns]))
 
 
 def _without(text: Column, spans: Column) -> Column:

@@ -7,7 +7,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from barledger.llm.common import WORD_BYTES, components, row_mapper, settle, sorted_groups, text_bytes
 
@@ -164,14 +164,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, one per component: that of the smallest ``doc_id``, with all its columns.
 
     A row without id stands behind all rows with one (its text's hash takes the place of the id). Of
-    rows with one id in a component the first by the hash of its columns stays; rows with one id and
-    different texts may be in different components, each of which keeps a row.
+    rows with one id in a component the first by the hash of its columns stays, of equal rows one; rows with one id and
+    different texts may be in different components, each of which keeps a row. Rows are numbered once;
+    the search moves fingerprints and numbers, and the texts move once, to meet the numbers that stay.
     """
-    stand_in = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
-    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("id"), F.xxhash64(F.struct(*docs.columns)).alias("hash"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), place.alias("key"))
-    marked = near_duplicates(keyed.select("key", F.col("row.text").alias("text")), "key", "text", "struct<id:long,hash:long>")
-    first = marked.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
-    copies = Window.partitionBy("key").orderBy("key")  # equal rows
-    kept = keyed.join(first, "key", "left_semi").withColumn("nth", F.row_number().over(copies)).where("nth = 1")
-    return kept.select("row.*")
+    numbered = settle(docs.select(F.struct(*docs.columns).alias("whole"), F.monotonically_increasing_id().alias("row")))
+    stand_in = F.shiftrightunsigned(F.xxhash64("whole.text"), 2) + F.lit(1 << 62)
+    place = F.struct(F.coalesce(F.col("whole.doc_id").cast("long"), stand_in).alias("id"), F.xxhash64("whole").alias("hash"), "row")
+    marked = near_duplicates(numbered.select(place.alias("key"), F.col("whole.text").alias("text")), "key", "text", "struct<id:long,hash:long,row:long>")
+    first = marked.where("doc_id = component_id").select("doc_id.row")
+    return numbered.join(first, "row", "left_semi").select("whole.*")
