@@ -11,7 +11,7 @@ from barledger.plans import tables as t
 from barledger.plans.oracle_base import define, summary_sql
 from barledger.plans.registry import query
 from barledger.session import settle, work_folder
-from barledger.sources import bars as src
+from barledger.sources import bars as src, providers
 
 COST_BPS = 5.0
 #: Bar width by the first letter of a shared backtest.
@@ -52,6 +52,26 @@ for _name, _frame in (("5m", "5m"), ("15m", "15m"), ("30m", "30m"), ("4h", "4h")
     )
 
 
+@query("provider_bars", "symbol ts", nums=OHLCV,
+       sql="SELECT * FROM bars_supplier WHERE symbol LIKE '1%' AND symbol IN (SELECT s_suppkey::VARCHAR FROM supplier) AND ts >= TIMESTAMP '1996-01-01' AND ts <= TIMESTAMP '1996-12-31'")
+def provider_bars(spark, sf):
+    """Bars of all suppliers through the Parquet sink, read back by the folder provider with pushed filters."""
+    folder = f"{work_folder(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
+    providers.write_bars(t.bars_supplier(spark, sf), folder)
+    bars = src.between(providers.load(spark, providers.FolderProvider(folder)), "1996-01-01", "1996-12-31")
+    return bars.where(F.col("symbol").startswith("1"))
+
+
+@query("provider_priority", "symbol ts", "priority", OHLCV,
+       sql="SELECT *, CASE WHEN symbol IN ('1-URGENT', '3-MEDIUM') THEN 2 ELSE 1 END AS priority FROM (SELECT * FROM bars_week WHERE symbol IN ('1-URGENT', '3-MEDIUM') UNION ALL SELECT * FROM bars_day WHERE symbol NOT IN ('1-URGENT', '3-MEDIUM'))")
+def provider_priority(spark, sf):
+    """Two providers; the second is asked for what the first does not have."""
+    root = f"{work_folder(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
+    providers.write_bars(t.bars_week(spark, sf).where(F.col("symbol").isin("1-URGENT", "3-MEDIUM")), f"{root}/first")
+    providers.write_bars(t.bars_day(spark, sf), f"{root}/second")
+    return providers.load_first(spark, [providers.FolderProvider(f"{root}/{n}") for n in ("first", "second")])
+
+
 # How the bar files of a symbol are written, in turn: kind, and the header in file order.
 FILE_LAYOUTS = (
     ("parquet", "Date open high low close volume"), ("csv", "timestamp volume close low high open"),

@@ -193,10 +193,15 @@ def book_json_anonymised(spark, sf):
 
 
 @query("run_key", "o_orderpriority run_id",
-       sql="""SELECT DISTINCT o_orderpriority, sha256('{"end":"2001-06-30","start":"2000-06-30"}') AS run_id FROM orders""")
+       sql="""SELECT o_orderpriority, sha256('{"bars":' || count(*) || ',"end":"' || max(o_orderdate)::DATE || '","start":"' || min(o_orderdate)::DATE || '","symbol":"' || o_orderpriority || '"}') AS run_id
+ FROM orders GROUP BY o_orderpriority""")
 def run_key(spark, sf):
-    orders = t.table(spark, sf, "orders").select("o_orderpriority").distinct()
-    return orders.withColumn("run_id", sinks.request_key(start="2000-06-30", end="2001-06-30"))
+    """Id of the request that would bring the orders of each priority."""
+    day = lambda c: c.cast("date").cast("string")
+    spans = t.table(spark, sf, "orders").groupBy("o_orderpriority").agg(
+        day(F.min("o_orderdate")).alias("_from"), day(F.max("o_orderdate")).alias("_to"), F.count("*").alias("_n"))
+    key = sinks.request_key(symbol=F.col("o_orderpriority"), start=F.col("_from"), end=F.col("_to"), bars=F.col("_n"))
+    return spans.select("o_orderpriority", key.alias("run_id"))
 
 
 # ------------------------------------------------------------------ listings, explorer, audits

@@ -16,6 +16,6 @@ def write_frame(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 
 
 def request_key(**parts) -> Column:
-    """Stable id of a run from its named parts."""
+    """Stable id of a run from its named parts, values or columns; columns give each row the id of its own request."""
     body = F.to_json(F.struct(*[F.lit(parts[k]).alias(k) for k in sorted(parts)]))
     return F.sha2(body, 256)
