@@ -21,12 +21,15 @@ COST_COLUMNS = ("fixed_fill", "volume_bps", "volume_fill", "per_share", "percent
  greatest(abs(q)*0.005::DOUBLE, 1) AS per_share, abs(q*p)*0.001::DOUBLE AS percent, CASE WHEN q > 0 THEN p*1.01::DOUBLE WHEN q < 0 THEN p*0.99::DOUBLE ELSE p END AS worst_base FROM (
  SELECT *, 2 + 0.1::DOUBLE*sqrt(abs(q*p)/coalesce(adv, 1000000))*100 AS bps, CASE WHEN q > 0 THEN 1 ELSE -1 END AS s FROM (
   SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, l_extendedprice/l_quantity AS p, adv
-  FROM lineitem LEFT JOIN (SELECT l_suppkey AS sk, avg(v) AS adv FROM (SELECT l_suppkey, l_shipdate, sum(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) GROUP BY 1) ON sk = l_suppkey))) GROUP BY l_suppkey""")
+  FROM lineitem LEFT JOIN (SELECT l_suppkey AS sk, avg(v) AS adv FROM (SELECT l_suppkey, l_shipdate, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1
+   HAVING max(l_shipdate) >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 30 DAY) ON sk = l_suppkey))) GROUP BY l_suppkey""")
 def execution_costs(spark, sf):
-    """Every line item as a trade; the volume of a supplier is that of its returns, unknown if it has none."""
+    """Every line item as a trade at the average daily volume of its supplier, unknown if that has not traded in the last 30 days."""
     items = t.table(spark, sf, "lineitem")
-    daily = items.where("l_returnflag = 'R'").groupBy("l_suppkey", "l_shipdate").agg(F.sum("l_extendedprice").alias("v"))
-    adv = daily.groupBy("l_suppkey").agg(F.avg("v").alias("adv"))
+    daily = items.groupBy("l_suppkey", "l_shipdate").agg(F.sum("l_extendedprice").alias("v"))
+    alive = items.agg(F.max("l_shipdate")).scalar() - F.expr("INTERVAL 30 DAYS")
+    adv = daily.groupBy("l_suppkey").agg(F.avg("v").alias("adv"), F.max("l_shipdate").alias("_last"))
+    adv = adv.where(F.col("_last") >= alive).select("l_suppkey", "adv")
     rows = items.join(adv, "l_suppkey", "left").withColumns({
         "q": F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")),
         "p": F.col("l_extendedprice") / F.col("l_quantity"),
