@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 import zlib
 
 import brute
@@ -383,13 +384,67 @@ def test_prediction_matches_a_plain_regression(spark):
 # -- toxicity ----------------------------------------------------------------------------------------
 
 
-@given(st.lists(st.integers(-12, 12).map(lambda x: x / 4), max_size=12), st.sampled_from([-0.5, -1.0]))  # exact in binary
-@settings(max_examples=200, deadline=None)
-def test_segments_are_maximal(scores, other):
-    places = [i for i, s in enumerate(scores) if s > 0.1]
-    flat = [s if s > 0.1 else other for s in scores]
-    got = sorted((lo, hi) for _, lo, hi in toxicity.segments(places, [scores[i] for i in places], len(scores), other))
-    assert got == sorted(brute.maximal_segments(flat))
+@given(st.lists(st.integers(-12, 12).map(lambda x: x / 4), max_size=14))  # exact in binary
+@settings(max_examples=300, deadline=None)
+def test_segments_are_maximal(scores):
+    got = sorted((lo, hi) for _, lo, hi in toxicity.segments(scores))
+    assert got == sorted(brute.maximal_segments(scores))
+
+
+def test_segments_take_linear_time():
+    rng = np.random.default_rng(1)
+    for scores in ([1.0, -1.5] * 100_000, [1.0, -0.5] * 100_000, np.where(rng.random(200_000) < 0.3, 1.0, -0.6).tolist()):
+        start = time.perf_counter()
+        assert toxicity.segments(scores)
+        assert time.perf_counter() - start < 3
+
+
+def toxic_table(spark, make, n=600, share=2):
+    """Every ``share``-th text toxic; (docs, labels of the first two thirds)."""
+    rng = np.random.default_rng(6)
+    rows = [(i, make(rng, i % share == 0)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, 1, int(i % share == 0)) for i in range(n * 2 // 3)], "doc_id long, quality int, toxic int")
+
+
+def test_toxic_words_inside_clauses_without_spaces(spark):
+    letters = [chr(0x4e00 + i) for i in range(300)]
+
+    def make(rng, toxic):
+        clauses = ["".join(rng.choice(letters, 12)) for _ in range(6)]
+        if toxic:
+            at = int(rng.integers(2, 9))
+            clauses[3] = clauses[3][:at] + "\u8822\u8d27\u6eda" + clauses[3][at:]
+        return "\uff0c".join(clauses)
+
+    docs, labels = toxic_table(spark, make)
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect() if r.doc_id >= 400}
+    assert all(v < 0.5 for i, v in scored.items() if i % 2) and sum(v >= 0.5 for i, v in scored.items() if not i % 2) > 95
+
+
+def test_nothing_learned_means_nothing_toxic(spark):
+    copies, labels = toxic_table(spark, lambda rng, toxic: "one text that says this" if toxic else "another text that says that")
+    assert all(r.score < 0.5 for r in toxicity.score(copies, toxicity.train(copies, labels)).collect())
+    noise, labels = toxic_table(spark, lambda rng, toxic: " ".join(rng.choice([f"{a}{b}word" for a in "abcdefgh" for b in "klmnopqr"], 40)))
+    assert sum(r.score >= 0.5 for r in toxicity.score(noise, toxicity.train(noise, labels)).collect() if r.doc_id >= 400) <= 10
+
+
+def test_scores_match_a_plain_scorer(spark):
+    """The whole score by loops: tokens, shrunk odds looked up, all segments by trial, chance law, logistic."""
+    words = [f"{a}{b}{c}" for a in "bcdf" for b in "aeio" for c in "lmnr"]
+    docs, labels = toxic_table(spark, lambda rng, toxic: " ".join([*rng.choice(words, 14), *(["vilest", "Vileness"] if toxic else [])]), share=3)
+    lexicon = toxicity.train(docs, labels)
+    for r in toxicity.score(docs.limit(60), lexicon).collect():
+        scores = []
+        for w in r.text.lower().split():
+            known = [x for x in (lexicon.words.get(w), *(lexicon.prefixes.get(w[:n]) for n in (4, 5, 6) if len(w) > n)) if x is not None]
+            scores.append(sorted(known, key=abs)[-1] if known else lexicon.other)
+        spans = [(sum(scores[lo:hi]), lo, hi) for lo, hi in brute.maximal_segments(scores)]
+        chance = {x: math.log(lexicon.scale * len(scores)) - lexicon.decay * x[0] for x in spans}
+        good = [x for x in spans if chance[x] <= math.log(0.5)]
+        logit = lexicon.slope * math.log1p(-sum(chance[x] for x in good)) + lexicon.offset
+        assert math.isclose(r.score, 1 / (1 + math.exp(-logit)), rel_tol=1e-9)
+        assert sorted((p.start, p.end) for p in r.passages) == sorted((lo, hi) for _, lo, hi in good)
 
 
 def test_toxic_words_are_learned(spark):
