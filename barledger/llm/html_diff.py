@@ -47,6 +47,12 @@ _ASIDE_NAMES = re.compile(
     re.I,
 )
 
+#: Names that a part of an article may have as well: inside a main element these, and all ids, only raise a doubt.
+_DOUBTFUL = re.compile(r"(?:article|post|entry)?[-_]?(?:header|masthead|discussion|related|recommended|notice|alert|banner|footer|social|promotion)", re.I)
+_REMARK = re.compile(r"comment|reply|message|response", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NO, YES, DOUBT = range(3)
+
 
 @dataclass
 class Page:
@@ -56,20 +62,36 @@ class Page:
     units: list[tuple[int, int]]  # for each line of the main text: the lines of it that go together with this one (first, end)
 
 
-def _is_aside(name: str, attributes: str, within_main: bool) -> bool:
+def _is_aside(name: str, attributes: str, within_main: bool) -> int:
+    """Whether an element is beside the main text; ``DOUBT`` if only its content can tell. A heading's names say nothing."""
     if name in ASIDE or (name == "header" and not within_main):
-        return True
+        return YES
     if name in ("html", "body", "main", "header") or not attributes:
-        return False
+        return NO
+    verdict = NO
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return YES
         if key == "role" and value.lower() in ASIDE_ROLES:
-            return True
-        if key in ("class", "id") and any(_ASIDE_NAMES.fullmatch(v) for v in value.split()):
-            return True
-    return False
+            return YES
+        if key in ("class", "id") and name not in HEADINGS:
+            for v in value.split():
+                if _ASIDE_NAMES.fullmatch(v):
+                    if not within_main or (key == "class" and not _DOUBTFUL.fullmatch(v)):
+                        return YES
+                    verdict = DOUBT
+    return verdict
+
+
+@dataclass
+class _Doubt:
+    """A container inside the main text whose name may mean a part of it or something beside it."""
+
+    first: int  # its first line
+    depth: int  # elements around it
+    remarks: int = 0  # its children that look like comments of readers
+    forms: int = 0
 
 
 def parse(source: str) -> Page:
@@ -89,6 +111,7 @@ def parse(source: str) -> Page:
     parts: list[str] = []
     linked = plain = False  # the parts have words within, and outside of, links
     marked = False
+    doubts: list[_Doubt] = []  # open containers in doubt
 
     def end_line() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
@@ -108,9 +131,20 @@ def parse(source: str) -> Page:
         else:
             plain = plain or bool(_WORD.search(text))
 
+    def settle_doubt() -> None:
+        """A container that holds a form or several comments, or more lines of links than others, goes."""
+        doubt = doubts.pop()
+        own = [i for i in range(doubt.first, len(lines)) if not inside[i][0]]
+        links = sum(around[i] < 0 for i in own)
+        if doubt.forms or doubt.remarks > 1 or 2 * links > len(own):
+            for i in own:
+                inside[i] = (True, inside[i][1])
+
     def pop() -> str:
         nonlocal asides, mains
         last, aside, main, holds = stack.pop()
+        if doubts and doubts[-1].depth == len(stack):
+            settle_doubt()
         opened[last] -= 1
         asides -= aside
         mains -= main
@@ -147,11 +181,17 @@ def parse(source: str) -> Page:
             if name in ("td", "th"):
                 parts.append(" ")
             continue
-        aside = _is_aside(name, found[3] or "", mains > 0)
+        verdict = _is_aside(name, found[3] or "", mains > 0)
+        aside = verdict == YES
         main = name in MAIN and not asides and not aside
         if name == "p" or name == "li":  # these end their like before them
             while stack and stack[-1][0] in (name, *INLINE):
                 pop()
+        if doubts:
+            doubts[-1].forms += name == "form"
+            doubts[-1].remarks += name == "article" or (name not in INLINE and _REMARK.search(found[3] or "") is not None)
+        if verdict == DOUBT:
+            doubts.append(_Doubt(len(lines), len(stack)))
         marked |= main
         asides += aside
         mains += main
@@ -162,6 +202,8 @@ def parse(source: str) -> Page:
         stack.append((name, aside, main, holds))
         opened[name] += 1
     end_line()
+    while doubts:
+        settle_doubt()
     for k in holding:
         holders[k][1] = len(lines)
     kept = [not aside and (main or not marked) for aside, main in inside]
@@ -319,6 +361,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles go by
     their elements, roles, classes and ids, and by an article or main element that marks the text.
+    Within it an id, or a name that a part of an article may have too (header, discussion, related),
+    decides only with what it holds: a form, several comments, or more lines of links than others. Headings never go by a name.
     Then lines aligned with the neighbouring texts of the host's order of paths go. Without a marked
     text these are lines of both neighbours, or of one if the two do not share most of their lines.
     In a marked text they are lines of both neighbours that consist of links, or whose element holds

@@ -38,6 +38,12 @@ def main_text(source):
     ("<article style='overflow:hidden' data-hidden=false data-id='comments' title='id=menu hidden'>text</article>", "text"),
     ("<p HIDDEN>a</p><p aria-hidden = true>b</p><p data-x=1 id=comments>c</p><p title='x>d</p><p>e</p>", "d\ne"),
     ("<article>one <svg viewBox='0 0 1 1'/> two<svg><text>no</text></svg></article>", "one\ntwo"),
+    ("<article><p>before</p><section id=discussion><h2>Discussion</h2><p>our findings</p></section><p>after</p></article>", "before\nDiscussion\nour findings\nafter"),
+    ("<article><div class='header'><h1>Title</h1></div><h2 id='related' class='comments'>Related work</h2><p>text</p><div id=menu><p>soup</p></div></article>", "Title\nRelated work\ntext\nsoup"),
+    ("<article><p>text</p><section id=related><h3><a href=/x>More</a></h3><ul><li><a href=/y>one</a><li><a href=/z>two</a></ul></section></article>", "text"),
+    ("<article><p>text</p><div class=discussion><div class=comment-body>I agree</div><div class=comment-body>me too</div></div></article>", "text"),
+    ("<article><p>text</p><div id=notice>Get our letter <form><input></form></div><section class=comments><p>nice</p></section><div id=related>open", "text\nopen"),
+    ("<div id=discussion>outside</div><main><p>text</p></main>", "text"),
     ("<article>if <math><mi>x</mi><mo>=</mo><mn>1</mn><mspace/><annotation>x=1</annotation></math> then</article>", "if x=1 then"),
 ])
 def test_structure(source, want):
