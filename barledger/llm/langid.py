@@ -104,7 +104,7 @@ def sample(train: DataFrame, rows: int = ROWS_PER_LANGUAGE, in_all: int = SAMPLE
     A row is in if the hash of its id and text falls below the share that its language may give. No
     language is left out for being rare; the counts per language stay a table.
     """
-    counts = train.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = settle(train.groupBy("lang").agg(F.count("*").alias("n")))  # a row per language, joined by its measured size
     share = counts.select("lang", (F.lit(float(min(rows, in_all / max(counts.count(), 1)))) / F.col("n")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     return train.join(share, "lang").where(place < F.col("share")).select("doc_id", "text", "lang")

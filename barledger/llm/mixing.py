@@ -134,7 +134,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     cut, copies of one id as a rule, are numbered to share what is left.
     """
     placed = settle(_placed(docs, weights, max_epochs, seed))
-    cuts = placed.groupBy("name").agg(F.first("epochs").alias("epochs"), F.max(F.when(F.col("extra") > 0, F.col("sample_key"))).alias("cut"))
+    # a row per source, written so that its measured size decides how the rows meet it
+    cuts = settle(placed.groupBy("name").agg(F.first("epochs").alias("epochs"), F.max(F.when(F.col("extra") > 0, F.col("sample_key"))).alias("cut")))
     measure = measured_columns(seed)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.col("text").cast("string").alias("text"))
     keyed = rows.withColumns({"size": measure["size"], "name": source_name()}).withColumn("sample_key", measure["sample_key"])
@@ -161,7 +162,7 @@ def first_words(text: Column, n: Column) -> Column:
 def _shared(rows: DataFrame, taken: DataFrame) -> DataFrame:
     """``row, size, taken`` of the rows with an id and source in ``taken``; rows of one id, source and size are numbered on both sides."""
     near = F.xxhash64("doc_id", "source")
-    ids = taken.select(near.alias("near")).distinct()
+    ids = settle(taken.select(near.alias("near")).distinct())
     found = rows.withColumn("near", near).join(ids, "near", "left_semi").withColumn("size", words(F.col("text")))
     group = ["doc_id", "source", "size"]
     same = F.xxhash64(*group)
