@@ -5,7 +5,8 @@ A scenario is another ``book_id`` in the same tables, so many scenarios run as o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barledger.functions.ordered import drop_borrowed, lay_out, rolling_product
 from barledger.operators.book import WEIGHT_TOLERANCE
 from barledger.operators.performance import COMBINED
+from barledger.session import settle
 
 TAIL_WINDOWS = {"1M": 21, "3M": 63, "6M": 126, "1Y": 252}
 PERIOD_METRICS = ("sharpe", "ann_return", "ann_vol", "max_dd")
@@ -40,92 +42,148 @@ def union_books(books: Sequence[Book]) -> Book:
     return Book(portfolio, holding)
 
 
-def _named(book: Book, names: Sequence[str]) -> list:
-    """Facts of the named portfolios, in the order asked; fails on an unknown name."""
-    rows = book.portfolio.where(F.col("name").isin(list(names))).select("name", F.upper("currency").alias("currency"))
-    found = {r["name"]: r for r in rows.collect()}  # at most one row per name asked for
-    unknown = [n for n in names if n not in found]
-    if unknown:
-        raise ScenarioEditError(f"portfolio not found: {unknown}")
-    return [found[n] for n in names]
+EDITS = "book_id string, op string, name string, into string, place int, roles array<string>"
+WEIGHTS = "book_id string, name string, ticker string, new_weight double"
+#: Edits that take a portfolio out of its book.
+LEAVING = ("drop", "shift", "merge")
 
 
-def _same_currency(rows: list) -> None:
-    currencies = {r["currency"] for r in rows}
-    if len(currencies) > 1:
-        raise ScenarioEditError(f"mixed currencies: {sorted(currencies)}")
+class Edits(NamedTuple):
+    """Edits of any number of scenarios as two tables: what happens to which portfolio, and new weights.
+
+    ``drop`` leaves a portfolio out, ``shift`` sells it and buys more of ``into``, ``merge`` puts it into one
+    value-weighted portfolio ``into`` with the facts of the lowest ``place`` (and ``roles``, if given).
+    """
+
+    moves: DataFrame
+    weights: DataFrame
+
+
+def edit_tables(spark, moves: Sequence[tuple] = (), weights: Mapping[tuple[str, str], Mapping[str, float]] | None = None) -> Edits:
+    """Tables of (book_id, op, name[, into[, place[, roles]]]) and of weights by (book_id, name)."""
+    rows = [tuple(m) + (None, 0, None)[len(m) - 3:] for m in moves]
+    given = [(*key, ticker, float(w)) for key, own in (weights or {}).items() for ticker, w in sorted(own.items())]
+    return Edits(spark.createDataFrame(rows, EDITS), spark.createDataFrame(given, WEIGHTS))
+
+
+def apply_edits(book: Book, edits: Edits) -> Book:
+    """All scenarios of ``edits`` over one book, in one plan: a ``book_id`` each, ``changed`` tells the portfolios that differ.
+
+    A portfolio is looked up by (scenario, name) in the edit tables, so work grows with scenarios times
+    portfolios, not with branches. Fails on an edit that does not fit the book.
+    """
+    _check(book, edits)
+    moves, weights = edits
+    asked = moves.select("book_id").unionByName(weights.select("book_id")).agg(F.array_sort(F.collect_set("book_id"))).scalar()
+    facts = [c for c in book.portfolio.columns if c not in ("book_id", "name")]
+    key = ["book_id", "name"]
+
+    def each(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("book_id", F.explode(asked))
+
+    leaving = moves.where(F.col("op").isin(*LEAVING))
+    gone = each(book.portfolio).join(leaving.withColumnRenamed("roles", "new_roles"), key)
+    poured = gone.where("op = 'shift'").groupBy("book_id", F.col("into").alias("name")).agg(F.sum("total_value").alias("_poured"))
+    reweighed = weights.groupBy(*key).agg(F.lit(True).alias("_reweighed"))
+    stay = each(book.portfolio).join(leaving.select(*key), key, "left_anti").join(poured, key, "left").join(reweighed, key, "left")
+    stay = stay.withColumns({
+        "total_value": F.col("total_value") + F.coalesce("_poured", F.lit(0.0)),
+        "changed": F.col("_poured").isNotNull() | F.col("_reweighed").isNotNull(),
+    })
+    merged = gone.where("op = 'merge'").groupBy("book_id", F.col("into").alias("name")).agg(
+        F.min_by(F.struct(*facts), "place").alias("_first"), F.sum("total_value").alias("_total"), F.min("ord").alias("_ord"),
+        F.first("new_roles", ignorenulls=True).alias("_roles"))
+    own = {"total_value": F.col("_total"), "ord": F.col("_ord"), "roles": F.coalesce("_roles", "_first.roles")}
+    joined = merged.select(*key, *[own.get(c, F.col("_first").getField(c)).alias(c) for c in facts], F.lit(True).alias("changed"))
+    portfolio = stay.select(*key, *facts, "changed").unionByName(joined)
+
+    held = each(book.holding.select("book_id", "name", "ticker", "weight", "value"))
+    kept = held.join(stay.select(*key, "total_value", "_poured"), key).join(weights, [*key, "ticker"], "left")
+    weight = F.coalesce("new_weight", "weight")
+    value = F.when(F.col("_poured").isNotNull() | F.col("new_weight").isNotNull(), weight * F.col("total_value")).otherwise(F.col("value"))
+    parts = held.drop("value").join(gone.where("op = 'merge'").select(*key, "into", "total_value"), key)
+    blended = parts.groupBy("book_id", F.col("into").alias("name"), "ticker").agg(F.sum(F.col("weight") * F.col("total_value")).alias("value"))
+    blended = blended.join(merged.select(*key, "_total"), key)
+    share = F.when(F.col("_total") > 0, F.col("value") / F.col("_total")).otherwise(0.0)
+    holding = kept.select(*key, "ticker", weight.alias("weight"), value.alias("value")).unionByName(
+        blended.select(*key, "ticker", share.alias("weight"), "value"))
+    return Book(portfolio, holding)
+
+
+def _check(book: Book, edits: Edits) -> None:
+    """Raise on the first edit that does not fit; all rules are one job."""
+    moves, weights = edits
+    known = book.portfolio.select("name", F.upper("currency").alias("currency"), F.lit(True).alias("_known"))
+    targets = moves.where("op = 'shift'").select("book_id", "into", F.col("into").alias("name"), F.lit("shift").alias("op"))
+    named = moves.where("op <> 'weights'").select("book_id", "into", "name", "op").unionByName(targets)
+    named = named.unionByName(weights.select("book_id", F.lit(None).cast("string").alias("into"), "name", F.lit("weights").alias("op")).distinct())
+    seen = named.join(known, "name", "left")
+    sources = moves.where(F.col("op").isin(*LEAVING)).select("book_id", "name", F.lit(True).alias("_leaves"))
+
+    def problem(rows: DataFrame, *words: Column | str) -> DataFrame:
+        return rows.select(F.concat(*[w if isinstance(w, Column) else F.lit(w) for w in words]).alias("problem"))
+
+    into = F.coalesce("into", F.lit(""))
+    away = moves.where("op = 'shift'").join(sources.withColumnRenamed("name", "into"), ["book_id", "into"])
+    taken = moves.where("op = 'merge'").select("book_id", "into").distinct().join(known.withColumnRenamed("name", "into"), "into")
+    taken = taken.join(moves.where("op = 'merge'").select("book_id", F.col("name").alias("into")), ["book_id", "into"], "left_anti")
+    groups = seen.where("op in ('shift', 'merge')").groupBy("book_id", "op", "into").agg(F.count_distinct("currency").alias("n"))
+    twice = sources.groupBy("book_id", "name").count().where("count > 1")
+    sums = weights.groupBy("book_id", "name").agg(F.sum("new_weight").alias("total")).where(F.abs(F.col("total") - 1) > WEIGHT_TOLERANCE)
+    mine = book.holding.select("name", "ticker").distinct().join(weights.select("book_id", "name").distinct(), "name").withColumn("_mine", F.lit(True))
+    gaps = mine.join(weights, ["book_id", "name", "ticker"], "full_outer").where("_mine IS NULL OR new_weight IS NULL")
+    problems = [
+        problem(seen.where("_known IS NULL"), "portfolio not found: ", F.col("name")),
+        problem(moves.where(F.col("op") == "shift").where("name = into"), "source and target must differ: ", F.col("name")),
+        problem(away, "the target of a shift leaves the book: ", into),
+        problem(taken, F.col("into"), " is an existing portfolio outside the merge"),
+        problem(groups.where("n > 1"), "mixed currencies in ", into),
+        problem(twice, "more than one edit takes out ", F.col("name")),
+        problem(sums, "weights of ", F.col("name"), " sum to ", F.col("total").cast("string")),
+        problem(gaps, "weights of ", F.col("name"), " and its holdings differ at ", F.col("ticker")),
+    ]
+    found = reduce(DataFrame.unionByName, problems).limit(1).collect()
+    if found:
+        raise ScenarioEditError(found[0]["problem"])
+
+
+def _single(book: Book, new_id: str, moves: Sequence[tuple] = (), weights: Mapping | None = None) -> Book:
+    out = apply_edits(book, edit_tables(book.portfolio.sparkSession, [(new_id, *m) for m in moves], weights))
+    return Book(out.portfolio.drop("changed"), out.holding)
 
 
 def drop_portfolio(book: Book, name: str, new_id: str) -> Book:
-    _named(book, [name])
-    keep = F.col("name") != name
-    return Book(book.portfolio.where(keep), book.holding.where(keep)).renamed(new_id)
+    return _single(book, new_id, [("drop", name)])
 
 
 def set_weights(book: Book, name: str, weights: dict[str, float], new_id: str) -> Book:
     """Replace the weights of one portfolio; every holding must be given one."""
-    _named(book, [name])
-    if abs(sum(weights.values()) - 1) > WEIGHT_TOLERANCE:
-        raise ScenarioEditError(f"weights of {name} sum to {sum(weights.values())}")
-    given = book.holding.sparkSession.createDataFrame(sorted(weights.items()), "ticker string, new_weight double")
-    mine = book.holding.where(F.col("name") == name)
-    gaps = mine.select("ticker").join(given, "ticker", "full_outer").where(F.col("new_weight").isNull())
-    strangers = given.join(mine.select("ticker"), "ticker", "left_anti")
-    wrong = gaps.select("ticker").unionByName(strangers.select("ticker")).limit(1).collect()
-    if wrong:
-        raise ScenarioEditError(f"weights of {name} and its holdings differ at {wrong[0]['ticker']}")
-    totals = book.portfolio.select("name", "total_value")
-    changed = mine.join(given, "ticker").join(totals, "name").withColumns({
-        "weight": F.col("new_weight"), "value": F.col("new_weight") * F.col("total_value"),
-    })
-    rest = book.holding.where(F.col("name") != name)
-    return Book(book.portfolio, rest.unionByName(changed.select(*rest.columns))).renamed(new_id)
+    return _single(book, new_id, weights={(new_id, name): weights})
 
 
 def rebalance_into(book: Book, source: str, target: str, new_id: str) -> Book:
     """Sell ``source`` and buy more of ``target`` at its present composition."""
-    if source == target:
-        raise ScenarioEditError("source and target must differ")
-    _same_currency(_named(book, [source, target]))
-    pair = F.col("name").isin(source, target)
-    grown = book.portfolio.where(pair).groupBy("book_id").agg(F.sum("total_value").alias("_grown"))
-    at_target = F.col("name") == target
-    portfolio = book.portfolio.where(F.col("name") != source).join(grown, "book_id").withColumn(
-        "total_value", F.when(at_target, F.col("_grown")).otherwise(F.col("total_value"))
-    ).drop("_grown")
-    holding = book.holding.where(F.col("name") != source).join(grown, "book_id").withColumn(
-        "value", F.when(at_target, F.col("weight") * F.col("_grown")).otherwise(F.col("value"))
-    ).drop("_grown")
-    return Book(portfolio, holding).renamed(new_id)
+    return _single(book, new_id, [("shift", source, target)])
 
 
 def merge_into(book: Book, names: Sequence[str], into: str, new_id: str, roles: Sequence[str] | None = None) -> Book:
     """One value-weighted portfolio in place of several; facts come from the first named one."""
     if not names:
         raise ScenarioEditError("nothing to merge")
-    _same_currency(_named(book, names))
-    if into not in names and book.portfolio.where(F.col("name") == into).limit(1).count():
-        raise ScenarioEditError(f"{into} is an existing portfolio outside the merge")
-    is_source = F.col("name").isin(list(names))
-    sums = book.portfolio.where(is_source).groupBy("book_id").agg(
-        F.sum("total_value").alias("_total"), F.min("ord").alias("_ord")
-    )
-    merged = book.portfolio.where(F.col("name") == names[0]).join(sums, "book_id").withColumns({
-        "name": F.lit(into), "total_value": F.col("_total"), "ord": F.col("_ord"),
-    })
-    if roles is not None:
-        merged = merged.withColumn("roles", F.array(*[F.lit(r) for r in roles]))
-    portfolio = book.portfolio.where(~is_source).unionByName(merged.select(*book.portfolio.columns))
-    parts = book.holding.where(is_source).drop("value").join(
-        book.portfolio.select("book_id", "name", "total_value"), ["book_id", "name"]
-    )
-    joined = parts.groupBy("book_id", "ticker").agg(F.sum(F.col("weight") * F.col("total_value")).alias("value"))
-    joined = joined.join(sums, "book_id").select(
-        "book_id", F.lit(into).alias("name"), "ticker",
-        F.when(F.col("_total") > 0, F.col("value") / F.col("_total")).otherwise(0.0).alias("weight"), "value",
-    )
-    holding = book.holding.where(~is_source).select("book_id", "name", "ticker", "weight", "value").unionByName(joined)
-    return Book(portfolio, holding).renamed(new_id)
+    return _single(book, new_id, [("merge", n, into, i, roles if roles is None else list(roles)) for i, n in enumerate(names)])
+
+
+def shared_panel(portfolio: DataFrame, panel: Callable[[DataFrame], DataFrame], baseline: str) -> DataFrame:
+    """Panel of all books from ``panel(portfolios)``, which is asked for the baseline and the changed portfolios only.
+
+    ``portfolio`` has the baseline and the scenarios with ``changed``; an unchanged portfolio takes its
+    rows from the baseline by name.
+    """
+    same = (F.col("book_id") != baseline) & ~F.col("changed")
+    own = settle(panel(portfolio.where(~same)))
+    members = portfolio.where(same).select("book_id", "name")
+    copied = own.where(F.col("book_id") == baseline).drop("book_id").join(members, "name").select(*own.columns)
+    return own.unionByName(copied)
 
 
 # ------------------------------------------------------------------ deltas
@@ -136,14 +194,16 @@ def _against(rows: DataFrame, baseline: str, on: Sequence[str], cols: Sequence[s
     proposed = rows.where(F.col("book_id") != baseline).select(
         "book_id", *on, *[F.col(c).alias(f"prop_{c}") for c in cols]
     )
-    scenarios = rows.where(F.col("book_id") != baseline).select("book_id").distinct().withColumn("_base", F.lit(baseline))
-    current = rows.where(F.col("book_id") == baseline).select(
-        F.col("book_id").alias("_base"), *on, *[F.col(c).alias(f"cur_{c}") for c in cols]
-    )
-    current = scenarios.join(current, "_base").drop("_base")
+    current = rows.where(F.col("book_id") == baseline).select(*on, *[F.col(c).alias(f"cur_{c}") for c in cols])
+    current = current.withColumn("book_id", F.explode(_scenario_ids(rows, baseline)))
     return current.join(proposed, ["book_id", *on], how)
 
 
+def _scenario_ids(rows: DataFrame, baseline: str) -> Column:
+    """All other books as one array, an entry per scenario: baseline rows are repeated by it, not joined on a constant."""
+    return rows.where(F.col("book_id") != baseline).agg(F.coalesce(F.collect_set("book_id"), F.array().cast("array<string>"))).scalar()
+
+
 def _minus(col: str) -> Column:
     return F.col(f"prop_{col}") - F.col(f"cur_{col}")
 
@@ -217,10 +277,8 @@ def redundancy_deltas(pairs: DataFrame, scenarios: DataFrame, baseline: str) ->
     """
     keyed = pairs.withColumns({"pair_a": F.least("name_a", "name_b"), "pair_b": F.greatest("name_a", "name_b")})
     on = ["book_id", "pair_a", "pair_b"]
-    others = scenarios.where(F.col("book_id") != baseline).select("book_id").distinct().withColumn("_base", F.lit(baseline))
-    current = keyed.where(F.col("book_id") == baseline).select(
-        F.col("book_id").alias("_base"), "pair_a", "pair_b", F.col("rho").alias("cur_rho")
-    ).join(others, "_base").drop("_base")
+    current = keyed.where(F.col("book_id") == baseline).select("pair_a", "pair_b", F.col("rho").alias("cur_rho"))
+    current = current.withColumn("book_id", F.explode(_scenario_ids(scenarios, baseline)))
     proposed = keyed.where(F.col("book_id") != baseline).select(*on, F.col("rho").alias("prop_rho"))
     return current.join(proposed, on, "full_outer").withColumn("status", _lifecycle())
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from barledger.operators import book as bk, performance, returns as rt, risk, scenario as sc
 from barledger.plans import tables as t
 from barledger.plans.book_queries import ticker_returns
@@ -14,16 +16,17 @@ BASE = "current"
 EQUAL = {"1-URGENT": 0.5, "2-HIGH": 0.1, "3-MEDIUM": 0.1, "4-NOT SPECIFIED": 0.1, "5-LOW": 0.2}
 
 
+MOVES = [
+    ("drop", "drop", "AFRICA"), ("shift", "shift", "AFRICA", "EUROPE"),
+    ("merge", "merge", "MIDDLE EAST", "SOUTH", 0), ("merge", "merge", "AFRICA", "SOUTH", 1),
+]
+
+
 def all_books(spark, sf) -> sc.Book:
     held = settle(t.holding(spark, sf))
     current = sc.Book(settle(t.portfolio(spark, sf, held)), held)
-    both = sc.union_books([
-        current,
-        sc.drop_portfolio(current, "AFRICA", "drop"),
-        sc.rebalance_into(current, "AFRICA", "EUROPE", "shift"),
-        sc.merge_into(current, ["MIDDLE EAST", "AFRICA"], "SOUTH", "merge"),
-        sc.set_weights(current, "EUROPE", EQUAL, "weights"),
-    ])
+    edited = sc.apply_edits(current, sc.edit_tables(spark, MOVES, {("weights", "EUROPE"): EQUAL}))
+    both = sc.union_books([sc.Book(current.portfolio.withColumn("changed", F.lit(False)), held), edited])
     return sc.Book(settle(both.portfolio), settle(both.holding))
 
 
@@ -31,8 +34,9 @@ def diagnostics(spark, sf):
     """Books, values and the returns panel of every scenario, each settled once."""
     books = all_books(spark, sf)
     values = settle(bk.portfolio_values(books.portfolio, bk.book_fx(books.portfolio)))
-    panel = settle(rt.returns_panel(books.portfolio, books.holding, ticker_returns(spark, sf), t.fx(spark, sf), "1w"))
-    return books, values, panel
+    returns, fx = settle(ticker_returns(spark, sf)), t.fx(spark, sf)
+    panel = sc.shared_panel(books.portfolio, lambda own: rt.returns_panel(own, books.holding, returns, fx, "1w"), BASE)
+    return books, values, settle(panel)
 
 
 define("sc_holding", """SELECT 'current' AS book_id, name, ticker, weight FROM holding

@@ -139,6 +139,35 @@ def test_bad_scenario_edits(small_book, edit):
         edit(small_book)
 
 
+def test_many_scenarios_of_several_edits_in_one_plan(spark, small_book, ticker_returns):
+    moves = [(f"drop {n}", "drop", n) for n in "abc"]
+    moves += [("two", "shift", "a", "c"), ("two", "shift", "b", "c")]
+    moves += [("mix", "merge", "c", "m", 0, ["holding"]), ("mix", "merge", "b", "m", 1), ("mix", "drop", "a")]
+    weights = {("two", "c"): {"X": 0.1, "Y": 0.1, "Z": 0.8}, ("tilt", "b"): {"X": 0.0, "Y": 0.5, "Z": 0.5}}
+    out = sc.apply_edits(small_book, sc.edit_tables(spark, moves, weights))
+    p = {(r.book_id, r.name): r for r in out.portfolio.collect()}
+    h = {(r.book_id, r.name, r.ticker): (r.weight, r.value) for r in out.holding.collect()}
+    assert {k for k in p if k[0] == "drop b"} == {("drop b", "a"), ("drop b", "c")} and not any(p[k].changed for k in p if k[0].startswith("drop"))
+    assert [k[1] for k in p if k[0] == "two"] == ["c"] and p["two", "c"].total_value == 650.0 and p["two", "c"].changed
+    assert all(close_to(x, y) for x, y in zip(h["two", "c", "Z"], (0.8, 520.0)))
+    assert [k[1] for k in p if k[0] == "mix"] == ["m"] and p["mix", "m"].roles == ["holding"] and p["mix", "m"].ord == 1
+    assert close_to(h["mix", "m", "X"][0], (0.5 * 300 + 0.6 * 150) / 450) and p["tilt", "a"].changed is False and p["tilt", "b"].changed
+    assert h["tilt", "b", "Y"] == (0.5, 75.0) and h["tilt", "a", "X"] == (0.7, 140.0)
+
+    both = sc.union_books([sc.Book(small_book.portfolio.withColumn("changed", F.lit(False)), small_book.holding), out])
+    panel = lambda own: rt.returns_panel(own, both.holding, ticker_returns, timeframe="1d")
+    asked = []
+    shared = sc.shared_panel(both.portfolio, lambda own: (asked.append(own.count()), panel(own))[1], "current")
+    rows = lambda df: sorted((r.book_id, r.name, r.ts, round(r.ret, 12)) for r in df.select("book_id", "name", "ts", "ret").collect())
+    assert rows(shared) == rows(panel(both.portfolio)) and asked == [3 + 3]
+
+
+def test_edits_of_one_scenario_that_contradict(spark, small_book):
+    for moves in ([("x", "shift", "a", "b"), ("x", "drop", "b")], [("x", "drop", "a"), ("x", "shift", "a", "b")], [("x", "shift", "a", "nowhere")]):
+        with pytest.raises(sc.ScenarioEditError):
+            sc.apply_edits(small_book, sc.edit_tables(spark, moves))
+
+
 def test_equal_books_have_no_deltas(spark, small_book):
     universe = spark.createDataFrame([(t, "Equity", "US", None) for t in "XYZ"], "ticker string, asset_class string, region string, sector string")
     both = sc.union_books([small_book, small_book.renamed("same")])
