@@ -88,6 +88,13 @@ class SquareCatcher:
     def _hash(self, start: np.ndarray, size) -> np.ndarray:
         return (self._sums[start + size] - self._sums[start]) % _PRIME * _Powers.down[start] % _PRIME
 
+    def _hashes(self, first: int, last: int, size: int, step: int = 1) -> np.ndarray:
+        """Hashes of the words from ``first``, ``first + step``, ... up to ``last`` on; of single words, the words."""
+        if size == 1:
+            return self._words[first:last + 1:step]
+        sums = self._sums[first + size:last + size + 1:step] - self._sums[first:last + 1:step]
+        return sums % _PRIME * _Powers.down[first:last + 1:step] % _PRIME
+
     def _reach(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray, left: bool = False) -> np.ndarray:
         """Number of equal words from ``x`` and ``y`` on (before them for ``left``), ``limit`` at most: doubling, then halving."""
         got = np.zeros(len(x), dtype=np.int64)
@@ -139,19 +146,18 @@ class SquareCatcher:
 
     def _catch(self, block: int, before: int) -> None:
         """Compare the suffixes of ``block`` words that end after ``before`` with their two catchers."""
-        first = max(2 * block - 1, before - block + 1)
-        suffix = np.arange(first, self.n - block + 1)
-        if not len(suffix):
+        first, last = max(2 * block - 1, before - block + 1), self.n - block
+        if first > last:
             return
-        own = self._hash(suffix, block)
-        near = (suffix - (2 * block - 1)) // block * block
-        catchers = np.arange(max(0, int(near[0]) - block), int(near[-1]) + 1, block)
-        keys = self._hash(catchers, block)
-        for at in (near, near - block):
-            inside = at >= 0
-            hit = inside & (keys[np.where(inside, at - catchers[0], 0) // block] == own)
-            if hit.any():
-                self._extend(at[hit], suffix[hit], block)
+        own = self._hashes(first, last, block)
+        near = (np.arange(first, last + 1) - (2 * block - 1)) // block  # number of the nearer catcher
+        lowest = max(0, int(near[0]) - 1)
+        keys = self._hashes(lowest * block, int(near[-1]) * block, block, block)
+        for at in (near, near - 1):
+            skip = int(at[0] < 0) and int(np.searchsorted(at, 0))
+            hit = np.flatnonzero(keys[at[skip:] - lowest] == own[skip:]) + skip
+            if len(hit):
+                self._extend(at[hit] * block, hit + first, block)
 
     def _extend(self, at: np.ndarray, suffix: np.ndarray, block: int) -> None:
         w, last = self._words, self.n
@@ -185,8 +191,8 @@ def word_runs(words: list[bytes]) -> list[tuple[int, int, int]]:
     """Runs of a list of words, appended ``STEP`` at a time."""
     if len(words) < LEAST_WORDS:
         return []
-    names: dict[bytes, int] = {}
-    numbers = np.fromiter((names.setdefault(w, len(names)) for w in words), dtype=np.int64, count=len(words))
+    names = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    numbers = np.fromiter(map(names.__getitem__, words), dtype=np.int64, count=len(words))
     catcher = SquareCatcher()
     for i in range(0, len(numbers), STEP):
         catcher.append(numbers[i:i + STEP])

@@ -55,6 +55,7 @@ def test_runs_of_any_cuts_match_plain_search(words, cut, least):
 
 def test_hashes_that_always_collide_change_nothing(monkeypatch):
     monkeypatch.setattr(periodic.SquareCatcher, "_hash", lambda self, start, size: np.zeros(len(start), dtype=np.int64))
+    monkeypatch.setattr(periodic.SquareCatcher, "_hashes", lambda self, first, last, size, step=1: np.zeros(len(range(first, last + 1, step)), dtype=np.int64))
     rng = random.Random(2)
     words = [rng.randrange(2) for _ in range(40)] + [1, 2, 3] * 12 + [4]
     catcher = periodic.SquareCatcher()
