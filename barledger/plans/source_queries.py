@@ -130,6 +130,25 @@ def sheet_target_weights(spark, sf):
     return sheets.target_weights(target_sheet(spark, sf), t.universe(spark, sf), "Port", "Ticker")
 
 
+@query("sheet_target_aliases", "name eff_date ticker", nums="weight",
+       sql="SELECT * FROM sheet_targets WHERE NOT (name = 'EUROPE' AND eff_date = DATE '2000-07-01')")
+def sheet_target_aliases(spark, sf):
+    """Portfolios under other names, and cash lines without a ticker that are known by their currency column."""
+    low, asia = F.col("Ticker") == "5-LOW", F.col("Port") == "ASIA"
+    sheet = target_sheet(spark, sf).withColumns({
+        "Port": F.when(asia, " Asia fund ").otherwise(F.col("Port")),
+        "Cash": F.when(low, F.lit("sgd cash")), "Ticker": F.when(~low, F.col("Ticker")).otherwise(F.lit("  ")),
+    })
+    return sheets.target_weights(sheet, t.universe(spark, sf), "Port", "Ticker", "Cash", {"Asia fund": "ASIA"}, {"SGD CASH": "5-LOW"})
+
+
+@query("sheet_value_aliases", "name snap_date currency", nums="base_value sgd_value", digits=1, sql="SELECT * FROM snap_values")
+def sheet_value_aliases(spark, sf):
+    """The value sheet with one portfolio under its former name."""
+    sheet = value_sheet(spark, sf).withColumn("Portfolio", F.when(F.col("Portfolio") == "EUROPE", "EMEA").otherwise(F.col("Portfolio")))
+    return sheets.portfolio_values(sheet, "Portfolio", "Currency", {"EMEA": "EUROPE"})
+
+
 @query("sheet_deposits", "name date currency notes", nums="amount fx_to_base", digits=2,
        sql="SELECT name, date, 'SGD' AS currency, '' AS notes, amount, NULL::DOUBLE AS fx_to_base FROM deposit WHERE date > DATE '2000-10-03'")
 def sheet_deposits(spark, sf):
