@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barledger.functions.calendars import calendar_days
 from barledger.operators.asof import as_of, fill_to_calendar, target_intervals
 from barledger.operators.book import CASH_PREFIX, is_cash_like, with_role
-from barledger.session import settle
 from barledger.schema import DAILY
 
 SEGMENT_TOLERANCE = 0.05
@@ -76,7 +75,7 @@ def piecewise_values(
 
     ``prices`` holds ``ticker, ts, close``. A missing price leaves that holding unchanged.
     """
-    rows = settle(segment_weights(segments(portfolio, targets, end), holding, targets, universe))
+    rows = segment_weights(segments(portfolio, targets, end), holding, targets, universe)
     rows = as_of(rows, prices, ["ticker"], "seg_start", "close", "p0", timeframe=DAILY)
     rows = as_of(rows, prices, ["ticker"], "seg_end", "close", "p1", timeframe=DAILY)
     usable = F.col("priced") & (F.col("p0") > 0) & F.col("p1").isNotNull()
@@ -102,7 +101,7 @@ def nav_panel(
     Inside a segment a portfolio is bought and held; segments are chained by their last-day value.
     On a boundary day the later segment counts. Days before the statement have no row.
     """
-    rows = settle(segment_weights(segments(portfolio, targets, end), holding, targets, universe))
+    rows = segment_weights(segments(portfolio, targets, end), holding, targets, universe)
     prices = prices.where(F.col("close").isNotNull() & (F.col("ts") <= end.cast("timestamp_ntz")))
     rows = as_of(rows, prices, ["ticker"], "seg_start", "close", "p0", timeframe=DAILY)
     visible = prices.where(F.col("ts") >= start.cast("timestamp_ntz"))
@@ -126,15 +125,13 @@ def nav_panel(
     ).otherwise(1.0)
     usable = F.col("priced") & (F.col("p0") > 0) & F.col("last_close").isNotNull()
     ratio = F.when(usable, price * tail / F.col("p0")).otherwise(1.0)
-    factors = settle(
-        span.groupBy(*SEGMENT, "is_last", "day").agg(F.sum(F.col("weight") * ratio).alias("factor"))
-    )
+    factors = span.groupBy(*SEGMENT, "is_last", "day").agg(F.sum(F.col("weight") * ratio).alias("factor"))
 
-    seg_order = Window.partitionBy(*PORTFOLIO).orderBy("seg_start").rowsBetween(Window.unboundedPreceding, -1)
-    opening = factors.where(F.col("day") == F.col("seg_end")).withColumn(
-        "_opening", F.coalesce(F.product("factor").over(seg_order), F.lit(1.0))
-    ).select(*SEGMENT, "_opening")
-    shown = factors.where((F.col("day") < F.col("seg_end")) | F.col("is_last")).join(opening, SEGMENT)
+    # One running product over the days of a portfolio: a segment hands on its last day's factor, its other days do not count.
+    earlier = Window.partitionBy(*PORTFOLIO).orderBy("seg_start", "day").rowsBetween(Window.unboundedPreceding, -1)
+    handed_on = F.product(F.when(F.col("day") == F.col("seg_end"), F.col("factor"))).over(earlier)
+    chained = factors.withColumn("_opening", F.coalesce(handed_on, F.lit(1.0)))
+    shown = chained.where((F.col("day") < F.col("seg_end")) | F.col("is_last"))
     facts = with_role(portfolio).select(*PORTFOLIO, "total_value", "statement_date", "fee_annual", "currency", "statement_fx")
     nav = shown.join(facts, PORTFOLIO).withColumn(
         "nav", F.col("total_value") * F.col("_opening") * F.col("factor")
