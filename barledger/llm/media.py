@@ -174,7 +174,7 @@ def features(stored: DataFrame) -> DataFrame:
     """Columns read back from ``media``: sizes, hashes and the cosine hash; other columns stay.
 
     Every image is decoded with its checksums tested; a damaged one fails the job. Rows with equal
-    texts have equal values.
+    texts have equal values, null and empty texts those of a payload of spaces; an empty table stays empty.
     """
     names = [F.col(c) for c in stored.columns if c.lower() not in ("media", *(x.split()[0] for x in _BACK.split(", ")))]
     read = F.pandas_udf(_read, _BACK)

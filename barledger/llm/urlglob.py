@@ -99,7 +99,8 @@ def judge(pages: DataFrame, url_col: str = "url", host_rules=HOST_RULES, block_g
 
     The longest host rule that fits decides; without one, an allow glob, then a block glob, then allow.
     A null URL or one without ``://`` has empty host and path, fits no host rule and is judged by the
-    globs like any other. Columns of these names are replaced; rows are judged one by one, whole.
+    globs like any other. Columns of these names are replaced; rows are judged one by one, whole:
+    repeated rows get equal verdicts, and an empty table stays empty.
     """
     patterns, owners = [], []
     for i, (_, rule_host, rule_path) in enumerate(host_rules):
