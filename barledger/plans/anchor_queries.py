@@ -131,7 +131,7 @@ def sleeve_reconcile(spark, sf):
     return reconciled(spark, sf)
 
 
-@query("sleeve_performance", "book_id name", nums="start_value end_value deposits perf perf_pct model model_perf model_perf_pct gap gap_pct", digits=2,
+@query("sleeve_performance", "book_id name", nums="start_value end_value deposits perf perf_pct model model_perf model_perf_pct gap gap_pct", digits=4,
        sql="""WITH l AS (SELECT *, end_value - start_value - deposits AS perf, model - start_value - deposits AS model_perf, CASE WHEN start_value > 0 THEN start_value WHEN deposits > 0 THEN deposits END AS base FROM anchor_reconciled)
 SELECT 'current' AS book_id, name, start_value, end_value, deposits, perf, perf/base*100 AS perf_pct, model, model_perf, model_perf/base*100 AS model_perf_pct, gap, gap_pct FROM l
 UNION ALL SELECT 'current', NULL, s, e, d, p, p/nullif(s, 0)*100, m, m - s - d, (m - s - d)/nullif(s, 0)*100, g, g/nullif(e, 0)*100 FROM (
