@@ -14,54 +14,37 @@ from barledger.llm.common import row_mapper, settle, texts
 
 #: Labelled rows that the classifier is fitted on, chosen by the hash of their id.
 SAMPLE_ROWS = 40_000
-#: A token counts by its word or by its first letters, whichever says more.
+#: A token counts by its word; words that are not in the lexicon count by their first letters.
 PREFIXES = (4, 5, 6)
-#: Runs of letters of scripts without spaces (Han, kana, Thai, Lao, Tibetan, Myanmar, Khmer) are cut into overlapping pieces of so many characters.
-GRAM = 2
-SPACELESS = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 #: Mass of the Dirichlet prior, spread by how common a token is in the sample.
-PRIOR_MASS = 100.0
-#: Log-odds of ``z`` standard errors keep the share ``z^4 / (z^4 + SHRINK^4)`` of their size: half at ``SHRINK``; what is left of less than ``LEAST_SCORE`` is zero.
-SHRINK, LEAST_SCORE = 3.0, 0.1
+PRIOR_MASS = 50.0
+#: Least z-score and log-odds of a token in the lexicon, and least toxic texts that hold it.
+MIN_Z = 3.0
+MIN_SCORE = 2.0
+MIN_TEXTS = 3
 #: A passage is significant if fewer than this many are expected by chance in its text.
 MAX_EXPECTED = 0.5
 #: Most log-odds of a text without a significant passage.
 NO_EVIDENCE = -0.04
+#: Runs of letters of scripts without spaces (Han, kana, Thai, Lao, Tibetan, Myanmar, Khmer) are cut into overlapping pieces of so many characters.
+GRAM = 2
+SPACELESS = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 #: Sample rows per task.
 TASK_ROWS = 500
 _TOKEN = re.compile(rf"[{SPACELESS}]+|[^\W\d_{SPACELESS}]+")
 _SPACELESS = re.compile(f"[{SPACELESS}]")
-_MEMO = 1 << 18
 
 
 @dataclass
 class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     prefixes: dict[str, float] = field(default_factory=dict)
+    heads: set[str] = field(default_factory=set)  # first letters of all of them
     other: float = -0.05  # score of any other token
     decay: float = 1.0  # lambda of the extreme-value law
     scale: float = 1.0  # K of the extreme-value law
     slope: float = 0.0
     offset: float = -1.0
-    memo: dict[str, float] = field(default_factory=dict, repr=False)  # scores of words looked up before
-
-    def scores(self, words: list[str]) -> list[float]:
-        memo = self.memo
-        out = []
-        for w in words:
-            s = memo.get(w)
-            if s is None:
-                s = self._look(w)
-                if len(memo) < _MEMO:
-                    memo[w] = s
-            out.append(s)
-        return out
-
-    def _look(self, word: str) -> float:
-        """The strongest of the word's own score and those of its beginnings."""
-        known = [self.prefixes[word[:n]] for n in PREFIXES if len(word) > n and word[:n] in self.prefixes]
-        known += [self.words[word]] if word in self.words else []
-        return max(known, key=abs, default=self.other)
 
 
 def tokens(text: str) -> list[str]:
@@ -75,16 +58,27 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def hit(word: str, lexicon: Lexicon) -> float:
+    """Score of a token; 0 if neither it nor its first letters are in the lexicon."""
+    if word[:PREFIXES[0]] not in lexicon.heads:
+        return 0.0
+    score = lexicon.words.get(word)
+    if score is None:
+        score = max((lexicon.prefixes.get(word[:n], 0.0) for n in PREFIXES if len(word) > n), default=0.0)
+    return score
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``text, toxic`` of up to ``rows`` labelled rows, by the hash of their id; the ids go to the tasks, and the sample is dealt evenly."""
+    """``text, toxic`` of up to ``rows`` labelled rows, by the hash of their id; the ids go to the tasks, and the different texts of the sample are dealt evenly."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
     found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    return found.repartition(max(8, -(-rows // TASK_ROWS)), F.xxhash64("text"), F.col("toxic"))
+    distinct = found.dropDuplicates(["text", "toxic"])  # copies say nothing new
+    return distinct.repartition(max(8, -(-rows // TASK_ROWS)), F.xxhash64("text"))
 
 
 def token_texts(rows: DataFrame) -> DataFrame:
@@ -105,12 +99,11 @@ def token_texts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def signed_scores(counts: DataFrame, toxic_texts: int, clean_texts: int) -> DataFrame:
-    """``token, score``: shrunk log-odds of toxic against clean texts of every token that has some, either sign.
+def significant(counts: DataFrame, toxic_texts: int, clean_texts: int) -> DataFrame:
+    """``token, score``: log-odds of the tokens that mark toxic texts.
 
     The prior of a token is its share of all sample texts times ``PRIOR_MASS``; its odds among toxic
-    and clean texts are compared with that prior added to both, and shrink by how many standard errors
-    they are from zero. Rare tokens thus end near zero by themselves and are not listed.
+    and clean texts are compared with that prior added to both.
     """
     share = (F.col("toxic") + F.col("clean")) / float(max(toxic_texts + clean_texts, 1))
     prior = PRIOR_MASS * share
@@ -120,66 +113,71 @@ def signed_scores(counts: DataFrame, toxic_texts: int, clean_texts: int) -> Data
 
     delta = odds(F.col("toxic"), toxic_texts) - odds(F.col("clean"), clean_texts)
     spread = F.sqrt(1.0 / (F.col("toxic") + prior) + 1.0 / (F.col("clean") + prior))
-    fourth = F.pow(delta / spread, F.lit(4.0))
-    left = delta * fourth / (fourth + SHRINK**4)
-    return counts.where(F.col("token") != "").select("token", left.alias("score")).where(F.abs("score") >= LEAST_SCORE)
+    scored = counts.where((F.col("token") != "") & (F.col("toxic") >= MIN_TEXTS)).select("token", delta.alias("score"), (delta / spread).alias("z"))
+    return scored.where((F.col("z") >= MIN_Z) & (F.col("score") >= MIN_SCORE)).select("token", "score")
 
 
-def segments(scores: list[float]) -> list[tuple[float, int, int]]:
-    """All maximal-scoring segments (score, first token, end) of a list of token scores, in linear time.
+def segments(places: list[int], scores: list[float], length: int, other: float) -> list[tuple[float, int, int]]:
+    """All maximal-scoring segments (score, first token, end) of a text of ``length`` tokens, in linear time.
 
-    Each positive score starts a candidate, which merges with the nearest earlier one that began lower
-    as long as that makes a larger sum. A candidate remembers which earlier one began lower, so the
-    search for it passes every candidate a bounded number of times.
+    ``places`` and ``scores`` are the tokens with positive scores; every other token has the score
+    ``other`` < 0, so only those between hits count. Each hit starts a candidate, which merges with
+    an earlier one as long as that makes a larger sum.
     """
-    found: list[tuple[int, int, float, float, int]] = []  # first token, end, sum before it, sum at its end, the nearest that began lower
-    total = 0.0
-    for place, score in enumerate(scores):
-        if score <= 0:
-            total += score
-            continue
-        first, end, before, total = place, place + 1, total, total + score
+    found: list[list[float]] = []  # first token, end, sum before it, sum at its end
+    total, last = 0.0, 0
+    for place, score in zip(places, scores):
+        total += (place - last) * other
+        candidate = [place, place + 1, total, total + score]
+        total += score
+        last = place + 1
         while True:
             k = len(found) - 1
-            while k >= 0 and found[k][2] >= before:
-                k = found[k][4]
-            if k < 0 or found[k][3] >= total:
-                found.append((first, end, before, total, k))
+            while k >= 0 and found[k][2] >= candidate[2]:
+                k -= 1
+            if k < 0 or found[k][3] >= candidate[3]:
+                found.append(candidate)
                 break
-            first, before = found[k][0], found[k][2]
+            candidate = [found[k][0], candidate[1], found[k][2], candidate[3]]
             del found[k:]
-    return [(f[3] - f[2], f[0], f[1]) for f in found]
+    return [(f[3] - f[2], int(f[0]), int(f[1])) for f in found]
 
 
 def passages(text: str, lexicon: Lexicon) -> list[tuple[float, int, int, float]]:
-    """Significant passages: (score, first token, end, log of how many texts of that length have one as high by chance)."""
-    scores = lexicon.scores(tokens(text))
-    if not lexicon.words or not scores or max(scores) <= 0:
+    """Significant passages: (score, first token, end, texts of that length in which one as high is expected by chance)."""
+    words = tokens(text)
+    places, scores = [], []
+    heads, head = lexicon.heads, PREFIXES[0]
+    for i, w in enumerate(words):
+        if w[:head] in heads and (score := hit(w, lexicon)):
+            places.append(i)
+            scores.append(score)
+    if not places:
         return []
-    base, limit = float(np.log(lexicon.scale * len(scores))), float(np.log(MAX_EXPECTED))
-    rated = ((score, start, end, base - lexicon.decay * score) for score, start, end in segments(scores))
-    return [p for p in rated if p[3] <= limit]
+    out = []
+    for score, start, end in segments(places, scores, len(words), lexicon.other):
+        expected = lexicon.scale * len(words) * float(np.exp(-lexicon.decay * score))
+        if expected <= MAX_EXPECTED:
+            out.append((score, start, end, expected))
+    return out
 
 
-def evidence(found: list[tuple[float, int, int, float]]) -> float:
-    """Logarithm of one plus the summed significance (minus log of the expected number) of the passages found; 0 without any."""
-    return float(np.log1p(-sum(p[3] for p in found)))
+def evidence(text: str, lexicon: Lexicon) -> float:
+    """Sum of the significance (minus log of the expected number) of all significant passages, at most 60."""
+    return min(60.0, sum(-float(np.log(max(e, 1e-26))) for *_, e in passages(text, lexicon)))
 
 
-def fit_law(seen: dict[float, int], possible: list[float]) -> tuple[float, float]:
-    """lambda and K of the chance law of segment scores: lambda solves mean(exp(lambda * score)) = 1 over the tokens of clean texts.
+def fit_law(hits: dict[float, int], others: int, other: float) -> tuple[float, float]:
+    """lambda and K of the chance law of segment scores: lambda solves mean(exp(lambda * score)) = 1 over clean tokens.
 
-    The ``possible`` positive scores together count as seen once more than they were, so that clean
-    texts without any of them still give a finite law.
+    All hits together count as seen once more than they were, so that clean texts without any hit
+    still give a finite law.
     """
-    weight = dict.fromkeys(possible, 1.0 / max(len(possible), 1))
-    for s, n in seen.items():
-        weight[s] = weight.get(s, 0.0) + n
-    scores, n = np.array(list(weight)), np.array(list(weight.values()))
-    n = n / n.sum()
+    seen = {s: n + 1.0 / len(hits) for s, n in hits.items()} or {5.0: 1.0}
+    total = others + sum(seen.values())
 
     def mean(x: float) -> float:
-        return float(n @ np.exp(np.minimum(x * scores, 600.0)))
+        return (others * np.exp(x * other) + sum(n * np.exp(min(x * s, 600.0)) for s, n in seen.items())) / total
 
     lo, hi = 1e-6, 1.0
     while mean(hi) < 1 and hi < 64:
@@ -187,7 +185,8 @@ def fit_law(seen: dict[float, int], possible: list[float]) -> tuple[float, float
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if mean(mid) < 1 else (lo, mid)
-    return lo, float(min(1.0, max(1e-3, abs(float(n @ scores)) * lo)))
+    drift = (others * other + sum(n * s for s, n in seen.items())) / total
+    return lo, float(min(1.0, max(1e-3, abs(drift) * lo)))
 
 
 def fit_logistic(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -206,66 +205,57 @@ def fit_logistic(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, ridge: flo
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexicon:
     """Lexicon, chance law and calibration from labelled rows.
 
-    Everything is counted in tasks over a sample bounded by ``rows``; the driver gets the tokens with a
-    score, which the sample bounds, and histograms. Words are counted over different texts, as
-    copies say nothing new about them; the calibration looks at all sampled rows. Without labels, with one kind
-    only, or if no token marks toxic texts, every score is low.
+    Everything is counted in tasks over a sample bounded by ``rows``; the driver gets the significant
+    tokens (``MIN_Z`` and ``MIN_TEXTS`` bound them by the sample) and histograms. Without labels, with
+    one kind only, or if no token marks toxic texts, every score is low; so is that of any text without a significant passage.
     """
     sample = settle(labelled(docs, labels, rows))
-    distinct = sample.dropDuplicates(["text", "toxic"])
-    counts = settle(token_texts(distinct))
+    counts = settle(token_texts(sample))
     whole = counts.where("token = ''").agg(F.sum("toxic"), F.sum("clean")).first()
     toxic_texts, clean_texts = int(whole[0] or 0), int(whole[1] or 0)
     if not toxic_texts or not clean_texts:
         return Lexicon()
-    found = {r["token"]: r["score"] for r in signed_scores(counts, toxic_texts, clean_texts).collect()}
-    if not any(s > 0 and t[0] != "^" for t, s in found.items()):
+    found = {r["token"]: r["score"] for r in significant(counts, toxic_texts, clean_texts).collect()}
+    if not found:
         return Lexicon()
     lexicon = Lexicon({t: s for t, s in found.items() if t[0] != "^"}, {t[1:]: s for t, s in found.items() if t[0] == "^"})
-    lexicon.other = _other_score(distinct, lexicon)
-    seen = _clean_scores(distinct, lexicon)
-    lexicon.decay, lexicon.scale = fit_law(seen, sorted({round(s, 1) for s in found.values() if s > 0.05}))
+    lexicon.heads = {t.lstrip("^")[:PREFIXES[0]] for t in found}
+    hits, others, toxic_share = _token_scores(sample, lexicon)
+    lexicon.other = float(np.log((1 - toxic_share[1]) / (1 - toxic_share[0]))) if toxic_share[1] > toxic_share[0] else -0.02
+    lexicon.other = float(np.clip(lexicon.other, -1.0, -0.01))
+    lexicon.decay, lexicon.scale = fit_law(hits, others, lexicon.other)
     table = _evidence_counts(sample, lexicon)
-    lexicon.slope, lexicon.offset = fit_logistic(table[:, 0], table[:, 1], table[:, 2])
-    lexicon.slope, lexicon.offset = max(lexicon.slope, 0.0), min(lexicon.offset, NO_EVIDENCE)
+    slope, offset = fit_logistic(table[:, 0], table[:, 1], table[:, 2])
+    lexicon.slope, lexicon.offset = max(slope, 0.0), min(offset, NO_EVIDENCE)
     return lexicon
 
 
-def _other_score(sample: DataFrame, lexicon: Lexicon) -> float:
-    """Score of a token that is not listed: log of its share in toxic over that in clean texts, kept below zero."""
-
-    def count(rows: pa.RecordBatch) -> pa.RecordBatch:
-        sums = np.zeros((2, 2), dtype=np.int64)
-        for text, toxic in zip(texts(rows.column(0)), rows.column(1).to_pylist()):
-            words = tokens(text)
-            known = sum(w in lexicon.words for w in words)
-            sums[toxic] += (known, len(words) - known)
-        return pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["toxic", "known", "unknown"])
-
-    parts = sample.select("text", F.col("toxic").cast("int")).mapInArrow(row_mapper(count), "toxic int, known long, unknown long")
-    sums = {r["toxic"]: (r["known"], r["unknown"]) for r in parts.groupBy("toxic").agg(F.sum("known").alias("known"), F.sum("unknown").alias("unknown")).collect()}
-    share = [sums.get(t, (0, 0))[1] / max(sum(sums.get(t, (0, 0))), 1) for t in (0, 1)]
-    return float(np.clip(np.log(max(share[1], 1e-9) / max(share[0], 1e-9)), -1.0, -0.1))
-
-
-def _clean_scores(sample: DataFrame, lexicon: Lexicon) -> dict[float, int]:
-    """How often the tokens of clean texts have which score, to one decimal."""
+def _token_scores(sample: DataFrame, lexicon: Lexicon) -> tuple[dict[float, int], int, tuple[float, float]]:
+    """Scores of the hits of clean texts and how often, their other tokens, and the share of hits in clean and in toxic texts."""
 
     def count(rows: pa.RecordBatch) -> pa.RecordBatch:
         sums: Counter = Counter()
-        for text in texts(rows.column(0)):
-            sums.update(round(s, 1) for s in lexicon.scores(tokens(text)))
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.float64()), pa.array(list(sums.values()), pa.int64())], ["score", "n"])
+        for text, toxic in zip(texts(rows.column(0)), rows.column(1).to_pylist()):
+            for w, n in Counter(tokens(text)).items():
+                sums[toxic, round(hit(w, lexicon), 2)] += n
+        keys = list(sums)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.float64()), pa.array([sums[k] for k in keys], pa.int64())], ["toxic", "score", "n"])
 
-    parts = sample.where("toxic = 0").select("text").mapInArrow(row_mapper(count), "score double, n long")
-    return {r["score"]: r["n"] for r in parts.groupBy("score").agg(F.sum("n").alias("n")).collect()}
+    parts = sample.select("text", F.col("toxic").cast("int")).mapInArrow(row_mapper(count), "toxic int, score double, n long")
+    sums = {(r["toxic"], r["score"]): r["n"] for r in parts.groupBy("toxic", "score").agg(F.sum("n").alias("n")).collect()}
+    hits = {s: 0 for t, s in sums if s > 0} | {s: n for (t, s), n in sums.items() if t == 0 and s > 0}
+    share = []
+    for label in (0, 1):
+        every = sum(n for (t, _), n in sums.items() if t == label)
+        share.append(sum(n for (t, s), n in sums.items() if t == label and s > 0) / max(every, 1))
+    return hits, sums.get((0, 0.0), 0), (share[0], share[1])
 
 
 def _evidence_counts(sample: DataFrame, lexicon: Lexicon) -> np.ndarray:
     """Rows of (evidence, toxic texts, clean texts)."""
 
     def count(rows: pa.RecordBatch) -> pa.RecordBatch:
-        found = [round(evidence(passages(t, lexicon)), 2) for t in texts(rows.column(0))]
+        found = [round(evidence(t, lexicon), 1) for t in texts(rows.column(0))]
         return pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), rows.column(1)], ["x", "toxic"])
 
     marked = sample.select("text", F.col("toxic").cast("int")).mapInArrow(row_mapper(count), "x double, toxic int")
@@ -285,7 +275,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def rate(column: pd.Series) -> pd.DataFrame:
         known = shared.value
         found = [passages(t, known) for t in column]
-        x = np.array([evidence(f) for f in found], dtype=float)
+        x = np.array([min(60.0, sum(-np.log(max(e, 1e-26)) for *_, e in f)) for f in found], dtype=float)
         value = 1 / (1 + np.exp(-np.clip(known.slope * x + known.offset, -30, 30)))
         spans = [[{"start": s, "end": e, "value": v} for v, s, e, _ in f] for f in found]
         return pd.DataFrame({"score": value, "passages": pd.Series(spans, dtype="object")})
