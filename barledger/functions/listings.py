@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 # Exchange code -> listing suffix and wrapper label (fixed values).
@@ -36,17 +38,33 @@ def listing_currency(ticker: Column) -> Column:
     return F.when(F.endswith(ticker, F.lit(".SI")), "SGD").when(F.endswith(ticker, F.lit(".HK")), "HKD").otherwise("USD")
 
 
+def fixed(x: Column, places: int) -> Column:
+    """``printf('%.<places>f')`` of doubles from 1 on (from 0 without places), up to three places: the binary value is rounded, half to even.
+
+    ``format_string`` rounds the shortest decimal form half up (1.15 becomes 1.2, though its binary value
+    is less), ``format_number`` sets commas. From 1 on a fraction is a whole number of 2**-52, so its
+    product with 1,000 fits a long and nothing is lost.
+    """
+    if places:
+        scaled = ((x - F.floor(x)) * 2.0**52).cast("long") * 10**places
+        digits = F.shiftright(scaled + (2**51 - 1) + F.shiftright(scaled, 52).bitwiseAND(F.lit(1)), 52)
+        exact = (F.floor(x) * 10**places + digits).cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-places))
+    else:
+        exact = F.rint(x).cast("long")
+    return F.when(x < 2.0**52, exact.cast("string")).when(x.isNotNull(), F.format_string(f"%.{places}f", x))
+
+
 def compact(value: Column, signed: bool = False, precise: bool = False) -> Column:
     """Thousands, millions and billions in short form; a dash for a missing value."""
     size = F.abs(value)
     big, small = (3, 2) if precise else (2, 1)
 
     def scaled(unit: float, places: int, mark: str) -> Column:
-        return F.concat(F.format_string(f"%.{places}f", size / unit), F.lit(mark))
+        return F.concat(fixed(size / unit, places), F.lit(mark))
 
     text = (
         F.when(size >= 1e9, scaled(1e9, big, "B")).when(size >= 1e6, scaled(1e6, big, "M"))
-        .when(size >= 1e3, scaled(1e3, small, "K")).otherwise(F.format_number(size, 0))
+        .when(size >= 1e3, scaled(1e3, small, "K")).otherwise(fixed(size, 0))
     )
     out = F.concat(F.when(value < 0, "-").when((value > 0) & F.lit(signed), "+").otherwise(""), text)
     if signed:
