@@ -277,3 +277,11 @@ def test_currency_returns_over_block_borders(spark, small_book, ticker_returns):
 def test_portfolio_without_the_role_is_left_out(spark, small_book, ticker_returns):
     some = small_book.portfolio.withColumn("roles", F.when(F.col("name") == "c", F.array(F.lit("custom"))).otherwise(F.col("roles")))
     assert {r.name for r in rt.returns_panel(some, small_book.holding, ticker_returns).select("name").distinct().collect()} == {"a", "b"}
+
+
+def test_all_holders_of_a_ticker_are_named(spark):
+    names = [f"p{i:03d}" for i in range(150)]
+    rows = spark.createDataFrame([("b", n, t, 1 / 150, 1.0) for n in names for t in ("X", "X", "Y")], "book_id string, name string, ticker string, weight double, value double")
+    rets = spark.createDataFrame([(DAY0 + dt.timedelta(days=i), t, 0.01 * i) for i in range(5) for t in "XY"], "ts timestamp_ntz, ticker string, ret double")
+    out = {r.ticker: r for r in risk.RiskModel(rows, rets).by_ticker().collect()}
+    assert all(out[t].portfolios == ", ".join(names) and out[t].n_portfolios == 150 for t in "XY")
