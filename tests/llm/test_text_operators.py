@@ -380,6 +380,20 @@ def test_prediction_matches_a_plain_regression(spark):
     assert all(found[i][0] == want[i][0] and abs(found[i][1] - want[i][1]) < 0.02 for i in found)
 
 
+def test_every_labelled_row_is_learned(spark, monkeypatch):
+    """Several blocks: all rows are dealt, rare languages to every block, the model does not depend on the layout of the table."""
+    monkeypatch.setattr(langid, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(langid, "LEAST_ROWS", 12)
+    docs = language_rows(spark, 600).union(spark.createDataFrame([(2000 + i, f"zqx qqx xqz {i % 3} jj", "zz") for i in range(4)], "doc_id long, text string, lang string"))
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    dealt = langid.deal(docs, counts, 6, 4).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("place").alias("rows"), F.countDistinct("block").alias("blocks"))
+    assert {r.lang: (r.n, r.rows, r.blocks) for r in dealt.collect()} == {"de": (200, 200, 6), "en": (200, 200, 6), "fr": (200, 200, 6), "zz": (24, 4, 6)}
+    monkeypatch.setattr(langid, "sample", None)  # nothing is drawn
+    one, two = langid.train(docs), langid.train(docs.orderBy(F.desc("doc_id")).repartition(3))
+    assert one.languages == two.languages == ["de", "en", "fr", "zz"] and (one.weights == two.weights).all() and one.temperature == pytest.approx(two.temperature)
+    assert all(r.lang == r.lang_pred for r in langid.predict(docs, one).collect())
+
+
 # -- toxicity ----------------------------------------------------------------------------------------
 
 
