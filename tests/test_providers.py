@@ -64,3 +64,14 @@ def test_round_trip_through_the_sink(spark, tmp_path):
     cut = F.lit(DAY0 + dt.timedelta(days=30)).cast("timestamp_ntz")
     for rows in (back, bars):
         assert rows.where((F.col("symbol") == "B/B") & (F.col("ts") > cut)).count() == bars.where((F.col("symbol") == "B/B") & (F.col("ts") > cut)).count() > 0
+
+
+def test_tasks_do_not_grow_with_the_symbols(spark, tmp_path):
+    names = [f"{i}" for i in range(1000)]
+    bars = spark.createDataFrame([(s, DAY0 + dt.timedelta(days=d), 1.0, 2.0, 0.5, float(d), 1.0) for s in names for d in range(2)], "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    providers.write_bars(bars, f"file:{tmp_path}/bars")
+    back = providers.load(spark, providers.FolderProvider(f"file:{tmp_path}/bars"))
+    assert back.rdd.getNumPartitions() <= 2 * providers.BUCKETS < len(names)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, bars.collect()))
+    assert back.where(F.col("symbol").startswith("1")).count() == 2 * 111 and back.where("symbol in ('7', '8', 'x')").count() == 4
+    assert back.where("symbol = '7'").rdd.getNumPartitions() <= 2
