@@ -285,3 +285,19 @@ def test_all_holders_of_a_ticker_are_named(spark):
     rets = spark.createDataFrame([(DAY0 + dt.timedelta(days=i), t, 0.01 * i) for i in range(5) for t in "XY"], "ts timestamp_ntz, ticker string, ret double")
     out = {r.ticker: r for r in risk.RiskModel(rows, rets).by_ticker().collect()}
     assert all(out[t].portfolios == ", ".join(names) and out[t].n_portfolios == 150 for t in "XY")
+
+
+def test_moments_of_pairs_are_not_shuffled(spark, monkeypatch):
+    from barledger.functions import gram
+
+    monkeypatch.setattr(gram, "TILE", 8)
+    monkeypatch.setattr(gram, "CHUNK_ROWS", 100)
+    rng = random.Random(8)
+    rows = [(b, f"s{i:03d}", DAY0 + dt.timedelta(days=d * 9), rng.gauss(0, 1)) for b in "bc" for i in range(30) for d in range(40) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "book_id string, name string, ts timestamp_ntz, ret double")
+    every = risk.correlations(df, 5)
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+    want = {tuple(r) for r in every.where("rho >= 0.2").collect()}
+    assert want == {tuple(r) for r in risk.close_pairs(df, 0.2, 5).collect()} and len(want) > 20
+    assert pair_moments(df, least_rho=0.2).count() < every.count() / 2
