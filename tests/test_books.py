@@ -301,3 +301,38 @@ def test_moments_of_pairs_are_not_shuffled(spark, monkeypatch):
     want = {tuple(r) for r in every.where("rho >= 0.2").collect()}
     assert want == {tuple(r) for r in risk.close_pairs(df, 0.2, 5).collect()} and len(want) > 20
     assert pair_moments(df, least_rho=0.2).count() < every.count() / 2
+
+
+def test_points_of_books_with_many_tiles_are_not_copied(spark, monkeypatch):
+    from barledger.functions import gram
+
+    monkeypatch.setattr(gram, "TILE", 8)
+    monkeypatch.setattr(gram, "LARGEST_TILE", 8)
+    rng = random.Random(9)
+    days = {("wide", i): range(rng.randrange(40), 60) if i % 10 else range(rng.randrange(30)) for i in range(100)}
+    days |= {(b, i): range(60) for b in ("small", "alone") for i in range(20 if b == "small" else 1)}
+    rows = [(b, f"s{i:03d}", DAY0 + dt.timedelta(days=d), rng.gauss(1, 0.1) if rng.random() < 0.8 else None) for (b, i), own in days.items() for d in own]
+    rows += [("wide", "s1000", DAY0, None)]
+    df = spark.createDataFrame(rows, "book_id string, name string, ts timestamp_ntz, ret double")
+    m = pair_moments(df, "1d")
+    plan = m._jdf.queryExecution().optimizedPlan().toString().split("Union")[1].split("MapInArrow")[1]
+    assert "explode" not in plan and "Join Inner" in plan
+    by = {}
+    for b, n, t, v in rows:
+        if v is not None:
+            by.setdefault((b, n), {})[t] = v
+    want = {(*x, y[1]): len(by[x].keys() & by[y].keys()) for x in by for y in by if x[0] == y[0] and x[1] <= y[1]}
+    got = m.collect()
+    assert {(r.book_id, r.name_a, r.name_b): int(r.n) for r in got} == {k: n for k, n in want.items() if n}
+    assert len(got) == len({(r.book_id, r.a, r.b) for r in got}) and all(r.a <= r.b for r in got)
+    every = risk.correlations(df, 5, "1d").collect()
+    for r in every:
+        a, b = by[r.book_id, r.name_a], by[r.book_id, r.name_b]
+        both = sorted(a.keys() & b.keys())
+        if len(both) >= 5:
+            assert close_to(r.rho, float(np.corrcoef([a[t] for t in both], [b[t] for t in both])[0, 1]))
+    assert {tuple(r) for r in risk.close_pairs(df, 0.3, 5, "1d").collect()} == {tuple(r) for r in every if r.rho is not None and r.rho >= 0.3}
+    monkeypatch.setattr(gram, "TILE_POINTS", 8 * 20)  # series too long for a tile in one row
+    long = risk.correlations(df, 5, "1d")
+    assert {(r.book_id, r.name_a, r.name_b, r.n_obs) for r in long.collect()} == {(r.book_id, r.name_a, r.name_b, r.n_obs) for r in every}
+    assert "Union" not in long._jdf.queryExecution().optimizedPlan().toString()
