@@ -336,3 +336,27 @@ def test_points_of_books_with_many_tiles_are_not_copied(spark, monkeypatch):
     long = risk.correlations(df, 5, "1d")
     assert {(r.book_id, r.name_a, r.name_b, r.n_obs) for r in long.collect()} == {(r.book_id, r.name_a, r.name_b, r.n_obs) for r in every}
     assert "Union" not in long._jdf.queryExecution().optimizedPlan().toString()
+
+
+def exchanged_rows(plan):
+    """Rows that the exchanges of an executed plan carry."""
+    name = plan.nodeName()
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    return own + sum(map(exchanged_rows, below))
+
+
+def test_close_pairs_move_rows_by_series_not_by_tiles(spark, monkeypatch):
+    from barledger.functions import gram
+
+    monkeypatch.setattr(gram, "TILE", 8)
+    monkeypatch.setattr(gram, "LARGEST_TILE", 8)
+    rng = random.Random(10)
+    market = [rng.gauss(0, 1) for _ in range(40)]
+    series = {f"s{i:03d}": [rng.gauss(0, 1) + (i % 7 == 0) * market[d] for d in range(40)] for i in range(160)}
+    df = spark.createDataFrame([("b", n, DAY0 + dt.timedelta(days=d), v) for n, own in series.items() for d, v in enumerate(own)], "book_id string, name string, ts timestamp_ntz, ret double")
+    close = risk.close_pairs(df, 0.3, 20, "1d")
+    found = {(r.name_a, r.name_b): r.rho for r in close.collect()}
+    names, rho = list(series), np.corrcoef(list(series.values()))
+    assert found.keys() == {(names[i], names[j]) for i in range(160) for j in range(i + 1, 160) if rho[i, j] >= 0.3}
+    assert exchanged_rows(close._jdf.queryExecution().executedPlan()) < 5 * 160  # 20 tiles: copies were 3,200 rows
